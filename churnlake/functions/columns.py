@@ -79,21 +79,25 @@ def f1_from(precision, recall) -> Column:
     return F.lit(2.0) * p * r / F.nullif(p + r, F.lit(0.0))
 
 
-# Fixed scorer coefficients (a linear-logistic stand-in for the trained
-# champion, expressible in SQL so that scoring can be checked by an oracle).
+# Fixed scorer (a linear-logistic stand-in for the trained champion that SQL
+# can express, so scoring is oracle-checkable). Coefficients are integer
+# hundredths: z is summed exactly in integers and divided once, so tied
+# customers tie in every engine.
 FIXED_SCORER = {
-    "intercept": 1.6,
-    "total_transaction_count": -0.45,
-    "months_inactive_last_12m": 0.25,
-    "customer_age_mod_7": 0.15,
-    "total_relationship_count": -0.10,
+    "intercept": 160,
+    "total_transaction_count": -45,
+    "months_inactive_last_12m": 25,
+    "customer_age_mod_7": 15,
+    "total_relationship_count": -10,
 }
 
 
 def fixed_score() -> Column:
-    z = (F.lit(FIXED_SCORER["intercept"])
-         + F.lit(FIXED_SCORER["total_transaction_count"]) * F.col("total_transaction_count")
-         + F.lit(FIXED_SCORER["months_inactive_last_12m"]) * F.col("months_inactive_last_12m")
-         + F.lit(FIXED_SCORER["customer_age_mod_7"]) * F.pmod(F.col("customer_age"), F.lit(7))
-         + F.lit(FIXED_SCORER["total_relationship_count"]) * F.col("total_relationship_count"))
+    s = FIXED_SCORER
+    z100 = (F.lit(s["intercept"]).cast("bigint")
+            + F.lit(s["total_transaction_count"]) * F.col("total_transaction_count").cast("bigint")
+            + F.lit(s["months_inactive_last_12m"]) * F.col("months_inactive_last_12m").cast("bigint")
+            + F.lit(s["customer_age_mod_7"]) * F.pmod(F.col("customer_age"), F.lit(7)).cast("bigint")
+            + F.lit(s["total_relationship_count"]) * F.col("total_relationship_count").cast("bigint"))
+    z = z100.cast("double") / F.lit(100.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))

@@ -54,14 +54,14 @@ raw AS (
     CAST(p.n_priorities AS INTEGER) AS total_relationship_count,
     CAST(least(12, floor(date_diff('day', CAST(p.last_order AS DATE), DATE '{CUTOFF}') / 30.0)) AS INTEGER) AS months_inactive_12_mon,
     CAST(coalesce(e.contacts, 0) AS INTEGER) AS contacts_count_12_mon,
-    1000.0::DOUBLE + 3.0::DOUBLE * abs(c.c_acctbal) AS credit_limit,
-    greatest(c.c_acctbal, 0.0::DOUBLE) AS total_revolving_bal,
-    (1000.0::DOUBLE + 3.0::DOUBLE * abs(c.c_acctbal)) - greatest(c.c_acctbal, 0.0::DOUBLE) AS avg_open_to_buy,
+    CAST(1000 + 3 * abs(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS credit_limit,
+    CAST(greatest(CAST(c.c_acctbal AS DECIMAL(18,2)), 0) AS DOUBLE) AS total_revolving_bal,
+    CAST(1000 + 3 * abs(CAST(c.c_acctbal AS DECIMAL(18,2))) - greatest(CAST(c.c_acctbal AS DECIMAL(18,2)), 0) AS DOUBLE) AS avg_open_to_buy,
     CAST(p.q4_amt AS DOUBLE) / nullif(CAST(p.q1_amt AS DOUBLE), 0.0) AS total_amt_chng_q4_q1,
     CAST(p.amt AS DOUBLE) AS total_trans_amt,
     CAST(p.n AS INTEGER) AS total_trans_ct,
     CAST(p.q4_ct AS DOUBLE) / nullif(CAST(p.q1_ct AS DOUBLE), 0) AS total_ct_chng_q4_q1,
-    greatest(c.c_acctbal, 0.0::DOUBLE) / (1000.0::DOUBLE + 3.0::DOUBLE * abs(c.c_acctbal)) AS avg_utilization_ratio,
+    CAST(greatest(CAST(c.c_acctbal AS DECIMAL(18,2)), 0) AS DOUBLE) / CAST(1000 + 3 * abs(CAST(c.c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS avg_utilization_ratio,
     CASE WHEN p.n_after = 0 THEN 0.99 ELSE 0.01 END::DOUBLE AS naive_bayes_classifier_attrition_flag_1,
     CASE WHEN p.n_after = 0 THEN 0.01 ELSE 0.99 END::DOUBLE AS naive_bayes_classifier_attrition_flag_2
   FROM customer c
@@ -101,10 +101,11 @@ mart AS (
 )"""
 
 _S = FIXED_SCORER
-PROB = (f"1.0 / (1.0 + exp(-({_S['intercept']} + ({_S['total_transaction_count']}) * total_transaction_count"
-        f" + {_S['months_inactive_last_12m']} * months_inactive_last_12m"
-        f" + {_S['customer_age_mod_7']} * (customer_age % 7)"
-        f" + ({_S['total_relationship_count']}) * total_relationship_count)))")
+Z100 = (f"(CAST({_S['intercept']} AS BIGINT) + ({_S['total_transaction_count']}) * CAST(total_transaction_count AS BIGINT)"
+        f" + ({_S['months_inactive_last_12m']}) * CAST(months_inactive_last_12m AS BIGINT)"
+        f" + ({_S['customer_age_mod_7']}) * CAST(customer_age % 7 AS BIGINT)"
+        f" + ({_S['total_relationship_count']}) * CAST(total_relationship_count AS BIGINT))")
+PROB = f"1.0::DOUBLE / (1.0::DOUBLE + exp(-(CAST({Z100} AS DOUBLE) / 100.0::DOUBLE)))"
 
 SCORED = f"""
 probs AS (SELECT customer_id, {PROB} AS churn_probability FROM mart),

@@ -108,8 +108,13 @@ def churn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     key = F.col("c_custkey")
     bal = F.col("c_acctbal")
-    credit_limit = F.lit(1000.0) + F.lit(3.0) * F.abs(bal)
-    revolving = F.greatest(bal, F.lit(0.0))
+    # Money in exact cents: balances carry two decimals, so DECIMAL(18,2)
+    # arithmetic is exact and the double it is cast to is engine-independent.
+    cents = bal.cast("decimal(18,2)")
+    credit_limit = (F.lit(1000).cast("decimal(18,2)") + F.lit(3) * F.abs(cents)).cast("double")
+    revolving = F.greatest(cents, F.lit(0).cast("decimal(18,2)")).cast("double")
+    open_to_buy = (F.lit(1000).cast("decimal(18,2)") + F.lit(3) * F.abs(cents)
+                   - F.greatest(cents, F.lit(0).cast("decimal(18,2)"))).cast("double")
     attrited = F.col("n_after") == 0
     marital = F.element_at(F.array(*[F.lit(m) for m in MARITAL_BY_KEY_MOD_4]),
                            (F.pmod(key, F.lit(4)) + 1).cast("int"))
@@ -133,7 +138,7 @@ def churn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("contacts"), F.lit(0)).cast("int").alias("contacts_count_12_mon"),
         credit_limit.alias("credit_limit"),
         revolving.alias("total_revolving_bal"),
-        (credit_limit - revolving).alias("avg_open_to_buy"),
+        open_to_buy.alias("avg_open_to_buy"),
         (F.col("q4_amt").cast("double") / F.nullif(F.col("q1_amt").cast("double"), F.lit(0.0)))
         .alias("total_amt_chng_q4_q1"),
         F.col("amt").cast("double").alias("total_trans_amt"),
