@@ -9,7 +9,7 @@ from churnlake.schemas import LABEL_CHURN, LABEL_NO_CHURN, RISK_BANDS
 
 __all__ = ["risk_band", "threshold_predict", "prediction_label", "band_ordinal",
            "hash_unit", "hash_bucket", "safe_text", "report_round", "f1_from",
-           "safe_div", "fixed_score"]
+           "safe_div", "fixed_score", "with_row"]
 
 
 def _col(c) -> Column:
@@ -101,3 +101,10 @@ def fixed_score() -> Column:
             + F.lit(s["total_relationship_count"]) * F.col("total_relationship_count").cast("bigint"))
     z = z100.cast("double") / F.lit(100.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def with_row(df, one_row):
+    """Attach the columns of a one-row DataFrame to every row of ``df`` as
+    one scalar subquery (evaluated once, no join)."""
+    s = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return df.select("*", *[s[c].alias(c) for c in one_row.columns])

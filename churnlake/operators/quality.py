@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnlake.functions.columns import with_row
 from churnlake.schemas import (ACCEPTED_LABELS, FEATURE_COLUMNS, INTEGER_FEATURES,
                                DOUBLE_FEATURES, LEAK_EXACT, LEAK_SUBSTRING, RISK_BANDS)
 
@@ -124,7 +125,7 @@ def ingestion_profile(raw: DataFrame, key: str = "client_num", label: str = "att
     )
     measures = ["rows", "columns", "unique_customers", "duplicate_customers", "total_nulls",
                 "target_values", "unexpected_target_values", "missing_target_values"]
-    return one.crossJoin(dom).unpivot([], measures, "measure", "value")
+    return with_row(one, dom).unpivot([], measures, "measure", "value")
 
 
 def lab_not_in(colname: str, values: list) -> F.Column:
@@ -206,7 +207,7 @@ def prediction_constraints(pred: DataFrame) -> DataFrame:
     dups = (pred.select("customer_id").filter(F.col("customer_id").isNotNull())
             .groupBy("customer_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("pk_duplicate")))
-    wide = checks.crossJoin(dups)
+    wide = with_row(checks, dups)
     return wide.unpivot([], ["pk_null", "pk_duplicate", "chk_churn_probability",
                              "chk_churn_prediction", "chk_risk_band"], "constraint_name", "violations")
 
@@ -236,7 +237,7 @@ def scoring_expectations(pred: DataFrame, expected_rows_from: DataFrame | None =
     names = [c for c in wide.columns if c != "rows"]
     if expected_rows_from is not None:
         exp = expected_rows_from.agg(F.count(F.lit(1)).alias("_expected"))
-        wide = wide.crossJoin(exp).withColumn(
+        wide = with_row(wide, exp).withColumn(
             "row_count_mismatch", F.abs(F.col("rows") - F.col("_expected")).cast("bigint"))
         names.append("row_count_mismatch")
     return wide.unpivot([], names, "expectation", "failures")

@@ -134,13 +134,14 @@ labelled AS (
 )"""
 
 SPLIT = """
-split AS (
-  SELECT m.*,
-    CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT % 10 AS INTEGER) AS split_bucket,
-    CASE WHEN CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT % 10 < 2 THEN 'test'
-         WHEN CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT % 10 < 4 THEN 'validation'
-         ELSE 'train' END AS split
+split_b AS (
+  SELECT m.*, CAST(CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT) % 10 AS INTEGER) AS split_bucket
   FROM mart m
+),
+split AS (
+  SELECT * EXCLUDE (split_bucket),
+    CASE WHEN split_bucket < 2 THEN 'test' WHEN split_bucket < 4 THEN 'validation' ELSE 'train' END AS split
+  FROM split_b
 )"""
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.functions.columns import prediction_label, threshold_predict
+from churnlake.functions.columns import prediction_label, threshold_predict, with_row
 from churnlake.plans.scoring import Scorer, fixed_scorer
 from churnlake.schemas import (DEFAULT_PREDICT_THRESHOLD, FEATURE_COLUMNS, MODEL_ALIAS,
                                MODEL_NAME, MODEL_VERSION, RISK_BANDS)
@@ -94,7 +94,7 @@ def customer_list_header(predictions: DataFrame, mart: DataFrame, risk_band: str
     page = customer_list(predictions, mart, risk_band, limit, offset)
     returned = page.agg(F.count(F.lit(1)).cast("bigint").alias("returned_count"))
     total = customer_list_total(predictions, risk_band)
-    return total.crossJoin(returned).select(
+    return with_row(total, returned).select(
         F.lit(risk_band).cast("string").alias("risk_band"), "total_matching", "returned_count",
         F.lit(limit).alias("limit"), F.lit(offset).alias("offset"))
 

@@ -1,3 +1,3 @@
 """Registered queries, grouped by area; importing registers them."""
 
-from churnlake.queries import foundation, quality, serving  # noqa: F401
+from churnlake.queries import foundation, metrics, quality, serving  # noqa: F401
