@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.functions.columns import f1_from, safe_div, with_row
+from churnlake.functions.columns import f1_from, safe_div
 from churnlake.operators.prefix import running_sums
 
 
@@ -27,19 +27,29 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "score", grou
                  F.sum(F.col(label).cast("bigint")).alias("tp")))
 
 
+def _grouped(df: DataFrame, group_cols):
+    """Metrics always run grouped; without groups a constant key ``_g`` keeps
+    every join an equi-join on a bounded table (no nested subqueries)."""
+    group_cols = list(group_cols)
+    if group_cols:
+        return df, group_cols, False
+    return df.withColumn("_g", F.lit(0)), ["_g"], True
+
+
 def pr_table(df: DataFrame, label: str = "label", score: str = "score", group_cols=(),
              buckets: int | None = None) -> DataFrame:
     """One row per (group, distinct score): counts at and above the score,
     precision, recall and F1 (NULL when precision + recall = 0)."""
-    group_cols = list(group_cols)
-    g = score_groups(df, label, score, group_cols)
-    totals = g.groupBy(*group_cols).agg(F.sum("tp").alias("positives"), F.sum("n").alias("total"))
-    cum = running_sums(g, "threshold", ["n", "tp"], group_cols, descending=True, buckets=buckets)
+    df, gcols, synthetic = _grouped(df, group_cols)
+    g = score_groups(df, label, score, gcols)
+    totals = g.groupBy(*gcols).agg(F.sum("tp").alias("positives"), F.sum("n").alias("total"))
+    cum = running_sums(g, "threshold", ["n", "tp"], gcols, descending=True, buckets=buckets)
     # totals has one row per group (bounded by the caller's group count).
-    j = cum.join(F.broadcast(totals), group_cols, "inner") if group_cols else with_row(cum, totals)
+    j = cum.join(F.broadcast(totals), gcols, "inner")
     precision = F.col("cum_tp") / F.col("cum_n")
     recall = safe_div("cum_tp", "positives")
-    return j.select(*group_cols, "threshold", "n", "tp", "cum_n", "cum_tp", "positives", "total",
+    out_groups = [] if synthetic else gcols
+    return j.select(*out_groups, "threshold", "n", "tp", "cum_n", "cum_tp", "positives", "total",
                     precision.alias("precision"), recall.alias("recall"),
                     f1_from(precision, recall).alias("f1"))
 
@@ -89,13 +99,14 @@ def evaluate_predictions(df: DataFrame, threshold=0.5, label: str = "label", sco
                          group_cols=(), model: str | None = None) -> DataFrame:
     """The 9-field metric row (model, threshold, roc_auc, average_precision,
     accuracy, balanced_accuracy, precision, recall, f1) per group."""
-    group_cols = list(group_cols)
-    rank = ranking_metrics(pr_table(df, label, score, group_cols), group_cols)
-    thr = threshold_metrics(confusion_counts(df, threshold, label, score, group_cols))
-    j = rank.join(thr, group_cols, "inner") if group_cols else with_row(rank, thr)
+    df, gcols, synthetic = _grouped(df, group_cols)
+    rank = ranking_metrics(pr_table(df, label, score, gcols), gcols)
+    thr = threshold_metrics(confusion_counts(df, threshold, label, score, gcols))
+    j = rank.join(thr, gcols, "inner")
     t = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
     head = [F.lit(model).alias("model")] if model is not None else []
-    return j.select(*head, *group_cols, t.cast("double").alias("threshold"), "roc_auc",
+    out_groups = [] if synthetic else gcols
+    return j.select(*head, *out_groups, t.cast("double").alias("threshold"), "roc_auc",
                     "average_precision", "accuracy", "balanced_accuracy", "precision", "recall", "f1")
 
 
