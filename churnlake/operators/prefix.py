@@ -31,6 +31,14 @@ def default_buckets(df: DataFrame) -> int:
     return max(1, min(MAX_BUCKETS, 2 * n))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (one upstream computation serves the boundary pass and the main pass)."""
+    from churnlake.session import shared_dir
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def bucket_boundaries(df: DataFrame, order_col: str, buckets: int) -> list[float]:
     if buckets <= 1:
         return []
@@ -58,6 +66,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     order (per group)."""
     group_cols = list(group_cols)
     if bounds is None:
+        df = materialize(df)
         bounds = bucket_boundaries(df, order_col, buckets or default_buckets(df))
     b = df.withColumn("_bucket", bucket_expr(order_col, bounds, descending))
     totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
@@ -82,7 +91,7 @@ def dense_positions(df: DataFrame, order_cols: list[str], group_cols=(), bucket_
     position is running count of rows."""
     if bucket_col is None:
         raise ValueError("dense_positions needs a numeric column monotone in the order")
-    counted = df.withColumn("_one", F.lit(1))
+    counted = materialize(df)
     group_cols = list(group_cols)
     bounds = bucket_boundaries(counted, bucket_col, buckets or default_buckets(df))
     b = counted.withColumn("_bucket", bucket_expr(bucket_col, bounds, descending=False))

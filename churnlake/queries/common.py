@@ -1,7 +1,16 @@
-"""Shared inputs for registered queries (all derived from the given tables)."""
+"""Shared inputs for registered queries (all derived from the given tables).
+
+Layers are registered once per session and scale directory as temporary
+views (the Spark form of the source system's staging views): later
+queries reuse the analysed plan instead of rebuilding it through hundreds
+of driver round-trips. Views hold no data; every query still scans the
+tables in full.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlake.oracle import SCORED_AT
@@ -10,18 +19,27 @@ from churnlake.plans.scoring import score_portfolio
 from churnlake.sources.fixture import churn_raw
 
 
+def _view(spark: SparkSession, sf: str, layer: str, build) -> DataFrame:
+    tag = hashlib.md5(sf.rstrip("/").encode()).hexdigest()[:10]
+    name = f"churnlake_{layer}_{tag}"
+    if not spark.catalog.tableExists(name):
+        build().createOrReplaceTempView(name)
+    return spark.table(name)
+
+
 def raw_df(spark: SparkSession, sf: str) -> DataFrame:
-    return churn_raw(spark, sf)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _view(spark, sf, "raw", lambda: churn_raw(spark, sf))
 
 
 def staging_df(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(churn_raw(spark, sf))
+    return _view(spark, sf, "staging", lambda: stage(raw_df(spark, sf)))
 
 
 def mart_df(spark: SparkSession, sf: str) -> DataFrame:
-    return mart(stage(churn_raw(spark, sf)))
+    return _view(spark, sf, "mart", lambda: mart(staging_df(spark, sf)))
 
 
 def predictions_df(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-scorer portfolio scoring with a fixed batch instant."""
-    return score_portfolio(mart_df(spark, sf), scored_at=SCORED_AT)
+    return _view(spark, sf, "predictions", lambda: score_portfolio(mart_df(spark, sf), scored_at=SCORED_AT))
