@@ -39,6 +39,9 @@ class Preprocessor:
         self.numeric, self.categorical = list(numeric), list(categorical)
 
     def fit(self, train: DataFrame) -> "Preprocessor":
+        from churnlake.operators.prefix import materialize
+        # several statistics passes read the training rows: materialise once.
+        train = materialize(train.select(*self.numeric, *self.categorical))
         self.imputer = FT.fit_imputer(train, self.numeric, self.categorical)
         imputed = FT.apply_imputer(train.select(*self.numeric, *self.categorical), self.imputer)
         self.scaler = FT.fit_scaler(imputed, self.numeric)

@@ -23,9 +23,11 @@ def labelled(spark, sf):
 
 
 def labelled_split(spark, sf):
-    m = S.hash_split(mart_df(spark, sf))
-    return S.labelled_scores(m.select("customer_id", "churn_flag")).join(
-        m.select("customer_id", "split"), "customer_id")
+    """(customer_id, label, score, split): narrow, checkpointed once because
+    split-wise reports read it several times."""
+    from churnlake.operators.prefix import materialize
+    m = S.hash_split(mart_df(spark, sf).select("customer_id", "churn_flag"))
+    return materialize(S.labelled_scores(m).join(m.select("customer_id", "split"), "customer_id"))
 
 
 # --- SQL building blocks ---------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from churnlake.operators import quality as Q
 from churnlake.oracle import CHAIN, SCORED, sql
 from churnlake.plans.layers import mart, stage
-from churnlake.queries.common import mart_df, predictions_df, raw_df
+from churnlake.queries.common import mart_df, predictions_df, raw_df, staging_df
 from churnlake.registry import register
 from churnlake.schemas import ACCEPTED_LABELS, FEATURE_COLUMNS, MART_WIDTH, RAW_SCHEMA
 
@@ -15,9 +15,8 @@ _REL = {"raw": "raw", "staging": "stg", "mart": "mart"}
 
 
 def _layers(spark, sf):
-    raw = raw_df(spark, sf)
-    stg = stage(raw)
-    return {"raw": raw, "staging": stg, "mart": mart(stg)}
+    """raw and staging views, and the materialised mart table."""
+    return {"raw": raw_df(spark, sf), "staging": staging_df(spark, sf), "mart": mart_df(spark, sf)}
 
 
 def _nn_sql():

@@ -60,7 +60,8 @@ def staging_view(spark, sf):
 
 @register("mart_materialise", sql(*CHAIN, body="SELECT * FROM mart"))
 def mart_materialise(spark, sf):
-    path = files.write_parquet(mart_df(spark, sf), new_table_path(spark, "mart"), mode="overwrite")
+    from churnlake.plans.layers import mart
+    path = files.write_parquet(mart(staging_df(spark, sf)), new_table_path(spark, "mart"), mode="overwrite")
     return files.read_parquet(spark, path).select(*MART_COLUMNS)
 
 

@@ -103,7 +103,8 @@ def model_prior(spark, sf):
 # --- feature preparation -----------------------------------------------------
 
 def _train(spark, sf):
-    return S.hash_split(mart_df(spark, sf)).filter(F.col("split") == "train")
+    from churnlake.operators.prefix import materialize
+    return materialize(S.hash_split(mart_df(spark, sf)).filter(F.col("split") == "train"))
 
 
 @register("impute_median", sql(*CHAIN, SPLIT, body="\nUNION ALL\n".join(
@@ -137,7 +138,7 @@ st AS (SELECT {st} FROM imp WHERE split = 'train')""", body=f"SELECT customer_id
 @register("standard_scale", _scale_sql())
 def standard_scale(spark, sf):
     s = S.hash_split(mart_df(spark, sf))
-    train = s.filter(F.col("split") == "train")
+    train = _train(spark, sf)
     imp = FT.fit_imputer(train, NUMERIC_FEATURES, [])
     params = FT.fit_scaler(FT.apply_imputer(train.select(*NUMERIC_FEATURES), imp), NUMERIC_FEATURES)
     scaled = FT.apply_scaler(FT.apply_imputer(s.select("customer_id", *NUMERIC_FEATURES), imp), params)
