@@ -70,7 +70,8 @@ def learner_definitions(n_train: int) -> dict:
     """The reference's learner set re-aimed at Spark ML (fixed parameters)."""
     return {
         "logistic_regression": lambda: LogisticRegression(
-            maxIter=2000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False),
+            maxIter=2000, tol=1e-4, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+            standardization=False),
         "gaussian_nb": lambda: NaiveBayes(modelType="gaussian"),
         "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=20, seed=42),
         "random_forest": lambda: RandomForestClassifier(
