@@ -59,10 +59,11 @@ def ranking_metrics(pr: DataFrame, group_cols=()) -> DataFrame:
     neg = F.col("n") - F.col("tp")
     above = F.col("cum_tp") - F.col("tp")
     auc_term = neg * (above + F.col("tp") / F.lit(2.0))
-    ap_term = F.col("tp") / F.col("positives") * F.col("precision")
+    # undefined (NULL) when a group has no positives or no negatives
+    ap_term = F.col("tp") / F.nullif(F.col("positives"), F.lit(0)) * F.col("precision")
+    pairs = F.first("positives") * (F.first("total") - F.first("positives"))
     return pr.groupBy(*group_cols).agg(
-        (F.sum(auc_term) / (F.first("positives") * (F.first("total") - F.first("positives"))))
-        .alias("roc_auc"),
+        (F.sum(auc_term) / F.nullif(pairs, F.lit(0))).alias("roc_auc"),
         F.sum(ap_term).alias("average_precision"))
 
 

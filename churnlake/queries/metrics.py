@@ -54,8 +54,8 @@ def _rank_cte(pr: str = "pr", group: str | None = None, name: str = "rk") -> str
     gb = f" GROUP BY {group}" if group else ""
     return f"""
 {name} AS (
-  SELECT {g}sum((n - tp) * ((cum_tp - tp) + tp / 2.0)) / (max(positives) * (max(total) - max(positives))) AS roc_auc,
-    sum(CAST(tp AS DOUBLE) / positives * precision) AS average_precision
+  SELECT {g}sum((n - tp) * ((cum_tp - tp) + tp / 2.0)) / nullif(max(positives) * (max(total) - max(positives)), 0) AS roc_auc,
+    sum(CAST(tp AS DOUBLE) / nullif(positives, 0) * precision) AS average_precision
   FROM {pr}{gb})"""
 
 

@@ -265,12 +265,12 @@ cg AS (SELECT version, score AS threshold, count(*) AS n, sum(label) AS tp FROM
 cp AS (SELECT version, tp, CAST(sum(tp) OVER (PARTITION BY version ORDER BY threshold DESC) AS DOUBLE)
           / sum(n) OVER (PARTITION BY version ORDER BY threshold DESC) AS precision,
         sum(tp) OVER (PARTITION BY version) AS positives FROM cg),
-ap AS (SELECT version, sum(CAST(tp AS DOUBLE) / positives * precision) AS average_precision FROM cp GROUP BY version)"""
+ap AS (SELECT version, sum(CAST(tp AS DOUBLE) / nullif(positives, 0) * precision) AS average_precision FROM cp GROUP BY version)"""
 
 
 @register("latest_version", sql(*CHAIN, SCORED, _CANDIDATES, body="""
 SELECT 'churn-scorer' AS model_name, CAST(max(version) AS INTEGER) AS latest_version,
-  CAST((SELECT version FROM ap ORDER BY round(average_precision, 9) DESC, version DESC LIMIT 1) AS INTEGER) AS champion_version
+  CAST((SELECT version FROM ap ORDER BY round(average_precision, 9) DESC NULLS LAST, version DESC LIMIT 1) AS INTEGER) AS champion_version
 FROM ap"""))
 def latest_version(spark, sf):
     """One candidate version per hash bucket of customers ('1'..'10', text),
