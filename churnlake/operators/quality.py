@@ -296,3 +296,16 @@ def contract_check(records: DataFrame, text_col: str = "record", id_col: str = "
         F.col(id_col), (F.size("_r") == 0).alias("is_valid"),
         F.size("_r").alias("n_reasons"), F.array_join("_r", ";").alias("reasons"),
         *FEATURE_COLUMNS)
+
+
+def domain_comparison(spark: SparkSession, values: DataFrame, expected: list, name: str) -> DataFrame:
+    """Set comparison of a column's distinct values with an expected domain:
+    unexpected (observed minus expected) and missing (expected minus
+    observed). Equality = both zero; subset = no unexpected values."""
+    col = values.columns[0]
+    observed = values.select(F.col(col).alias("v")).distinct()
+    exp = spark.createDataFrame([(e,) for e in expected], T.StructType(
+        [T.StructField("v", values.schema[col].dataType)]))
+    unexpected = observed.subtract(exp).agg(F.count(F.lit(1)).cast("bigint").alias("unexpected_values"))
+    missing = exp.subtract(observed).agg(F.count(F.lit(1)).cast("bigint").alias("missing_values"))
+    return with_row(unexpected, missing).select(F.lit(name).alias("domain"), "unexpected_values", "missing_values")

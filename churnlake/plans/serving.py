@@ -8,7 +8,7 @@ or the whole portfolio.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.functions.columns import prediction_label, threshold_predict, with_row
@@ -77,7 +77,9 @@ def customer_list_after(predictions: DataFrame, mart: DataFrame, after_probabili
     order, so a deep page costs a top-``limit`` and not ``limit + offset``."""
     _check_page(risk_band, limit, 0)
     p, cid = F.col("churn_probability"), F.col("customer_id")
-    after = (p < F.lit(after_probability)) | ((p == F.lit(after_probability)) & (cid > F.lit(after_customer_id)))
+    ap = after_probability if isinstance(after_probability, Column) else F.lit(after_probability)
+    aid = after_customer_id if isinstance(after_customer_id, Column) else F.lit(after_customer_id)
+    after = (p < ap) | ((p == ap) & (cid > aid))
     preds = _band_filter(predictions, risk_band).filter(after)
     return customer_list(preds, mart, None, limit, 0)
 

@@ -201,3 +201,37 @@ def contract_quarantine(spark, sf):
         F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("record_id"),
         F.col("props").alias("record"))
     return Q.contract_check(recs.unionByName(ev)).select("record_id", "is_valid", "n_reasons", "reasons")
+
+
+@register("dq_domain_equality", sql(*CHAIN, SCORED, body="""
+SELECT 'attrition_flag' AS domain,
+  CAST((SELECT count(*) FROM (SELECT DISTINCT attrition_flag FROM raw EXCEPT SELECT * FROM (VALUES ('Existing Customer'), ('Attrited Customer')))) AS BIGINT) AS unexpected_values,
+  CAST((SELECT count(*) FROM (SELECT * FROM (VALUES ('Existing Customer'), ('Attrited Customer')) EXCEPT SELECT DISTINCT attrition_flag FROM raw)) AS BIGINT) AS missing_values
+UNION ALL
+SELECT 'risk_band',
+  CAST((SELECT count(*) FROM (SELECT DISTINCT risk_band FROM scored EXCEPT SELECT * FROM (VALUES ('Low'), ('Medium'), ('High')))) AS BIGINT),
+  CAST((SELECT count(*) FROM (SELECT * FROM (VALUES ('Low'), ('Medium'), ('High')) EXCEPT SELECT DISTINCT risk_band FROM scored)) AS BIGINT)"""))
+def dq_domain_equality(spark, sf):
+    from churnlake.schemas import RISK_BANDS
+    out = None
+    for name, df, col, expected in [("attrition_flag", raw_df(spark, sf), "attrition_flag", ACCEPTED_LABELS),
+                                    ("risk_band", predictions_df(spark, sf), "risk_band", RISK_BANDS)]:
+        row = Q.domain_comparison(spark, df.select(col), expected, name)
+        out = row if out is None else out.unionByName(row)
+    return out.select("domain", "unexpected_values", "missing_values")
+
+
+@register("dq_portfolio", sql(*CHAIN, SCORED, body="""
+SELECT count(*) FILTER (WHERE risk_band = 'Low') + count(*) FILTER (WHERE risk_band = 'Medium')
+         + count(*) FILTER (WHERE risk_band = 'High') = count(*) AS bands_sum_to_total,
+       min(model_version) = max(model_version) AS single_model_version,
+       count(*) FILTER (WHERE risk_band = 'High') = coalesce(sum(churn_prediction), 0) AS high_equals_predicted
+FROM scored"""))
+def dq_portfolio(spark, sf):
+    from churnlake.plans.serving import portfolio_summary
+    s = portfolio_summary(predictions_df(spark, sf))
+    return s.select(
+        ((F.col("low_risk_customers") + F.col("medium_risk_customers") + F.col("high_risk_customers"))
+         == F.col("total_customers")).alias("bands_sum_to_total"),
+        (F.col("minimum_model_version") == F.col("maximum_model_version")).alias("single_model_version"),
+        (F.col("high_risk_customers") == F.col("predicted_churn_customers")).alias("high_equals_predicted"))

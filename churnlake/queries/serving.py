@@ -175,3 +175,15 @@ FROM scored"""))
 def predict_batch(spark, sf):
     records = mart_df(spark, sf).select(F.col("customer_id").alias("record_id"), *_FEATS.split(", "))
     return V.predict_batch(records)
+
+
+@register("customer_list_keyset", sql(*CHAIN, SCORED, body=_LIST_SQL.format(
+    where="WHERE s.risk_band = 'High'", limit=10, offset=10)))
+def customer_list_keyset(spark, sf):
+    """Second High page through the keyset cursor (last row of page one)."""
+    preds, m = predictions_df(spark, sf), mart_df(spark, sf)
+    first = V.customer_list(preds, m, "High", 10, 0)
+    last = (first.orderBy(F.col("churn_probability").asc(), F.col("customer_id").desc()).limit(1)
+            .select(F.struct("churn_probability", "customer_id").alias("c")).scalar())
+    page = V.customer_list_after(preds, m, last["churn_probability"], last["customer_id"], "High", 10)
+    return round_doubles(page)

@@ -162,3 +162,27 @@ FROM lng l LEFT JOIN cats c ON c.column_name = l.column_name AND c.category = l.
 def one_hot(spark, sf):
     s = S.hash_split(mart_df(spark, sf))
     return FT.category_index(s.filter(F.col("split") == "train"), s, CATEGORICAL_FEATURES)
+
+
+@register("dq_thresholds", sql(*CHAIN, LABELLED, SPLIT, _LS, """
+lv AS (SELECT * FROM ls WHERE split = 'validation')""", _pr_cte("lv", None, "pr"), _BEST_F1, _WATCH, body="""
+SELECT (SELECT threshold FROM watch) AS watchlist_threshold, (SELECT threshold FROM best) AS classification_threshold,
+  (SELECT threshold FROM watch) > 0 AS watchlist_positive,
+  (SELECT threshold FROM watch) < (SELECT threshold FROM best) AS watchlist_below_classification,
+  (SELECT threshold FROM best) < 1 AS classification_below_one,
+  (SELECT CAST(count(*) AS BIGINT) FROM ls WHERE split IN ('train', 'validation')) AS development_rows"""))
+def dq_thresholds(spark, sf):
+    from churnlake.functions.columns import with_row
+    from churnlake.operators.quality import threshold_expectations
+    ls = labelled_split(spark, sf)
+    pr = M.pr_table(ls.filter(F.col("split") == "validation"))
+    t = with_row(M.best_f1_threshold(pr).select(F.col("threshold").alias("classification_threshold")),
+                 M.watchlist_threshold(pr, WATCHLIST_MIN_PRECISION).select(
+                     F.col("threshold").alias("watchlist_threshold")))
+    # best-F1 always exists on a non-empty split; the watchlist one may not
+    checks = threshold_expectations(t)
+    dev = ls.filter(F.col("split").isin("train", "validation")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("development_rows"))
+    return with_row(with_row(t, checks), dev).select(
+        "watchlist_threshold", "classification_threshold", "watchlist_positive",
+        "watchlist_below_classification", "classification_below_one", "development_rows")
