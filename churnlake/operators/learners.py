@@ -31,40 +31,62 @@ def prior_scores(train: DataFrame, target: DataFrame, label: str = "churn_flag")
     return target.select("customer_id", F.col(label).alias("label"), prior.alias("score"))
 
 
+def _dbl(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+def _txt(v: str) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Preprocessor:
-    """Fit on the training frame, then transform any frame to a
-    ``features`` vector (plus customer_id and label)."""
+    """Fit on the training frame; the fitted preparation is a Spark ML
+    ``PipelineModel`` (a ``SQLTransformer`` carrying the fitted medians,
+    modes, means and population stds as literals, then StringIndexer /
+    OneHotEncoder / VectorAssembler), so preprocessing + classifier save and
+    load as one model."""
 
     def __init__(self, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES):
         self.numeric, self.categorical = list(numeric), list(categorical)
 
     def fit(self, train: DataFrame) -> "Preprocessor":
+        from pyspark.ml.feature import SQLTransformer
         from churnlake.operators.prefix import materialize
         # several statistics passes read the training rows: materialise once.
-        train = materialize(train.select(*self.numeric, *self.categorical))
-        self.imputer = FT.fit_imputer(train, self.numeric, self.categorical)
-        imputed = FT.apply_imputer(train.select(*self.numeric, *self.categorical), self.imputer)
+        rows = materialize(train.select(*self.numeric, *self.categorical))
+        self.imputer = FT.fit_imputer(rows, self.numeric, self.categorical)
+        imputed = FT.apply_imputer(rows, self.imputer)
         self.scaler = FT.fit_scaler(imputed, self.numeric)
-        stages = []
-        onehot_cols = []
+        exprs = []
+        for c in self.numeric:
+            mean, std = self.scaler[c]
+            med = self.imputer["median"][c]
+            exprs.append(f"(coalesce(CAST(`{c}` AS DOUBLE), {_dbl(med)}) - {_dbl(mean)}) / "
+                         f"{_dbl(std if std else 1.0)} AS `{c}__prep`")
         for c in self.categorical:
-            stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
+            exprs.append(f"coalesce(`{c}`, {_txt(self.imputer['mode'][c])}) AS `{c}__prep`")
+        stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
+        onehot_cols = [f"{c}__oh" for c in self.categorical]
+        for c in self.categorical:
+            stages.append(StringIndexer(inputCol=f"{c}__prep", outputCol=f"{c}__idx", handleInvalid="keep",
                                         stringOrderType="alphabetAsc"))
-            onehot_cols.append(f"{c}__oh")
         if self.categorical:
             stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in self.categorical],
                                         outputCols=onehot_cols, dropLast=True, handleInvalid="keep"))
-        stages.append(VectorAssembler(inputCols=self.numeric + onehot_cols, outputCol="features"))
-        self.pipeline = Pipeline(stages=stages).fit(self._prepare(train))
+        stages.append(VectorAssembler(inputCols=[f"{c}__prep" for c in self.numeric] + onehot_cols,
+                                      outputCol="features"))
+        self.pipeline = Pipeline(stages=stages).fit(train)
         return self
 
-    def _prepare(self, df: DataFrame) -> DataFrame:
-        return FT.apply_scaler(FT.apply_imputer(df, self.imputer), self.scaler)
-
     def transform(self, df: DataFrame, label: str = "churn_flag") -> DataFrame:
-        out = self.pipeline.transform(self._prepare(df))
+        out = self.pipeline.transform(df)
         return out.select("customer_id", F.col(label).cast("double").alias("label"), "features")
 
+    def with_model(self, model):
+        """Preprocessing + a fitted classifier as one PipelineModel."""
+        from pyspark.ml import PipelineModel
+        return PipelineModel(stages=list(self.pipeline.stages) + [model])
+
 
 def learner_definitions(n_train: int) -> dict:
     """The reference's learner set re-aimed at Spark ML (fixed parameters)."""

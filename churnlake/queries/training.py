@@ -186,3 +186,50 @@ def dq_thresholds(spark, sf):
     return with_row(with_row(t, checks), dev).select(
         "watchlist_threshold", "classification_threshold", "watchlist_positive",
         "watchlist_below_classification", "classification_below_one", "development_rows")
+
+
+def _importance_sql(repeats: int = 10, seed: int = 42):
+    from churnlake.oracle import PROB
+    from churnlake.schemas import DOUBLE_FEATURES, FEATURE_COLUMNS
+    feats = FEATURE_COLUMNS
+    ints = [f for f in feats if f not in CATEGORICAL_FEATURES and f not in DOUBLE_FEATURES]
+
+    def case(kinds, cast):
+        return "CASE fk.feature " + " ".join(f"WHEN '{f}' THEN {cast.format(f'v.{f}')}" for f in kinds) + " END"
+    hb = f"CAST(('0x' || substr(md5('perm-base:{seed}:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT)"
+    hp = (f"CAST(('0x' || substr(md5('perm:{seed}:' || fk.feature || ':' || CAST(fk.rep AS VARCHAR) || ':' "
+          f"|| CAST(v.customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT)")
+    repl = []
+    for f in feats:
+        src, typ = (("value_string", "VARCHAR") if f in CATEGORICAL_FEATURES else
+                    ("value_double", "DOUBLE") if f in DOUBLE_FEATURES else ("value_long", "INTEGER"))
+        repl.append(f"CASE WHEN d.feature = '{f}' THEN CAST(d.{src} AS {typ}) ELSE b.{f} END AS {f}")
+    names = ", ".join(f"('{f}')" for f in feats)
+    ctes = f"""
+v AS (SELECT customer_id, churn_flag AS label, {", ".join(feats)} FROM split WHERE split = 'validation'),
+base AS (SELECT *, row_number() OVER (ORDER BY {hb}, customer_id) AS position FROM v),
+fk AS (SELECT f.feature, r.rep FROM (VALUES {names}) f(feature) CROSS JOIN (SELECT range AS rep FROM range({repeats})) r),
+don AS (
+  SELECT fk.feature, fk.rep, {case(ints, 'CAST({} AS BIGINT)')} AS value_long,
+    {case(DOUBLE_FEATURES, '{}')} AS value_double, {case(CATEGORICAL_FEATURES, '{}')} AS value_string,
+    row_number() OVER (PARTITION BY fk.feature, fk.rep ORDER BY {hp}, v.customer_id) AS position
+  FROM v CROSS JOIN fk),
+perm AS (SELECT d.feature, d.rep, b.label, {", ".join(repl)} FROM base b JOIN don d ON d.position = b.position),
+ps AS (SELECT feature, rep, label, {PROB} AS score FROM perm),
+bs AS (SELECT label, {PROB} AS score FROM v)"""
+    return sql(*CHAIN, SPLIT, ctes, _pr_cte("ps", "feature, rep", "pp"), _rank_cte("pp_f", "feature, rep", "prk"),
+               _pr_cte("bs", None, "bp"), _rank_cte("bp_f", None, "brk"), body="""
+SELECT r.feature, round(avg(b.average_precision - r.average_precision), 6) + 0.0 AS importance_mean,
+  round(stddev_pop(b.average_precision - r.average_precision), 6) + 0.0 AS importance_std
+FROM prk r, brk b GROUP BY r.feature""")
+
+
+@register("permutation_importance", _importance_sql())
+def permutation_importance(spark, sf):
+    from churnlake.functions.columns import fixed_score
+    from churnlake.operators.importance import permutation_importance as pi
+    from churnlake.schemas import FEATURE_COLUMNS
+    val = S.hash_split(mart_df(spark, sf)).filter(F.col("split") == "validation")
+    imp = pi(val, fixed_score(), FEATURE_COLUMNS, repeats=10, seed=42)
+    return imp.select("feature", (F.round("importance_mean", 6) + F.lit(0.0)).alias("importance_mean"),
+                      (F.round("importance_std", 6) + F.lit(0.0)).alias("importance_std"))
