@@ -233,3 +233,62 @@ def permutation_importance(spark, sf):
     imp = pi(val, fixed_score(), FEATURE_COLUMNS, repeats=10, seed=42)
     return imp.select("feature", (F.round("importance_mean", 6) + F.lit(0.0)).alias("importance_mean"),
                       (F.round("importance_std", 6) + F.lit(0.0)).alias("importance_std"))
+
+
+def _gnb_sql():
+    nums, cats = NUMERIC_FEATURES, CATEGORICAL_FEATURES
+    med = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}" for c in nums)
+    mode = ", ".join(
+        f"(SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS o_{c}"
+        for c in cats)
+    imp_cols = lambda src: ", ".join(
+        [f"coalesce(CAST({src}.{c} AS DOUBLE), md.m_{c}) AS {c}" for c in nums]
+        + [f"coalesce({src}.{c}, mo.o_{c}) AS {c}" for c in cats])
+    st = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in nums)
+    num_long = lambda src: "\n  UNION ALL\n  ".join(
+        f"SELECT customer_id, label, '{c}' AS feature, ({c} - st.mu_{c}) / coalesce(nullif(st.sd_{c}, 0), 1.0) AS x "
+        f"FROM {src}, st" for c in nums)
+    cat_unpivot = lambda src: "\n  UNION ALL\n  ".join(
+        f"SELECT customer_id, label, '{c}' AS column_name, {c} AS value FROM {src}" for c in cats)
+    ctes = f"""
+tr AS (SELECT customer_id, churn_flag AS label, * EXCLUDE (customer_id, churn_flag) FROM split WHERE split = 'train'),
+va AS (SELECT customer_id, churn_flag AS label, * EXCLUDE (customer_id, churn_flag) FROM split WHERE split = 'validation'),
+md AS (SELECT {med} FROM tr),
+mo AS (SELECT {mode}),
+itr AS (SELECT t.customer_id, t.label, {imp_cols('t')} FROM tr t, md, mo),
+iva AS (SELECT v.customer_id, v.label, {imp_cols('v')} FROM va v, md, mo),
+st AS (SELECT {st} FROM itr),
+catv AS (SELECT DISTINCT column_name, value AS category FROM ({cat_unpivot('itr')})),
+ltr AS (
+  {num_long('itr')}
+  UNION ALL
+  SELECT u.customer_id, u.label, c.column_name || '=' || c.category AS feature,
+    CASE WHEN u.value = c.category THEN 1.0 ELSE 0.0 END AS x
+  FROM ({cat_unpivot('itr')}) u JOIN catv c ON c.column_name = u.column_name),
+lva AS (
+  {num_long('iva')}
+  UNION ALL
+  SELECT u.customer_id, u.label, c.column_name || '=' || c.category AS feature,
+    CASE WHEN u.value = c.category THEN 1.0 ELSE 0.0 END AS x
+  FROM ({cat_unpivot('iva')}) u JOIN catv c ON c.column_name = u.column_name),
+eps AS (SELECT 1e-9 * max(v) AS e FROM (SELECT feature, var_pop(x) AS v FROM ltr GROUP BY feature)),
+prm AS (SELECT label AS cls, feature, avg(x) AS mean, var_pop(x) + (SELECT e FROM eps) AS var FROM ltr GROUP BY label, feature),
+pri AS (SELECT label AS cls, ln(count(*) / (SELECT count(*) FROM tr)) AS lp FROM tr GROUP BY label),
+jll AS (
+  SELECT l.customer_id, p.cls, sum(-0.5 * ln(2.0 * pi() * p.var) - (l.x - p.mean) * (l.x - p.mean) / (2.0 * p.var)) AS s
+  FROM lva l JOIN prm p ON p.feature = l.feature GROUP BY l.customer_id, p.cls),
+j AS (
+  SELECT v.customer_id, v.label,
+    max(CASE WHEN j.cls = 0 THEN j.s + pr.lp END) AS j0, max(CASE WHEN j.cls = 1 THEN j.s + pr.lp END) AS j1
+  FROM va v JOIN jll j ON j.customer_id = v.customer_id JOIN pri pr ON pr.cls = j.cls
+  GROUP BY v.customer_id, v.label)"""
+    return sql(*CHAIN, SPLIT, ctes, body="""
+SELECT customer_id, label, round(1.0 / (1.0 + exp(j0 - j1)), 6) AS score, CAST(j1 > j0 AS INTEGER) AS prediction FROM j""")
+
+
+@register("model_gaussian_nb", _gnb_sql())
+def model_gaussian_nb(spark, sf):
+    from churnlake.operators import naive_bayes as NB
+    s = S.hash_split(mart_df(spark, sf))
+    model = NB.fit(s.filter(F.col("split") == "train"))
+    return round_doubles(NB.predict(model, s.filter(F.col("split") == "validation")))
