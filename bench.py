@@ -22,7 +22,8 @@ HEADLINE = [
     "batch_scoring", "portfolio_summary", "risk_summary", "customer_list_high", "customer_details",
     "rescore_compare", "prediction_snapshot", "pr_curve", "evaluate_predictions",
     "threshold_best_f1", "final_test_report", "cv_summary", "kfold_assign", "standard_scale",
-    "contract_quarantine", "model_logistic",
+    "contract_quarantine", "model_logistic", "mart_materialise", "model_gaussian_nb",
+    "permutation_importance",
 ]
 
 

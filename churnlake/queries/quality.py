@@ -143,17 +143,37 @@ def dq_scoring(spark, sf):
                                   model_version=3, model_alias="champion")
 
 
-@register("mart_columns")
+def _describe_mart(body: str) -> str:
+    from churnlake.oracle import MART, RAW, STG
+    inner = "WITH " + ",".join((RAW, STG, MART)) + " SELECT * FROM mart"
+    return f"""
+WITH cols AS (
+  SELECT CAST(row_number() OVER () AS INTEGER) AS ordinal, column_name,
+    CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+      WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS data_type,
+    column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AS is_numeric
+  FROM (DESCRIBE ({inner})))
+{body}"""
+
+
+@register("mart_columns", _describe_mart("SELECT ordinal, column_name FROM cols"))
 def mart_columns(spark, sf):
     return Q.column_catalogue(spark, mart_df(spark, sf)).select("ordinal", "column_name")
 
 
-@register("leakage_audit")
+@register("leakage_audit", _describe_mart("""
+SELECT CAST(count(*) AS BIGINT) AS column_count,
+  CAST(count(*) FILTER (WHERE contains(lower(column_name), 'naive_bayes') OR lower(column_name) = 'attrition_status') AS BIGINT) AS forbidden_columns,
+  count(*) = 21 AS width_ok,
+  count(*) FILTER (WHERE contains(lower(column_name), 'naive_bayes') OR lower(column_name) = 'attrition_status') = 0 AS no_leakage
+FROM cols"""))
 def leakage_audit(spark, sf):
     return Q.leakage_audit(Q.column_catalogue(spark, mart_df(spark, sf)), MART_WIDTH)
 
 
-@register("feature_catalogue")
+@register("feature_catalogue", _describe_mart("""
+SELECT ordinal, column_name, data_type, CASE WHEN is_numeric THEN 'numeric' ELSE 'categorical' END AS feature_kind
+FROM cols WHERE column_name NOT IN ('customer_id', 'churn_flag')"""))
 def feature_catalogue(spark, sf):
     cat = Q.column_catalogue(spark, mart_df(spark, sf))
     return (cat.filter(~F.col("column_name").isin("customer_id", "churn_flag"))
