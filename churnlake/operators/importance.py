@@ -31,8 +31,10 @@ def permutation_importance(rows: DataFrame, score_expr, features: list[str], rep
     """(feature, importance_mean, importance_std) of the average-precision
     drop; ``score_expr`` is a native Column over the feature columns."""
     v = materialize(rows.select("customer_id", F.col(label).alias("label"), *features))
-    base_scores = v.select("label", score_expr.alias("score"))
-    base_ap = ranking_metrics(pr_table(base_scores)).select("average_precision").scalar()
+    base_scores = materialize(v.select("label", score_expr.alias("score")))
+    from churnlake.operators.metrics import score_bounds
+    bounds = score_bounds(base_scores)  # permutations keep the score domain's range
+    base_ap = ranking_metrics(pr_table(base_scores, bounds=bounds)).select("average_precision").scalar()
 
     based = v.withColumn("_hb", hash_unit(f"perm-base:{seed}:", "customer_id"))
     base = dense_positions(based, ["_hb", "customer_id"], bucket_col="_hb").drop("_hb")
@@ -69,7 +71,7 @@ def permutation_importance(rows: DataFrame, score_expr, features: list[str], rep
                         .otherwise(F.col(f)).alias(f))
     permuted = perm.select("feature", "repeat", "label", *replaced)
     scored = permuted.select("feature", "repeat", "label", score_expr.alias("score"))
-    ap = ranking_metrics(pr_table(scored, group_cols=["feature", "repeat"]), ["feature", "repeat"])
+    ap = ranking_metrics(pr_table(scored, group_cols=["feature", "repeat"], bounds=bounds), ["feature", "repeat"])
     drops = ap.select("feature", (base_ap - F.col("average_precision")).alias("drop"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                         F.stddev_pop("drop").alias("importance_std"))

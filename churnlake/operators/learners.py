@@ -67,9 +67,10 @@ class Preprocessor:
             exprs.append(f"coalesce(`{c}`, {_txt(self.imputer['mode'][c])}) AS `{c}__prep`")
         stages = [SQLTransformer(statement=f"SELECT *, {', '.join(exprs)} FROM __THIS__")]
         onehot_cols = [f"{c}__oh" for c in self.categorical]
-        for c in self.categorical:
-            stages.append(StringIndexer(inputCol=f"{c}__prep", outputCol=f"{c}__idx", handleInvalid="keep",
-                                        stringOrderType="alphabetAsc"))
+        if self.categorical:  # one indexer for all columns: a single fitting pass
+            stages.append(StringIndexer(inputCols=[f"{c}__prep" for c in self.categorical],
+                                        outputCols=[f"{c}__idx" for c in self.categorical],
+                                        handleInvalid="keep", stringOrderType="alphabetAsc"))
         if self.categorical:
             stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in self.categorical],
                                         outputCols=onehot_cols, dropLast=True, handleInvalid="keep"))

@@ -21,6 +21,14 @@ from churnlake.functions.columns import f1_from, safe_div
 from churnlake.operators.prefix import running_sums
 
 
+def score_bounds(df: DataFrame, score: str = "score", buckets: int | None = None) -> list[float]:
+    """Bucket boundaries of a score column, computed once and shared by
+    every grouped metric job over the same score domain (splits, folds,
+    thresholds): one quantile pass instead of one per job."""
+    from churnlake.operators.prefix import bucket_boundaries, default_buckets
+    return bucket_boundaries(df, score, buckets or default_buckets(df))
+
+
 def score_groups(df: DataFrame, label: str = "label", score: str = "score", group_cols=()) -> DataFrame:
     return (df.groupBy(*group_cols, F.col(score).alias("threshold"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"),
@@ -37,13 +45,13 @@ def _grouped(df: DataFrame, group_cols):
 
 
 def pr_table(df: DataFrame, label: str = "label", score: str = "score", group_cols=(),
-             buckets: int | None = None) -> DataFrame:
+             buckets: int | None = None, bounds: list[float] | None = None) -> DataFrame:
     """One row per (group, distinct score): counts at and above the score,
     precision, recall and F1 (NULL when precision + recall = 0)."""
     df, gcols, synthetic = _grouped(df, group_cols)
     g = score_groups(df, label, score, gcols)
     totals = g.groupBy(*gcols).agg(F.sum("tp").alias("positives"), F.sum("n").alias("total"))
-    cum = running_sums(g, "threshold", ["n", "tp"], gcols, descending=True, buckets=buckets)
+    cum = running_sums(g, "threshold", ["n", "tp"], gcols, descending=True, buckets=buckets, bounds=bounds)
     # totals has one row per group (bounded by the caller's group count).
     j = cum.join(F.broadcast(totals), gcols, "inner")
     precision = F.col("cum_tp") / F.col("cum_n")
@@ -97,11 +105,12 @@ def threshold_metrics(counts: DataFrame) -> DataFrame:
 
 
 def evaluate_predictions(df: DataFrame, threshold=0.5, label: str = "label", score: str = "score",
-                         group_cols=(), model: str | None = None) -> DataFrame:
+                         group_cols=(), model: str | None = None,
+                         bounds: list[float] | None = None) -> DataFrame:
     """The 9-field metric row (model, threshold, roc_auc, average_precision,
     accuracy, balanced_accuracy, precision, recall, f1) per group."""
     df, gcols, synthetic = _grouped(df, group_cols)
-    rank = ranking_metrics(pr_table(df, label, score, gcols), gcols)
+    rank = ranking_metrics(pr_table(df, label, score, gcols, bounds=bounds), gcols)
     thr = threshold_metrics(confusion_counts(df, threshold, label, score, gcols))
     j = rank.join(thr, gcols, "inner")
     t = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))

@@ -15,9 +15,9 @@ from churnlake.operators import metrics as M
 METRICS = ["roc_auc", "average_precision", "accuracy", "balanced_accuracy", "precision", "recall", "f1"]
 
 
-def overfit_table(scored: DataFrame, model: str, threshold: float = 0.5) -> DataFrame:
+def overfit_table(scored: DataFrame, model: str, threshold: float = 0.5, bounds=None) -> DataFrame:
     """Train vs validation AUC / AP / F1 and their gaps (train - validation)."""
-    per = M.evaluate_predictions(scored, threshold, group_cols=["split"])
+    per = M.evaluate_predictions(scored, threshold, group_cols=["split"], bounds=bounds)
     pick = lambda m, s: F.max(F.when(F.col("split") == s, F.col(m)))
     aggs = []
     for m in ("roc_auc", "average_precision", "f1"):
@@ -27,21 +27,21 @@ def overfit_table(scored: DataFrame, model: str, threshold: float = 0.5) -> Data
 
 
 def cv_summary(scored_folds: DataFrame, model_col: str = "model", fold_col: str = "fold",
-               threshold: float = 0.5) -> DataFrame:
+               threshold: float = 0.5, bounds=None) -> DataFrame:
     """Mean and population std of fold metrics per model."""
-    per = M.evaluate_predictions(scored_folds, threshold, group_cols=[model_col, fold_col])
+    per = M.evaluate_predictions(scored_folds, threshold, group_cols=[model_col, fold_col], bounds=bounds)
     aggs = []
     for m in ("roc_auc", "average_precision", "f1"):
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std")]
     return per.groupBy(model_col).agg(F.count(F.lit(1)).cast("bigint").alias("folds"), *aggs)
 
 
-def final_test_report(test: DataFrame, thresholds: dict, model: str) -> DataFrame:
+def final_test_report(test: DataFrame, thresholds: dict, model: str, bounds=None) -> DataFrame:
     """Metric rows on the test split at each named threshold (Columns or
     floats, e.g. scalar subqueries of the validation thresholds)."""
     out = None
     for name, t in thresholds.items():
-        row = M.evaluate_predictions(test, t, model=model).select(
+        row = M.evaluate_predictions(test, t, model=model, bounds=bounds).select(
             "model", F.lit(name).alias("threshold_name"), *[c for c in ["threshold"] + METRICS])
         out = row if out is None else out.unionByName(row)
     return out

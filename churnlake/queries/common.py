@@ -38,7 +38,10 @@ def _table(spark: SparkSession, sf: str, layer: str, build, writer=None) -> Data
         path = new_table_path(spark, f"{layer}_table")
         df = build()
         if writer is None:
-            df.write.mode("errorifexists").parquet(path)
+            # hash-partitioned by customer into one file per core: parallel
+            # scans for every later query and per-customer co-location.
+            n = max(1, spark.sparkContext.defaultParallelism)
+            df.repartition(n, "customer_id").write.mode("errorifexists").parquet(path)
         else:
             writer(df, path)
         spark.read.parquet(path).createOrReplaceTempView(name)

@@ -239,5 +239,6 @@ SELECT 'labelled_scores' AS model,
 FROM per"""))
 def overfit_gaps(spark, sf):
     from churnlake.plans.evaluation import overfit_table
-    ls = labelled_split(spark, sf).filter(F.col("split").isin("train", "validation"))
-    return round_doubles(overfit_table(ls, "labelled_scores"))
+    ls = labelled_split(spark, sf)
+    dev = ls.filter(F.col("split").isin("train", "validation"))
+    return round_doubles(overfit_table(dev, "labelled_scores", bounds=M.score_bounds(ls)))

@@ -35,9 +35,11 @@ SELECT 'labelled_scores' AS model, CAST(count(*) AS BIGINT) AS folds,
   round(avg(f1), 6) AS f1_mean, round(stddev_pop(f1), 6) AS f1_std
 FROM per"""))
 def cv_summary(spark, sf):
-    ls = labelled_split(spark, sf).filter(F.col("split").isin("train", "validation"))
-    folds = S.kfold_assign(ls, 5, label="label").withColumn("model", F.lit("labelled_scores"))
-    return round_doubles(E.cv_summary(folds))
+    ls = labelled_split(spark, sf)
+    bounds = M.score_bounds(ls)
+    dev = ls.filter(F.col("split").isin("train", "validation"))
+    folds = S.kfold_assign(dev, 5, label="label").withColumn("model", F.lit("labelled_scores"))
+    return round_doubles(E.cv_summary(folds, bounds=bounds))
 
 
 def _final_sql():
@@ -63,15 +65,16 @@ lt AS (SELECT * FROM ls WHERE split = 'test')""", val, _BEST_F1, _WATCH, _pr_cte
 @register("final_test_report", _final_sql())
 def final_test_report(spark, sf):
     ls = labelled_split(spark, sf)
+    bounds = M.score_bounds(ls)
     val = ls.filter(F.col("split") == "validation")
     test = ls.filter(F.col("split") == "test")
-    pr = M.pr_table(val)
+    pr = M.pr_table(val, bounds=bounds)
     thresholds = {
         "default": 0.5,
         "best_f1": M.best_f1_threshold(pr).select("threshold").scalar(),
         "watchlist": M.watchlist_threshold(pr, WATCHLIST_MIN_PRECISION).select("threshold").scalar(),
     }
-    return round_doubles(E.final_test_report(test, thresholds, "labelled_scores"))
+    return round_doubles(E.final_test_report(test, thresholds, "labelled_scores", bounds=bounds))
 
 
 @register("metrics_long", sql(*CHAIN, LABELLED, SPLIT, _LS, _pr_cte("ls", "split"), _rank_cte("pr_f", "split"), body="""
@@ -79,7 +82,7 @@ SELECT split, metric, round(value, 6) AS value FROM rk
 UNPIVOT (value FOR metric IN (roc_auc, average_precision))"""))
 def metrics_long(spark, sf):
     ls = labelled_split(spark, sf)
-    rk = M.ranking_metrics(M.pr_table(ls, group_cols=["split"]), ["split"])
+    rk = M.ranking_metrics(M.pr_table(ls, group_cols=["split"], bounds=M.score_bounds(ls)), ["split"])
     return round_doubles(E.metrics_long(rk, ["split"], ["roc_auc", "average_precision"]))
 
 
@@ -175,7 +178,7 @@ def dq_thresholds(spark, sf):
     from churnlake.functions.columns import with_row
     from churnlake.operators.quality import threshold_expectations
     ls = labelled_split(spark, sf)
-    pr = M.pr_table(ls.filter(F.col("split") == "validation"))
+    pr = M.pr_table(ls.filter(F.col("split") == "validation"), bounds=M.score_bounds(ls))
     t = with_row(M.best_f1_threshold(pr).select(F.col("threshold").alias("classification_threshold")),
                  M.watchlist_threshold(pr, WATCHLIST_MIN_PRECISION).select(
                      F.col("threshold").alias("watchlist_threshold")))
