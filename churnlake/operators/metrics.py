@@ -50,10 +50,9 @@ def pr_table(df: DataFrame, label: str = "label", score: str = "score", group_co
     precision, recall and F1 (NULL when precision + recall = 0)."""
     df, gcols, synthetic = _grouped(df, group_cols)
     g = score_groups(df, label, score, gcols)
-    totals = g.groupBy(*gcols).agg(F.sum("tp").alias("positives"), F.sum("n").alias("total"))
-    cum = running_sums(g, "threshold", ["n", "tp"], gcols, descending=True, buckets=buckets, bounds=bounds)
-    # totals has one row per group (bounded by the caller's group count).
-    j = cum.join(F.broadcast(totals), gcols, "inner")
+    j = (running_sums(g, "threshold", ["n", "tp"], gcols, descending=True, buckets=buckets, bounds=bounds,
+                      with_totals=True)
+         .withColumnRenamed("total_tp", "positives").withColumnRenamed("total_n", "total"))
     precision = F.col("cum_tp") / F.col("cum_n")
     recall = safe_div("cum_tp", "positives")
     out_groups = [] if synthetic else gcols
@@ -108,12 +107,27 @@ def evaluate_predictions(df: DataFrame, threshold=0.5, label: str = "label", sco
                          group_cols=(), model: str | None = None,
                          bounds: list[float] | None = None) -> DataFrame:
     """The 9-field metric row (model, threshold, roc_auc, average_precision,
-    accuracy, balanced_accuracy, precision, recall, f1) per group."""
+    accuracy, balanced_accuracy, precision, recall, f1) per group.
+
+    One aggregation over the per-score table gives both the ranking metrics
+    and the confusion counts at the threshold (rows at or above it are
+    predicted positive), so the raw rows are grouped once and nothing is
+    joined. Labels must be 0/1."""
     df, gcols, synthetic = _grouped(df, group_cols)
-    rank = ranking_metrics(pr_table(df, label, score, gcols, bounds=bounds), gcols)
-    thr = threshold_metrics(confusion_counts(df, threshold, label, score, gcols))
-    j = rank.join(thr, gcols, "inner")
     t = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
+    pr = pr_table(df, label, score, gcols, bounds=bounds)
+    neg = F.col("n") - F.col("tp")
+    above = F.col("threshold") >= t
+    below = F.col("threshold") < t
+    zero = F.lit(0).cast("bigint")
+    summed = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), zero).cast("bigint")
+    counts = pr.groupBy(*gcols).agg(
+        (F.sum(neg * ((F.col("cum_tp") - F.col("tp")) + F.col("tp") / F.lit(2.0)))
+         / F.nullif(F.first("positives") * (F.first("total") - F.first("positives")), F.lit(0))).alias("roc_auc"),
+        F.sum(F.col("tp") / F.nullif(F.col("positives"), F.lit(0)) * F.col("precision")).alias("average_precision"),
+        summed(above, F.col("tp")).alias("tp"), summed(above, neg).alias("fp"),
+        summed(below, neg).alias("tn"), summed(below, F.col("tp")).alias("fn"))
+    j = threshold_metrics(counts)
     head = [F.lit(model).alias("model")] if model is not None else []
     out_groups = [] if synthetic else gcols
     return j.select(*head, *out_groups, t.cast("double").alias("threshold"), "roc_auc",

@@ -71,9 +71,11 @@ def bucket_expr(order_col: str, bounds: list[float], descending: bool):
 
 def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=(),
                  descending: bool = True, buckets: int | None = None,
-                 bounds: list[float] | None = None, prefix: str = "cum_") -> DataFrame:
+                 bounds: list[float] | None = None, prefix: str = "cum_",
+                 with_totals: bool = False) -> DataFrame:
     """Adds ``cum_<c>`` = inclusive running sum of ``c`` in ``order_col``
-    order (per group)."""
+    order (per group), and ``total_<c>`` (the group total) when asked; the
+    totals ride on the small offsets table, so no extra join is needed."""
     group_cols = list(group_cols)
     if bounds is None:
         df = materialize(df)
@@ -82,15 +84,18 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     before = (Window.partitionBy(*group_cols).orderBy("_bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
+    whole = Window.partitionBy(*group_cols)
     offsets = totals.select(*group_cols, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
+        F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in (sum_cols if with_totals else [])])
     # offsets has (groups x buckets) rows with buckets <= MAX_BUCKETS: bounded.
     j = b.join(F.broadcast(offsets), [*group_cols, "_bucket"], "inner")
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     within = (Window.partitionBy(*group_cols, "_bucket").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return j.select(*df.columns, *[
-        (F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+        (F.sum(c).over(within) + F.col(f"_o_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
+        *[f"total_{c}" for c in (sum_cols if with_totals else [])])
 
 
 def dense_positions(df: DataFrame, order_cols: list[str], group_cols=(), bucket_col: str | None = None,

@@ -95,12 +95,16 @@ def snapshot_fingerprint(spark, sf):
     paths = _published(spark, sf)
     stored = files.read_parquet(spark, paths["table"]).select(*PREDICTION_COLUMNS)
     snap = files.read_snapshot(spark, paths["snapshot"]).select(*PREDICTION_COLUMNS)
-    a = files.dataset_fingerprint(stored).select(F.lit("prediction_table").alias("dataset"), "*")
-    b = files.dataset_fingerprint(snap).select(F.lit("snapshot").alias("dataset"), "*")
+    # per-file SHA-256 of the snapshot files (each file bounded by maxRecordsPerFile)
     per_file = files.file_facts(spark, paths["snapshot"], "parquet").agg(
         F.count(F.lit(1)).cast("bigint").alias("files"),
         F.sort_array(F.collect_list("content_sha256")).alias("file_sha256"))
-    return a.unionByName(b).join(per_file.select(F.lit("snapshot").alias("dataset"), "*"), "dataset", "left")
+    from churnlake.functions.columns import with_row
+    a = files.dataset_fingerprint(stored).select(
+        F.lit("prediction_table").alias("dataset"), "*", F.lit(None).cast("bigint").alias("files"),
+        F.lit(None).cast("array<string>").alias("file_sha256"))
+    b = with_row(files.dataset_fingerprint(snap).select(F.lit("snapshot").alias("dataset"), "*"), per_file)
+    return a.unionByName(b)
 
 
 @register("snapshot_matches_mart", sql(*CHAIN, SCORED, body="""

@@ -33,3 +33,19 @@ def test_no_python_udfs_in_registered_sql_queries(spark):
     for name in ["portfolio_summary", "pr_curve", "standard_scale", "customer_details", "cv_summary"]:
         plan = _plan(queries()[name](spark, SF))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+ML = {"model_gbt", "model_forest", "benchmark_report", "model_tree", "model_spark_naive_bayes",
+      "model_logistic", "model_reload_parity", "batch_scoring_model"}
+
+
+def test_no_cartesian_or_python_anywhere(spark):
+    bad = []
+    for name, fn in sorted(queries().items()):
+        if name in ML:
+            continue
+        plan = _plan(fn(spark, SF))
+        for marker in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+            if marker in plan:
+                bad.append((name, marker))
+    assert bad == []
