@@ -140,3 +140,37 @@ def benchmark(train: DataFrame, validation: DataFrame, names: list[str] | None =
     for r in reports[1:]:
         report = report.unionByName(r)
     return report, timings, errors
+
+
+def cross_validate(dev: DataFrame, names: list[str], k: int = 5, label: str = "churn_flag") -> DataFrame:
+    """Stratified k-fold CV with a refit per fold (preprocessing included,
+    as in a fitted pipeline): every learner is fitted on k-1 folds and
+    scores the held-out fold; returns the out-of-fold scored rows
+    ``(model, fold, customer_id, label, score)`` for one grouped metric job.
+    The loop is over (learner, fold) pairs, a fixed small set; each fit is
+    a distributed job."""
+    from churnlake.operators import naive_bayes as NB
+    from churnlake.operators.prefix import materialize
+    from churnlake.operators.splits import kfold_assign
+    folds = materialize(kfold_assign(dev, k, label=label))
+    n_dev = folds.count()
+    scored = []
+    for fold in range(k):
+        train = folds.filter(F.col("fold") != fold)
+        held = folds.filter(F.col("fold") == fold)
+        prep = None
+        for name in names:
+            if name == "gaussian_nb_df":
+                s = NB.predict(NB.fit(train, label), held, label).select("customer_id", "label", "score")
+            else:
+                if prep is None:
+                    prep = Preprocessor().fit(train)
+                    tr, ho = prep.transform(train, label), prep.transform(held, label)
+                est = learner_definitions(int(n_dev * (k - 1) / k))[name]()
+                _, s = fit_and_score(est, tr, ho)
+                s = s.select("customer_id", "label", "score")
+            scored.append(s.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "*"))
+    out = scored[0]
+    for s in scored[1:]:
+        out = out.unionByName(s)
+    return out
