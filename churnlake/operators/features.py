@@ -111,7 +111,9 @@ def category_index(train: DataFrame, df: DataFrame, columns: list[str]) -> DataF
     arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("category"))
                     for c in columns])
     lng = df.select("customer_id", F.explode(arr).alias("kv")).select("customer_id", "kv.*")
-    return lng.join(F.broadcast(ranked.withColumnRenamed("value", "category")),
+    # the category table is as large as the categorical domains: no forced
+    # broadcast, AQE picks one at run time from its measured size.
+    return lng.join(ranked.withColumnRenamed("value", "category"),
                     ["column_name", "category"], "left").select(
         "customer_id", "column_name", "category", "category_index")
 

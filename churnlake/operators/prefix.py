@@ -88,7 +88,9 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     offsets = totals.select(*group_cols, "_bucket", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
         F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in (sum_cols if with_totals else [])])
-    # offsets has (groups x buckets) rows with buckets <= MAX_BUCKETS: bounded.
+    # offsets has (groups x buckets) rows with buckets <= MAX_BUCKETS; every
+    # caller groups by a fixed small set (splits, folds, models, features x
+    # repeats, feature columns), so the broadcast side is bounded.
     j = b.join(F.broadcast(offsets), [*group_cols, "_bucket"], "inner")
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     within = (Window.partitionBy(*group_cols, "_bucket").orderBy(order)
