@@ -32,21 +32,28 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
+_FALLBACK_DIRS: dict[int, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for written tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none
-    (a bare local test) do we create a scratch folder and register it.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder).
+    Only when neither is configured (a bare local test) do we create a
+    scratch folder and register it as the context's checkpoint folder; a
+    cluster session always names a shared folder.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        sc_dir = spark.sparkContext.getCheckpointDir()
-        if sc_dir:
-            return sc_dir.rsplit("/", 1)[0]
-        path = tempfile.mkdtemp(prefix="churnlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
+        ck = sc.getCheckpointDir()
+        if ck:
+            path = ck.rsplit("/", 1)[0]  # the context adds a per-application subfolder
+        else:
+            path = _FALLBACK_DIRS.get(id(sc)) or tempfile.mkdtemp(prefix="churnlake-")
+            _FALLBACK_DIRS[id(sc)] = path
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
