@@ -54,20 +54,44 @@ def _band_filter(predictions: DataFrame, risk_band):
     return predictions if risk_band is None else predictions.filter(F.col("risk_band") == risk_band)
 
 
+def _page_order():
+    return [F.col("churn_probability").desc_nulls_first(), F.col("customer_id").asc()]
+
+
+_PAGE_COLUMNS = ["customer_id", "customer_age", "gender", "churn_probability", "risk_band",
+                 "churn_prediction", "model_version", "model_alias", "scored_at"]
+
+
 def customer_list(predictions: DataFrame, mart: DataFrame, risk_band: str | None = None,
                   limit: int = 10, offset: int = 0) -> DataFrame:
     """One page ordered by probability (NULL first, like the source system)
-    then id. Planned as TakeOrderedAndProject(limit + offset), i.e. a bounded
-    per-task top-k, never a global sort."""
+    then id, over predictions that have a mart row (inner join).
+
+    No customer-sized shuffle: the top ``limit + offset + slack`` predictions
+    are taken with a per-task top-k (TakeOrderedAndProject) and checkpointed;
+    that bounded candidate set is broadcast against the mart (hash-join
+    probe, no exchange). Orphan predictions (no mart row) can only shorten
+    the candidate list, so when fewer than ``limit + offset`` candidates
+    survive and more predictions exist, the candidate set grows and the step
+    repeats: the page is exact, with no cap."""
+    from churnlake.operators.prefix import materialize
     _check_page(risk_band, limit, offset)
+    need = limit + offset
     preds = _band_filter(predictions, risk_band)
-    joined = preds.join(mart.select("customer_id", "customer_age", "gender"), "customer_id", "inner")
-    page = joined.orderBy(F.col("churn_probability").desc_nulls_first(), F.col("customer_id").asc())
+    people = mart.select("customer_id", "customer_age", "gender")
+    take = max(2 * need, 64)
+    while True:
+        cand = materialize(preds.orderBy(*_page_order()).limit(take))
+        n_cand = cand.count()
+        # cand holds at most `take` rows: a proven broadcast bound
+        joined = materialize(people.join(F.broadcast(cand), "customer_id", "inner"))
+        if n_cand < take or joined.count() >= need:
+            break
+        take *= 4
+    page = joined.orderBy(*_page_order())
     if offset:
         page = page.offset(offset)
-    return page.limit(limit).select(
-        "customer_id", "customer_age", "gender", "churn_probability", "risk_band",
-        "churn_prediction", "model_version", "model_alias", "scored_at")
+    return page.limit(limit).select(*_PAGE_COLUMNS)
 
 
 def customer_list_after(predictions: DataFrame, mart: DataFrame, after_probability: float,

@@ -150,3 +150,14 @@ def test_record_contract(spark):
     assert "type:customer_age" in bad and "type:dependent_count" in bad and "extra:unknown_field" in bad
     assert "missing:gender" in bad and not got["bad"].is_valid
     assert got["junk"].reasons == "not_an_object"
+
+
+def test_page_exact_when_orphans_exceed_first_candidates(spark):
+    import datetime as dt
+    ts = dt.datetime(2024, 1, 1)
+    rows = [(1000 + i, 0.99, "High", 1, "m", 3, "champion", ts) for i in range(70)]  # orphans, ranked first
+    rows += [(1, 0.90, "High", 1, "m", 3, "champion", ts), (2, 0.80, "High", 1, "m", 3, "champion", ts)]
+    preds = _pred_frame(spark, rows)
+    mart = spark.createDataFrame([(1, 40, "F"), (2, 50, "M")], "customer_id long, customer_age int, gender string")
+    assert [r.customer_id for r in serving.customer_list(preds, mart, "High", 1, 0).collect()] == [1]
+    assert [r.customer_id for r in serving.customer_list(preds, mart, None, 5, 1).collect()] == [2]
