@@ -136,8 +136,12 @@ def customer_details(ids: DataFrame, mart: DataFrame, predictions: DataFrame) ->
     if "scoring_run_id" not in predictions.columns:
         predictions = predictions.withColumn("scoring_run_id", F.lit(None).cast("string"))
     keys = ids.select(F.col("customer_id").cast("bigint").alias("customer_id")).distinct()
-    model = mart.select("customer_id", *FEATURE_COLUMNS).withColumn("_found", F.lit(True))
-    preds = predictions.select("customer_id", *_PREDICTION_FIELDS)
+    # Reduce the big tables to the requested keys first: a semi join lets
+    # AQE broadcast a small key batch (no shuffle of mart or predictions);
+    # the outer joins then only see rows that belong to the batch.
+    model = (mart.select("customer_id", *FEATURE_COLUMNS).join(keys, "customer_id", "left_semi")
+             .withColumn("_found", F.lit(True)))
+    preds = predictions.select("customer_id", *_PREDICTION_FIELDS).join(keys, "customer_id", "left_semi")
     joined = keys.join(model, "customer_id", "left").join(preds, "customer_id", "left")
     found = F.coalesce(F.col("_found"), F.lit(False))
     return joined.select(
@@ -170,7 +174,8 @@ def rescore_compare(ids: DataFrame, mart: DataFrame, predictions: DataFrame,
     found = mart.join(keys, "customer_id", "left_semi")
     fresh = scorer(found).select("customer_id",
                                  threshold_predict("churn_probability", threshold).alias("churn_prediction"))
-    stored = predictions.select("customer_id", F.col("churn_prediction").alias("stored_churn_prediction"))
+    stored = (predictions.join(keys, "customer_id", "left_semi")
+              .select("customer_id", F.col("churn_prediction").alias("stored_churn_prediction")))
     out = fresh.join(stored, "customer_id", "left")
     return out.select(
         "customer_id", "churn_prediction",
