@@ -22,6 +22,7 @@ from churnlake.operators.prefix import materialize
 from churnlake.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 VAR_SMOOTHING = 1e-9
+MAX_CATEGORIES = 10_000
 
 
 def _prepared_columns(imputer: dict, scaler: dict, categories: dict[str, list[str]]):
@@ -43,9 +44,13 @@ def fit(train: DataFrame, label: str = "churn_flag") -> dict:
     imputer = FT.fit_imputer(rows, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
     scaler = FT.fit_scaler(FT.apply_imputer(rows.select(*NUMERIC_FEATURES), imputer), NUMERIC_FEATURES)
     imputed_cats = FT.apply_imputer(rows.select(*CATEGORICAL_FEATURES), imputer)
-    cats = (FT.long_values(imputed_cats, CATEGORICAL_FEATURES, "string").distinct()
-            .groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values")))
-    # one row per categorical column holding its (bounded) category list
+    distinct = FT.long_values(imputed_cats, CATEGORICAL_FEATURES, "string").distinct()
+    sizes = {r["column_name"]: r["n"] for r in distinct.groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    too_wide = {c: n for c, n in sizes.items() if n > MAX_CATEGORIES}
+    if too_wide:  # one indicator per category: refuse rather than collect an unbounded list
+        raise ValueError(f"categorical columns exceed {MAX_CATEGORIES} categories: {too_wide}")
+    cats = distinct.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values"))
     categories = {r["column_name"]: list(r["values"]) for r in cats.collect()}
     prepared = _prepared_columns(imputer, scaler, categories)
     long = rows.select(F.col(label).alias("cls"), F.explode(F.array(*[
