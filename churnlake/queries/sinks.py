@@ -11,7 +11,7 @@ from churnlake.plans import publish as P
 from churnlake.queries.common import mart_df, predictions_df, raw_df, staging_df
 from churnlake.registry import register, round_doubles
 from churnlake.schemas import (CLASSIFICATION_THRESHOLD, MART_COLUMNS, PREDICTION_COLUMNS,
-                               RAW_SCHEMA, WATCHLIST_THRESHOLD)
+                               RAW_SCHEMA, SOURCE_TABLE, TARGET_TABLE, WATCHLIST_THRESHOLD)
 from churnlake.session import new_table_path
 from churnlake.sources import files
 from churnlake.sources import ledger as LG
@@ -196,7 +196,7 @@ _SUMMARY_SCALARS = ["source_table", "target_table", "snapshot_uri", "scored_at",
 
 
 @register("scoring_summary", sql(*CHAIN, SCORED, _KEYS, body=f"""
-SELECT 'mart_customer_churn_model' AS source_table, 'mart_customer_churn_predictions' AS target_table,
+SELECT '{SOURCE_TABLE}' AS source_table, '{TARGET_TABLE}' AS target_table,
   (SELECT snapshot_uri FROM keys) AS snapshot_uri, (SELECT scored_at_iso FROM keys) AS scored_at,
   CAST(count(*) AS BIGINT) AS customers_scored, CAST(count(DISTINCT customer_id) AS BIGINT) AS unique_customers,
   max(model_name) AS model_name, max(model_version) AS model_version, max(model_alias) AS model_alias,
@@ -207,16 +207,16 @@ SELECT 'mart_customer_churn_model' AS source_table, 'mart_customer_churn_predict
 FROM scored"""))
 def scoring_summary(spark, sf):
     pred = predictions_df(spark, sf)
-    s = P.scoring_summary(pred, P.batch_keys(pred), "mart_customer_churn_model",
-                          "mart_customer_churn_predictions", WATCHLIST_THRESHOLD, CLASSIFICATION_THRESHOLD)
+    s = P.scoring_summary(pred, P.batch_keys(pred), SOURCE_TABLE,
+                          TARGET_TABLE, WATCHLIST_THRESHOLD, CLASSIFICATION_THRESHOLD)
     return s.select(*_SUMMARY_SCALARS)
 
 
 @register("scoring_summary_document")
 def scoring_summary_document(spark, sf):
     pred = predictions_df(spark, sf)
-    s = P.scoring_summary(pred, P.batch_keys(pred), "mart_customer_churn_model",
-                          "mart_customer_churn_predictions", WATCHLIST_THRESHOLD, CLASSIFICATION_THRESHOLD)
+    s = P.scoring_summary(pred, P.batch_keys(pred), SOURCE_TABLE,
+                          TARGET_TABLE, WATCHLIST_THRESHOLD, CLASSIFICATION_THRESHOLD)
     path = new_table_path(spark, "scoring_summary")
     s.select("document").write.mode("errorifexists").text(path)
     return spark.read.text(path).withColumnRenamed("value", "document")
@@ -251,7 +251,7 @@ def run_ledger(spark, sf):
         F.count_if(F.col("risk_band") == "Medium").cast("double").alias("medium_risk_customers"),
         F.count_if(F.col("risk_band") == "Low").cast("double").alias("low_risk_customers"),
         F.round(F.avg("churn_probability"), 6).alias("average_churn_probability"),
-        F.lit("mart_customer_churn_model").alias("source_table"))
+        F.lit(SOURCE_TABLE).alias("source_table"))
     from churnlake.functions.columns import with_row
     vals = with_row(vals, keys.select("scoring_run_id"))
     path = LG.append_ledger(LG.ledger_rows("portfolio-scoring", vals, _LEDGER_KINDS),

@@ -38,6 +38,10 @@ LEAK_EXACT = "attrition_status"
 LABEL_CHURN = "churn"
 LABEL_NO_CHURN = "no_churn"
 
+# Table names recorded in the scoring summary and the run ledger.
+SOURCE_TABLE = "mart_customer_churn_model"
+TARGET_TABLE = "mart_customer_churn_predictions"
+
 # Model identity written on every scored row.
 MODEL_NAME = "churn-scorer"
 MODEL_ALIAS = "champion"
