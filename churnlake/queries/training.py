@@ -295,3 +295,28 @@ def model_gaussian_nb(spark, sf):
     s = S.hash_split(mart_df(spark, sf))
     model = NB.fit(s.filter(F.col("split") == "train"))
     return round_doubles(NB.predict(model, s.filter(F.col("split") == "validation")))
+
+
+def _final_display_sql():
+    # same statement, metrics rounded half-to-even to 4 decimals
+    return _final_sql().replace("round(", "round_even(").replace(", 6)", ", 4)")
+
+
+@register("final_test_report_display", _final_display_sql())
+def final_test_report_display(spark, sf):
+    """The final report as displayed: metrics rounded half-to-even to 4
+    decimals (pandas' rounding), not half-up."""
+    from churnlake.functions.columns import report_round
+    from churnlake.plans.evaluation import METRICS
+    ls = labelled_split(spark, sf)
+    bounds = M.score_bounds(ls)
+    val, test = ls.filter(F.col("split") == "validation"), ls.filter(F.col("split") == "test")
+    pr = M.pr_table(val, bounds=bounds)
+    thresholds = {
+        "default": 0.5,
+        "best_f1": M.best_f1_threshold(pr).select("threshold").scalar(),
+        "watchlist": M.watchlist_threshold(pr, WATCHLIST_MIN_PRECISION).select("threshold").scalar(),
+    }
+    rep = E.final_test_report(test, thresholds, "labelled_scores", bounds=bounds)
+    return rep.select("model", "threshold_name", "threshold",
+                      *[report_round(m, 4).alias(m) for m in METRICS])
