@@ -32,11 +32,15 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (one upstream computation serves the boundary pass and the main pass)."""
-    from churnlake.session import shared_dir
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the frame as a Parquet table in the shared
+    folder (``spark.checkpoint.dir``) and reading it back: one upstream
+    computation (an eager reliable ``checkpoint()`` would compute an
+    uncached plan twice), and later passes get column pruning and file
+    statistics. Survives executor loss like any committed table."""
+    from churnlake.session import new_table_path
+    path = new_table_path(df.sparkSession, "stage")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bucket_boundaries(df: DataFrame, order_col: str, buckets: int) -> list[float]:
