@@ -22,6 +22,14 @@ def labelled(spark, sf):
     return S.labelled_scores(mart_df(spark, sf))
 
 
+def labelled_pr(spark, sf):
+    """(labelled frame, its PR table). The input is a cheap scan of the mart
+    table, so the bucket boundaries come straight from its score column (one
+    quantile pass) instead of materialising the per-score table first."""
+    lab = labelled(spark, sf)
+    return lab, M.pr_table(lab, bounds=M.score_bounds(lab))
+
+
 def labelled_split(spark, sf):
     """(customer_id, label, score, split): narrow, checkpointed once because
     split-wise reports read it several times."""
@@ -94,46 +102,47 @@ watch AS (SELECT threshold, precision, recall, f1 FROM pr_f WHERE f1 IS NOT NULL
 SELECT threshold, n, tp, cum_n, cum_tp, round(precision, 6) AS precision, round(recall, 6) AS recall,
   round(f1, 6) AS f1 FROM pr_f"""))
 def pr_curve(spark, sf):
-    pr = M.pr_table(labelled(spark, sf))
+    _, pr = labelled_pr(spark, sf)
     return round_doubles(pr.select("threshold", "n", "tp", "cum_n", "cum_tp", "precision", "recall", "f1"))
 
 
 @register("metric_average_precision", sql(*CHAIN, LABELLED, _pr_cte(), _rank_cte("pr_f"), body="""
 SELECT round(average_precision, 6) AS average_precision FROM rk"""))
 def metric_average_precision(spark, sf):
-    return round_doubles(M.ranking_metrics(M.pr_table(labelled(spark, sf))).select("average_precision"))
+    return round_doubles(M.ranking_metrics(labelled_pr(spark, sf)[1]).select("average_precision"))
 
 
 @register("metric_roc_auc", sql(*CHAIN, LABELLED, _pr_cte(), _rank_cte("pr_f"), body="""
 SELECT round(roc_auc, 6) AS roc_auc FROM rk"""))
 def metric_roc_auc(spark, sf):
-    return round_doubles(M.ranking_metrics(M.pr_table(labelled(spark, sf))).select("roc_auc"))
+    return round_doubles(M.ranking_metrics(labelled_pr(spark, sf)[1]).select("roc_auc"))
 
 
 @register("threshold_best_f1", sql(*CHAIN, LABELLED, _pr_cte(), _BEST_F1, body="""
 SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM best"""))
 def threshold_best_f1(spark, sf):
-    return round_doubles(M.best_f1_threshold(M.pr_table(labelled(spark, sf))))
+    return round_doubles(M.best_f1_threshold(labelled_pr(spark, sf)[1]))
 
 
 @register("threshold_watchlist", sql(*CHAIN, LABELLED, _pr_cte(), _WATCH, body="""
 SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM watch"""))
 def threshold_watchlist(spark, sf):
-    return round_doubles(M.watchlist_threshold(M.pr_table(labelled(spark, sf)), WATCHLIST_MIN_PRECISION))
+    return round_doubles(M.watchlist_threshold(labelled_pr(spark, sf)[1], WATCHLIST_MIN_PRECISION))
 
 
 @register("threshold_plot_points", sql(*CHAIN, LABELLED, _pr_cte(), body="""
 SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1
 FROM pr_f WHERE threshold BETWEEN 0.05 AND 0.95"""))
 def threshold_plot_points(spark, sf):
-    pr = M.pr_table(labelled(spark, sf)).filter(F.col("threshold").between(0.05, 0.95))
+    pr = labelled_pr(spark, sf)[1].filter(F.col("threshold").between(0.05, 0.95))
     return round_doubles(pr.select("threshold", "precision", "recall", "f1"))
 
 
 @register("evaluate_predictions", sql(*CHAIN, LABELLED, _pr_cte(), _rank_cte("pr_f"), _conf_cte("labelled", "0.5"), body=f"""
 SELECT 'labelled_scores' AS model, 0.5::DOUBLE AS threshold, {_METRIC_COLS} FROM rk, cf_m"""))
 def evaluate_predictions(spark, sf):
-    return round_doubles(M.evaluate_predictions(labelled(spark, sf), 0.5, model="labelled_scores"))
+    lab = labelled(spark, sf)
+    return round_doubles(M.evaluate_predictions(lab, 0.5, model="labelled_scores", bounds=M.score_bounds(lab)))
 
 
 @register("confusion_matrix", sql(*CHAIN, LABELLED, _pr_cte(), _BEST_F1, body="""
@@ -143,8 +152,8 @@ LEFT JOIN (SELECT label, CAST(score >= (SELECT threshold FROM best) AS INTEGER)
   ON l.label = a.actual AND l.pred = a.predicted
 GROUP BY a.actual, a.predicted"""))
 def confusion_matrix(spark, sf):
-    lab = labelled(spark, sf)
-    t = M.best_f1_threshold(M.pr_table(lab)).select("threshold").scalar()
+    lab, pr = labelled_pr(spark, sf)
+    t = M.best_f1_threshold(pr).select("threshold").scalar()
     return M.confusion_matrix(lab, t)
 
 
