@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlake.oracle import CHAIN, sql
-from churnlake.queries.common import mart_df, raw_df, staging_df
-from churnlake.registry import register, round_doubles
+from churnlake.queries.common import raw_df, staging_df
+from churnlake.registry import register
 
 
 @register("staging_scan", sql(*CHAIN, body="SELECT * FROM stg"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnlake.functions.columns import with_row
 from churnlake.operators import metrics as M
 from churnlake.operators import splits as S
 from churnlake.oracle import CHAIN, LABELLED, SPLIT, sql

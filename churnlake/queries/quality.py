@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from churnlake.operators import quality as Q
 from churnlake.oracle import CHAIN, SCORED, sql
-from churnlake.plans.layers import mart, stage
 from churnlake.queries.common import mart_df, predictions_df, raw_df, staging_df
 from churnlake.registry import register
 from churnlake.schemas import ACCEPTED_LABELS, FEATURE_COLUMNS, MART_WIDTH, RAW_SCHEMA
