@@ -56,16 +56,20 @@ def fit(train: DataFrame, label: str = "churn_flag") -> dict:
     long = rows.select(F.col(label).alias("cls"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("feature"), x.alias("x")) for n, x in prepared])).alias("kv")
     ).select("cls", "kv.feature", "kv.x")
-    per_class = long.groupBy("cls", "feature").agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
-    overall = long.groupBy("feature").agg(F.var_pop("x").alias("v"))
-    priors = rows.groupBy(F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    eps = VAR_SMOOTHING * overall.agg(F.max("v")).collect()[0][0]
-    total = 0
-    prior_n = {}
-    for r in priors.collect():  # one row per class
-        prior_n[r["cls"]] = r["n"]
-        total += r["n"]
-    params = {(r["cls"], r["feature"]): (r["mean"], r["var"] + eps) for r in per_class.collect()}
+    # one aggregation gives everything: per (class, feature) count, mean and
+    # population variance (classes x features rows, bounded).
+    stats = [(r["cls"], r["feature"], r["n"], r["mean"], r["var"]) for r in long.groupBy("cls", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).collect()]
+    prior_n = {c: n for c, f, n, _, _ in stats if f == prepared[0][0]}
+    total = sum(prior_n.values())
+    # overall variance per feature by the law of total variance
+    overall = {}
+    for f in {f for _, f, _, _, _ in stats}:
+        group = [(n, m, v) for _, g, n, m, v in stats if g == f]
+        mean = sum(n * m for n, m, _ in group) / total
+        overall[f] = sum(n * (v + (m - mean) ** 2) for n, m, v in group) / total
+    eps = VAR_SMOOTHING * max(overall.values())
+    params = {(c, f): (m, v + eps) for c, f, _, m, v in stats}
     return {"imputer": imputer, "scaler": scaler, "categories": categories,
             "classes": sorted(prior_n), "log_prior": {c: math.log(n / total) for c, n in prior_n.items()},
             "params": params, "epsilon": eps}
