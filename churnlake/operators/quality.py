@@ -72,6 +72,20 @@ def run_not_null(layers: dict[str, DataFrame]) -> DataFrame:
     return _union([not_null_failures(layers[l], l, cols) for l, cols in NOT_NULL_TESTS.items()])
 
 
+def not_null_tests(frame: DataFrame, tests: list[tuple[str, str, F.Column]]) -> DataFrame:
+    """(layer, column_name, test, failures) for (layer, column, expression)
+    tests that all read one frame: a single aggregation pass, however many
+    layers are projections of that frame."""
+    counts = frame.agg(*[F.count_if(expr.isNull()).cast("bigint").alias(f"t{i}")
+                         for i, (_, _, expr) in enumerate(tests)])
+    key = F.create_map(*[x for i, (layer, col, _) in enumerate(tests)
+                         for x in (F.lit(f"t{i}"), F.struct(F.lit(layer).alias("layer"),
+                                                             F.lit(col).alias("column_name")))])
+    long = counts.unpivot([], [f"t{i}" for i in range(len(tests))], "k", "failures")
+    return long.select(key[F.col("k")]["layer"].alias("layer"), key[F.col("k")]["column_name"].alias("column_name"),
+                       F.lit("not_null").alias("test"), "failures")
+
+
 def run_unique(layers: dict[str, DataFrame]) -> DataFrame:
     return _union([unique_failures(layers[l], l, k) for l, k in UNIQUE_TESTS.items()])
 

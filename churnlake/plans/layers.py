@@ -15,8 +15,8 @@ from churnlake.schemas import (LABEL_ATTRITED, LABEL_EXISTING, MART_COLUMNS,
                                RAW_TO_STAGING, STAGING_COLUMNS, TRIMMED_COLUMNS)
 
 
-def stage(raw: DataFrame) -> DataFrame:
-    """Rename, trim and derive the target.
+def staging_columns() -> dict:
+    """Staging column name -> expression over the raw columns.
 
     ``churn_flag`` compares the *untrimmed* label and has no ELSE branch,
     so a padded or unknown label yields a NULL flag while
@@ -25,12 +25,17 @@ def stage(raw: DataFrame) -> DataFrame:
     label = F.col("attrition_flag")
     churn_flag = (F.when(label == LABEL_ATTRITED, F.lit(1))
                   .when(label == LABEL_EXISTING, F.lit(0)))
-    cols = {"attrition_status": F.trim(label).alias("attrition_status"),
-            "churn_flag": churn_flag.alias("churn_flag")}
+    cols = {"attrition_status": F.trim(label), "churn_flag": churn_flag}
     for raw_name, name in RAW_TO_STAGING:
         c = F.col(raw_name)
-        cols[name] = (F.trim(c) if name in TRIMMED_COLUMNS else c).alias(name)
-    return raw.select(*[cols[n] for n in STAGING_COLUMNS])
+        cols[name] = F.trim(c) if name in TRIMMED_COLUMNS else c
+    return cols
+
+
+def stage(raw: DataFrame) -> DataFrame:
+    """Rename, trim and derive the target (see ``staging_columns``)."""
+    cols = staging_columns()
+    return raw.select(*[cols[n].alias(n) for n in STAGING_COLUMNS])
 
 
 def mart(staging: DataFrame) -> DataFrame:

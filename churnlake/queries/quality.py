@@ -29,7 +29,15 @@ def _nn_sql():
 
 @register("dq_not_null", sql(*CHAIN, body=_nn_sql()))
 def dq_not_null(spark, sf):
-    return Q.run_not_null(_layers(spark, sf))
+    # staging is a projection of raw: both layers' tests run in one pass over
+    # the raw view (one scan of the order history); the mart is its own table.
+    from churnlake.plans.layers import staging_columns
+    stg = staging_columns()
+    tests = ([("raw", c, F.col(c)) for c in Q.NOT_NULL_TESTS["raw"]]
+             + [("staging", c, stg[c]) for c in Q.NOT_NULL_TESTS["staging"]])
+    raw_and_staging = Q.not_null_tests(raw_df(spark, sf), tests)
+    return raw_and_staging.unionByName(
+        Q.not_null_failures(mart_df(spark, sf), "mart", Q.NOT_NULL_TESTS["mart"]))
 
 
 def _unique_sql():
