@@ -18,7 +18,7 @@ KEY = {
     "customer_list_high": "page: band filter pushed to the scan, per-task top-k, broadcast probe of the mart",
     "pr_curve": "bucketed prefix sums: per-bucket totals -> broadcast offsets -> bucket-partitioned windows",
     "kfold_assign": "exact stratified positions without a single-partition window",
-    "dq_not_null": "all not-null tests of a layer in one aggregation, unioned over layers",
+    "dq_not_null": "raw and staging tests in one aggregation over the raw view (one orders scan), plus one pass over the mart table",
     "customer_details": "semi-join reduction of mart and predictions to the requested keys",
 }
 
