@@ -37,14 +37,20 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     qs = queries()
     qs["portfolio_summary"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.perf_counter()
-        qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as exc:  # noqa: BLE001  (report the failure, keep timing the rest)
+            errors[name] = f"{type(exc).__name__}: {exc}"[:300]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+    out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
