@@ -79,18 +79,37 @@ def _raw_facts_below(node):
     return []
 
 
-def _shuffled_raw_facts(df):
+def _initial_plan(df):
     plan = df._jdf.queryExecution().executedPlan()
-    if plan.nodeName() == "AdaptiveSparkPlan":
-        plan = plan.initialPlan()
-    return [t for n in _nodes(plan) if n.nodeName() == "Exchange"
+    return plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+
+
+def _shuffled_raw_facts(df):
+    return [t for n in _nodes(_initial_plan(df)) if n.nodeName() == "Exchange"
             for k in _children(n) for t in _raw_facts_below(k)]
 
 
+def _scan_below(node) -> bool:
+    name = node.nodeName()
+    if name.startswith("Scan"):
+        return True
+    if name.startswith("WholeStageCodegen") or name in _PASS_THROUGH:
+        return any(_scan_below(k) for k in _children(node))
+    return False
+
+
+def _broadcast_scans(df):
+    """Broadcasts fed straight from a table scan: a table's size grows with
+    the data, so only aggregates of bounded groups may be broadcast."""
+    return [n.nodeName() for n in _nodes(_initial_plan(df)) if n.nodeName() == "BroadcastExchange"
+            and any(_scan_below(k) for k in _children(n))]
+
+
 def test_fact_rows_are_aggregated_before_every_shuffle(spark):
     """A customer holding a third of all orders must reach each shuffle as
-    one pre-aggregated row per task. Planned as at scale: no automatic
+    one pre-aggregated row per task, and no table is broadcast whole. Planned as at scale: no automatic
     broadcasts, so every join that would shuffle at 100 TB shows here."""
+    from pyspark.sql import functions as F
     from churnlake.sources.fixture import read_table
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -99,8 +118,17 @@ def test_fact_rows_are_aggregated_before_every_shuffle(spark):
         # negative controls: the check sees raw shuffles and accepts partial aggregation
         assert _shuffled_raw_facts(orders.repartition("o_custkey")) == ["orders.parquet"]
         assert _shuffled_raw_facts(orders.groupBy("o_custkey").count()) == []
-        bad = [(name, hit) for name, fn in sorted(queries().items())
-               if name not in ML | {"cv_learners"} and (hit := _shuffled_raw_facts(fn(spark, SF)))]
+        assert _broadcast_scans(orders.join(F.broadcast(orders.select("o_custkey")), "o_custkey"))
+        bad, broadcast = [], []
+        for name, fn in sorted(queries().items()):
+            if name in ML | {"cv_learners"}:
+                continue
+            df = fn(spark, SF)
+            if hit := _shuffled_raw_facts(df):
+                bad.append((name, hit))
+            if _broadcast_scans(df):
+                broadcast.append(name)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert bad == []
+    assert broadcast == []  # only aggregated, bounded tables are broadcast
