@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.session import new_table_path
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 #: White space of the word contracts: [\x20\x09-\x0D]. ``bytes.split()`` uses the same set.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -15,7 +19,15 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 MAX_BROADCAST_IDS = 2_000_000
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers of a local run import this package wherever the driver was started."""
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), _ROOT]))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 

@@ -162,17 +162,66 @@ def _sets(width: int):
     return run
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose shingle sets reach the threshold; the sets are made again for these rows only."""
+def _sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, items): shingle sets of the documents in pairs (a, b), made again for these rows only."""
     ids = stage(spark, pairs.select(F.col("a").alias("id")).unionByName(
         pairs.select(F.col("b").alias("id"))).distinct(), "pair_ids")
-    sets = stage(spark, semi_join_ids(docs, ids, "id").mapInArrow(
+    return stage(spark, semi_join_ids(docs, ids, "id").mapInArrow(
         _sets(width), "id long, items array<long>"), "pair_sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a") \
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` with the sets x of a and y of b."""
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a") \
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    inter = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", inter.alias("i"), (F.size("x") + F.size("y")).alias("s")) \
-        .where(F.col("i") * (100 + percent) >= F.col("s") * percent).select("a", "b").distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, nb, h, linked): size of b, symmetric difference, and whether the similarity reaches the threshold."""
+    both = _with_sets(pairs, sets).select(
+        "a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("i"))
+    return both.select("a", "b", "nb", (F.col("na") + F.col("nb") - 2 * F.col("i")).alias("h"),
+                       (100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).alias("linked"))
+
+
+def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: DataFrame,
+                  percent: int) -> DataFrame:
+    """Pairs (a, b) that may still link two components, among documents compared with one leader.
+
+    With D = set Δ leader, |x Δ y| = |Dx| + |Dy| - 2 |Dx ∩ Dy|. A link allows
+    |x Δ y| <= k, so Dx and Dy share at least o = (|Dx| + |Dy| - k) / 2
+    elements, and o >= 1 unless both link to the leader. In one order of the
+    elements (those outside the leader first, they are rare), the first
+    |D| - o + 1 elements of both then share one. So pairs are found by such
+    elements, not by being together in a group.
+    """
+    label = comp.select(F.col("node").alias("b"), "component")
+    rows = seen.join(label, "b", "left").withColumn("comp_b", F.coalesce("component", "b")).drop("component")
+    label = comp.select(F.col("node").alias("a"), "component")
+    rows = stage(spark, rows.join(label, "a", "left").withColumn("comp_a", F.coalesce("component", "a"))
+                 .drop("component"), "led")
+    leaders = rows.groupBy("a").agg(
+        F.max(F.col("comp_a") != F.col("comp_b")).alias("open"),
+        F.min(F.when(~F.col("linked"), F.col("h"))).alias("h_out")).where("open").select("a", "h_out")
+    rows = rows.join(leaders, "a")
+    k = F.floor((100 - percent) * (F.col("nb") + F.floor(F.col("nb") * 100 / percent)) / (100 + percent))
+    partner = F.when(F.col("linked"), F.greatest("h", "h_out")).otherwise(F.col("h"))
+    o = F.greatest(F.ceil((F.col("h") + partner - F.col("k")) / 2), F.lit(1))
+    rows = rows.withColumn("k", k).withColumn("near", F.col("h") - o + 1).withColumn(
+        "far", F.when(F.col("h") >= F.col("h_out"), F.least(F.col("h"), F.col("k") + 1)).otherwise(0))
+    rows = _with_sets(rows.where("near > 0 or far > 0"), sets).select(
+        "a", "b", "nb", "h", "comp_b", "near", "far", F.posexplode(F.slice(
+            F.concat(F.array_except("y", "x"), F.array_except("x", "y")), F.lit(1),
+            F.greatest("near", "far").cast("int"))).alias("at", "element"))
+    rows = rows.select(F.xxhash64("a", "element").alias("key"), "b", "nb", "h", "comp_b",
+                       (F.col("at") < F.col("near")).alias("is_near"), (F.col("at") < F.col("far")).alias("is_far"))
+    rows = stage(spark, rows, "differences")
+    near, far = rows.where("is_near").alias("n"), rows.where("is_far").alias("f")
+    pairs = near.join(far, (F.col("n.key") == F.col("f.key")) & (F.col("n.comp_b") != F.col("f.comp_b"))
+                      & (F.col("n.h") <= F.col("f.h"))
+                      & (F.least("n.nb", "f.nb") * 100 >= F.greatest("n.nb", "f.nb") * percent))
+    return stage(spark, pairs.select(F.least("n.b", "f.b").alias("a"), F.greatest("n.b", "f.b").alias("b")).distinct(),
+                 "second_pairs")
 
 
 def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
@@ -182,12 +231,12 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
 
     Documents link when 100 * |A ∩ B| >= percent * |A ∪ B| over their
     distinct ``width``-word shingles (64-bit hashes); component_id is the
-    smallest id reachable. Every link between different sets counts; a
-    cluster is not expanded into its pairs: equal sets are one class, and in
-    a group that shares a signature members are compared with a leader
-    first, then only members of different components among themselves.
-    Leaders leave their group once compared with all of it, so the rounds
-    end. ``keep_signatures`` stores the signatures (8 bytes each) in the
+    smallest id reachable. Every link between different sets counts, but a
+    group that shares a signature is not expanded into pairs: equal sets are
+    one class, the members of a group are compared with a leader (the one in
+    most and largest groups), and only members that this leaves in different
+    components are looked at again, by what distinguishes them from their
+    leader. ``keep_signatures`` stores the signatures (8 bytes each) in the
     shared folder in place of making them again for each use.
 
     Defined results: null, empty or blank text has an empty set, links with
@@ -199,8 +248,7 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
     schema = "id long, n long, cls binary" + ", sigs array<long>" * keep_signatures
     base = stage(spark, docs.mapInArrow(_described(width, percent, True, keep_signatures), schema), "sets")
     classes = stage(spark, base.where("n > 0").groupBy("cls").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
-        .where("rep is not null"), "classes")
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("rep is not null"), "classes")
     rep_ids = classes.select(F.col("rep").alias("id"))
     if keep_signatures:
         signed = semi_join_ids(base.select("id", "sigs"), rep_ids, "id")
@@ -208,51 +256,22 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
         signed = semi_join_ids(docs, rep_ids, "id").mapInArrow(
             _described(width, percent, False, True), "id long, sigs array<long>")
     rows = signed.select("id", F.explode("sigs").alias("sig"))
-    groups = rows.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-    members = stage(spark, rows.join(groups.select("sig", "lead"), "sig").where("id != lead"), "groups")
-    sizes = classes.groupBy(F.col("rep").alias("of")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow the similarity."""
-        pairs = pairs.distinct().join(sizes.toDF("a", "a0", "a1"), "a").join(sizes.toDF("b", "b0", "b1"), "b")
-        return pairs.where((F.col("a1") * 100 >= F.col("b0") * percent)
-                           & (F.col("b1") * 100 >= F.col("a0") * percent)).select("a", "b")
-
-    pairs = stage(spark, near(members.select(F.col("lead").alias("a"), F.col("id").alias("b"))), "pairs")
-    compared = pairs
-    links = stage(spark, _verified(spark, pairs, docs, width, percent), "links")
-    active = members.select("sig", "id")
+    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")) \
+        .where("lo < hi").select("sig", "m")
+    members = stage(spark, rows.join(groups, "sig"), "groups")
+    weight = members.groupBy("id").agg(F.sum("m").alias("weight"))
+    leaders = members.join(weight, "id").groupBy("sig").agg(
+        F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("lead")).select("sig", (-F.col("lead.neg")).alias("a"))
+    pairs = stage(spark, members.join(leaders, "sig").where("id != a").select("a", F.col("id").alias("b")).distinct(),
+                  "pairs")
+    sets = _sets_of(spark, docs, pairs, width)
+    seen = stage(spark, _compared(pairs, sets, percent), "compared")
+    links = seen.where("linked").select("a", "b")
     comp = connected_components(spark, links)
-    while True:
-        active = active.join(comp, active["id"] == comp["node"], "left").select(
-            "sig", "id", F.coalesce("component", "id").alias("comp"))
-        parts = active.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-        open_groups = stage(spark, parts.groupBy("sig").agg(
-            F.count(F.lit(1)).alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            .where("k > 1"), "open_sizes")
-        n_rows, cross = open_groups.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
-        if not n_rows:
-            break
-        active = stage(spark, active.join(open_groups.select("sig"), "sig"), "open_groups")
-        last = cross <= 4 * n_rows
-        if last:  # few pairs are left: compare them all
-            x, y = active.alias("x"), active.alias("y")
-            more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id"))
-                          & (F.col("x.comp") != F.col("y.comp"))) \
-                .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            lead = active.groupBy("sig").agg(F.min(F.struct("id", "comp")).alias("lead"))
-            led = active.join(lead, "sig").where(F.col("id") != F.col("lead.id"))
-            more = led.where(F.col("comp") != F.col("lead.comp")) \
-                .select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
-            active = led.select("sig", "id")
-        more = stage(spark, near(more).join(compared, ["a", "b"], "left_anti"), "pairs")
-        found = stage(spark, _verified(spark, more, docs, width, percent), "links")
-        compared, links = compared.unionByName(more), links.unionByName(found)
-        if not found.isEmpty():
-            comp = connected_components(spark, links)
-        if last:
-            break
+    more = _second_pairs(spark, seen, sets, comp, percent)
+    if not more.isEmpty():
+        found = stage(spark, _compared(more, sets, percent).where("linked").select("a", "b"), "links")
+        comp = connected_components(spark, links.unionByName(found))
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select(
         "cls", "size", F.coalesce("component", "rep").alias("component"))
     return base.select("id", "n", "cls").join(named, "cls", "left").select(
