@@ -21,7 +21,7 @@ P = len(FEATURES)
 # Chi-squared with 5 degrees of freedom at 0.5 and 0.975.
 CHI2_MEDIAN, CHI2_975 = 4.3515, 12.8325
 #: Standard deviations below which a feature is not resolved (its measurement grain).
-GRAIN = (0.25, 0.08, 0.08, 0.35, 0.15)
+GRAIN = (0.25, 0.08, 0.08, 0.25, 0.2)
 #: Share of a group whose distances are kept in a C-step.
 CORE = 0.75
 #: A group with fewer rows is pooled with the small groups of its language, then of the table.
@@ -29,7 +29,7 @@ MIN_ROWS = 60
 STEPS = 6
 STARTS = 3
 #: Distances are rejected beyond this square; far in the tail, since text lengths are not normal.
-CUTOFF = 60.0
+CUTOFF = 45.0
 
 
 def _entry(i: int, j: int) -> str:
@@ -68,7 +68,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def _features() -> list[Column]:
     n = F.col("n_words").cast("double")
     return [F.log(n), F.log(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / F.col("word_chars")),
-            F.log1p(F.col("n_dup_lines").cast("double")), F.sqrt(F.col("n_repeat_words") / n)]
+            F.sqrt(10 * F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
 
 
 def _whitened(moments: DataFrame, keys: list[str]) -> DataFrame:

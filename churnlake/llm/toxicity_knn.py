@@ -12,6 +12,7 @@ isotonic regression of leave-one-out votes.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +31,10 @@ class Settings:
     """Bounds of the fit and of memory, and parameters of the vote."""
 
     examples_per_class: int = 3000
-    terms: int = 4000
-    least_chi2: float = 10.8
+    terms: int = 6000
+    least_chi2: float = 6.6
     least_docs: int = 3
-    neighbours: int = 15
+    neighbours: int = 40
     prior_weight: float = 0.5
     cached_words: int = 300_000
 
@@ -167,7 +168,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             pools[-1][2] += s
     unit = weight.min()
     return (np.array([p[0] for p in pools]),
-            np.array([(p[2] + unit * mean) / (p[1] + unit) for p in pools]))
+            np.maximum.accumulate([(p[2] + unit * mean) / (p[1] + unit) for p in pools]))
 
 
 def build_model(vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
@@ -190,7 +191,7 @@ def build_model(vocabulary: dict[str, int], idf: np.ndarray, examples: list[tupl
             kept.append(e)
     vectors = [(np.array(e[2], np.int64), weighted(np.array(e[3], float), idf[np.array(e[2], np.int64)])) for e in kept]
     lead = [int(t[w.argmax()]) for t, w in vectors]  # like examples share blocks
-    order = sorted(range(len(kept)), key=lambda i: (lead[i], kept[i][1], kept[i][0]))
+    order = sorted(range(len(kept)), key=lambda i: (lead[i], zlib.crc32(str(kept[i][0]).encode()), kept[i][0]))
     vectors = [vectors[i] for i in order]
     model = Model(vocabulary, idf, BlockMaxIndex(vectors, len(vocabulary)), np.array([kept[i][0] for i in order]),
                   np.array([kept[i][1] for i in order], float), base, no_evidence, (np.zeros(1), np.array([base])))
