@@ -92,13 +92,15 @@ FIXED_SCORER = {
 }
 
 
-def fixed_score() -> Column:
+def fixed_score(values: dict[str, Column] | None = None) -> Column:
+    """The fixed scorer over the feature columns, or over ``values`` in their place."""
     s = FIXED_SCORER
+    x = (lambda f: values[f]) if values else F.col
     z100 = (F.lit(s["intercept"]).cast("bigint")
-            + F.lit(s["total_transaction_count"]) * F.col("total_transaction_count").cast("bigint")
-            + F.lit(s["months_inactive_last_12m"]) * F.col("months_inactive_last_12m").cast("bigint")
-            + F.lit(s["customer_age_mod_7"]) * F.pmod(F.col("customer_age"), F.lit(7)).cast("bigint")
-            + F.lit(s["total_relationship_count"]) * F.col("total_relationship_count").cast("bigint"))
+            + F.lit(s["total_transaction_count"]) * x("total_transaction_count").cast("bigint")
+            + F.lit(s["months_inactive_last_12m"]) * x("months_inactive_last_12m").cast("bigint")
+            + F.lit(s["customer_age_mod_7"]) * F.pmod(x("customer_age"), F.lit(7)).cast("bigint")
+            + F.lit(s["total_relationship_count"]) * x("total_relationship_count").cast("bigint"))
     z = z100.cast("double") / F.lit(100.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

@@ -33,7 +33,7 @@ def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     vc = long_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
     cum = running_sums(vc, "value", ["cnt"], ["column_name"], descending=False)
     n = vc.groupBy("column_name").agg(F.sum("cnt").alias("n"))
-    j = cum.join(F.broadcast(n), "column_name")  # one row per column: bounded
+    j = cum.join(n, "column_name")
     lo_rank = F.floor((F.col("n") + 1) / 2)
     hi_rank = F.ceil((F.col("n") + 1) / 2)
     first = F.col("cum_cnt") - F.col("cnt") + 1
@@ -55,9 +55,11 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and population standard deviation per column."""
-    return (long_values(df, columns).groupBy("column_name")
-            .agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")))
+    """Mean and population standard deviation per column, in one pass over the rows."""
+    wide = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns])
+    return wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std"))
+        for c in columns])).alias("kv")).select("kv.*")
 
 
 def _collect_map(stats: DataFrame, value: str) -> dict:
@@ -121,14 +123,14 @@ def category_index(train: DataFrame, df: DataFrame, columns: list[str]) -> DataF
 def shared_rows(df: DataFrame, split_col: str, pairs: list[tuple[str, str]], columns: list[str] | None = None
                 ) -> DataFrame:
     """Distinct feature rows present in both splits of each pair (exact set
-    intersection, NULL equals NULL as in SQL INTERSECT)."""
+    intersection, NULL equals NULL as in SQL INTERSECT): one grouped pass
+    marks the splits of every distinct row."""
     from churnlake.schemas import FEATURE_COLUMNS
     cols = columns or FEATURE_COLUMNS
-    out = None
-    for a, b in pairs:
-        inter = (df.filter(F.col(split_col) == a).select(*cols)
-                 .intersect(df.filter(F.col(split_col) == b).select(*cols)))
-        row = inter.agg(F.count(F.lit(1)).cast("bigint").alias("shared_feature_rows")).select(
-            F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), "shared_feature_rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+    names = sorted({x for pair in pairs for x in pair})
+    seen = df.groupBy(*cols).agg(*[F.max(F.col(split_col) == x).alias(f"_in_{x}") for x in names])
+    counts = seen.agg(*[F.count_if(F.col(f"_in_{a}") & F.col(f"_in_{b}")).cast("bigint").alias(f"_{i}")
+                        for i, (a, b) in enumerate(pairs)])
+    return counts.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b"), F.col(f"_{i}").alias("shared_feature_rows"))
+        for i, (a, b) in enumerate(pairs)])).alias("kv")).select("kv.*")

@@ -1,76 +1,56 @@
 """Permutation importance as one distributed job.
 
-For every (feature, repeat) pair the feature column is permuted across the
-evaluation rows: rows are numbered in a base hash order and, separately
-per (feature, repeat), in a salted hash order; the row at base position i
-takes the feature value of the row at permuted position i. Positions come
-from the distributed ``dense_positions`` (no single-partition window), the
-(feature, repeat) expansion is a fixed factor (features x repeats), and the
-drop in average precision is computed for all groups at once.
+A repeat permutes the evaluation rows once, and all features share that
+permutation: rows are numbered in a base hash order and, per repeat, in a
+salted hash order; the row at base position i takes its donor values from
+the row at permuted position i. Positions come from the distributed
+``dense_positions`` (no single-partition window). Each row joins its donor
+once per repeat, so the shuffle carries ``repeats`` copies of the rows; the
+scores with one feature replaced each stand side by side in that row, and
+(feature, repeat, label, score) counts leave the map side pre-aggregated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.functions.columns import hash_unit
-from churnlake.operators.metrics import pr_table, ranking_metrics
+from churnlake.operators.metrics import pr_table, ranking_metrics, score_bounds
 from churnlake.operators.prefix import dense_positions, materialize
-from churnlake.schemas import CATEGORICAL_FEATURES, DOUBLE_FEATURES
+
+Scorer = Callable[[dict[str, Column]], Column]
 
 
 def _perm_hash(seed: int):
-    text = F.concat(F.lit(f"perm:{seed}:"), F.col("feature"), F.lit(":"), F.col("repeat").cast("string"),
+    text = F.concat(F.lit(f"perm:{seed}:"), F.col("repeat").cast("string"),
                     F.lit(":"), F.col("customer_id").cast("string"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def permutation_importance(rows: DataFrame, score_expr, features: list[str], repeats: int = 10,
+def permutation_importance(rows: DataFrame, scorer: Scorer, features: list[str], repeats: int = 10,
                            seed: int = 42, label: str = "churn_flag") -> DataFrame:
     """(feature, importance_mean, importance_std) of the average-precision
-    drop; ``score_expr`` is a native Column over the feature columns."""
+    drop. ``scorer`` maps {feature: Column} to the score Column of a fitted
+    model or a fixed formula."""
     v = materialize(rows.select("customer_id", F.col(label).alias("label"), *features))
-    base_scores = materialize(v.select("label", score_expr.alias("score")))
-    from churnlake.operators.metrics import score_bounds
+    base_scores = materialize(v.select("label", scorer({f: F.col(f) for f in features}).alias("score")))
     bounds = score_bounds(base_scores)  # permutations keep the score domain's range
     base_ap = ranking_metrics(pr_table(base_scores, bounds=bounds)).select("average_precision").scalar()
 
     based = v.withColumn("_hb", hash_unit(f"perm-base:{seed}:", "customer_id"))
     base = dense_positions(based, ["_hb", "customer_id"], bucket_col="_hb").drop("_hb")
-
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("repeat"))
-                      for f in features for k in range(repeats)])
-
-    def typed(kind):
-        expr = None
-        for f in features:
-            is_kind = ((f in CATEGORICAL_FEATURES) if kind == "string"
-                       else (f in DOUBLE_FEATURES) if kind == "double"
-                       else (f not in CATEGORICAL_FEATURES and f not in DOUBLE_FEATURES))
-            if is_kind:
-                val = F.col(f).cast(kind if kind != "long" else "bigint")
-                expr = F.when(F.col("feature") == f, val) if expr is None else expr.when(F.col("feature") == f, val)
-        return expr if expr is not None else F.lit(None).cast(kind if kind != "long" else "bigint")
-
-    donors = (v.select("customer_id", *features, F.explode(pairs).alias("fk"))
-              .select("customer_id", "fk.feature", "fk.repeat", *features))
-    donors = donors.select("feature", "repeat", "customer_id",
-                           typed("long").alias("value_long"), typed("double").alias("value_double"),
-                           typed("string").alias("value_string"))
+    donors = v.select("customer_id", F.explode(F.array(*[F.lit(k) for k in range(repeats)])).alias("repeat"),
+                      *[F.col(f).alias(f"_d_{f}") for f in features])
     donors = donors.withColumn("_hp", _perm_hash(seed))
-    donors = dense_positions(donors, ["_hp", "customer_id"], ["feature", "repeat"], bucket_col="_hp")
-
-    perm = base.join(donors.select("feature", "repeat", "position", "value_long", "value_double", "value_string"),
-                     "position")
-    replaced = []
-    for f in features:
-        src = ("value_string" if f in CATEGORICAL_FEATURES else
-               "value_double" if f in DOUBLE_FEATURES else "value_long")
-        replaced.append(F.when(F.col("feature") == f, F.col(src).cast(v.schema[f].dataType))
-                        .otherwise(F.col(f)).alias(f))
-    permuted = perm.select("feature", "repeat", "label", *replaced)
-    scored = permuted.select("feature", "repeat", "label", score_expr.alias("score"))
+    donors = dense_positions(donors, ["_hp", "customer_id"], ["repeat"], bucket_col="_hp")
+    perm = base.join(donors.select("repeat", "position", *[f"_d_{f}" for f in features]), "position")
+    scores = F.array(*[F.struct(F.lit(f).alias("feature"), scorer(
+        {g: F.col(f"_d_{g}" if g == f else g) for g in features}).alias("score")) for f in features])
+    scored = perm.select("repeat", "label", F.explode(scores).alias("s")).select(
+        "s.feature", "repeat", "label", "s.score")
     ap = ranking_metrics(pr_table(scored, group_cols=["feature", "repeat"], bounds=bounds), ["feature", "repeat"])
     drops = ap.select("feature", (base_ap - F.col("average_precision")).alias("drop"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),

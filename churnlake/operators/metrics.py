@@ -134,6 +134,30 @@ def evaluate_predictions(df: DataFrame, threshold=0.5, label: str = "label", sco
                     "average_precision", "accuracy", "balanced_accuracy", "precision", "recall", "f1")
 
 
+def evaluate_at_thresholds(df: DataFrame, thresholds: dict, model: str, label: str = "label", score: str = "score",
+                           bounds: list[float] | None = None) -> DataFrame:
+    """(model, threshold_name, threshold, the seven metrics) for several named
+    thresholds (floats or Columns) from one ranking and one aggregation."""
+    cut = {k: t if not isinstance(t, (int, float)) else F.lit(float(t)) for k, t in thresholds.items()}
+    pr = pr_table(df, label, score, bounds=bounds)
+    neg = F.col("n") - F.col("tp")
+    zero = F.lit(0).cast("bigint")
+    summed = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), zero).cast("bigint")
+    above = F.col("threshold")
+    one = pr.agg(
+        (F.sum(neg * ((F.col("cum_tp") - F.col("tp")) + F.col("tp") / F.lit(2.0)))
+         / F.nullif(F.first("positives") * (F.first("total") - F.first("positives")), F.lit(0))).alias("roc_auc"),
+        F.sum(F.col("tp") / F.nullif(F.col("positives"), F.lit(0)) * F.col("precision")).alias("average_precision"),
+        *[F.struct(summed(above >= t, F.col("tp")).alias("tp"), summed(above >= t, neg).alias("fp"),
+                   summed(above < t, neg).alias("tn"), summed(above < t, F.col("tp")).alias("fn")).alias(f"c_{k}")
+          for k, t in cut.items()])
+    rows = one.select("roc_auc", "average_precision", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("threshold_name"), t.cast("double").alias("threshold"), F.col(f"c_{k}").alias("c"))
+        for k, t in cut.items()])).alias("r")).select(
+        F.lit(model).alias("model"), "r.threshold_name", "r.threshold", "roc_auc", "average_precision", "r.c.*")
+    return threshold_metrics(rows).drop("tp", "fp", "tn", "fn")
+
+
 def best_f1_threshold(pr: DataFrame, group_cols=()) -> DataFrame:
     """Argmax F1 over the curve (rows with undefined F1 dropped); ties go to
     the highest threshold."""

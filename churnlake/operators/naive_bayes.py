@@ -3,11 +3,14 @@
 Features follow the reference's preprocessing: numeric -> exact median
 imputation -> standard scaling (population std); categorical ->
 most-frequent imputation -> one indicator per training category (unknown ->
-all zeros). Fitting is one distributed aggregation over a long
-``(label, feature, x)`` view: per-class mean and population variance,
-class priors, and variance smoothing of 1e-9 x the largest feature
-variance. The fitted parameters (classes x features numbers) are the
-model; scoring is a per-row native expression, so it needs no shuffle.
+all zeros). An indicator's class mean and variance follow from counts, so
+no indicator is ever built: the fit is one wide aggregate over the numeric
+columns and one grouped count of (class, column, value). Per class and
+column, the log-likelihood of "all indicators zero" is one number, and a
+category adds a difference kept in a parameter table, joined by value (its
+size is that of the category domain, so Spark sizes the join). Variance
+smoothing is 1e-9 x the largest feature variance. Rows without a label
+teach nothing.
 """
 
 from __future__ import annotations
@@ -22,74 +25,87 @@ from churnlake.operators.prefix import materialize
 from churnlake.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
 VAR_SMOOTHING = 1e-9
-MAX_CATEGORIES = 10_000
 
 
-def _prepared_columns(imputer: dict, scaler: dict, categories: dict[str, list[str]]):
-    """(feature name, Column) for every model input."""
-    cols = []
+def _numeric(imputer: dict, scaler: dict, values=F.col) -> dict[str, F.Column]:
+    """Imputed and scaled numeric features."""
+    out = {}
     for c in NUMERIC_FEATURES:
         mean, std = scaler[c]
-        x = (F.coalesce(F.col(c).cast("double"), F.lit(imputer["median"][c])) - F.lit(mean)) / F.lit(std or 1.0)
-        cols.append((c, x))
-    for c in CATEGORICAL_FEATURES:
-        v = F.coalesce(F.col(c), F.lit(imputer["mode"][c]))
-        for cat in categories[c]:
-            cols.append((f"{c}={cat}", F.when(v == F.lit(cat), F.lit(1.0)).otherwise(F.lit(0.0))))
-    return cols
+        out[c] = (F.coalesce(values(c).cast("double"), F.lit(imputer["median"][c])) - F.lit(mean)) / F.lit(std or 1.0)
+    return out
+
+
+def _log_density(x, mean, var):
+    return F.lit(-0.5) * F.log(F.lit(2.0 * math.pi) * var) - (x - mean) * (x - mean) / (F.lit(2.0) * var)
 
 
 def fit(train: DataFrame, label: str = "churn_flag") -> dict:
-    rows = materialize(train.select(label, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES))
+    rows = materialize(train.select(label, *NUMERIC_FEATURES, *CATEGORICAL_FEATURES).filter(F.col(label).isNotNull()))
     imputer = FT.fit_imputer(rows, NUMERIC_FEATURES, CATEGORICAL_FEATURES)
     scaler = FT.fit_scaler(FT.apply_imputer(rows.select(*NUMERIC_FEATURES), imputer), NUMERIC_FEATURES)
-    imputed_cats = FT.apply_imputer(rows.select(*CATEGORICAL_FEATURES), imputer)
-    distinct = FT.long_values(imputed_cats, CATEGORICAL_FEATURES, "string").distinct()
-    sizes = {r["column_name"]: r["n"] for r in distinct.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    too_wide = {c: n for c, n in sizes.items() if n > MAX_CATEGORIES}
-    if too_wide:  # one indicator per category: refuse rather than collect an unbounded list
-        raise ValueError(f"categorical columns exceed {MAX_CATEGORIES} categories: {too_wide}")
-    cats = distinct.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("values"))
-    categories = {r["column_name"]: list(r["values"]) for r in cats.collect()}
-    prepared = _prepared_columns(imputer, scaler, categories)
-    long = rows.select(F.col(label).alias("cls"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("feature"), x.alias("x")) for n, x in prepared])).alias("kv")
-    ).select("cls", "kv.feature", "kv.x")
-    # one aggregation gives everything: per (class, feature) count, mean and
-    # population variance (classes x features rows, bounded).
-    stats = [(r["cls"], r["feature"], r["n"], r["mean"], r["var"]) for r in long.groupBy("cls", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).collect()]
-    prior_n = {c: n for c, f, n, _, _ in stats if f == prepared[0][0]}
-    total = sum(prior_n.values())
-    # overall variance per feature by the law of total variance
-    overall = {}
-    for f in {f for _, f, _, _, _ in stats}:
-        group = [(n, m, v) for _, g, n, m, v in stats if g == f]
-        mean = sum(n * m for n, m, _ in group) / total
-        overall[f] = sum(n * (v + (m - mean) ** 2) for n, m, v in group) / total
-    eps = VAR_SMOOTHING * max(overall.values())
-    params = {(c, f): (m, v + eps) for c, f, _, m, v in stats}
-    return {"imputer": imputer, "scaler": scaler, "categories": categories,
-            "classes": sorted(prior_n), "log_prior": {c: math.log(n / total) for c, n in prior_n.items()},
-            "params": params, "epsilon": eps}
-
-
-def joint_log_likelihood(model: dict, cls) -> F.Column:
-    expr = F.lit(model["log_prior"][cls])
-    for name, x in _prepared_columns(model["imputer"], model["scaler"], model["categories"]):
-        mean, var = model["params"][(cls, name)]
-        expr = expr + (F.lit(-0.5 * math.log(2.0 * math.pi * var))
-                       - (x - F.lit(mean)) * (x - F.lit(mean)) / F.lit(2.0 * var))
-    return expr
+    x = _numeric(imputer, scaler)
+    # classes x numeric features numbers: bounded
+    stats = {r["cls"]: r for r in rows.groupBy(F.col(label).alias("cls")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"m_{c}") for c, v in x.items()],
+        *[F.var_pop(v).alias(f"v_{c}") for c, v in x.items()]).collect()}
+    classes = sorted(stats)
+    total = sum(r["n"] for r in stats.values())
+    largest = 0.0
+    for c in NUMERIC_FEATURES:  # overall variance by the law of total variance
+        mean = sum(r["n"] * r[f"m_{c}"] for r in stats.values()) / total
+        largest = max(largest, sum(r["n"] * (r[f"v_{c}"] + (r[f"m_{c}"] - mean) ** 2) for r in stats.values()) / total)
+    imputed = FT.apply_imputer(rows.select(label, *CATEGORICAL_FEATURES), imputer)
+    counts = imputed.select(label, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in CATEGORICAL_FEATURES])).alias("kv")) \
+        .groupBy("kv.column_name", "kv.value").agg(
+            *[F.count_if(F.col(label) == k).cast("double").alias(f"n_{k}") for k in classes])
+    counts = materialize(counts.filter(F.col("value").isNotNull()))
+    p_all = sum((F.col(f"n_{k}") for k in classes), F.lit(0.0)) / F.lit(float(total))
+    widest = counts.agg(F.max(p_all * (1 - p_all))).first()[0] or 0.0
+    eps = VAR_SMOOTHING * max(largest, widest)
+
+    def terms(k):
+        p = F.col(f"n_{k}") / F.lit(float(stats[k]["n"]))
+        var = p * (1 - p) + F.lit(eps)
+        zero = _log_density(F.lit(0.0), p, var)
+        return zero, _log_density(F.lit(1.0), p, var) - zero
+
+    zeros = {r["column_name"]: r for r in counts.groupBy("column_name").agg(
+        *[F.sum(terms(k)[0]).alias(f"z_{k}") for k in classes]).collect()}  # one row per column
+    return {"imputer": imputer, "scaler": scaler, "classes": classes, "epsilon": eps,
+            "log_prior": {k: math.log(stats[k]["n"] / total) for k in classes},
+            "numeric": {k: {c: (stats[k][f"m_{c}"], stats[k][f"v_{c}"] + eps) for c in NUMERIC_FEATURES}
+                        for k in classes},
+            "zeros": {k: sum(z[f"z_{k}"] for z in zeros.values()) for k in classes},
+            "categories": counts.select("column_name", "value", *[terms(k)[1].alias(f"d_{k}") for k in classes])}
+
+
+def joint_log_likelihood(model: dict, df: DataFrame, keep: list) -> DataFrame:
+    """``keep`` columns and ``_j<class>``: log prior + log likelihood per class."""
+    out = FT.apply_imputer(df, {"median": {}, "mode": model["imputer"]["mode"]})
+    for c in CATEGORICAL_FEATURES:
+        part = model["categories"].filter(F.col("column_name") == c).select(
+            F.col("value").alias(f"_v_{c}"), *[F.col(f"d_{k}").alias(f"_d_{c}_{k}") for k in model["classes"]])
+        out = out.join(part, F.col(c) == F.col(f"_v_{c}"), "left")
+    x = _numeric(model["imputer"], model["scaler"])
+    joint = []
+    for k in model["classes"]:
+        expr = F.lit(model["log_prior"][k] + model["zeros"][k])
+        for c, (mean, var) in model["numeric"][k].items():
+            expr = expr + (F.lit(-0.5 * math.log(2.0 * math.pi * var))
+                           - (x[c] - F.lit(mean)) * (x[c] - F.lit(mean)) / F.lit(2.0 * var))
+        for c in CATEGORICAL_FEATURES:
+            expr = expr + F.coalesce(F.col(f"_d_{c}_{k}"), F.lit(0.0))
+        joint.append(expr.alias(f"_j{k}"))
+    return out.select(*keep, *joint)
 
 
 def predict(model: dict, df: DataFrame, label: str = "churn_flag") -> DataFrame:
     """customer_id, label, score = P(class 1), prediction = argmax (ties -> 0)."""
     if model["classes"] != [0, 1]:
         raise ValueError(f"binary 0/1 labels expected, got {model['classes']}")
-    j0, j1 = joint_log_likelihood(model, 0), joint_log_likelihood(model, 1)
-    out = df.select("customer_id", F.col(label).alias("label"), j0.alias("_j0"), j1.alias("_j1"))
+    out = joint_log_likelihood(model, df, ["customer_id", F.col(label).alias("label")])
     return out.select("customer_id", "label",
                       (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_j0") - F.col("_j1")))).alias("score"),
                       (F.col("_j1") > F.col("_j0")).cast("int").alias("prediction"))

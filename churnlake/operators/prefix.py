@@ -8,13 +8,14 @@ task. Instead:
 2. bucket = number of boundaries on the far side of the value, so bucket 0
    holds the first values in the requested order;
 3. per (group, bucket) totals -> a prefix over buckets on that small table
-   (``groups x k`` rows) -> broadcast back as offsets;
+   (``groups x k`` rows) -> joined back as offsets (Spark sizes the join);
 4. the running total inside each (group, bucket) is an ordinary
    partitioned window, plus the offset.
 
 The result is exact whatever the boundaries are; the boundaries only
 decide how evenly the work spreads. Input must already hold one row per
-(group, ordering value) — aggregate ties first.
+(group, ordering value) — aggregate ties first. A NULL group is a group like
+any other.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 256
+def default_buckets(df: DataFrame) -> int:
+    """Two buckets per shuffle partition, so a ranking spreads over the whole cluster."""
+    return max(1, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def default_buckets(df: DataFrame) -> int:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, 2 * n))
+def join_on_groups(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL matches NULL; the columns are kept once."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") if c in cols else F.col(c) for c in right.columns])
+    on = [left[c].eqNullSafe(F.col(f"_right_{c}")) for c in cols]
+    return left.join(other, on, how).drop(*[f"_right_{c}" for c in cols])
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -92,10 +96,7 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols=
     offsets = totals.select(*group_cols, "_bucket", *[
         F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
         F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in (sum_cols if with_totals else [])])
-    # offsets has (groups x buckets) rows with buckets <= MAX_BUCKETS; every
-    # caller groups by a fixed small set (splits, folds, models, features x
-    # repeats, feature columns), so the broadcast side is bounded.
-    j = b.join(F.broadcast(offsets), [*group_cols, "_bucket"], "inner")
+    j = join_on_groups(b, offsets, [*group_cols, "_bucket"])
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     within = (Window.partitionBy(*group_cols, "_bucket").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -121,6 +122,6 @@ def dense_positions(df: DataFrame, order_cols: list[str], group_cols=(), bucket_
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*group_cols, "_bucket",
                             F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    j = b.join(F.broadcast(offsets), [*group_cols, "_bucket"], "inner")
+    j = join_on_groups(b, offsets, [*group_cols, "_bucket"])
     within = Window.partitionBy(*group_cols, "_bucket").orderBy(*[F.col(c).asc() for c in order_cols])
     return j.select(*df.columns, (F.row_number().over(within) + F.col("_o")).alias("position"))

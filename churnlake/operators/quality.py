@@ -61,17 +61,6 @@ def accepted_values_failures(df: DataFrame, layer: str, column: str, values: lis
         F.lit("accepted_values").alias("test"), "failures", "failing_rows")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def run_not_null(layers: dict[str, DataFrame]) -> DataFrame:
-    return _union([not_null_failures(layers[l], l, cols) for l, cols in NOT_NULL_TESTS.items()])
-
-
 def not_null_tests(frame: DataFrame, tests: list[tuple[str, str, F.Column]]) -> DataFrame:
     """(layer, column_name, test, failures) for (layer, column, expression)
     tests that all read one frame: a single aggregation pass, however many
@@ -86,13 +75,27 @@ def not_null_tests(frame: DataFrame, tests: list[tuple[str, str, F.Column]]) ->
                        F.lit("not_null").alias("test"), "failures")
 
 
-def run_unique(layers: dict[str, DataFrame]) -> DataFrame:
-    return _union([unique_failures(layers[l], l, k) for l, k in UNIQUE_TESTS.items()])
-
-
-def run_accepted_values(layers: dict[str, DataFrame]) -> DataFrame:
-    return _union([accepted_values_failures(layers[l], l, c, v)
-                   for l, tests in ACCEPTED_VALUE_TESTS.items() for c, v in tests.items()])
+def value_tests(frame: DataFrame, tests: list[tuple[str, str, F.Column, list | None]], test: str) -> DataFrame:
+    """(layer, column_name, test, failures, failing_rows) for (layer, column,
+    expression, accepted values) tests that all read one frame, in one pass.
+
+    With accepted values a failure is a distinct value outside them, without
+    (None) it is a value that occurs more than once. NULL passes either way.
+    Rows are counted per (test, value) with partial aggregation first."""
+    long = frame.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("t"), expr.cast("string").alias("v")) for i, (_, _, expr, _) in enumerate(tests)
+    ])).alias("kv")).select("kv.*").filter(F.col("v").isNotNull())
+    per = long.groupBy("t", "v").agg(F.count(F.lit(1)).alias("n"))
+    one = []
+    for i, (_, _, _, accepted) in enumerate(tests):
+        bad = F.col("n") > 1 if accepted is None else ~F.col("v").isin([str(x) for x in accepted])
+        hit = (F.col("t") == i) & bad
+        one += [F.count_if(hit).cast("bigint").alias(f"f{i}"),
+                F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).cast("bigint").alias(f"r{i}")]
+    return per.agg(*one).select(F.explode(F.array(*[
+        F.struct(F.lit(layer).alias("layer"), F.lit(column).alias("column_name"), F.lit(test).alias("test"),
+                 F.col(f"f{i}").alias("failures"), F.col(f"r{i}").alias("failing_rows"))
+        for i, (layer, column, _, _) in enumerate(tests)])).alias("kv")).select("kv.*")
 
 
 def duplicate_rows(key: str) -> F.Column:
@@ -117,48 +120,41 @@ def ingestion_profile(raw: DataFrame, key: str = "client_num", label: str = "att
 
     rows, columns, unique ids, duplicate ids, NULL cells over all columns,
     and the label domain compared with the expected set (distinct count,
-    unexpected values, missing expected values), all exact."""
+    unexpected values, missing expected values), all exact, in one pass."""
     total_nulls = None
     for c in raw.columns:
         term = F.count_if(F.col(c).isNull())
         total_nulls = term if total_nulls is None else total_nulls + term
     lab = F.col(label)
+    any_null = F.coalesce(F.max(lab.isNull().cast("int")), F.lit(0))
     one = raw.agg(
         F.count(F.lit(1)).cast("bigint").alias("rows"),
         F.lit(len(raw.columns)).cast("bigint").alias("columns"),
         F.count_distinct(F.col(key)).cast("bigint").alias("unique_customers"),
         duplicate_rows(key).alias("duplicate_customers"),
         total_nulls.cast("bigint").alias("total_nulls"),
-    )
-    domain = raw.select(lab.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    dom = domain.agg(
-        F.count(F.lit(1)).cast("bigint").alias("target_values"),
-        F.count_if(lab_not_in("v", expected_labels)).cast("bigint").alias("unexpected_target_values"),
-        (F.lit(len(expected_labels))
-         - F.count_if(F.col("v").isin(expected_labels))).cast("bigint").alias("missing_target_values"),
+        (F.count_distinct(lab) + any_null).cast("bigint").alias("target_values"),
+        (F.count_distinct(F.when(~lab.isin(expected_labels), lab)) + any_null)
+        .cast("bigint").alias("unexpected_target_values"),
+        (F.lit(len(expected_labels)) - sum((F.coalesce(F.max((lab == x).cast("int")), F.lit(0))
+                                            for x in expected_labels), F.lit(0)))
+        .cast("bigint").alias("missing_target_values"),
     )
     measures = ["rows", "columns", "unique_customers", "duplicate_customers", "total_nulls",
                 "target_values", "unexpected_target_values", "missing_target_values"]
-    return with_row(one, dom).unpivot([], measures, "measure", "value")
-
+    return one.unpivot([], measures, "measure", "value")
 
-def lab_not_in(colname: str, values: list) -> F.Column:
-    c = F.col(colname)
-    return c.isNull() | ~c.isin(values)
 
-
-def layer_counts(df: DataFrame, dataset: str, key: str, churn: F.Column) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).cast("bigint").alias("rows"),
-        F.count_distinct(F.col(key)).cast("bigint").alias("unique_customers"),
-        F.count_if(churn).cast("bigint").alias("churn_customers"),
-    ).select(F.lit(dataset).alias("dataset"), "rows", "unique_customers", "churn_customers")
-
-
-def layer_reconciliation(raw: DataFrame, staging: DataFrame, mart: DataFrame) -> DataFrame:
-    return (layer_counts(raw, "raw", "client_num", F.col("attrition_flag") == ACCEPTED_LABELS[1])
-            .unionByName(layer_counts(staging, "staging", "customer_id", F.col("churn_flag") == 1))
-            .unionByName(layer_counts(mart, "mart", "customer_id", F.col("churn_flag") == 1)))
+def layer_reconciliation(frame: DataFrame, layers: list[tuple[str, F.Column, F.Column]]) -> DataFrame:
+    """(dataset, rows, unique_customers, churn_customers) of layers that are
+    projections of one frame, given as (name, key, churned): one pass."""
+    one = frame.agg(*[x for i, (_, key, churn) in enumerate(layers) for x in (
+        F.count(F.lit(1)).cast("bigint").alias(f"n{i}"), F.count_distinct(key).cast("bigint").alias(f"u{i}"),
+        F.count_if(churn).cast("bigint").alias(f"c{i}"))])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("dataset"), F.col(f"n{i}").alias("rows"),
+                 F.col(f"u{i}").alias("unique_customers"), F.col(f"c{i}").alias("churn_customers"))
+        for i, (name, _, _) in enumerate(layers)])).alias("kv")).select("kv.*")
 
 
 def reconciliation_verdict(recon: DataFrame) -> DataFrame:
@@ -188,23 +184,40 @@ def reconcile_sources(a: DataFrame, b: DataFrame, name_a: str = "file_source",
     return j.select("metric", name_a, name_b, F.col(name_a).eqNullSafe(F.col(name_b)).alias("matches"))
 
 
-def column_catalogue(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """(ordinal, column_name, data_type, is_numeric) from the schema."""
-    rows = [(i, f.name, f.dataType.simpleString(), isinstance(f.dataType, T.NumericType))
-            for i, f in enumerate(df.schema.fields, 1)]
-    return spark.createDataFrame(rows, "ordinal int, column_name string, data_type string, is_numeric boolean")
-
-
-def leakage_audit(catalogue: DataFrame, expected_width: int) -> DataFrame:
-    """Forbidden columns (leak substring or the text status) and the width check."""
+def column_counts(df: DataFrame) -> DataFrame:
+    """(ordinal, column_name, null_count, present_values, distinct_values) of
+    every column: values are counted per (column, value) with partial
+    aggregation, one pass over the rows."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v"))
+        for i, c in enumerate(df.columns, 1)])).alias("kv")).select("kv.*")
+    per = long.groupBy("ordinal", "column_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("ordinal", "column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("null_count"),
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("present_values"),
+        F.count_if(F.col("v").isNotNull()).cast("bigint").alias("distinct_values"))
+
+
+def leakage_audit(mart: DataFrame, expected_width: int, label: str = "churn_flag",
+                  key: str = "customer_id") -> DataFrame:
+    """(column_name, distinct_values, reproduces_label, forbidden_name, width_ok)
+    per feature. ``reproduces_label``: every value (NULL is one) occurs with
+    one label only, values repeat, and both labels occur, so the column alone
+    tells the label; labelled rows count."""
+    features = [c for c in mart.columns if c not in (label, key)]
+    long = mart.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in features])).alias("kv")) \
+        .select("y", "kv.*")
+    per = long.groupBy("column_name", "v").agg(
+        F.min("y").alias("lo"), F.max("y").alias("hi"), F.count(F.lit(1)).alias("n"))
     name = F.lower(F.col("column_name"))
-    forbidden = name.contains(LEAK_SUBSTRING) | (name == LEAK_EXACT)
-    return catalogue.agg(
-        F.count(F.lit(1)).cast("bigint").alias("column_count"),
-        F.count_if(forbidden).cast("bigint").alias("forbidden_columns"),
-    ).select("column_count", "forbidden_columns",
-             (F.col("column_count") == expected_width).alias("width_ok"),
-             (F.col("forbidden_columns") == 0).alias("no_leakage"))
+    return per.groupBy("column_name").agg(
+        F.count(F.lit(1)).cast("bigint").alias("distinct_values"),
+        (F.coalesce(F.bool_and(F.col("lo") == F.col("hi")), F.lit(False)) & (F.count(F.lit(1)) < F.sum("n"))
+         & (F.min("lo") < F.max("lo"))).alias("reproduces_label")).select(
+        "column_name", "distinct_values", "reproduces_label",
+        (name.contains(LEAK_SUBSTRING) | (name == LEAK_EXACT)).alias("forbidden_name"),
+        F.lit(len(mart.columns) == expected_width).alias("width_ok"))
 
 
 def prediction_constraints(pred: DataFrame) -> DataFrame:
@@ -273,39 +286,56 @@ _INT_PATTERN = r"^[+-]?[0-9]+$"
 _FLOAT_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def _integral(v, kind):
+    """JSON integer, integral JSON number ('5.0' and 5e1 too), or text of an integer; NULL when it is none."""
+    number = F.try_variant_get(v, "$", "double")
+    return (F.when(kind.startswith("BIGINT"), F.try_variant_get(v, "$", "int"))
+            .when(kind.rlike("^(DOUBLE|FLOAT|DECIMAL)") & (number == F.floor(number)), number.try_cast("int"))
+            .when((kind == "STRING") & F.try_variant_get(v, "$", "string").rlike(_INT_PATTERN),
+                  F.try_variant_get(v, "$", "string").try_cast("int")))
+
+
+def _floating(v, kind):
+    """JSON number, or text of a number; NULL when it is neither."""
+    return (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+            .when((kind == "STRING") & F.try_variant_get(v, "$", "string").rlike(_FLOAT_PATTERN),
+                  F.try_variant_get(v, "$", "string").try_cast("double")))
+
+
 def contract_check(records: DataFrame, text_col: str = "record", id_col: str = "record_id") -> DataFrame:
     """Split JSON feature records into valid / quarantined with reasons.
 
-    Reasons (sorted, ';'-joined): ``missing:<f>`` for an absent or null
-    field, ``type:<f>`` for a value that does not parse as the field's type
-    (integers must be integral text: '5.0' is refused), ``extra:<k>`` for an
-    unknown key, ``not_an_object`` for text that is not a JSON object.
-    Valid records carry the typed 19 features."""
+    The JSON type of each value counts, not only its text. Reasons (sorted,
+    ';'-joined): ``missing:<f>`` for an absent or null field, ``type:<f>``
+    for a value of another type (text fields take JSON strings only; integer
+    fields integers, integral numbers and text of an integer; decimal fields
+    numbers and text of a number; booleans, objects and arrays fit nowhere),
+    ``extra:<k>`` for an unknown key, ``not_an_object`` for text that is not
+    a JSON object. Valid records carry the typed 19 features."""
+    doc = F.try_parse_json(F.col(text_col))
     m = F.from_json(F.col(text_col), T.MapType(T.StringType(), T.StringType()))
-    parsed = records.select(F.col(id_col), m.alias("_m"))
-    checks = []
+    parsed = records.select(F.col(id_col), F.map_keys(m).alias("_keys"),
+                            F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)).alias("_object"),
+                            *[F.try_variant_get(doc, f"$.{f}", "variant").alias(f"_v_{f}") for f in FEATURE_COLUMNS])
+    kinds = parsed.select("*", *[F.schema_of_variant(f"_v_{f}").alias(f"_k_{f}") for f in FEATURE_COLUMNS])
     typed = []
     for f in FEATURE_COLUMNS:
-        v = F.col("_m")[f]
-        missing = v.isNull()
+        v, kind = F.col(f"_v_{f}"), F.col(f"_k_{f}")
         if f in INTEGER_FEATURES:
-            bad = ~v.rlike(_INT_PATTERN) | v.try_cast("int").isNull()
-            cast = v.try_cast("int")
+            typed.append(_integral(v, kind).alias(f))
         elif f in DOUBLE_FEATURES:
-            bad = ~v.rlike(_FLOAT_PATTERN)
-            cast = v.try_cast("double")
+            typed.append(_floating(v, kind).alias(f))
         else:
-            bad = F.lit(False)
-            cast = v
-        checks.append(F.when(missing, F.lit(f"missing:{f}")).when(bad, F.lit(f"type:{f}")))
-        typed.append(cast.alias(f))
+            typed.append(F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).alias(f))
+    cast = kinds.select(id_col, "_keys", "_object", *[f"_k_{f}" for f in FEATURE_COLUMNS], *typed)
+    checks = [F.when(F.col(f"_k_{f}").isNull() | (F.col(f"_k_{f}") == "VOID"), F.lit(f"missing:{f}"))
+              .when(F.col(f).isNull(), F.lit(f"type:{f}")) for f in FEATURE_COLUMNS]
     known = F.array(*[F.lit(f) for f in FEATURE_COLUMNS])
-    extras = F.transform(
-        F.filter(F.map_keys(F.col("_m")), lambda k: ~F.array_contains(known, k)),
-        lambda k: F.concat(F.lit("extra:"), k))
-    reasons = F.when(F.col("_m").isNull(), F.array(F.lit("not_an_object"))).otherwise(
+    extras = F.transform(F.filter(F.col("_keys"), lambda k: ~F.array_contains(known, k)),
+                         lambda k: F.concat(F.lit("extra:"), k))
+    reasons = F.when(~F.col("_object"), F.array(F.lit("not_an_object"))).otherwise(
         F.array_sort(F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), extras)))
-    out = parsed.select(F.col(id_col), reasons.alias("_r"), *typed)
+    out = cast.select(id_col, reasons.alias("_r"), *FEATURE_COLUMNS)
     return out.select(
         F.col(id_col), (F.size("_r") == 0).alias("is_valid"),
         F.size("_r").alias("n_reasons"), F.array_join("_r", ";").alias("reasons"),

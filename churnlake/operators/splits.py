@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake.functions.columns import hash_bucket, hash_unit
-from churnlake.operators.prefix import dense_positions
+from churnlake.operators.prefix import dense_positions, join_on_groups
 
 SPLIT_SALT = "42:"
 SCORE_SALT = "score:"
@@ -30,12 +30,11 @@ def hash_split(df: DataFrame, key: str = "customer_id", salt: str = SPLIT_SALT)
 def stratified_positions(df: DataFrame, label: str = "churn_flag", key: str = "customer_id",
                          salt: str = SPLIT_SALT) -> DataFrame:
     """1-based position of each row within its label in (hash, key) order,
-    plus the label size."""
+    plus the label size. Rows without a label are a stratum of their own."""
     h = df.withColumn("_h", hash_unit(salt, key))
     pos = dense_positions(h, ["_h", key], [label], bucket_col="_h")
     sizes = h.groupBy(label).agg(F.count(F.lit(1)).alias("_label_rows"))
-    # one row per label value: bounded.
-    return pos.join(F.broadcast(sizes), [label], "inner").drop("_h")
+    return join_on_groups(pos, sizes, [label]).drop("_h")
 
 
 def exact_stratified_split(df: DataFrame, test: float = 0.2, validation: float = 0.2,

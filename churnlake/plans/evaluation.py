@@ -38,13 +38,10 @@ def cv_summary(scored_folds: DataFrame, model_col: str = "model", fold_col: str
 
 def final_test_report(test: DataFrame, thresholds: dict, model: str, bounds=None) -> DataFrame:
     """Metric rows on the test split at each named threshold (Columns or
-    floats, e.g. scalar subqueries of the validation thresholds)."""
-    out = None
-    for name, t in thresholds.items():
-        row = M.evaluate_predictions(test, t, model=model, bounds=bounds).select(
-            "model", F.lit(name).alias("threshold_name"), *[c for c in ["threshold"] + METRICS])
-        out = row if out is None else out.unionByName(row)
-    return out
+    floats, e.g. scalar subqueries of the validation thresholds): the split
+    is ranked once and counted once for all thresholds."""
+    return M.evaluate_at_thresholds(test, thresholds, model, bounds=bounds).select(
+        "model", "threshold_name", "threshold", *METRICS)
 
 
 def metrics_long(report: DataFrame, id_cols: list[str], value_cols: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Publishing a scoring batch: prediction table, snapshot, lineage, summary.
 
-Order matters and follows the source system: the create-only prediction
-table and the snapshot are written first; the lineage columns are added to
-the table afterwards (so the snapshot does not carry them); the summary
-document and the ledger rows describe the batch.
+Order matters and follows the source system: the batch is checked, then the
+create-only prediction table and the snapshot are written; the lineage
+columns are added to the table afterwards (so the snapshot does not carry
+them); the summary document and the ledger rows describe the batch. A
+batch's snapshot lies at the URI that its rows carry, with a checksum of its
+content beside it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ SNAPSHOT_PREFIX = "churn_predictions"
 
 def batch_keys(pred: DataFrame, curated_root: str = "curated") -> DataFrame:
     """One row: batch instant -> partition date, batch id, snapshot key/URI
-    and a run id, all derived from the rows' own ``scored_at``."""
+    below ``curated_root`` and a run id, all derived from the rows' own
+    ``scored_at``."""
     ts = F.max("scored_at")
     one = pred.agg(ts.alias("scored_at"))
     batch = F.date_format("scored_at", "yyyyMMdd'T'HHmmss'Z'")
@@ -80,12 +83,44 @@ def scoring_summary(pred: DataFrame, keys: DataFrame, source_table: str, target_
     return row.withColumn("document", doc)
 
 
-def publish_batch(spark: SparkSession, pred: DataFrame, table_path: str, snapshot_root: str) -> dict:
-    """Write table + snapshot, then the lineage version of the table.
-    Returns the paths (the caller reads them back as DataFrames)."""
+def refuse_bad_batch(pred: DataFrame, expected_rows_from: DataFrame | None = None) -> None:
+    """Raise ValueError naming every violated constraint or expectation."""
+    from churnlake.operators.quality import prediction_constraints, scoring_expectations
+    rows = prediction_constraints(pred).toDF("check", "failures").unionByName(
+        scoring_expectations(pred, expected_rows_from).toDF("check", "failures"))
+    bad = {r["check"]: r["failures"] for r in rows.filter(F.col("failures") > 0).collect()}  # a dozen checks
+    if bad:
+        raise ValueError(f"the batch is refused: {bad}")
+
+
+#: Columns that a batch's checksum covers.
+CONTENT = ["customer_id", "churn_probability", "risk_band", "churn_prediction", "model_name", "model_version",
+           "model_alias"]
+
+
+def publish_batch(spark: SparkSession, pred: DataFrame, table_path: str, curated_root: str,
+                  expected_rows_from: DataFrame | None = None) -> dict:
+    """Check the batch, write table + snapshot + checksum, then the lineage
+    version of the table. Returns the paths and the snapshot's URI (the
+    caller reads them back as DataFrames)."""
+    from churnlake.operators.prefix import materialize
+    pred = materialize(pred)
+    refuse_bad_batch(pred, expected_rows_from)
     write_prediction_table(pred, table_path)
-    files.write_snapshot(pred, snapshot_root)
     stored = files.read_parquet(spark, table_path)
+    keys = batch_keys(stored, curated_root).first()  # one row
+    uri = files.write_snapshot(stored, keys["snapshot_uri"])
+    checksum = f"{uri}.checksum"
+    files.write_parquet(files.dataset_fingerprint(stored, CONTENT), checksum, mode="overwrite")
     lineage_path = table_path.rstrip("/") + "_lineage"
-    files.write_parquet(attach_lineage(stored, batch_keys(stored)), lineage_path, mode="errorifexists")
-    return {"table": table_path, "snapshot": snapshot_root, "lineage": lineage_path}
+    files.write_parquet(attach_lineage(stored, batch_keys(stored, curated_root)), lineage_path, mode="errorifexists")
+    return {"table": table_path, "snapshot": f"{curated_root}/{SNAPSHOT_PREFIX}", "lineage": lineage_path,
+            "uri": uri, "checksum": checksum}
+
+
+def recovered_snapshot(spark: SparkSession, lineage: DataFrame) -> DataFrame:
+    """The snapshot behind the one URI that the published rows carry."""
+    uris = [r["snapshot_uri"] for r in lineage.select("snapshot_uri").distinct().limit(2).collect()]
+    if len(uris) != 1:
+        raise ValueError(f"the table carries {len(uris)} snapshot URIs, expected one")
+    return files.read_parquet(spark, uris[0])

@@ -67,28 +67,13 @@ def customer_list(predictions: DataFrame, mart: DataFrame, risk_band: str | None
     """One page ordered by probability (NULL first, like the source system)
     then id, over predictions that have a mart row (inner join).
 
-    No customer-sized shuffle: the top ``limit + offset + slack`` predictions
-    are taken with a per-task top-k (TakeOrderedAndProject) and checkpointed;
-    that bounded candidate set is broadcast against the mart (hash-join
-    probe, no exchange). Orphan predictions (no mart row) can only shorten
-    the candidate list, so when fewer than ``limit + offset`` candidates
-    survive and more predictions exist, the candidate set grows and the step
-    repeats: the page is exact, with no cap."""
-    from churnlake.operators.prefix import materialize
+    Both sides are pruned to the listed columns and the band before one join
+    on the customer key, whose strategy Spark picks by measured size; the
+    page is a per-task top-k of ``limit + offset`` rows. A deep page is
+    cheaper with ``customer_list_after``."""
     _check_page(risk_band, limit, offset)
-    need = limit + offset
-    preds = _band_filter(predictions, risk_band)
     people = mart.select("customer_id", "customer_age", "gender")
-    take = max(2 * need, 64)
-    while True:
-        cand = materialize(preds.orderBy(*_page_order()).limit(take))
-        n_cand = cand.count()
-        # cand holds at most `take` rows: a proven broadcast bound
-        joined = materialize(people.join(F.broadcast(cand), "customer_id", "inner"))
-        if n_cand < take or joined.count() >= need:
-            break
-        take *= 4
-    page = joined.orderBy(*_page_order())
+    page = _band_filter(predictions, risk_band).join(people, "customer_id").orderBy(*_page_order())
     if offset:
         page = page.offset(offset)
     return page.limit(limit).select(*_PAGE_COLUMNS)

@@ -1,19 +1,15 @@
 """Shared inputs for registered queries (all derived from the given tables).
 
-Layers follow the source system's materialisation: raw and staging are
-views (lazy plans over the given tables, registered once per session and
-scale directory so later queries reuse the analysed plan), while the mart
-and the prediction mart are *tables* written once per session into the
-shared folder and then scanned with column pruning, filter pushdown and
-min/max statistics, as the dashboard queries scan tables in the source
-system. The derivation itself is exercised by ``staging_scan`` and
-``mart_materialise``.
+Every call derives its layers anew from the tables in ``sf`` as they are at
+that moment: raw, staging, mart and predictions are lazy plans, nothing is
+kept by path or session, so each query pays for its own work and sees
+changed inputs. A stored mart is an explicit step of the caller
+(``plans.publish.write_prediction_table`` or ``sources.files.write_parquet``
+with a path of its own).
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlake.oracle import SCORED_AT
@@ -22,48 +18,19 @@ from churnlake.plans.scoring import score_portfolio
 from churnlake.sources.fixture import churn_raw
 
 
-def _view(spark: SparkSession, sf: str, layer: str, build) -> DataFrame:
-    tag = hashlib.md5(sf.rstrip("/").encode()).hexdigest()[:10]
-    name = f"churnlake_{layer}_{tag}"
-    if not spark.catalog.tableExists(name):
-        build().createOrReplaceTempView(name)
-    return spark.table(name)
-
-
-def _table(spark: SparkSession, sf: str, layer: str, build, writer=None) -> DataFrame:
-    tag = hashlib.md5(sf.rstrip("/").encode()).hexdigest()[:10]
-    name = f"churnlake_{layer}_{tag}"
-    if not spark.catalog.tableExists(name):
-        from churnlake.session import new_table_path
-        path = new_table_path(spark, f"{layer}_table")
-        df = build()
-        if writer is None:
-            # hash-partitioned by customer into one file per core: parallel
-            # scans for every later query and per-customer co-location.
-            n = max(1, spark.sparkContext.defaultParallelism)
-            df.repartition(n, "customer_id").write.mode("errorifexists").parquet(path)
-        else:
-            writer(df, path)
-        spark.read.parquet(path).createOrReplaceTempView(name)
-    return spark.table(name)
-
-
 def raw_df(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _view(spark, sf, "raw", lambda: churn_raw(spark, sf))
+    return churn_raw(spark, sf)
 
 
 def staging_df(spark: SparkSession, sf: str) -> DataFrame:
-    return _view(spark, sf, "staging", lambda: stage(raw_df(spark, sf)))
+    return stage(raw_df(spark, sf))
 
 
 def mart_df(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "mart", lambda: mart(staging_df(spark, sf)))
+    return mart(staging_df(spark, sf))
 
 
 def predictions_df(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-scorer portfolio scoring with a fixed batch instant."""
-    from churnlake.plans.publish import write_prediction_table
-    return _table(spark, sf, "predictions",
-                  lambda: score_portfolio(mart_df(spark, sf), scored_at=SCORED_AT),
-                  writer=write_prediction_table)
+    return score_portfolio(mart_df(spark, sf), scored_at=SCORED_AT)

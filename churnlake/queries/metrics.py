@@ -30,11 +30,11 @@ def labelled_pr(spark, sf):
 
 
 def labelled_split(spark, sf):
-    """(customer_id, label, score, split): narrow, checkpointed once because
+    """(customer_id, label, score, split): narrow, written once because
     split-wise reports read it several times."""
     from churnlake.operators.prefix import materialize
-    m = S.hash_split(mart_df(spark, sf).select("customer_id", "churn_flag"))
-    return materialize(S.labelled_scores(m).join(m.select("customer_id", "split"), "customer_id"))
+    m = mart_df(spark, sf).select("customer_id", "churn_flag")
+    return materialize(S.hash_split(S.labelled_scores(m)))
 
 
 # --- SQL building blocks ---------------------------------------------------

@@ -13,9 +13,10 @@ from churnlake.schemas import ACCEPTED_LABELS, FEATURE_COLUMNS, MART_WIDTH, RAW_
 _REL = {"raw": "raw", "staging": "stg", "mart": "mart"}
 
 
-def _layers(spark, sf):
-    """raw and staging views, and the materialised mart table."""
-    return {"raw": raw_df(spark, sf), "staging": staging_df(spark, sf), "mart": mart_df(spark, sf)}
+def _column(layer: str, name: str):
+    """A layer's column over the raw rows: staging is a projection of raw, and the mart one of staging."""
+    from churnlake.plans.layers import staging_columns
+    return F.col(name) if layer == "raw" else staging_columns()[name]
 
 
 def _nn_sql():
@@ -29,15 +30,9 @@ def _nn_sql():
 
 @register("dq_not_null", sql(*CHAIN, body=_nn_sql()))
 def dq_not_null(spark, sf):
-    # staging is a projection of raw: both layers' tests run in one pass over
-    # the raw view (one scan of the order history); the mart is its own table.
-    from churnlake.plans.layers import staging_columns
-    stg = staging_columns()
-    tests = ([("raw", c, F.col(c)) for c in Q.NOT_NULL_TESTS["raw"]]
-             + [("staging", c, stg[c]) for c in Q.NOT_NULL_TESTS["staging"]])
-    raw_and_staging = Q.not_null_tests(raw_df(spark, sf), tests)
-    return raw_and_staging.unionByName(
-        Q.not_null_failures(mart_df(spark, sf), "mart", Q.NOT_NULL_TESTS["mart"]))
+    # all layers are projections of the raw rows: one scan of the order history
+    return Q.not_null_tests(raw_df(spark, sf), [
+        (layer, c, _column(layer, c)) for layer, cols in Q.NOT_NULL_TESTS.items() for c in cols])
 
 
 def _unique_sql():
@@ -51,7 +46,8 @@ FROM (SELECT {k}, count(*) AS n FROM {_REL[layer]} WHERE {k} IS NOT NULL GROUP B
 
 @register("dq_unique", sql(*CHAIN, body=_unique_sql()))
 def dq_unique(spark, sf):
-    return Q.run_unique(_layers(spark, sf))
+    return Q.value_tests(raw_df(spark, sf), [
+        (layer, k, _column(layer, k), None) for layer, k in Q.UNIQUE_TESTS.items()], "unique")
 
 
 def _accepted_sql():
@@ -67,7 +63,9 @@ FROM (SELECT {c}, count(*) AS n FROM {_REL[layer]} WHERE {c} IS NOT NULL AND {c}
 
 @register("dq_accepted_values", sql(*CHAIN, body=_accepted_sql()))
 def dq_accepted_values(spark, sf):
-    return Q.run_accepted_values(_layers(spark, sf))
+    return Q.value_tests(raw_df(spark, sf), [
+        (layer, c, _column(layer, c), values) for layer, tests in Q.ACCEPTED_VALUE_TESTS.items()
+        for c, values in tests.items()], "accepted_values")
 
 
 _RAW_COLS = RAW_SCHEMA.names
@@ -112,8 +110,10 @@ UNION ALL
 SELECT 'mart', CAST(count(*) AS BIGINT), CAST(count(DISTINCT customer_id) AS BIGINT),
   CAST(count(*) FILTER (WHERE churn_flag = 1) AS BIGINT) FROM mart"""))
 def layer_reconciliation(spark, sf):
-    lay = _layers(spark, sf)
-    return Q.layer_reconciliation(lay["raw"], lay["staging"], lay["mart"])
+    return Q.layer_reconciliation(raw_df(spark, sf), [
+        ("raw", F.col("client_num"), F.col("attrition_flag") == ACCEPTED_LABELS[1]),
+        ("staging", _column("staging", "customer_id"), _column("staging", "churn_flag") == 1),
+        ("mart", _column("mart", "customer_id"), _column("mart", "churn_flag") == 1)])
 
 
 @register("dq_prediction_constraints", sql(*CHAIN, SCORED, body="""
@@ -150,69 +150,111 @@ def dq_scoring(spark, sf):
                                   model_version=3, model_alias="champion")
 
 
-def _describe_mart(body: str) -> str:
-    from churnlake.oracle import MART, RAW, STG
-    inner = "WITH " + ",".join((RAW, STG, MART)) + " SELECT * FROM mart"
-    return f"""
-WITH cols AS (
-  SELECT CAST(row_number() OVER () AS INTEGER) AS ordinal, column_name,
-    CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-      WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS data_type,
-    column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') AS is_numeric
-  FROM (DESCRIBE ({inner})))
-{body}"""
+def _mart_kinds():
+    from churnlake.schemas import CATEGORICAL_FEATURES, DOUBLE_FEATURES, MART_COLUMNS
+    return [(c, "string" if c in CATEGORICAL_FEATURES else "double" if c in DOUBLE_FEATURES
+             else "bigint" if c == "customer_id" else "int") for c in MART_COLUMNS]
 
 
-@register("mart_columns", _describe_mart("SELECT ordinal, column_name FROM cols"))
+@register("mart_columns", sql(*CHAIN, body="\nUNION ALL\n".join(
+    f"SELECT {i} AS ordinal, '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count, "
+    f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values FROM mart" for i, (c, _) in enumerate(_mart_kinds(), 1))))
 def mart_columns(spark, sf):
-    return Q.column_catalogue(spark, mart_df(spark, sf)).select("ordinal", "column_name")
+    """Every mart column in order, with its exact NULL and distinct counts."""
+    return Q.column_counts(mart_df(spark, sf)).select("ordinal", "column_name", "null_count", "distinct_values")
+
+
+def _audit_sql():
+    parts = []
+    for c, _ in _mart_kinds():
+        if c in ("customer_id", "churn_flag"):
+            continue
+        parts.append(f"""SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS distinct_values,
+  coalesce(bool_and(lo = hi), false) AND count(*) < sum(n) AND count(DISTINCT lo) > 1 AS reproduces_label
+FROM (SELECT {c}, min(churn_flag) AS lo, max(churn_flag) AS hi, count(*) AS n FROM mart WHERE churn_flag IS NOT NULL GROUP BY {c})""")
+    body = "\nUNION ALL\n".join(parts)
+    return sql(*CHAIN, f"""
+a AS ({body})""", body=f"""
+SELECT column_name, distinct_values, reproduces_label,
+  contains(lower(column_name), 'naive_bayes') OR lower(column_name) = 'attrition_status' AS forbidden_name,
+  (SELECT count(*) FROM a) = {MART_WIDTH - 2} AS width_ok FROM a""")
 
 
-@register("leakage_audit", _describe_mart("""
-SELECT CAST(count(*) AS BIGINT) AS column_count,
-  CAST(count(*) FILTER (WHERE contains(lower(column_name), 'naive_bayes') OR lower(column_name) = 'attrition_status') AS BIGINT) AS forbidden_columns,
-  count(*) = 21 AS width_ok,
-  count(*) FILTER (WHERE contains(lower(column_name), 'naive_bayes') OR lower(column_name) = 'attrition_status') = 0 AS no_leakage
-FROM cols"""))
+@register("leakage_audit", _audit_sql())
 def leakage_audit(spark, sf):
-    return Q.leakage_audit(Q.column_catalogue(spark, mart_df(spark, sf)), MART_WIDTH)
+    """Per feature: a forbidden name, or values that alone tell the label of every labelled customer."""
+    return Q.leakage_audit(mart_df(spark, sf), MART_WIDTH)
 
 
-@register("feature_catalogue", _describe_mart("""
-SELECT ordinal, column_name, data_type, CASE WHEN is_numeric THEN 'numeric' ELSE 'categorical' END AS feature_kind
-FROM cols WHERE column_name NOT IN ('customer_id', 'churn_flag')"""))
+@register("feature_catalogue", sql(*CHAIN, body="\nUNION ALL\n".join(
+    f"SELECT {i} AS ordinal, '{c}' AS column_name, '{k}' AS data_type, "
+    f"'{'categorical' if k == 'string' else 'numeric'}' AS feature_kind, "
+    f"CAST(count({c}) AS BIGINT) AS present_values, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values FROM mart"
+    for i, (c, k) in enumerate(_mart_kinds(), 1) if c not in ("customer_id", "churn_flag"))))
 def feature_catalogue(spark, sf):
-    cat = Q.column_catalogue(spark, mart_df(spark, sf))
-    return (cat.filter(~F.col("column_name").isin("customer_id", "churn_flag"))
-            .select("ordinal", "column_name", "data_type",
-                    F.when(F.col("is_numeric"), F.lit("numeric")).otherwise(F.lit("categorical"))
-                    .alias("feature_kind")))
+    m = mart_df(spark, sf)
+    kinds = {f.name: (f.dataType.simpleString(), "categorical" if f.dataType.simpleString() == "string" else "numeric")
+             for f in m.schema.fields}
+    kind = F.create_map(*[x for c, (t, k) in kinds.items()
+                          for x in (F.lit(c), F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")))])
+    return Q.column_counts(m).filter(~F.col("column_name").isin("customer_id", "churn_flag")).select(
+        "ordinal", "column_name", kind[F.col("column_name")]["t"].alias("data_type"),
+        kind[F.col("column_name")]["k"].alias("feature_kind"), "present_values", "distinct_values")
+
+
+#: Registered variants of a customer's record: name -> (field, Spark expression, SQL expression).
+_VARIANTS = {
+    "text_from_number": ("gender", lambda: F.col("customer_age"), "customer_age"),
+    "text_from_object": ("gender", lambda: F.struct(F.col("customer_age").alias("a")), "struct_pack(a := customer_age)"),
+    "text_from_boolean": ("card_category", lambda: F.col("customer_age") > 40, "customer_age > 40"),
+    "integral_float": ("customer_age", lambda: F.col("customer_age").cast("double"), "CAST(customer_age AS DOUBLE)"),
+    "broken_float": ("customer_age", lambda: F.col("customer_age") + F.lit(0.5).cast("double"),
+                     "CAST(customer_age AS DOUBLE) + 0.5"),
+    "integer_text": ("customer_age", lambda: F.col("customer_age").cast("string"), "CAST(customer_age AS VARCHAR)"),
+    "float_text": ("customer_age", lambda: F.concat(F.col("customer_age").cast("string"), F.lit(".0")),
+                   "CAST(customer_age AS VARCHAR) || '.0'"),
+    "number_from_word": ("credit_limit", lambda: F.lit("high"), "'high'"),
+}
 
 
 def _contract_sql():
+    """The contract stated on its own, on DuckDB's JSON types."""
     from churnlake.schemas import DOUBLE_FEATURES, INTEGER_FEATURES
     checks = []
     for f in FEATURE_COLUMNS:
-        v = f"json_extract_string(record, '$.{f}')"
+        kind, text = f"json_type(record, '$.{f}')", f"json_extract_string(record, '$.{f}')"
+        whole = f"CAST({text} AS DOUBLE) = floor(CAST({text} AS DOUBLE))"
         if f in INTEGER_FEATURES:
-            bad = f"(NOT regexp_matches({v}, '{Q._INT_PATTERN}') OR TRY_CAST({v} AS INTEGER) IS NULL)"
+            good = (f"CASE WHEN {kind} IN ('BIGINT', 'UBIGINT') THEN TRY_CAST({text} AS INTEGER) IS NOT NULL "
+                    f"WHEN {kind} = 'DOUBLE' THEN {whole} AND TRY_CAST(CAST({text} AS DOUBLE) AS INTEGER) IS NOT NULL "
+                    f"WHEN {kind} = 'VARCHAR' THEN regexp_full_match({text}, '[-+]?[0-9]+') "
+                    f"AND TRY_CAST({text} AS INTEGER) IS NOT NULL ELSE false END")
         elif f in DOUBLE_FEATURES:
-            bad = f"(NOT regexp_matches({v}, '{Q._FLOAT_PATTERN}'))"
+            good = (f"CASE WHEN {kind} IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN true WHEN {kind} = 'VARCHAR' THEN "
+                    f"regexp_full_match({text}, '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') ELSE false END")
         else:
-            bad = "false"
-        checks.append(f"CASE WHEN {v} IS NULL THEN 'missing:{f}' WHEN {bad} THEN 'type:{f}' END")
+            good = f"{kind} = 'VARCHAR'"
+        checks.append(f"CASE WHEN coalesce({kind}, 'NULL') = 'NULL' THEN 'missing:{f}' WHEN NOT ({good}) THEN 'type:{f}' END")
     known = ", ".join(f"'{f}'" for f in FEATURE_COLUMNS)
-    feats = ", ".join(FEATURE_COLUMNS)
+
+    def record(change=(None, None)):
+        fields = ", ".join(f"{c} := {change[1] if c == change[0] else c}" for c in FEATURE_COLUMNS)
+        return f"CAST(to_json(struct_pack({fields})) AS VARCHAR)"
+
+    variants = "\n  UNION ALL\n  ".join(
+        f"SELECT '{name}:' || CAST(customer_id AS VARCHAR), {record((field, text))} FROM mart"
+        for name, (field, _, text) in _VARIANTS.items())
     return sql(*CHAIN, f"""
 recs AS (
-  SELECT 'customer:' || CAST(customer_id AS VARCHAR) AS record_id,
-    CAST(to_json(struct_pack({", ".join(f"{c} := {c}" for c in FEATURE_COLUMNS)})) AS VARCHAR) AS record FROM mart
+  SELECT 'customer:' || CAST(customer_id AS VARCHAR) AS record_id, {record()} AS record FROM mart
+  UNION ALL
+  {variants}
   UNION ALL
   SELECT 'event:' || CAST(event_id AS VARCHAR), props FROM events),
 reasons AS (
   SELECT record_id, list_sort(list_concat(
-      list_filter([{", ".join(checks)}], lambda x: x IS NOT NULL),
-      list_transform(list_filter(json_keys(record), lambda k: NOT list_contains([{known}], k)), lambda k: 'extra:' || k))) AS r
+      [x FOR x IN [{", ".join(checks)}] IF x IS NOT NULL],
+      ['extra:' || k FOR k IN json_keys(record) IF NOT list_contains([{known}], k)])) AS r
   FROM recs)""", body="""
 SELECT record_id, len(r) = 0 AS is_valid, CAST(len(r) AS INTEGER) AS n_reasons, array_to_string(r, ';') AS reasons
 FROM reasons""")
@@ -220,10 +262,17 @@ FROM reasons""")
 
 @register("contract_quarantine", _contract_sql())
 def contract_quarantine(spark, sf):
+    """Records of all customers, each also with one field of another JSON type, and all event payloads."""
     from churnlake.sources.fixture import read_table
     m = mart_df(spark, sf)
-    recs = m.select(F.concat(F.lit("customer:"), F.col("customer_id").cast("string")).alias("record_id"),
-                    F.to_json(F.struct(*FEATURE_COLUMNS)).alias("record"))
+
+    def record(field=None, value=None):
+        return F.to_json(F.struct(*[value.alias(c) if c == field else F.col(c) for c in FEATURE_COLUMNS]))
+
+    forms = [("customer", record())] + [(name, record(field, value())) for name, (field, value, _) in _VARIANTS.items()]
+    recs = m.select("customer_id", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), text.alias("record")) for name, text in forms])).alias("f")).select(
+        F.concat(F.col("f.name"), F.lit(":"), F.col("customer_id").cast("string")).alias("record_id"), "f.record")
     ev = read_table(spark, sf, "events").select(
         F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("record_id"),
         F.col("props").alias("record"))

@@ -81,14 +81,27 @@ def risk_summary(spark, sf):
 @register("risk_counts_zero_filled", sql(*CHAIN, SCORED, body="""
 SELECT d.risk_band, CAST(coalesce(c.n, 0) AS BIGINT) AS customers
 FROM (VALUES ('Low'), ('Medium'), ('High')) d(risk_band)
-LEFT JOIN (SELECT risk_band, count(*) AS n FROM scored WHERE churn_probability >= 0.4762 GROUP BY risk_band) c
-  ON c.risk_band = d.risk_band"""))
+LEFT JOIN (SELECT risk_band, count(*) AS n FROM scored GROUP BY risk_band) c ON c.risk_band = d.risk_band"""))
 def risk_counts_zero_filled(spark, sf):
-    # Counting only predicted churners leaves Low and Medium empty, which is
-    # exactly what the zero fill must show.
     from churnlake.plans.reports import risk_counts
-    pred = predictions_df(spark, sf).filter(F.col("churn_probability") >= 0.4762)
-    return risk_counts(spark, pred)
+    return risk_counts(spark, predictions_df(spark, sf))
+
+
+@register("portfolio_summary_empty", sql(*CHAIN, SCORED, body="""
+SELECT CAST(count(*) AS BIGINT) AS total_customers,
+  CAST(coalesce(sum(churn_prediction), 0) AS BIGINT) AS predicted_churn_customers,
+  coalesce(avg(CAST(churn_prediction AS DOUBLE)), 0.0) AS predicted_churn_rate,
+  coalesce(avg(churn_probability), 0.0) AS average_churn_probability,
+  CAST(count(*) FILTER (WHERE risk_band = 'Low') AS BIGINT) AS low_risk_customers,
+  CAST(count(*) FILTER (WHERE risk_band = 'Medium') AS BIGINT) AS medium_risk_customers,
+  CAST(count(*) FILTER (WHERE risk_band = 'High') AS BIGINT) AS high_risk_customers,
+  CAST(min(model_version) AS BIGINT) AS minimum_model_version,
+  CAST(max(model_version) AS BIGINT) AS maximum_model_version,
+  max(model_alias) AS model_alias, max(scored_at) AS latest_scoring_at
+FROM scored WHERE model_alias <> 'champion'"""))
+def portfolio_summary_empty(spark, sf):
+    """The summary of a model alias that scored nobody: zeros and NULLs, not an error."""
+    return V.portfolio_summary(predictions_df(spark, sf).filter(F.col("model_alias") != "champion"))
 
 
 @register("top_risk_customers", sql(*CHAIN, SCORED, body="""

@@ -50,12 +50,11 @@ def reconcile_sources(spark, sf):
 
 
 @register("staging_view", sql(*CHAIN, body="""
-SELECT customer_id, attrition_status, churn_flag, gender FROM stg WHERE churn_flag = 1"""))
+SELECT customer_id, attrition_status, churn_flag, gender FROM stg"""))
 def staging_view(spark, sf):
     # Staging is a view: a named lazy plan the SQL API can query.
     staging_df(spark, sf).createOrReplaceTempView("stg_bank_customers")
-    return spark.sql("SELECT customer_id, attrition_status, churn_flag, gender "
-                     "FROM stg_bank_customers WHERE churn_flag = 1")
+    return spark.sql("SELECT customer_id, attrition_status, churn_flag, gender FROM stg_bank_customers")
 
 
 @register("mart_materialise", sql(*CHAIN, body="SELECT * FROM mart"))
@@ -71,10 +70,15 @@ def mart_sample(spark, sf):
 
 
 def _published(spark, sf):
-    pred = predictions_df(spark, sf)
-    table = new_table_path(spark, "predictions")
-    snap = new_table_path(spark, "snapshot")
-    return P.publish_batch(spark, pred, table, snap)
+    m = mart_df(spark, sf)
+    return P.publish_batch(spark, predictions_df(spark, sf), new_table_path(spark, "predictions"),
+                           new_table_path(spark, "curated"), expected_rows_from=m)
+
+
+def _below_root(uri, paths):
+    """A stored URI as the source system names it: below ``curated``, if it really lies below the batch's root."""
+    root = paths["snapshot"].rsplit("/", 1)[0]
+    return F.when(uri.startswith(root + "/"), F.concat(F.lit("curated"), F.substring(uri, len(root) + 1, 1_000_000)))
 
 
 @register("prediction_mart_write", sql(*CHAIN, SCORED, body=f"SELECT {_PRED_SQL_COLS} FROM scored"))
@@ -86,46 +90,57 @@ def prediction_mart_write(spark, sf):
 @register("prediction_snapshot", sql(*CHAIN, SCORED, body=f"""
 SELECT {_PRED_SQL_COLS}, CAST(scored_at AS DATE) AS scored_date FROM scored"""))
 def prediction_snapshot(spark, sf):
-    root = files.write_snapshot(predictions_df(spark, sf), new_table_path(spark, "snapshot"))
-    return round_doubles(files.read_snapshot(spark, root, SCORED_AT[:10]))
+    # the same batch twice: the second write replaces the first
+    pred = predictions_df(spark, sf)
+    root = new_table_path(spark, "curated")
+    uri = P.batch_keys(pred, root).first()["snapshot_uri"]
+    for _ in range(2):
+        files.write_snapshot(pred, uri)
+    return round_doubles(files.read_snapshot(spark, f"{root}/{P.SNAPSHOT_PREFIX}", SCORED_AT[:10]))
+
 
+def _content(df):
+    """The checksum's columns, probabilities in millionths (text that both engines write alike)."""
+    return files.dataset_fingerprint(df, [
+        F.round(F.col(c) * 1_000_000).cast("bigint") if c == "churn_probability" else c for c in P.CONTENT])
 
-@register("snapshot_fingerprint")
+
+@register("snapshot_fingerprint", sql(*CHAIN, SCORED, f"""
+h AS (SELECT count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', customer_id,
+    CAST(round(churn_probability * 1000000) AS BIGINT), risk_band, churn_prediction, model_name, model_version,
+    model_alias)), 1, 8))::BIGINT) AS s FROM scored)""", body="""
+SELECT d AS dataset, CAST(n AS BIGINT) AS rows, CAST(coalesce(s, 0) AS VARCHAR) AS hash_sum, true AS checksum_kept
+FROM h, (VALUES ('prediction_table'), ('snapshot')) AS t(d)"""))
 def snapshot_fingerprint(spark, sf):
+    """Content of the stored table and of the snapshot behind its URI, and
+    whether each still has the checksum that was stored with the batch."""
     paths = _published(spark, sf)
-    stored = files.read_parquet(spark, paths["table"]).select(*PREDICTION_COLUMNS)
-    snap = files.read_snapshot(spark, paths["snapshot"]).select(*PREDICTION_COLUMNS)
-    # per-file SHA-256 of the snapshot files (each file bounded by maxRecordsPerFile); the
-    # sorted list holds one 64-char hash per 250k rows (~4k hashes per billion customers)
-    per_file = files.file_facts(spark, paths["snapshot"], "parquet").agg(
-        F.count(F.lit(1)).cast("bigint").alias("files"),
-        F.sort_array(F.collect_list("content_sha256")).alias("file_sha256"))
-    from churnlake.functions.columns import with_row
-    a = files.dataset_fingerprint(stored).select(
-        F.lit("prediction_table").alias("dataset"), "*", F.lit(None).cast("bigint").alias("files"),
-        F.lit(None).cast("array<string>").alias("file_sha256"))
-    b = with_row(files.dataset_fingerprint(snap).select(F.lit("snapshot").alias("dataset"), "*"), per_file)
-    return a.unionByName(b)
+    lineage = files.read_parquet(spark, paths["lineage"])
+    kept = files.read_parquet(spark, paths["checksum"]).select(F.struct("rows", "hash_sum").alias("k")).scalar()
+    out = None
+    for name, df in (("prediction_table", lineage), ("snapshot", P.recovered_snapshot(spark, lineage))):
+        same = files.dataset_fingerprint(df, P.CONTENT).select(F.struct("rows", "hash_sum").alias("k")).scalar()
+        row = _content(df).select(F.lit(name).alias("dataset"), "rows", "hash_sum", (same == kept).alias("checksum_kept"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("snapshot_matches_mart", sql(*CHAIN, SCORED, body="""
-SELECT CAST((SELECT count(*) FROM (SELECT * FROM scored EXCEPT ALL SELECT * FROM scored)) AS BIGINT) AS only_in_table,
-       CAST((SELECT count(*) FROM (SELECT * FROM scored EXCEPT ALL SELECT * FROM scored)) AS BIGINT) AS only_in_snapshot,
-       CAST((SELECT count(*) FROM scored) AS BIGINT) AS table_rows,
-       CAST((SELECT count(*) FROM scored) AS BIGINT) AS snapshot_rows"""))
+SELECT CAST(0 AS BIGINT) AS only_in_table, CAST(0 AS BIGINT) AS only_in_snapshot,
+       CAST(count(*) AS BIGINT) AS table_rows, CAST(count(*) AS BIGINT) AS snapshot_rows FROM scored"""))
 def snapshot_matches_mart(spark, sf):
+    """Row-by-row comparison of the table with the snapshot behind the URI that its rows carry."""
     paths = _published(spark, sf)
-    stored = files.read_parquet(spark, paths["table"]).select(*PREDICTION_COLUMNS)
-    snap = files.read_snapshot(spark, paths["snapshot"]).select(*PREDICTION_COLUMNS)
-    counts = [stored.exceptAll(snap).agg(F.count(F.lit(1)).cast("bigint").alias("only_in_table")),
-              snap.exceptAll(stored).agg(F.count(F.lit(1)).cast("bigint").alias("only_in_snapshot")),
-              stored.agg(F.count(F.lit(1)).cast("bigint").alias("table_rows")),
-              snap.agg(F.count(F.lit(1)).cast("bigint").alias("snapshot_rows"))]
-    from churnlake.functions.columns import with_row
-    out = counts[0]
-    for c in counts[1:]:
-        out = with_row(out, c)
-    return out
+    lineage = files.read_parquet(spark, paths["lineage"])
+    count = F.count(F.lit(1))
+    both = lineage.select(*PREDICTION_COLUMNS, F.lit(1).alias("_t"), F.lit(0).alias("_s")).unionByName(
+        P.recovered_snapshot(spark, lineage).select(*PREDICTION_COLUMNS, F.lit(0).alias("_t"), F.lit(1).alias("_s")))
+    per = both.groupBy(*PREDICTION_COLUMNS).agg(F.sum("_t").alias("t"), F.sum("_s").alias("s"), count.alias("n"))
+    return per.agg(
+        F.coalesce(F.sum(F.greatest(F.col("t") - F.col("s"), F.lit(0))), F.lit(0)).cast("bigint").alias("only_in_table"),
+        F.coalesce(F.sum(F.greatest(F.col("s") - F.col("t"), F.lit(0))), F.lit(0)).cast("bigint").alias("only_in_snapshot"),
+        F.coalesce(F.sum("t"), F.lit(0)).cast("bigint").alias("table_rows"),
+        F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("snapshot_rows"))
 
 
 _KEYS = f"""
@@ -148,7 +163,8 @@ def snapshot_keys(spark, sf):
 SELECT {_PRED_SQL_COLS.replace('customer_id,', 's.customer_id,', 1)}, k.scoring_run_id, k.snapshot_uri FROM scored s, keys k"""))
 def prediction_lineage_attach(spark, sf):
     paths = _published(spark, sf)
-    return round_doubles(files.read_parquet(spark, paths["lineage"]))
+    return round_doubles(files.read_parquet(spark, paths["lineage"]).withColumn(
+        "snapshot_uri", _below_root(F.col("snapshot_uri"), paths)))
 
 
 @register("lineage_validation", sql(*CHAIN, SCORED, _KEYS, body="""
@@ -159,7 +175,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(DISTINCT s.scoring_run
 FROM (SELECT scored.*, keys.scoring_run_id, keys.snapshot_uri FROM scored, keys) s"""))
 def lineage_validation(spark, sf):
     paths = _published(spark, sf)
-    t = files.read_parquet(spark, paths["lineage"])
+    t = files.read_parquet(spark, paths["lineage"]).withColumn("snapshot_uri", _below_root(F.col("snapshot_uri"), paths))
     return t.agg(
         F.count(F.lit(1)).cast("bigint").alias("total_rows"),
         F.count_distinct("scoring_run_id").cast("bigint").alias("run_ids"),
@@ -238,7 +254,15 @@ FROM (SELECT CAST(count(*) AS DOUBLE) AS customers_scored,
         CAST(count(*) FILTER (WHERE risk_band = 'Low') AS DOUBLE) AS low_risk_customers,
         round(avg(churn_probability), 6) AS average_churn_probability FROM scored)
 UNPIVOT (value FOR key IN (customers_scored, high_risk_customers, medium_risk_customers, low_risk_customers,
-  average_churn_probability))"""))
+  average_churn_probability))
+UNION ALL
+SELECT 'portfolio-scoring', CASE WHEN key = 'source_table' THEN 'tag' ELSE 'param' END, key, value, NULL
+FROM (SELECT max(model_name) AS model_name, CAST(max(model_version) AS VARCHAR) AS model_version,
+        max(model_alias) AS model_alias, '{WATCHLIST_THRESHOLD}' AS watchlist_threshold,
+        '{CLASSIFICATION_THRESHOLD}' AS classification_threshold,
+        (SELECT scoring_run_id FROM keys) AS scoring_run_id, '{SOURCE_TABLE}' AS source_table FROM scored)
+UNPIVOT (value FOR key IN (model_name, model_version, model_alias, watchlist_threshold, classification_threshold,
+  scoring_run_id, source_table))"""))
 def run_ledger(spark, sf):
     pred = predictions_df(spark, sf)
     keys = P.batch_keys(pred)
@@ -257,8 +281,7 @@ def run_ledger(spark, sf):
     vals = with_row(vals, keys.select("scoring_run_id"))
     path = LG.append_ledger(LG.ledger_rows("portfolio-scoring", vals, _LEDGER_KINDS),
                             new_table_path(spark, "ledger"))
-    # the metric rows are the oracle-checked part of the ledger
-    return LG.read_ledger(spark, path).filter(F.col("kind") == "metric")
+    return LG.read_ledger(spark, path)
 
 
 _CANDIDATES = """

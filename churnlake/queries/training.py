@@ -42,17 +42,21 @@ def cv_summary(spark, sf):
     return round_doubles(E.cv_summary(folds, bounds=bounds))
 
 
-def _final_sql():
+def _final_sql(rounding="round", digits=6):
     val = _pr_cte("lv", None, "pr")
+
+    def r(x):
+        return f"{rounding}({x}, {digits})"
+
     parts = []
     for name, t in (("default", "0.5"), ("best_f1", "(SELECT threshold FROM best)"),
                     ("watchlist", "(SELECT threshold FROM watch)")):
         parts.append(_conf_cte("lt", t, None, f"cf_{name}"))
     body = "\nUNION ALL\n".join(
         f"SELECT 'labelled_scores' AS model, '{n}' AS threshold_name, CAST({t} AS DOUBLE) AS threshold, "
-        f"round(rt.roc_auc, 6) AS roc_auc, round(rt.average_precision, 6) AS average_precision, "
-        f"round(c.accuracy, 6) AS accuracy, round(c.balanced_accuracy, 6) AS balanced_accuracy, "
-        f"round(c.precision, 6) AS precision, round(c.recall, 6) AS recall, round(c.f1, 6) AS f1 "
+        f"{r('rt.roc_auc')} AS roc_auc, {r('rt.average_precision')} AS average_precision, "
+        f"{r('c.accuracy')} AS accuracy, {r('c.balanced_accuracy')} AS balanced_accuracy, "
+        f"{r('c.precision')} AS precision, {r('c.recall')} AS recall, {r('c.f1')} AS f1 "
         f"FROM rt, cf_{n}_m c"
         for n, t in (("default", "0.5"), ("best_f1", "(SELECT threshold FROM best)"),
                      ("watchlist", "(SELECT threshold FROM watch)")))
@@ -62,19 +66,22 @@ lt AS (SELECT * FROM ls WHERE split = 'test')""", val, _BEST_F1, _WATCH, _pr_cte
                _rank_cte("pt_f", None, "rt"), *parts, body=body)
 
 
-@register("final_test_report", _final_sql())
-def final_test_report(spark, sf):
+def _final_report(spark, sf):
+    """Default, best-F1 and watchlist cuts of the validation split, applied to the test split."""
     ls = labelled_split(spark, sf)
     bounds = M.score_bounds(ls)
-    val = ls.filter(F.col("split") == "validation")
-    test = ls.filter(F.col("split") == "test")
-    pr = M.pr_table(val, bounds=bounds)
+    pr = M.pr_table(ls.filter(F.col("split") == "validation"), bounds=bounds)
     thresholds = {
         "default": 0.5,
         "best_f1": M.best_f1_threshold(pr).select("threshold").scalar(),
         "watchlist": M.watchlist_threshold(pr, WATCHLIST_MIN_PRECISION).select("threshold").scalar(),
     }
-    return round_doubles(E.final_test_report(test, thresholds, "labelled_scores", bounds=bounds))
+    return E.final_test_report(ls.filter(F.col("split") == "test"), thresholds, "labelled_scores", bounds=bounds)
+
+
+@register("final_test_report", _final_sql())
+def final_test_report(spark, sf):
+    return round_doubles(_final_report(spark, sf))
 
 
 @register("metrics_long", sql(*CHAIN, LABELLED, SPLIT, _LS, _pr_cte("ls", "split"), _rank_cte("pr_f", "split"), body="""
@@ -193,31 +200,21 @@ def dq_thresholds(spark, sf):
 
 def _importance_sql(repeats: int = 10, seed: int = 42):
     from churnlake.oracle import PROB
-    from churnlake.schemas import DOUBLE_FEATURES, FEATURE_COLUMNS
+    from churnlake.schemas import FEATURE_COLUMNS
     feats = FEATURE_COLUMNS
-    ints = [f for f in feats if f not in CATEGORICAL_FEATURES and f not in DOUBLE_FEATURES]
-
-    def case(kinds, cast):
-        return "CASE fk.feature " + " ".join(f"WHEN '{f}' THEN {cast.format(f'v.{f}')}" for f in kinds) + " END"
     hb = f"CAST(('0x' || substr(md5('perm-base:{seed}:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT)"
-    hp = (f"CAST(('0x' || substr(md5('perm:{seed}:' || fk.feature || ':' || CAST(fk.rep AS VARCHAR) || ':' "
+    hp = (f"CAST(('0x' || substr(md5('perm:{seed}:' || CAST(r.rep AS VARCHAR) || ':' "
           f"|| CAST(v.customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT)")
-    repl = []
-    for f in feats:
-        src, typ = (("value_string", "VARCHAR") if f in CATEGORICAL_FEATURES else
-                    ("value_double", "DOUBLE") if f in DOUBLE_FEATURES else ("value_long", "INTEGER"))
-        repl.append(f"CASE WHEN d.feature = '{f}' THEN CAST(d.{src} AS {typ}) ELSE b.{f} END AS {f}")
+    repl = ", ".join(f"CASE WHEN k.feature = '{f}' THEN d.{f} ELSE b.{f} END AS {f}" for f in feats)
     names = ", ".join(f"('{f}')" for f in feats)
     ctes = f"""
 v AS (SELECT customer_id, churn_flag AS label, {", ".join(feats)} FROM split WHERE split = 'validation'),
 base AS (SELECT *, row_number() OVER (ORDER BY {hb}, customer_id) AS position FROM v),
-fk AS (SELECT f.feature, r.rep FROM (VALUES {names}) f(feature) CROSS JOIN (SELECT range AS rep FROM range({repeats})) r),
 don AS (
-  SELECT fk.feature, fk.rep, {case(ints, 'CAST({} AS BIGINT)')} AS value_long,
-    {case(DOUBLE_FEATURES, '{}')} AS value_double, {case(CATEGORICAL_FEATURES, '{}')} AS value_string,
-    row_number() OVER (PARTITION BY fk.feature, fk.rep ORDER BY {hp}, v.customer_id) AS position
-  FROM v CROSS JOIN fk),
-perm AS (SELECT d.feature, d.rep, b.label, {", ".join(repl)} FROM base b JOIN don d ON d.position = b.position),
+  SELECT r.rep, v.*, row_number() OVER (PARTITION BY r.rep ORDER BY {hp}, v.customer_id) AS position
+  FROM v CROSS JOIN (SELECT range AS rep FROM range({repeats})) r),
+perm AS (SELECT k.feature, d.rep, b.label, {repl}
+  FROM base b JOIN don d ON d.position = b.position CROSS JOIN (VALUES {names}) k(feature)),
 ps AS (SELECT feature, rep, label, {PROB} AS score FROM perm),
 bs AS (SELECT label, {PROB} AS score FROM v)"""
     return sql(*CHAIN, SPLIT, ctes, _pr_cte("ps", "feature, rep", "pp"), _rank_cte("pp_f", "feature, rep", "prk"),
@@ -233,7 +230,7 @@ def permutation_importance(spark, sf):
     from churnlake.operators.importance import permutation_importance as pi
     from churnlake.schemas import FEATURE_COLUMNS
     val = S.hash_split(mart_df(spark, sf)).filter(F.col("split") == "validation")
-    imp = pi(val, fixed_score(), FEATURE_COLUMNS, repeats=10, seed=42)
+    imp = pi(val, fixed_score, FEATURE_COLUMNS, repeats=10, seed=42)
     return imp.select("feature", (F.round("importance_mean", 6) + F.lit(0.0)).alias("importance_mean"),
                       (F.round("importance_std", 6) + F.lit(0.0)).alias("importance_std"))
 
@@ -297,26 +294,10 @@ def model_gaussian_nb(spark, sf):
     return round_doubles(NB.predict(model, s.filter(F.col("split") == "validation")))
 
 
-def _final_display_sql():
-    # same statement, metrics rounded half-to-even to 4 decimals
-    return _final_sql().replace("round(", "round_even(").replace(", 6)", ", 4)")
-
-
-@register("final_test_report_display", _final_display_sql())
+@register("final_test_report_display", _final_sql("round_even", 4))
 def final_test_report_display(spark, sf):
     """The final report as displayed: metrics rounded half-to-even to 4
     decimals (pandas' rounding), not half-up."""
     from churnlake.functions.columns import report_round
-    from churnlake.plans.evaluation import METRICS
-    ls = labelled_split(spark, sf)
-    bounds = M.score_bounds(ls)
-    val, test = ls.filter(F.col("split") == "validation"), ls.filter(F.col("split") == "test")
-    pr = M.pr_table(val, bounds=bounds)
-    thresholds = {
-        "default": 0.5,
-        "best_f1": M.best_f1_threshold(pr).select("threshold").scalar(),
-        "watchlist": M.watchlist_threshold(pr, WATCHLIST_MIN_PRECISION).select("threshold").scalar(),
-    }
-    rep = E.final_test_report(test, thresholds, "labelled_scores", bounds=bounds)
-    return rep.select("model", "threshold_name", "threshold",
-                      *[report_round(m, 4).alias(m) for m in METRICS])
+    return _final_report(spark, sf).select(
+        "model", "threshold_name", "threshold", *[report_round(m, 4).alias(m) for m in E.METRICS])

@@ -39,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for written tables and checkpoints.
 
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint folder).
-    Only when neither is configured (a bare local test) do we create a
-    scratch folder and register it as the context's checkpoint folder; a
-    cluster session always names a shared folder.
+    Only when neither is configured and the master is ``local`` (one
+    machine) do we create a scratch folder and register it as the context's
+    checkpoint folder. On a cluster it would be another folder on every
+    machine, so a session without a shared folder is refused there.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
         if ck:
             path = ck.rsplit("/", 1)[0]  # the context adds a per-application subfolder
         else:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = _FALLBACK_DIRS.get(id(sc)) or tempfile.mkdtemp(prefix="churnlake-")
             _FALLBACK_DIRS[id(sc)] = path
     if sc.getCheckpointDir() is None:

@@ -63,7 +63,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
         # Clusters each file by the sort keys without a shuffle, so min/max
         # statistics prune scans on those keys (the index replacement).
         w = w.sortWithinPartitions(*sort_within)
-    writer = w.write.mode(mode)
+    writer = w.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -74,30 +74,27 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def snapshot_columns(pred: DataFrame) -> DataFrame:
-    """Adds the partition column ``scored_date`` (UTC date of the batch)."""
-    return pred.withColumn("scored_date", F.to_date(F.col("scored_at")))
-
-
-def write_snapshot(pred: DataFrame, root: str) -> str:
-    """Append one batch to the date-partitioned snapshot dataset; the
-    partition value lives in the path only (``scored_date=YYYY-MM-DD``)."""
-    write_parquet(snapshot_columns(pred), root, mode="append", partition_by=["scored_date"])
-    return root
+def write_snapshot(pred: DataFrame, uri: str) -> str:
+    """Write one batch to its own location ``uri``. A batch is one key: the
+    same batch written again replaces itself and never doubles its rows."""
+    return write_parquet(pred, uri, mode="overwrite")
 
 
 def read_snapshot(spark: SparkSession, root: str, scored_date: str | None = None) -> DataFrame:
-    """Partition discovery + pruning on ``scored_date``."""
-    df = spark.read.parquet(root)
+    """All batches below ``root``: partition discovery + pruning on
+    ``scored_date`` (the folder above a batch's own)."""
+    df = spark.read.option("basePath", root).parquet(f"{root}/scored_date=*")
     if scored_date is not None:
         df = df.filter(F.col("scored_date") == F.lit(scored_date).cast("date"))
     return df
 
 
-def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Order-free content fingerprint: rows, sum and xor of a row hash."""
+def dataset_fingerprint(df: DataFrame, columns: list | None = None) -> DataFrame:
+    """Order-free content fingerprint (rows, hash_sum): the sum of the first
+    32 bits of the MD5 of every row's text. ``columns`` may be expressions."""
     cols = columns or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    text = F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\\N"))
+                              for c in cols])
+    h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
-                  F.sum(F.pmod(h, F.lit(2 ** 31))).cast("bigint").alias("hash_sum"),
-                  F.bit_xor(h).alias("hash_xor"))
+                  F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)").cast("string").alias("hash_sum"))
