@@ -235,54 +235,60 @@ def permutation_importance(spark, sf):
                       (F.round("importance_std", 6) + F.lit(0.0)).alias("importance_std"))
 
 
-def _gnb_sql():
+def _prep_ctes(p: str, fit: str, target: str) -> str:
+    """CTEs <p>itr / <p>iva: imputed fit and target rows, <p>st: moments; ``fit`` and ``target`` are lists of splits."""
     nums, cats = NUMERIC_FEATURES, CATEGORICAL_FEATURES
     med = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}" for c in nums)
     mode = ", ".join(
-        f"(SELECT {c} FROM tr WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS o_{c}"
+        f"(SELECT {c} FROM {p}tr WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS o_{c}"
         for c in cats)
     imp_cols = lambda src: ", ".join(
         [f"coalesce(CAST({src}.{c} AS DOUBLE), md.m_{c}) AS {c}" for c in nums]
         + [f"coalesce({src}.{c}, mo.o_{c}) AS {c}" for c in cats])
     st = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in nums)
+    return f"""
+{p}tr AS (SELECT customer_id, churn_flag AS label, * EXCLUDE (customer_id, churn_flag) FROM split WHERE split IN ({fit}) AND churn_flag IS NOT NULL),
+{p}va AS (SELECT customer_id, churn_flag AS label, * EXCLUDE (customer_id, churn_flag) FROM split WHERE split IN ({target})),
+{p}md AS (SELECT {med} FROM {p}tr),
+{p}mo AS (SELECT {mode}),
+{p}itr AS (SELECT t.customer_id, t.label, {imp_cols('t')} FROM {p}tr t, {p}md md, {p}mo mo),
+{p}iva AS (SELECT v.customer_id, v.label, {imp_cols('v')} FROM {p}va v, {p}md md, {p}mo mo),
+{p}st AS (SELECT {st} FROM {p}itr)"""
+
+
+def _gnb_ctes(p: str, fit: str, target: str) -> str:
+    """The model fitted on ``fit``, with <p>j (customer_id, label, j0, j1) for ``target``."""
+    nums, cats = NUMERIC_FEATURES, CATEGORICAL_FEATURES
     num_long = lambda src: "\n  UNION ALL\n  ".join(
         f"SELECT customer_id, label, '{c}' AS feature, ({c} - st.mu_{c}) / coalesce(nullif(st.sd_{c}, 0), 1.0) AS x "
-        f"FROM {src}, st" for c in nums)
+        f"FROM {src}, {p}st st" for c in nums)
     cat_unpivot = lambda src: "\n  UNION ALL\n  ".join(
         f"SELECT customer_id, label, '{c}' AS column_name, {c} AS value FROM {src}" for c in cats)
-    ctes = f"""
-tr AS (SELECT customer_id, churn_flag AS label, * EXCLUDE (customer_id, churn_flag) FROM split WHERE split = 'train'),
-va AS (SELECT customer_id, churn_flag AS label, * EXCLUDE (customer_id, churn_flag) FROM split WHERE split = 'validation'),
-md AS (SELECT {med} FROM tr),
-mo AS (SELECT {mode}),
-itr AS (SELECT t.customer_id, t.label, {imp_cols('t')} FROM tr t, md, mo),
-iva AS (SELECT v.customer_id, v.label, {imp_cols('v')} FROM va v, md, mo),
-st AS (SELECT {st} FROM itr),
-catv AS (SELECT DISTINCT column_name, value AS category FROM ({cat_unpivot('itr')})),
-ltr AS (
-  {num_long('itr')}
-  UNION ALL
-  SELECT u.customer_id, u.label, c.column_name || '=' || c.category AS feature,
-    CASE WHEN u.value = c.category THEN 1.0 ELSE 0.0 END AS x
-  FROM ({cat_unpivot('itr')}) u JOIN catv c ON c.column_name = u.column_name),
-lva AS (
-  {num_long('iva')}
+    long = lambda src: f"""
+  {num_long(src)}
   UNION ALL
   SELECT u.customer_id, u.label, c.column_name || '=' || c.category AS feature,
     CASE WHEN u.value = c.category THEN 1.0 ELSE 0.0 END AS x
-  FROM ({cat_unpivot('iva')}) u JOIN catv c ON c.column_name = u.column_name),
-eps AS (SELECT 1e-9 * max(v) AS e FROM (SELECT feature, var_pop(x) AS v FROM ltr GROUP BY feature)),
-prm AS (SELECT label AS cls, feature, avg(x) AS mean, var_pop(x) + (SELECT e FROM eps) AS var FROM ltr GROUP BY label, feature),
-pri AS (SELECT label AS cls, ln(count(*) / (SELECT count(*) FROM tr)) AS lp FROM tr GROUP BY label),
-jll AS (
+  FROM ({cat_unpivot(src)}) u JOIN {p}catv c ON c.column_name = u.column_name"""
+    return _prep_ctes(p, fit, target) + f""",
+{p}catv AS (SELECT DISTINCT column_name, value AS category FROM ({cat_unpivot(p + 'itr')})),
+{p}ltr AS ({long(p + 'itr')}),
+{p}lva AS ({long(p + 'iva')}),
+{p}eps AS (SELECT 1e-9 * max(v) AS e FROM (SELECT feature, var_pop(x) AS v FROM {p}ltr GROUP BY feature)),
+{p}prm AS (SELECT label AS cls, feature, avg(x) AS mean, var_pop(x) + (SELECT e FROM {p}eps) AS var FROM {p}ltr GROUP BY label, feature),
+{p}pri AS (SELECT label AS cls, ln(count(*) / (SELECT count(*) FROM {p}tr)) AS lp FROM {p}tr GROUP BY label),
+{p}jll AS (
   SELECT l.customer_id, p.cls, sum(-0.5 * ln(2.0 * pi() * p.var) - (l.x - p.mean) * (l.x - p.mean) / (2.0 * p.var)) AS s
-  FROM lva l JOIN prm p ON p.feature = l.feature GROUP BY l.customer_id, p.cls),
-j AS (
+  FROM {p}lva l JOIN {p}prm p ON p.feature = l.feature GROUP BY l.customer_id, p.cls),
+{p}j AS (
   SELECT v.customer_id, v.label,
     max(CASE WHEN j.cls = 0 THEN j.s + pr.lp END) AS j0, max(CASE WHEN j.cls = 1 THEN j.s + pr.lp END) AS j1
-  FROM va v JOIN jll j ON j.customer_id = v.customer_id JOIN pri pr ON pr.cls = j.cls
+  FROM {p}va v JOIN {p}jll j ON j.customer_id = v.customer_id JOIN {p}pri pr ON pr.cls = j.cls
   GROUP BY v.customer_id, v.label)"""
-    return sql(*CHAIN, SPLIT, ctes, body="""
+
+
+def _gnb_sql():
+    return sql(*CHAIN, SPLIT, _gnb_ctes("", "'train'", "'validation'"), body="""
 SELECT customer_id, label, round(1.0 / (1.0 + exp(j0 - j1)), 6) AS score, CAST(j1 > j0 AS INTEGER) AS prediction FROM j""")
 
 
@@ -301,3 +307,105 @@ def final_test_report_display(spark, sf):
     from churnlake.functions.columns import report_round
     return _final_report(spark, sf).select(
         "model", "threshold_name", "threshold", *[report_round(m, 4).alias(m) for m in E.METRICS])
+
+
+def _knn_sql(max_fit_rows: int = 5000, k: int = 25):
+    from churnlake.operators.knn import MAX_FIT_ROWS, NEIGHBOURS
+    assert (max_fit_rows, k) == (MAX_FIT_ROWS, NEIGHBOURS)
+    num = " + ".join(f"pow((v.{c} - t.{c}) / coalesce(nullif(st.sd_{c}, 0), 1.0), 2)" for c in NUMERIC_FEATURES)
+    cat = " + ".join(f"CASE WHEN v.{c} = t.{c} THEN 0 ELSE 1 + CASE WHEN v.{c} IN (SELECT {c} FROM itr) THEN 1 ELSE 0 END END"
+                     for c in CATEGORICAL_FEATURES)
+    return sql(*CHAIN, SPLIT, _prep_ctes("", "'train'", "'validation'"), f"""
+fr AS (SELECT * FROM itr ORDER BY CAST(('0x' || substr(md5('knn:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT),
+  customer_id LIMIT {max_fit_rows}),
+dist AS (SELECT v.customer_id, v.label, t.label AS y, t.customer_id AS id, round({num} + {cat}, 9) AS d2 FROM iva v, fr t, st),
+near AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d2, id) <= {k}),
+sc AS (SELECT customer_id, label, CASE WHEN min(d2) = 0 THEN avg(y) FILTER (WHERE d2 = 0)
+    ELSE sum(y / sqrt(nullif(d2, 0))) / sum(1 / sqrt(nullif(d2, 0))) END AS score FROM near GROUP BY customer_id, label)""", body="""
+SELECT customer_id, label, round(score, 6) AS score, CAST(round(score, 9) > 0.5 AS INTEGER) AS prediction FROM sc""")
+
+
+@register("model_knn", _knn_sql())
+def model_knn(spark, sf):
+    """25 nearest training rows, weighted by distance, for every validation row."""
+    from churnlake.operators import knn
+    s = S.hash_split(mart_df(spark, sf))
+    model = knn.fit(s.filter(F.col("split") == "train"))
+    scored = knn.predict(model, s.filter(F.col("split") == "validation"))
+    return round_doubles(scored.withColumn("prediction", (F.round("score", 9) > 0.5).cast("int")))
+
+
+# --- one trained model from fit to final report --------------------------------
+
+_CHAIN_SCORES = """
+lv AS (SELECT customer_id, label, round(1.0 / (1.0 + exp(j0 - j1)), 9) AS score FROM f_j),
+lt AS (SELECT customer_id, label, round(1.0 / (1.0 + exp(j0 - j1)), 9) AS score FROM r_j)"""
+
+
+def _trained_ctes():
+    return [_gnb_ctes("f_", "'train'", "'validation'"), _gnb_ctes("r_", "'train', 'validation'", "'test'"),
+            _CHAIN_SCORES, _pr_cte("lv", None, "pr"), _BEST_F1, _WATCH, _pr_cte("lt", None, "pt"),
+            _rank_cte("pt_f", None, "rt")]
+
+
+_CUTS = (("default", "0.5"), ("best_f1", "(SELECT threshold FROM best)"), ("watchlist", "(SELECT threshold FROM watch)"))
+
+
+def _trained_sql():
+    body = "\nUNION ALL\n".join(
+        f"SELECT 'gaussian_nb' AS model, '{n}' AS threshold_name, round(CAST({t} AS DOUBLE), 6) AS threshold, "
+        + "round(rt.roc_auc, 6) AS roc_auc, round(rt.average_precision, 6) AS average_precision, "
+        + ", ".join(f"round(c.{m}, 6) AS {m}" for m in E.METRICS[2:]) + f" FROM rt, cf_{n}_m c" for n, t in _CUTS)
+    return sql(*CHAIN, SPLIT, *_trained_ctes(), *[_conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body=body)
+
+
+def _trained_report(spark, sf):
+    from churnlake.plans.training import naive_bayes_learner, trained_report
+    return trained_report(S.hash_split(mart_df(spark, sf)), naive_bayes_learner, "gaussian_nb")
+
+
+@register("trained_test_report", _trained_sql())
+def trained_test_report(spark, sf):
+    """Fit on train, cuts from the validation scores, refit on train and
+    validation, one report on the test split at the three cuts."""
+    return round_doubles(_trained_report(spark, sf))
+
+
+@register("training_ledger", sql(*CHAIN, SPLIT, *_trained_ctes(), *[
+    _conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body="\nUNION ALL\n".join(
+    [f"SELECT 'gaussian_nb' AS run_name, 'metric' AS kind, 'test_{m}_{n}' AS key, NULL AS value_text, "
+     f"round({'rt' if m in E.METRICS[:2] else 'c'}.{m}, 6) AS value_double FROM rt, cf_{n}_m c"
+     for n, _ in _CUTS for m in E.METRICS]
+    + [f"SELECT 'gaussian_nb', 'param', 'threshold_{n}', CAST(CAST(round({t} * 1e9) AS BIGINT) AS VARCHAR), NULL"
+       for n, t in _CUTS]
+    + ["SELECT 'gaussian_nb', 'param', 'development_rows', CAST(count(*) AS VARCHAR), NULL FROM r_tr",
+       "SELECT 'gaussian_nb', 'param', 'test_rows', CAST(count(*) AS VARCHAR), NULL FROM r_va",
+       "SELECT 'gaussian_nb', 'tag', 'stage', 'final', NULL"])))
+def training_ledger(spark, sf):
+    """Params (cuts in billionths, row counts), test metrics and tags of the trained run, appended and read back."""
+    from churnlake.plans.training import training_ledger_rows
+    from churnlake.session import new_table_path
+    from churnlake.sources import ledger as LG
+    split = S.hash_split(mart_df(spark, sf))
+    rows = training_ledger_rows(split, _trained_report(spark, sf), "gaussian_nb")
+    path = LG.append_ledger(rows, new_table_path(spark, "ledger"))
+    return round_doubles(LG.read_ledger(spark, path))
+
+
+@register("training_documents", sql(*CHAIN, SPLIT, *_trained_ctes(), *[
+    _conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body="\nUNION ALL\n".join(
+    [f"SELECT 'final_results' AS document, '{n}.{m}' AS field, "
+     f"CAST(round({'rt' if m in E.METRICS[:2] else 'c'}.{m} * 1e6) AS BIGINT) AS micros FROM rt, cf_{n}_m c"
+     for n, _ in _CUTS for m in E.METRICS]
+    + [f"SELECT 'thresholds', '{n}', CAST(round({t} * 1e6) AS BIGINT)" for n, t in _CUTS]
+    + ["SELECT 'pipeline_validation', split || '_rows', CAST(count(*) * 1000000 AS BIGINT) FROM split GROUP BY split",
+       f"SELECT 'features', 'numeric', CAST({len(NUMERIC_FEATURES)} * 1000000 AS BIGINT)",
+       f"SELECT 'features', 'categorical', CAST({len(CATEGORICAL_FEATURES)} * 1000000 AS BIGINT)"])))
+def training_documents(spark, sf):
+    """The run's four JSON documents, written as text, read back and parsed; numbers in millionths."""
+    from churnlake.plans.training import document_fields, training_documents as documents
+    from churnlake.session import new_table_path
+    docs = documents(S.hash_split(mart_df(spark, sf)), _trained_report(spark, sf))
+    path = new_table_path(spark, "documents")
+    docs.write.mode("errorifexists").parquet(path)
+    return document_fields(spark.read.parquet(path))
