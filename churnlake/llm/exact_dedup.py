@@ -151,8 +151,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 
     named = index.join(chains, ["key", "sha"], "left").select(
         "id", "n_chars", "sha", "key", F.coalesce("chain", F.lit(1)).alias("chain"))
-    groups = named.groupBy("key", "chain").agg(
-        F.max(F.struct("n_chars", (-F.col("id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size"))
+    # a written table, so that the join below has plain exchanges, whose hot keys Spark can split
+    groups = stage(spark, named.groupBy("key", "chain").agg(
+        F.max(F.struct("n_chars", (-F.col("id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size")), "kept")
     return named.join(groups, ["key", "chain"]).select(
         F.col("id").alias(id_col), (-F.col("best.neg")).alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("id").eqNullSafe(-F.col("best.neg")) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"),
