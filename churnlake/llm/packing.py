@@ -13,6 +13,7 @@ piece by its rank among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -26,7 +27,9 @@ from churnlake.llm.common import stage
 
 CAPACITY = 4096
 END_ID = 1
-_CACHED_TOKENS = 700_000
+_CACHED_PARTS = 1_200_000
+#: Latin letters and a run of ASCII marks without apostrophe: the tokenizer lower-cases and splits such parts there.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class WordCache:
@@ -34,28 +37,86 @@ class WordCache:
 
     The tokenizer treats white space as a boundary that leaves no token, so
     a text's ids are those of its parts between ASCII white space; parts are
-    encoded once and kept in a bounded cache.
+    encoded once and kept in a bounded cache. A plain word with marks behind
+    it has the ids of the lower-cased word and those of the marks; plain
+    words are encoded many to a string, and told apart by the word ends that
+    their last tokens carry.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 512):
+            some = words[at: at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # no word ends to go by
+                out += self._alone(some)
+                continue
+            raw, last = ids.tobytes(), 0
+            for x in cuts.tolist():
+                out.append(raw[4 * last: 4 * x])
+                last = x
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
+        for w in new:
+            text = w.decode()
+            m = _PLAIN.fullmatch(text)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append((w, text))
+        words = list({x[1] for x in plain})
+        ids = dict(zip(words, self._words(words)))
+        marks = list({x[2] for x in plain} - {""})
+        ids_of_marks = dict(zip(marks, self._alone(marks)))
+        ids_of_marks[""] = b""
+        for w, word, mark in plain:
+            self.known[w] = ids[word] + ids_of_marks[mark]
+        self.known.update(zip((w for w, _ in other), self._alone([t for _, t in other])))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        need = set().union(*parts)
-        new = [w for w in need if w not in self.known]
-        if len(self.known) + len(new) > _CACHED_TOKENS:
-            self.known, new = {}, list(need)
-        for at in range(0, len(new), 4096):
-            some = new[at: at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(
-                    [w.decode() for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in parts]
+        if len(self.known) > _CACHED_PARTS:
+            self.known = {}
+        get = self.known.get
+        found = []
+        for t in texts:  # one look-up per part; what is missing is learned at once for all texts
+            parts = t.split()
+            ids = list(map(get, parts))
+            at = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            found.append((ids, [(i, parts[i]) for i in at]))
+        new = {w for _, missing in found for _, w in missing}
+        if new:
+            self._learn(list(new))
+        known = self.known
+        for ids, missing in found:
+            for i, w in missing:
+                ids[i] = known[w]
+        return [b"".join(ids) for ids, _ in found]
+
+
+_KEPT: dict[str, WordCache] = {}
+
+
+def _worker_cache(path: str) -> WordCache:
+    """One cache per worker process, kept from task to task."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = WordCache(path)
+    return _KEPT[path]
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -63,13 +124,13 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     names = ["id", "piece", "start", "length", "crc"] + ["ids"] * with_ids
 
     def run(batches):
-        cache = WordCache(path)
+        cache = _worker_cache(path)
         for b in batches:
             column = pa.compute.fill_null(b.column(1), "").cast(pa.binary())
-            for at in range(0, b.num_rows, 256):
+            for at in range(0, b.num_rows, 1024):
                 rows = []
-                for i, ids in zip(b.column(0).slice(at, 256).to_pylist(),
-                                  cache.encode(column.slice(at, 256).to_pylist())):
+                for i, ids in zip(b.column(0).slice(at, 1024).to_pylist(),
+                                  cache.encode(column.slice(at, 1024).to_pylist())):
                     ids += end
                     for p, x in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[x: x + 4 * capacity]
