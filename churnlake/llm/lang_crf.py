@@ -9,6 +9,7 @@ bounded sample of labelled documents; scoring covers all words of all texts.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -32,7 +33,7 @@ class Settings:
     buckets: int = 1 << 16
     iterations: int = 50
     l2: float = 2e-6
-    cached_words: int = 300_000
+    cached_words: int = 800_000
     words_at_once: int = 400_000
 
 
@@ -63,10 +64,25 @@ class Emissions:
         self.row: dict[str, int] = {}
         self.table = np.zeros((1, weights.shape[1]), np.float32)
 
-    def add(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.row]
-        if len(self.row) + len(new) > self.settings.cached_words:
-            self.row, self.table, new = {}, self.table[:1], list(tokens)
+    def rows(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Rows of ``table`` for the tokens of each text; -1 for tokens without a letter."""
+        if len(self.row) > self.settings.cached_words:
+            self.row, self.table = {}, self.table[:1]
+        get = self.row.get
+        found, new = [], set()
+        for tokens in texts:  # one look-up per token; what is missing is added at once for all texts
+            r = list(map(get, tokens))
+            if None in r:
+                new.update(t for t, x in zip(tokens, r) if x is None)
+            found.append(r)
+        if new:
+            self.add(list(new))
+            row = self.row
+            found = [[row[t] if x is None else x for t, x in zip(tokens, r)] if None in r else r
+                     for tokens, r in zip(texts, found)]
+        return [np.array(r, np.int64) for r in found]
+
+    def add(self, new: list[str]) -> None:
         words = [letters(t) for t in new]
         known = [i for i, w in enumerate(words) if w]
         feats = [word_features(words[i], self.lexicon, self.settings.buckets) for i in known]
@@ -81,6 +97,17 @@ class Emissions:
                 self.row[new[i]] = base + r
 
 
+_KEPT: "dict[str, Emissions]" = {}
+
+
+def _worker_emissions(model: Model, settings: Settings) -> Emissions:
+    """One cache of a model per worker process, kept from task to task."""
+    if model.key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[model.key] = Emissions(model.weights, model.lexicon, settings)
+    return _KEPT[model.key]
+
+
 def posterior_sums(chains: list[np.ndarray], table: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum over each chain's words of the label posteriors, by batched forward-backward.
 
@@ -125,6 +152,7 @@ def posterior_sums(chains: list[np.ndarray], table: np.ndarray, trans: np.ndarra
 
 @dataclass
 class Model:
+    key: str
     labels: list[str]
     weights: np.ndarray
     trans: np.ndarray
@@ -223,7 +251,7 @@ def fit(samples: list[tuple[str, list[str]]], settings: Settings) -> Model:
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
             theta[i] -= 0.15 * (m[i] / (1 - 0.9 ** step)) / (np.sqrt(v[i] / (1 - 0.99 ** step)) + 1e-9)
-    return Model(labels, theta[0].astype(np.float32), theta[1], theta[2], lexicon)
+    return Model(uuid.uuid4().hex, labels, theta[0].astype(np.float32), theta[1], theta[2], lexicon)
 
 
 def _tokens(limit: int):
@@ -258,15 +286,10 @@ def labelled_sample(spark: SparkSession, labelled: DataFrame, settings: Settings
 
 def _predicted(model: Model | None, settings: Settings):
     def run(batches):
-        emissions = Emissions(model.weights, model.lexicon, settings) if model else None
+        emissions = _worker_emissions(model, settings) if model else None
 
         def score(texts: list[list[str]]):
-            emissions.add(set().union(*texts))
-            get = emissions.row.__getitem__
-            chains = []
-            for tokens in texts:
-                c = np.fromiter(map(get, tokens), np.int64, len(tokens))
-                chains.append(c[c >= 0])
+            chains = [c[c >= 0] for c in emissions.rows(texts)]
             sums = posterior_sums(chains, emissions.table, model.trans, model.first)
             best = sums.argmax(axis=1)
             n = np.array([len(c) for c in chains])
