@@ -80,7 +80,7 @@ class PieceModel:
         """Whether merging keeps pieces a and b apart as they are."""
         x, y = self.names[a], self.names[b]
         ok = self.fits[a << 21 | b] = x + y not in self.score and self.merged(x + y) == (x, y)
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) > 800_000:
             self.fits.clear()
         return ok
 
@@ -240,19 +240,20 @@ def decode(model: PieceModel, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-_MODELS: dict[str, PieceModel] = {}
+_KEPT: dict[str, Encoder] = {}
 
 
-def _model(path: str) -> PieceModel:
-    """One model per worker process."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+def _encoder(path: str) -> Encoder:
+    """One model and word cache per worker process, kept from task to task."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = Encoder(PieceModel(path))
+    return _KEPT[path]
 
 
 def _encoded(path: str):
     def run(batches):
-        encoder = Encoder(_model(path))
+        encoder = _encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
@@ -282,7 +283,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 def _decoded(path: str):
     def run(batches):
-        model = _model(path)
+        model = _encoder(path).model
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 ids = b.column(1).slice(at, 512).to_pylist()

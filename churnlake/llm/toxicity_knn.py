@@ -12,6 +12,7 @@ isotonic regression of leave-one-out votes.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -67,6 +68,17 @@ class Terms:
         return np.unique(np.array(out, np.int64), return_counts=True)
 
 
+_KEPT: dict[str, Terms] = {}
+
+
+def _worker_terms(vocabulary: dict[str, int], settings: Settings, key: str) -> Terms:
+    """One cache of a vocabulary per worker process, kept from task to task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Terms(vocabulary, settings)
+    return _KEPT[key]
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF of unit length; zeros where all terms are everywhere."""
     w = (1 + np.log(counts)) * idf
@@ -126,6 +138,7 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
+    key: str
     vocabulary: dict[str, int]
     idf: np.ndarray
     index: BlockMaxIndex
@@ -171,7 +184,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             np.maximum.accumulate([(p[2] + unit * mean) / (p[1] + unit) for p in pools]))
 
 
-def build_model(vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
+def build_model(key: str, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
                 settings: Settings) -> Model | None:
     """``examples``: (id, toxic, terms, counts); ``rates``: learnable rows by label."""
     total = sum(rates.values())
@@ -193,7 +206,7 @@ def build_model(vocabulary: dict[str, int], idf: np.ndarray, examples: list[tupl
     lead = [int(t[w.argmax()]) for t, w in vectors]  # like examples share blocks
     order = sorted(range(len(kept)), key=lambda i: (lead[i], zlib.crc32(str(kept[i][0]).encode()), kept[i][0]))
     vectors = [vectors[i] for i in order]
-    model = Model(vocabulary, idf, BlockMaxIndex(vectors, len(vocabulary)), np.array([kept[i][0] for i in order]),
+    model = Model(key, vocabulary, idf, BlockMaxIndex(vectors, len(vocabulary)), np.array([kept[i][0] for i in order]),
                   np.array([kept[i][1] for i in order], float), base, no_evidence, (np.zeros(1), np.array([base])))
     votes = []
     for i, (t, w) in enumerate(vectors):
@@ -227,10 +240,10 @@ def _term_counts(batches):
         yield out()
 
 
-def _doc_counts(vocabulary: dict[str, int], settings: Settings):
+def _doc_counts(vocabulary: dict[str, int], settings: Settings, key: str):
     """(text) -> (term, docs) of the vocabulary, combined in the task."""
     def run(batches):
-        terms, total = Terms(vocabulary, settings), np.zeros(len(vocabulary), np.int64)
+        terms, total = _worker_terms(vocabulary, settings, key), np.zeros(len(vocabulary), np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
                 total[terms.counts(text)[0]] += 1
@@ -252,7 +265,7 @@ def _example_rows(vocabulary: dict[str, int], settings: Settings):
 
 def _scored(model: Model | None, settings: Settings):
     def run(batches):
-        terms = Terms(model.vocabulary, settings) if model else None
+        terms = _worker_terms(model.vocabulary, settings, model.key) if model else None
         for b in batches:
             if model:
                 rows = [model.score(*terms.counts(t), settings) for t in b.column(1).to_pylist()]
@@ -304,15 +317,16 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
                  .where((F.col("n") >= settings.least_docs) & (chi2 >= settings.least_chi2))
                  .orderBy(chi2.desc(), "term").limit(settings.terms).collect()]
         vocabulary = {t: i for i, t in enumerate(terms)}
+        key = uuid.uuid4().hex
         n_docs = docs.count()
         freq = np.zeros(len(terms))
-        for r in docs.select("text").mapInArrow(_doc_counts(vocabulary, settings), "term long, n long") \
+        for r in docs.select("text").mapInArrow(_doc_counts(vocabulary, settings, key), "term long, n long") \
                 .groupBy("term").agg(F.sum("n").alias("n")).collect():
             freq[r["term"]] = r["n"]
         idf = np.log((1 + n_docs) / (1 + freq))
         rows = [tuple(r) for r in sample.mapInArrow(
             _example_rows(vocabulary, settings), "id long, toxic int, terms array<long>, counts array<long>").collect()]
-        model = build_model(vocabulary, idf, sorted(rows), rates, settings)
+        model = build_model(key, vocabulary, idf, sorted(rows), rates, settings)
     out = docs.mapInArrow(_scored(model, settings),
                           "id long, score double, neighbours array<long>, cosines array<double>")
     return out.select(F.col("id").alias(id_col), _held_out().alias("held_out"), "score",
