@@ -5,8 +5,9 @@ each document that passes the base rules is compared with a robust centre
 and covariance of its language and source: from several starts, C-steps keep
 the 75 % of a group with the smallest Mahalanobis distances and re-estimate,
 which never raises the determinant; the start with the smallest determinant
-wins. Groups stay rows of a table, and every step is a grouped aggregate
-with map-side combining, so one hot source is no single task.
+wins. Groups stay rows of a table; a row meets its group's estimate by
+(group, salt), and every step is a grouped aggregate with map-side
+combining, so one hot source is no single task.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CORE = 0.75
 MIN_ROWS = 60
 STEPS = 6
 STARTS = 3
+#: A group's rows are joined with its estimate in so many parts.
+SALTS = 32
 #: Distances are rejected beyond this square; far in the tail, since text lengths are not normal.
 CUTOFF = 45.0
 
@@ -105,10 +108,15 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*out)
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """One copy of a group's row for each part of its rows."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _median_start(rows: DataFrame) -> DataFrame:
     """Coordinate-wise median, and squared scaled median deviation as diagonal covariance."""
     mid = rows.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 10000).alias(f"m{i}") for i, x in enumerate(FEATURES)])
-    dev = rows.join(mid, "grp").groupBy("grp").agg(*[
+    dev = rows.join(_salted(mid), ["grp", "salt"]).groupBy("grp").agg(*[
         F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}")
         for i, x in enumerate(FEATURES)], *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)])
     return dev.select("grp", F.lit(0).alias("start"), *[f"m{i}" for i in range(P)], *[
@@ -121,6 +129,7 @@ def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
     ``scale`` brings the median squared distance to that of a chi-squared variable.
     """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", *FEATURES), F.lit(SALTS)).cast("int"))
     starts = _median_start(rows)
     for k in range(1, STARTS):  # a start from a tenth of the rows, picked by their hash
         some = rows.where(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10)) == 0)
@@ -128,19 +137,19 @@ def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
     keys = ["grp", "start"]
     fit = stage(spark, _whitened(starts, keys), "mcd")
     for _ in range(STEPS):
-        far = rows.join(fit, "grp").withColumn("d2", _distance())
+        far = rows.join(_salted(fit), ["grp", "salt"]).withColumn("d2", _distance())
         edge = far.groupBy(*keys).agg(F.percentile_approx("d2", CORE, 10000).alias("edge"))
-        core = far.join(edge, keys).where("d2 <= edge").select(*keys, *FEATURES)
+        core = far.join(_salted(edge), [*keys, "salt"]).where("d2 <= edge").select(*keys, *FEATURES)
         fit = stage(spark, _whitened(_moments(core, keys), keys), "mcd")
     best = fit.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("b")).select("grp", "b.start")
     fit = stage(spark, fit.join(best, keys), "mcd")
 
     def scaled(fit):
-        return fit.join(rows.join(fit, "grp").groupBy("grp").agg(
+        return fit.join(rows.join(_salted(fit), ["grp", "salt"]).groupBy("grp").agg(
             (CHI2_MEDIAN / F.percentile_approx(_distance(), 0.5, 10000)).alias("scale")), "grp")
 
     # one reweighting step: all rows inside the 0.975 quantile
-    near = rows.join(scaled(fit), "grp").where(_distance() * F.col("scale") <= CHI2_975).select("grp", *FEATURES)
+    near = rows.join(_salted(scaled(fit)), ["grp", "salt"]).where(_distance() * F.col("scale") <= CHI2_975).select("grp", *FEATURES)
     return stage(spark, scaled(stage(spark, _whitened(_moments(near, ["grp"]), ["grp"]), "mcd")), "mcd")
 
 
