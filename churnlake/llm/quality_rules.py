@@ -19,8 +19,9 @@ from churnlake.llm.common import SPACE_RE, stage
 
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 P = len(FEATURES)
-# Chi-squared with 5 degrees of freedom at 0.5 and 0.975.
-CHI2_MEDIAN, CHI2_975 = 4.3515, 12.8325
+# Chi-squared with 5 degrees of freedom at 0.975, and the factor that makes the covariance of the
+# nearest 75 % consistent for normal data.
+CHI2_975, CONSISTENCY = 12.8325, 1.41
 #: Standard deviations below which a feature is not resolved (its measurement grain).
 GRAIN = (0.25, 0.08, 0.08, 0.25, 0.2)
 #: Share of a group whose distances are kept in a C-step.
@@ -31,8 +32,8 @@ STEPS = 6
 STARTS = 3
 #: A group's rows are joined with its estimate in so many parts.
 SALTS = 32
-#: Distances are rejected beyond this square; far in the tail, since text lengths are not normal.
-CUTOFF = 45.0
+#: Squared distances are rejected beyond the 0.999 quantile of chi-squared with 5 degrees of freedom.
+CUTOFF = 20.515
 
 
 def _entry(i: int, j: int) -> str:
@@ -125,10 +126,7 @@ def _median_start(rows: DataFrame) -> DataFrame:
 
 
 def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(grp, m_i, w_ij, scale): robust centre and whitening factor of each group of ``rows`` (grp, id, features).
-
-    ``scale`` brings the median squared distance to that of a chi-squared variable.
-    """
+    """(grp, m_i, w_ij, logdet): robust centre and whitening factor of each group of ``rows`` (grp, id, features)."""
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", *FEATURES), F.lit(SALTS)).cast("int"))
     starts = _median_start(rows)
     for k in range(1, STARTS):  # a start from a tenth of the rows, picked by their hash
@@ -144,13 +142,9 @@ def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
     best = fit.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("b")).select("grp", "b.start")
     fit = stage(spark, fit.join(best, keys), "mcd")
 
-    def scaled(fit):
-        return fit.join(rows.join(_salted(fit), ["grp", "salt"]).groupBy("grp").agg(
-            (CHI2_MEDIAN / F.percentile_approx(_distance(), 0.5, 10000)).alias("scale")), "grp")
-
     # one reweighting step: all rows inside the 0.975 quantile
-    near = rows.join(_salted(scaled(fit)), ["grp", "salt"]).where(_distance() * F.col("scale") <= CHI2_975).select("grp", *FEATURES)
-    return stage(spark, scaled(stage(spark, _whitened(_moments(near, ["grp"]), ["grp"]), "mcd")), "mcd")
+    near = rows.join(_salted(fit), ["grp", "salt"]).where(_distance() <= CHI2_975 * CONSISTENCY).select("grp", *FEATURES)
+    return stage(spark, _whitened(_moments(near, ["grp"]), ["grp"]), "mcd")
 
 
 def quality_verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -189,7 +183,7 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     groups = groups.join(big, "grp", "left_semi").select("lang", "src", "grp")
     fit = mcd(spark, good.join(groups, ["lang", "src"]).select("grp", "id", *FEATURES))
     scored = stats.join(groups, ["lang", "src"], "left").join(fit, "grp", "left").withColumn(
-        "distance2", F.when(~F.col("base_failed"), _distance() * F.col("scale")))
+        "distance2", F.when(~F.col("base_failed"), _distance()))
     return scored.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)).alias("kept"),

@@ -13,7 +13,7 @@ from churnlake.llm import lang_crf, license_rules, toxicity_knn
 from churnlake.llm.common import _importable
 from churnlake.llm.lang_crf import identify_languages, posterior_sums
 from churnlake.llm.license_rules import scan_licenses
-from churnlake.llm.quality_rules import CORE, GRAIN, mcd, quality_verdicts, text_statistics
+from churnlake.llm.quality_rules import CORE, CUTOFF, GRAIN, mcd, quality_verdicts, text_statistics
 from churnlake.llm.toxicity_knn import BlockMaxIndex, isotonic, score_toxicity, weighted
 from helpers import DOC_SCHEMA, awkward, docs_frame
 
@@ -47,7 +47,7 @@ def test_statistics_match_brute_force(spark):
 
 
 def clean_text(r, n):
-    return " ".join("".join(r.choice("aeiou") + r.choice("bcdfglmnprst") for _ in range(r.randrange(1, 4)))
+    return " ".join("".join(r.choice("aeiou") + r.choice("bcdfglmnprst") for _ in range(r.randrange(2, 5)))
                     for _ in range(n))
 
 
@@ -91,8 +91,8 @@ def test_mcd_matches_numpy(spark):
     w = np.array([[fit[f"w{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
     m = np.array([fit[f"m{i}"] for i in range(5)])
     assert np.abs(m - x[70:].mean(axis=0)).max() < 0.15
-    d = (((x - m) @ w.T) ** 2).sum(axis=1) * fit.scale
-    assert d[:70].min() > 45 > np.sort(d[70:])[-3]
+    d = (((x - m) @ w.T) ** 2).sum(axis=1)
+    assert d[:70].min() > CUTOFF > np.sort(d[70:])[-3]
     assert fit.logdet <= np.linalg.slogdet(np.cov(x[70:].T, bias=True) + np.diag(np.square(GRAIN)))[1] + 0.5
 
 
