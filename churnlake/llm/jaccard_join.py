@@ -9,7 +9,9 @@ two similar sets agree, in some first-level part, on all but k2 of its
 second-level parts; so each set emits one signature for every choice of
 n2-k2 second-level parts, and similar sets share at least one.
 
-A set also emits signatures for the next band when a partner may lie there.
+Bands go by the smaller set of a pair, so a set also emits signatures for the
+band below when a partner may lie there. Signatures that many sets share
+(of passages, mostly) are dropped by the sets that can spare them.
 """
 
 from __future__ import annotations
@@ -57,41 +59,50 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
 class PartEnum:
     """Bands and partition numbers for a threshold of ``percent`` / 100."""
 
-    GROWTH = 1.25  # ratio of a band's ends
+    GROWTH = 1.5  # ratio of a band's ends
+    EXTRA = 3  # signatures that a set may lose beyond the empty ones
 
     def __init__(self, percent: int):
         self.percent, self.low, self.plans = percent, [1], {}
 
-    def bands(self, n: int):
-        """Bands in which a set of n elements needs signatures."""
-        while self.low[-1] * self.percent <= 100 * n or self.low[-1] <= n:
+    def _reach(self, band: int) -> None:
+        while len(self.low) < band + 2:
             self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * self.GROWTH)))
-        first = next(i for i in range(len(self.low)) if self.low[i + 1] > n)
-        return [j for j in range(first, len(self.low) - 1)
-                if j == first or self.low[j] * self.percent <= 100 * n]
+
+    def bands(self, n: int) -> list[int]:
+        """Bands whose pairs (by their smaller set) a set of n elements can belong to."""
+        own = 0
+        self._reach(own)
+        while self.low[own + 1] <= n:
+            own += 1
+            self._reach(own)
+        first = own
+        while first and (self.low[first] - 1) * 100 >= self.percent * n:  # the largest set of the band before
+            first -= 1
+        return list(range(first, own + 1))
 
     def plan(self, band: int):
         """(n1, n2, chosen second-level parts, spare) of a band; None if only equal sets can be similar.
 
         k differences spoil at most all but ``spare + 1`` signatures of a set
         (one signature each for n2 = 2; for n2 > 2 the first difference in a
-        part spoils n2 - 1 and the second the last). So a set with at most
-        ``spare`` empty signatures may drop them: a similar partner shares
-        another one. The few sets with more empty ones emit them all.
-        n1 and n2 give the fewest signatures with enough spare ones.
+        part spoils n2 - 1 and the second the last). So a set that loses at
+        most ``spare`` signatures, empty or too common ones, still shares
+        another one with any similar partner; sets that would lose more keep
+        them all, and two of these share one that both keep. n1 and n2 give
+        the fewest signatures with enough spare ones.
         """
         if band not in self.plans:
-            while len(self.low) < band + 2:
-                self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * self.GROWTH)))
+            self._reach(band)
             lo, hi = self.low[band], self.low[band + 1] - 1
-            k = 2 * hi * (100 - self.percent) // (100 + self.percent)
+            k = (100 - self.percent) * (hi + hi * 100 // self.percent) // (100 + self.percent)
             best = None
             for n2 in (2, 3, 4) if k else ():
                 n1 = k // 2 + 1
                 while True:
                     spare = (n1 * n2 - k * (n2 - 1) if k <= n1 else 2 * n1 - k) - 1
                     mean = n1 * n2 * math.exp(-lo * (n2 - 1) / (n1 * n2))
-                    if mean + 3 * math.sqrt(mean) <= max(spare, 0.5) or n1 > 2 * k + 8:
+                    if mean + 3 * math.sqrt(mean) + self.EXTRA * (k > 8) <= max(spare, 0.5) or n1 > 2 * k + 8:
                         break
                     n1 += 1
                 if best is None or n1 * n2 < best[0] * best[1]:
@@ -99,11 +110,15 @@ class PartEnum:
             self.plans[band] = best
         return self.plans[band]
 
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """64-bit signatures of a sorted set (uint64)."""
-        out = []
+    def signatures(self, h: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """64-bit signatures of a sorted set (uint64) with the band in the low 6 bits, and the set's slack.
+
+        The slack is (band & 63) << 16 | signatures it may still lose, by
+        band; bands in which it may lose none are left out.
+        """
+        out, slack = [], []
         if not len(h):
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.uint64), slack
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + _MUL), dtype=np.uint64)])
         for band in self.bands(len(h)):
             plan = self.plan(band)
@@ -118,12 +133,13 @@ class PartEnum:
             part = np.arange(n1, dtype=np.uint64) * np.uint64(len(subsets))
             sig = np.stack([mix64(sums[:, s].sum(axis=1, dtype=np.uint64)
                                   + mix64(part + np.uint64(i + (band << 40)))) for i, s in enumerate(subsets)])
+            sig = (sig & ~np.uint64(63)) | np.uint64(band & 63)
             full = np.stack([sizes[:, s].sum(axis=1) > 0 for s in subsets])
-            if (~full).sum() <= spare:
-                out.append(sig[full])
-            else:
-                out.append(sig.ravel())
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            left = spare - int((~full).sum())
+            out.append(sig[full] if left >= 0 else sig.ravel())
+            if left > 0:
+                slack.append((band & 63) << 16 | min(left, 65535))
+        return np.concatenate(out) if out else np.empty(0, np.uint64), slack
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -147,7 +163,9 @@ def _described(width: int, percent: int, with_set: bool, with_sigs: bool):
                     out["cls"] = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                                           pa.binary())
                 if with_sigs:
-                    out["sigs"] = _lists([scheme.signatures(s) for s in sets])
+                    made = [scheme.signatures(s) for s in sets]
+                    out["sigs"] = _lists([m[0] for m in made])
+                    out["slack"] = pa.array([m[1] for m in made], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
     return run
 
@@ -224,6 +242,22 @@ def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: D
                  "second_pairs")
 
 
+#: Signatures of more sets than this are common.
+COMMON = 8
+
+
+def _without_common(members: DataFrame) -> DataFrame:
+    """Rows (id, sig, slack, m) but the common signatures of sets that can lose all their common ones in a band."""
+    band = F.col("sig").bitwiseAND(F.lit(63)).cast("int")
+    common = members.where(F.col("m") > COMMON).groupBy("id", band.alias("band")).agg(
+        F.count_distinct("sig").alias("common"))
+    allowed = F.get(F.filter("slack", lambda x: F.shiftright(x, 16) == F.col("band")), F.lit(0)).bitwiseAND(
+        F.lit(65535))
+    rows = members.withColumn("band", band).join(common, ["id", "band"], "left")
+    keep = (F.col("m") <= COMMON) | F.coalesce(F.col("common") > allowed, F.lit(True))
+    return rows.where(keep).select("id", "sig", "m")
+
+
 def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
                               text_col: str = "text", width: int = 5, percent: int = 80,
                               keep_signatures: bool = False) -> DataFrame:
@@ -245,20 +279,20 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
     ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, cls binary" + ", sigs array<long>" * keep_signatures
+    schema = "id long, n long, cls binary" + ", sigs array<long>, slack array<int>" * keep_signatures
     base = stage(spark, docs.mapInArrow(_described(width, percent, True, keep_signatures), schema), "sets")
     classes = stage(spark, base.where("n > 0").groupBy("cls").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("rep is not null"), "classes")
     rep_ids = classes.select(F.col("rep").alias("id"))
     if keep_signatures:
-        signed = semi_join_ids(base.select("id", "sigs"), rep_ids, "id")
+        signed = semi_join_ids(base.select("id", "sigs", "slack"), rep_ids, "id")
     else:
         signed = semi_join_ids(docs, rep_ids, "id").mapInArrow(
-            _described(width, percent, False, True), "id long, sigs array<long>")
-    rows = signed.select("id", F.explode("sigs").alias("sig"))
-    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")) \
-        .where("lo < hi").select("sig", "m")
+            _described(width, percent, False, True), "id long, sigs array<long>, slack array<int>")
+    rows = signed.select("id", F.explode("sigs").alias("sig"), "slack")
+    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = stage(spark, rows.join(groups, "sig"), "groups")
+    members = stage(spark, _without_common(members), "members")
     weight = members.groupBy("id").agg(F.sum("m").alias("weight"))
     leaders = members.join(weight, "id").groupBy("sig").agg(
         F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("lead")).select("sig", (-F.col("lead.neg")).alias("a"))
