@@ -31,11 +31,19 @@ def scan_csv_roundtrip(spark, sf):
     return df.select(*RAW_SCHEMA.names)
 
 
-@register("source_file_facts")
+@register("source_file_facts", sql(*CHAIN, body="""
+SELECT CAST(count(*) AS BIGINT) AS rows, true AS names_differ, true AS all_tagged, true AS tags_follow_content FROM raw"""))
 def source_file_facts(spark, sf):
+    """Rows over all files of the source, and whether each file has its own
+    name and a content tag that a second reading confirms."""
     path, _ = _csv_roundtrip(spark, sf)
-    return files.file_facts(spark, path, "csv", RAW_SCHEMA).select(
-        "file_name", "file_size", "rows", "content_md5")
+    facts = files.file_facts(spark, path, "csv", RAW_SCHEMA)
+    again = files.file_facts(spark, path, "csv", RAW_SCHEMA).select("file_path", F.col("content_md5").alias("again"))
+    return facts.join(again, "file_path").agg(
+        F.sum("rows").cast("bigint").alias("rows"),
+        (F.count_distinct("file_name") == F.count(F.lit(1))).alias("names_differ"),
+        F.bool_and((F.length("content_md5") == 32) & (F.length("content_sha256") == 64)).alias("all_tagged"),
+        F.bool_and(F.col("content_md5") == F.col("again")).alias("tags_follow_content"))
 
 
 @register("reconcile_sources", sql(*CHAIN, body="""
@@ -212,7 +220,7 @@ _SUMMARY_SCALARS = ["source_table", "target_table", "snapshot_uri", "scored_at",
                     "watchlist_threshold", "classification_threshold", "risk_low", "risk_medium", "risk_high"]
 
 
-@register("scoring_summary", sql(*CHAIN, SCORED, _KEYS, body=f"""
+_SUMMARY_SQL = sql(*CHAIN, SCORED, _KEYS, body=f"""
 SELECT '{SOURCE_TABLE}' AS source_table, '{TARGET_TABLE}' AS target_table,
   (SELECT snapshot_uri FROM keys) AS snapshot_uri, (SELECT scored_at_iso FROM keys) AS scored_at,
   CAST(count(*) AS BIGINT) AS customers_scored, CAST(count(DISTINCT customer_id) AS BIGINT) AS unique_customers,
@@ -221,7 +229,10 @@ SELECT '{SOURCE_TABLE}' AS source_table, '{TARGET_TABLE}' AS target_table,
   CAST(count(*) FILTER (WHERE risk_band = 'Low') AS BIGINT) AS risk_low,
   CAST(count(*) FILTER (WHERE risk_band = 'Medium') AS BIGINT) AS risk_medium,
   CAST(count(*) FILTER (WHERE risk_band = 'High') AS BIGINT) AS risk_high
-FROM scored"""))
+FROM scored""")
+
+
+@register("scoring_summary", _SUMMARY_SQL)
 def scoring_summary(spark, sf):
     pred = predictions_df(spark, sf)
     s = P.scoring_summary(pred, P.batch_keys(pred), SOURCE_TABLE,
@@ -229,14 +240,21 @@ def scoring_summary(spark, sf):
     return s.select(*_SUMMARY_SCALARS)
 
 
-@register("scoring_summary_document")
+@register("scoring_summary_document", _SUMMARY_SQL)
 def scoring_summary_document(spark, sf):
     pred = predictions_df(spark, sf)
     s = P.scoring_summary(pred, P.batch_keys(pred), SOURCE_TABLE,
                           TARGET_TABLE, WATCHLIST_THRESHOLD, CLASSIFICATION_THRESHOLD)
     path = new_table_path(spark, "scoring_summary")
     s.select("document").write.mode("errorifexists").text(path)
-    return spark.read.text(path).withColumnRenamed("value", "document")
+    bands = ["Low", "Medium", "High"]
+    doc = F.from_json("value", "source_table string, target_table string, snapshot_uri string, scored_at string, "
+                      "customers_scored bigint, unique_customers bigint, model_name string, model_version int, "
+                      "model_alias string, watchlist_threshold double, classification_threshold double, "
+                      "risk_distribution struct<Low: bigint, Medium: bigint, High: bigint>")
+    parsed = spark.read.text(path).select(doc.alias("d")).select("d.*")
+    return parsed.select("*", *[F.col(f"risk_distribution.{b}").alias(f"risk_{b.lower()}") for b in bands]).select(
+        *_SUMMARY_SCALARS)
 
 
 _LEDGER_KINDS = {"model_name": "param", "model_version": "param", "model_alias": "param",
