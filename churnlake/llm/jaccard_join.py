@@ -10,8 +10,10 @@ second-level parts; so each set emits one signature for every choice of
 n2-k2 second-level parts, and similar sets share at least one.
 
 Bands go by the smaller set of a pair, so a set also emits signatures for the
-band below when a partner may lie there. Signatures that many sets share
-(of passages, mostly) are dropped by the sets that can spare them.
+band below when a partner may lie there. There are some more parts than the
+bound needs, so similar sets share several signatures, and a set that shares
+too few of them with anybody (a common passage, say) leaves before any pair
+is formed.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlake.llm.common import connected_components, semi_join_ids, stage
@@ -60,7 +62,7 @@ class PartEnum:
     """Bands and partition numbers for a threshold of ``percent`` / 100."""
 
     GROWTH = 1.5  # ratio of a band's ends
-    EXTRA = 3  # signatures that a set may lose beyond the empty ones
+    EXTRA = 3  # signatures that a set may share by chance, beyond the empty ones
 
     def __init__(self, percent: int):
         self.percent, self.low, self.plans = percent, [1], {}
@@ -86,11 +88,11 @@ class PartEnum:
 
         k differences spoil at most all but ``spare + 1`` signatures of a set
         (one signature each for n2 = 2; for n2 > 2 the first difference in a
-        part spoils n2 - 1 and the second the last). So a set that loses at
-        most ``spare`` signatures, empty or too common ones, still shares
-        another one with any similar partner; sets that would lose more keep
-        them all, and two of these share one that both keep. n1 and n2 give
-        the fewest signatures with enough spare ones.
+        part spoils n2 - 1 and the second the last). So a set with at most
+        ``spare`` empty signatures may drop these and still shares more than
+        ``spare`` less their number with any similar partner; the few sets
+        with more empty ones keep them all. n1 and n2 give the fewest
+        signatures with enough spare ones.
         """
         if band not in self.plans:
             self._reach(band)
@@ -110,15 +112,14 @@ class PartEnum:
             self.plans[band] = best
         return self.plans[band]
 
-    def signatures(self, h: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """64-bit signatures of a sorted set (uint64) with the band in the low 6 bits, and the set's slack.
+    def signatures(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(slack, 64-bit signatures with the band in the low 6 bits) of a sorted set (uint64), by band.
 
-        The slack is (band & 63) << 16 | signatures it may still lose, by
-        band; bands in which it may lose none are left out.
+        A similar set shares more than ``slack`` of them.
         """
-        out, slack = [], []
+        out = []
         if not len(h):
-            return np.empty(0, np.uint64), slack
+            return out
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + _MUL), dtype=np.uint64)])
         for band in self.bands(len(h)):
             plan = self.plan(band)
@@ -136,17 +137,25 @@ class PartEnum:
             sig = (sig & ~np.uint64(63)) | np.uint64(band & 63)
             full = np.stack([sizes[:, s].sum(axis=1) > 0 for s in subsets])
             left = spare - int((~full).sum())
-            out.append(sig[full] if left >= 0 else sig.ravel())
-            if left > 0:
-                slack.append((band & 63) << 16 | min(left, 65535))
-        return np.concatenate(out) if out else np.empty(0, np.uint64), slack
+            out.append((max(left, 0), sig[full] if left >= 0 else sig.ravel()))
+        return out
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(values) + 1, np.int32)
-    np.cumsum([len(v) for v in values], out=offsets[1:])
-    flat = np.concatenate(values) if values else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+def _offsets(lengths) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32))
+
+
+def _lists(values: list[np.ndarray], kind=np.int64) -> pa.Array:
+    flat = np.concatenate(values) if values else np.empty(0, kind)
+    return pa.ListArray.from_arrays(_offsets([len(v) for v in values]), pa.array(flat.view(kind)))
+
+
+def _bands(made: list[list[tuple[int, np.ndarray]]]) -> pa.Array:
+    """list<struct<slack, sigs>> of each set."""
+    flat = [b for m in made for b in m]
+    rows = pa.StructArray.from_arrays([pa.array([b[0] for b in flat], pa.int32()), _lists([b[1] for b in flat])],
+                                      ["slack", "sigs"])
+    return pa.ListArray.from_arrays(_offsets([len(m) for m in made]), rows)
 
 
 def _described(width: int, percent: int, with_set: bool, with_sigs: bool):
@@ -163,29 +172,31 @@ def _described(width: int, percent: int, with_set: bool, with_sigs: bool):
                     out["cls"] = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                                           pa.binary())
                 if with_sigs:
-                    made = [scheme.signatures(s) for s in sets]
-                    out["sigs"] = _lists([m[0] for m in made])
-                    out["slack"] = pa.array([m[1] for m in made], pa.list_(pa.int32()))
+                    out["bands"] = _bands([scheme.signatures(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, narrow: bool):
+    """Sets as sorted items: 64-bit, or ``narrow``: 32-bit heads, which only ever make sets look more alike."""
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             for at in range(0, b.num_rows, 1000):
                 sets = [shingle_set(t, width) for t in texts.slice(at, 1000).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1000), _lists(sets)], ["id", "items"])
+                if narrow:
+                    sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, 1000), _lists(sets, np.int32 if narrow else np.int64)], ["id", "items"])
     return run
 
 
-def _sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, narrow: bool) -> DataFrame:
     """(id, items): shingle sets of the documents in pairs (a, b), made again for these rows only."""
     ids = stage(spark, pairs.select(F.col("a").alias("id")).unionByName(
         pairs.select(F.col("b").alias("id"))).distinct(), "pair_ids")
     return stage(spark, semi_join_ids(docs, ids, "id").mapInArrow(
-        _sets(width), "id long, items array<long>"), "pair_sets")
+        _sets(width, narrow), f"id long, items array<{'int' if narrow else 'long'}>"), "pair_sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,13 +206,20 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, nb, h, linked): size of b, symmetric difference, and whether the similarity reaches the threshold."""
+    """``pairs`` with nb, h and linked: size of b, symmetric difference, and whether the similarity reaches the threshold."""
     both = _with_sets(pairs, sets).select(
-        "a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return both.select("a", "b", "nb", (F.col("na") + F.col("nb") - 2 * F.col("i")).alias("h"),
+        *pairs.columns, F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("i"))
+    return both.select(*pairs.columns, "nb", (F.col("na") + F.col("nb") - 2 * F.col("i")).alias("h"),
                        (100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).alias("linked"))
 
 
+def _linked(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the 32-bit items call similar and the 64-bit items confirm."""
+    pairs = stage(spark, pairs.select("a", "b"), "likely")
+    return stage(spark, _compared(pairs, _sets_of(spark, docs, pairs, width, False), percent)
+                 .where("linked").select("a", "b"), "links")
+
+
 def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: DataFrame,
                   percent: int) -> DataFrame:
     """Pairs (a, b) that may still link two components, among documents compared with one leader.
@@ -219,7 +237,7 @@ def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: D
     rows = stage(spark, rows.join(label, "a", "left").withColumn("comp_a", F.coalesce("component", "a"))
                  .drop("component"), "led")
     leaders = rows.groupBy("a").agg(
-        F.max(F.col("comp_a") != F.col("comp_b")).alias("open"),
+        (F.max(F.col("comp_a") != F.col("comp_b")) & (F.count(F.lit(1)) > 1)).alias("open"),
         F.min(F.when(~F.col("linked"), F.col("h"))).alias("h_out")).where("open").select("a", "h_out")
     rows = rows.join(leaders, "a")
     k = F.floor((100 - percent) * (F.col("nb") + F.floor(F.col("nb") * 100 / percent)) / (100 + percent))
@@ -242,20 +260,17 @@ def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: D
                  "second_pairs")
 
 
-#: Signatures of more sets than this are common.
-COMMON = 8
+def _with_partners(members: DataFrame) -> DataFrame:
+    """Rows (id, sig, slack) of shared signatures -> those of sets that share more of a band than their slack.
 
-
-def _without_common(members: DataFrame) -> DataFrame:
-    """Rows (id, sig, slack, m) but the common signatures of sets that can lose all their common ones in a band."""
-    band = F.col("sig").bitwiseAND(F.lit(63)).cast("int")
-    common = members.where(F.col("m") > COMMON).groupBy("id", band.alias("band")).agg(
-        F.count_distinct("sig").alias("common"))
-    allowed = F.get(F.filter("slack", lambda x: F.shiftright(x, 16) == F.col("band")), F.lit(0)).bitwiseAND(
-        F.lit(65535))
-    rows = members.withColumn("band", band).join(common, ["id", "band"], "left")
-    keep = (F.col("m") <= COMMON) | F.coalesce(F.col("common") > allowed, F.lit(True))
-    return rows.where(keep).select("id", "sig", "m")
+    Similar sets agree in more signatures than a set may lose, so a set that
+    shares no more than its slack (a common passage, say) has no partner in
+    that band.
+    """
+    rows = members.withColumn("band", F.col("sig").bitwiseAND(F.lit(63)).cast("int"))
+    able = rows.groupBy("id", "band").agg(F.count_distinct("sig").alias("shared"), F.max("slack").alias("slack")) \
+        .where("shared > slack").select("id", "band")
+    return rows.join(able, ["id", "band"], "left_semi").select("id", "sig")
 
 
 def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
@@ -279,33 +294,46 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
     ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, cls binary" + ", sigs array<long>, slack array<int>" * keep_signatures
+    bands = "bands array<struct<slack: int, sigs: array<long>>>"
+    schema = "id long, n long, cls binary" + f", {bands}" * keep_signatures
     base = stage(spark, docs.mapInArrow(_described(width, percent, True, keep_signatures), schema), "sets")
     classes = stage(spark, base.where("n > 0").groupBy("cls").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).where("rep is not null"), "classes")
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
+        .where("rep is not null"), "classes")
     rep_ids = classes.select(F.col("rep").alias("id"))
     if keep_signatures:
-        signed = semi_join_ids(base.select("id", "sigs", "slack"), rep_ids, "id")
+        signed = semi_join_ids(base.select("id", "bands"), rep_ids, "id")
     else:
         signed = semi_join_ids(docs, rep_ids, "id").mapInArrow(
-            _described(width, percent, False, True), "id long, sigs array<long>, slack array<int>")
-    rows = signed.select("id", F.explode("sigs").alias("sig"), "slack")
-    groups = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stage(spark, rows.join(groups, "sig"), "groups")
-    members = stage(spark, _without_common(members), "members")
+            _described(width, percent, False, True), f"id long, {bands}")
+    rows = signed.select("id", F.explode("bands").alias("b")).select("id", "b.slack", F.explode("b.sigs").alias("sig"))
+    # one exchange of (id, slack, sig) rows; a signature of one set is gone after it
+    shared = F.count(F.lit(1)).over(Window.partitionBy("sig"))
+    members = stage(spark, rows.withColumn("m", shared).where("m > 1").drop("m"), "groups")
+    members = stage(spark, _with_partners(members), "members")
+    sizes = members.groupBy("sig").agg(F.count_distinct("id").alias("m")).where("m > 1")
+    members = stage(spark, members.join(sizes, "sig"), "members")
     weight = members.groupBy("id").agg(F.sum("m").alias("weight"))
     leaders = members.join(weight, "id").groupBy("sig").agg(
         F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("lead")).select("sig", (-F.col("lead.neg")).alias("a"))
-    pairs = stage(spark, members.join(leaders, "sig").where("id != a").select("a", F.col("id").alias("b")).distinct(),
-                  "pairs")
-    sets = _sets_of(spark, docs, pairs, width)
+    pairs = members.join(leaders, "sig").where("id != a").groupBy("a", F.col("id").alias("b")).agg(
+        F.max("m").alias("m"))
+    # a pair that was alone in its groups only matters if its sizes allow a link
+    sizes = classes.groupBy(F.col("rep").alias("of")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    pairs = pairs.join(sizes.toDF("a", "a0", "a1"), "a").join(sizes.toDF("b", "b0", "b1"), "b")
+    pairs = stage(spark, pairs.where((F.col("m") > 2) | (F.col("a1") * 100 >= F.col("b0") * percent)
+                                     & (F.col("b1") * 100 >= F.col("a0") * percent)).select("a", "b", "m"), "pairs")
+    sets = _sets_of(spark, docs, pairs, width, True)
     seen = stage(spark, _compared(pairs, sets, percent), "compared")
-    links = seen.where("linked").select("a", "b")
+    links = _linked(spark, docs, seen.where("linked"), width, percent)
     comp = connected_components(spark, links)
+    # two members of a group besides its leader may be similar where the leader is not
+    seen = seen.where("m > 2").drop("m", "linked").join(links.withColumn("link", F.lit(True)), ["a", "b"], "left") \
+        .withColumn("linked", F.coalesce("link", F.lit(False))).drop("link")
     more = _second_pairs(spark, seen, sets, comp, percent)
     if not more.isEmpty():
-        found = stage(spark, _compared(more, sets, percent).where("linked").select("a", "b"), "links")
-        comp = connected_components(spark, links.unionByName(found))
+        likely = _compared(more, sets, percent).where("linked")
+        comp = connected_components(spark, links.unionByName(_linked(spark, docs, likely, width, percent)))
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select(
         "cls", "size", F.coalesce("component", "rep").alias("component"))
     return base.select("id", "n", "cls").join(named, "cls", "left").select(

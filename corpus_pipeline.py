@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import read, stage
+from churnlake.llm.common import read, semi_join_ids, stage
 from churnlake.llm.exact_dedup import exact_duplicates
 from churnlake.llm.jaccard_join import near_duplicate_components
 from churnlake.llm.lang_crf import UNKNOWN, identify_languages
@@ -23,8 +23,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is among ``kept`` (one column doc_id); a null id matches a null id."""
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    return semi_join_ids(docs, kept.select("doc_id"), "doc_id")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
