@@ -31,11 +31,11 @@ BLOCK = 64
 class Settings:
     """Bounds of the fit and of memory, and parameters of the vote."""
 
-    examples_per_class: int = 3000
-    terms: int = 6000
-    least_chi2: float = 6.6
+    examples_per_class: int = 1000
+    terms: int = 1000
+    least_chi2: float = 10.8
     least_docs: int = 3
-    neighbours: int = 40
+    neighbours: int = 25
     prior_weight: float = 0.5
     cached_words: int = 300_000
 
