@@ -13,6 +13,7 @@ approximation of it.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from functools import lru_cache
 
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_CACHED_WORDS = 700_000
+_CACHED_WORDS = 250_000
+_CACHED_PARTS = 600_000
 _LONGEST_CACHED = 64
-_CHARS_AT_ONCE = 1 << 19
+_CHARS_AT_ONCE = 1 << 17
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")  # letters, or anything else
 
 
 class PieceModel:
@@ -44,9 +47,12 @@ class PieceModel:
         for b, i in enumerate(self.byte_id):
             self.bytes[i] = bytes([b])
         self.longest = max(map(len, self.ids))
-        self.merged = lru_cache(200_000)(self._merged)
+        self.merged = lru_cache(100_000)(self._merged)
         self.fits: dict[int, bool] = {}  # by a << 21 | b
         self.names = {i: p for p, i in self.ids.items()}  # also numbers of unknown characters
+        # pairs of a letter and another character inside a piece; a word with such a pair is not cut
+        self.crossing = frozenset(a[-1] + b[0] for p in self.ids for runs in (_RUNS.findall(p.lstrip(SPACE)),)
+                                  for a, b in zip(runs, runs[1:]))
         self.piece = np.array(list(self.ids.values()), np.int64)
         self.points = np.zeros((len(self.ids), self.longest), np.int64)  # code points, 0 past the end
         for row, p in zip(self.points, self.ids):
@@ -80,7 +86,7 @@ class PieceModel:
         """Whether merging keeps pieces a and b apart as they are."""
         x, y = self.names[a], self.names[b]
         ok = self.fits[a << 21 | b] = x + y not in self.score and self.merged(x + y) == (x, y)
-        if len(self.fits) > 800_000:
+        if len(self.fits) > 500_000:
             self.fits.clear()
         return ok
 
@@ -174,13 +180,16 @@ def encode_words(model: PieceModel, words: list[str]) -> list[list[int]]:
 
 
 class Encoder:
-    """Texts to ids (little-endian uint32 bytes) with a bounded cache of words."""
+    """Texts to ids (little-endian uint32 bytes) with bounded caches of words and of their parts."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.parts = model, {}, {}
 
     def _ids(self, pieces: list[int]) -> list[int]:
-        out, n = [], len(self.model.text)
+        n = len(self.model.text)
+        if max(pieces) < n:
+            return pieces
+        out = []
         for t in pieces:
             if t < n:
                 out.append(t)
@@ -188,20 +197,39 @@ class Encoder:
                 out += [self.model.byte_id[b] for b in chr(t - n).encode()]
         return out
 
+    def _cut(self, word: str) -> list[str]:
+        """A word with its space, cut where no piece can cross: between letters and other characters."""
+        if word.isalpha() or any(pair in word for pair in self.model.crossing):
+            return [SPACE + word]
+        first, *rest = _RUNS.findall(word)
+        return [SPACE + first, *rest]
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of all ``words``; those that are too long for the cache are returned only."""
-        new = sorted(w for w in words if w not in self.known)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > _CACHED_WORDS:
-            self.known, new = {}, sorted(words)
-        rare, at = {}, 0
-        while at < len(new):
+            self.known, new = {}, list(words)
+        cuts = [self._cut(w) for w in new]
+        need = {p for c in cuts for p in c}
+        todo = sorted(p for p in need if p not in self.parts)
+        if len(self.parts) + len(todo) > _CACHED_PARTS:
+            self.parts, todo = {}, sorted(need)
+        at = 0
+        while at < len(todo):
             size, end = 0, at
-            while end < len(new) and (end == at or size < _CHARS_AT_ONCE):
-                size += len(new[end]) + 2
+            while end < len(todo) and (end == at or size < _CHARS_AT_ONCE):
+                size += len(todo[end]) + 1
                 end += 1
-            for w, pieces in zip(new[at:end], encode_words(self.model, [SPACE + w for w in new[at:end]])):
-                (self.known if len(w) <= _LONGEST_CACHED else rare)[w] = np.array(self._ids(pieces), "<u4").tobytes()
+            for w, pieces in zip(todo[at:end], encode_words(self.model, todo[at:end])):
+                self.parts[w] = np.array(self._ids(pieces), "<u4").tobytes()
             at = end
+        rare = {}
+        for w, cut in zip(new, cuts):
+            ids = self.parts[cut[0]] if len(cut) == 1 else b"".join(map(self.parts.__getitem__, cut))
+            (self.known if len(w) <= _LONGEST_CACHED else rare)[w] = ids
+        for p in todo:
+            if len(p) > _LONGEST_CACHED:
+                del self.parts[p]
         return rare
 
     def encode(self, texts: list[str]) -> list[bytes]:
