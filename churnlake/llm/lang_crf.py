@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ UNKNOWN = "und"
 class Settings:
     """Bounds of the fit (rows and words of the labelled sample) and of memory."""
 
-    docs_per_label: int = 400
+    docs_per_label: int = 300
     words_per_doc: int = 240
     max_labels: int = 64
     lexicon_per_label: int = 400
@@ -194,11 +195,16 @@ def fit(samples: list[tuple[str, list[str]]], settings: Settings) -> Model:
         chains.append([(w, y) for y, ws in segments[i: i + n] for w in ws])
         i += n
     chains.sort(key=len, reverse=True)
+    del segments, words
     types = {w: i for i, w in enumerate(sorted({w for c in chains for w, _ in c}))}
-    feats = [word_features(w, lexicon, settings.buckets) for w in types]
-    starts = np.cumsum([0] + [len(f) for f in feats[:-1]])
-    flat = np.fromiter((x for f in feats for x in f), np.int64)
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    packed, sizes = array("i"), array("i")  # no Python object per feature
+    for w in types:
+        found = word_features(w, lexicon, settings.buckets)
+        packed.extend(found)
+        sizes.append(len(found))
+    flat, sizes = np.array(packed, np.int32), np.array(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     lens = np.array([len(c) for c in chains])
     steps = int(lens[0])
@@ -208,6 +214,8 @@ def fit(samples: list[tuple[str, list[str]]], settings: Settings) -> Model:
     for c, chain in enumerate(chains):
         for t, (w, y) in enumerate(chain):
             rows[at[t] + c], gold[at[t] + c] = types[w], y
+    n_chains = len(chains)
+    del chains
     gold_trans = np.zeros((k, k))
     for t in range(1, steps):
         np.add.at(gold_trans, (gold[at[t - 1]: at[t - 1] + active[t]], gold[at[t]: at[t + 1]]), 1)
@@ -217,7 +225,7 @@ def fit(samples: list[tuple[str, list[str]]], settings: Settings) -> Model:
     m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
     n_words = len(rows)
     for step in range(1, settings.iterations + 1):
-        table = np.add.reduceat(theta[0][flat], starts, axis=0)
+        table = np.stack([np.add.reduceat(theta[0][:, y][flat], starts) for y in range(k)], axis=1)
         emit = table[rows]
         emit = np.exp(emit - emit.max(axis=1, keepdims=True))
         move = np.exp(theta[1])
@@ -228,7 +236,7 @@ def fit(samples: list[tuple[str, list[str]]], settings: Settings) -> Model:
             a = (alpha[at[t - 1]: at[t - 1] + active[t]] @ move) * emit[at[t]: at[t + 1]]
             alpha[at[t]: at[t + 1]] = a / a.sum(axis=1, keepdims=True)
         post = np.empty_like(emit)
-        beta = np.ones((len(chains), k))
+        beta = np.ones((n_chains, k))
         pair = np.zeros((k, k))
         for t in range(steps - 1, -1, -1):
             n = active[t]
@@ -340,6 +348,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     samples = labelled_sample(spark, docs.where(F.col("lang").isNotNull() & (rest != 0)), settings)
     samples = [s for s in samples if any(map(letters, s[1]))]
     model = fit(samples, settings) if samples else None
+    del samples
     out = docs.select("id", "text").mapInArrow(
         _predicted(model, settings), "id long, lang_pred string, score double, n_words long")
     return out.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), "lang_pred", "score", "n_words")
