@@ -4,9 +4,9 @@ import math
 
 import pytest
 
-import __spark_entry__ as E
+from churnlake import registry
 
-ORACLE = E.oracle_sql()
+ORACLE = registry.oracle_sql()
 
 
 def _norm(v):
@@ -21,7 +21,7 @@ def _norm(v):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_duckdb(spark, duck_small, sf_small, name):
-    sdf = E.queries()[name](spark, sf_small)
+    sdf = registry.queries()[name](spark, sf_small)
     rel = duck_small.execute(ORACLE[name])
     dcols = [d[0] for d in rel.description]
     assert sorted(sdf.columns) == sorted(dcols)

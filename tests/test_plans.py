@@ -34,7 +34,6 @@ def test_fixture_scan_is_pruned(spark):
 
 
 def test_no_python_udfs_in_registered_sql_queries(spark):
-    from __spark_entry__ import oracle_sql
     for name in ["portfolio_summary", "pr_curve", "standard_scale", "customer_details", "cv_summary"]:
         plan = _plan(queries()[name](spark, SF))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
