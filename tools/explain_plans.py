@@ -14,11 +14,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 KEY = {
     "staging_scan": "raw derivation: one orders scan, two-level partial aggregation, joins on the customer key (broadcast here because the test customer table is tiny; at scale they are sort-merge joins whose aggregated side is already hash-partitioned on the key)",
-    "portfolio_summary": "one partial + final aggregation over the prediction table",
-    "customer_list_high": "page: band filter pushed to the scan, per-task top-k, broadcast probe of the mart",
-    "pr_curve": "bucketed prefix sums: per-bucket totals -> broadcast offsets -> bucket-partitioned windows",
+    "portfolio_summary": "derivation and scoring, then one partial + final aggregation",
+    "customer_list_high": "page: pruned predictions and mart joined on the customer key (strategy by measured size), per-task top-k",
+    "pr_curve": "bucketed prefix sums: per-bucket totals -> offsets joined back -> bucket-partitioned windows",
     "kfold_assign": "exact stratified positions without a single-partition window",
-    "dq_not_null": "raw and staging tests in one aggregation over the raw view (one orders scan), plus one pass over the mart table",
+    "dq_not_null": "the tests of all layers in one aggregation over the raw rows (one orders scan)",
     "customer_details": "semi-join reduction of mart and predictions to the requested keys",
 }
 
