@@ -9,6 +9,7 @@ bounded sample of labelled documents; scoring covers all words of all texts.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 from array import array
@@ -276,8 +277,8 @@ def _tokens(limit: int):
     return run
 
 
-def labelled_sample(spark: SparkSession, labelled: DataFrame, settings: Settings) -> list[tuple[str, list[str]]]:
-    """At most docs_per_label documents of each label (smallest id hash), words_per_doc words of each."""
+def labelled_sample(spark: SparkSession, labelled: DataFrame, settings: Settings) -> DataFrame | None:
+    """(id, lang, tokens): at most docs_per_label documents of each label (smallest id hash), words_per_doc words of each."""
     labels = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
               .limit(settings.max_labels).collect()]
     ids = []
@@ -285,11 +286,20 @@ def labelled_sample(spark: SparkSession, labelled: DataFrame, settings: Settings
         ids += [(r["id"],) for r in labelled.where(F.col("lang") == x).select("id").orderBy(
             F.xxhash64("id"), "id").limit(settings.docs_per_label).collect()]
     if not ids:
-        return []
+        return None
     wanted = F.broadcast(spark.createDataFrame(ids, "id long").distinct())
-    rows = labelled.join(wanted, "id", "left_semi").select("id", "lang", "text") \
-        .mapInArrow(_tokens(settings.words_per_doc), "id long, lang string, tokens array<string>").collect()
-    return [(r["lang"], r["tokens"]) for r in sorted(rows, key=lambda r: (r["id"], r["lang"], r["tokens"]))]
+    return labelled.join(wanted, "id", "left_semi").select("id", "lang", "text") \
+        .mapInArrow(_tokens(settings.words_per_doc), "id long, lang string, tokens array<string>")
+
+
+def _fitted(settings: Settings):
+    """One task: the bounded sample -> one row with the pickled model; none if the sample has no letter."""
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        samples = [(lang, tokens) for _, lang, tokens in rows if any(map(letters, tokens))]
+        if samples:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(samples, settings))], pa.binary())], ["model"])
+    return run
 
 
 def _predicted(model: Model | None, settings: Settings):
@@ -345,10 +355,10 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     rest = F.crc32(F.col("id").cast("string").cast("binary")) % 5
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang"))
-    samples = labelled_sample(spark, docs.where(F.col("lang").isNotNull() & (rest != 0)), settings)
-    samples = [s for s in samples if any(map(letters, s[1]))]
-    model = fit(samples, settings) if samples else None
-    del samples
+    sample = labelled_sample(spark, docs.where(F.col("lang").isNotNull() & (rest != 0)), settings)
+    # the sample is bounded, so one task fits it; the driver only gets the weights
+    row = sample.repartition(1).mapInArrow(_fitted(settings), "model binary").first() if sample is not None else None
+    model = pickle.loads(row["model"]) if row is not None else None
     out = docs.select("id", "text").mapInArrow(
         _predicted(model, settings), "id long, lang_pred string, score double, n_words long")
     return out.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), "lang_pred", "score", "n_words")
