@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_CACHED_WORDS = 250_000
-_CACHED_PARTS = 600_000
+_CACHED_WORDS = 120_000
+_CACHED_PARTS = 300_000
 _LONGEST_CACHED = 64
-_CHARS_AT_ONCE = 1 << 17
+_CHARS_AT_ONCE = 1 << 16
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")  # letters, or anything else
 
 
@@ -47,7 +47,7 @@ class PieceModel:
         for b, i in enumerate(self.byte_id):
             self.bytes[i] = bytes([b])
         self.longest = max(map(len, self.ids))
-        self.merged = lru_cache(100_000)(self._merged)
+        self.merged = lru_cache(50_000)(self._merged)
         self.fits: dict[int, bool] = {}  # by a << 21 | b
         self.names = {i: p for p, i in self.ids.items()}  # also numbers of unknown characters
         # pairs of a letter and another character inside a piece; a word with such a pair is not cut
@@ -86,7 +86,7 @@ class PieceModel:
         """Whether merging keeps pieces a and b apart as they are."""
         x, y = self.names[a], self.names[b]
         ok = self.fits[a << 21 | b] = x + y not in self.score and self.merged(x + y) == (x, y)
-        if len(self.fits) > 500_000:
+        if len(self.fits) > 250_000:
             self.fits.clear()
         return ok
 
@@ -283,8 +283,8 @@ def _encoded(path: str):
     def run(batches):
         encoder = _encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 ids = encoder.encode(pc.fill_null(part.column(1), "").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
