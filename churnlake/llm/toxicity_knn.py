@@ -198,9 +198,9 @@ def build_model(key: str, vocabulary: dict[str, int], idf: np.ndarray, examples:
     no_evidence = (w_empty[1] + base) / (w_empty[0] + w_empty[1] + 1)
     kept, seen = [], set()
     for e in examples:  # copies of an example would vote as one text many times
-        key = (e[1], tuple(e[2]), tuple(e[3]))
-        if e[2] and key not in seen:
-            seen.add(key)
+        same = (e[1], tuple(e[2]), tuple(e[3]))
+        if e[2] and same not in seen:
+            seen.add(same)
             kept.append(e)
     vectors = [(np.array(e[2], np.int64), weighted(np.array(e[3], float), idf[np.array(e[2], np.int64)])) for e in kept]
     lead = [int(t[w.argmax()]) for t, w in vectors]  # like examples share blocks

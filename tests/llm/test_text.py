@@ -219,6 +219,13 @@ def test_toxicity(spark):
     assert toxicity_knn.word_terms("Worthless!!") == ["=worthless", "wort", "worth", "worthl", "worthle", "worthles"]
 
 
+def test_model_keeps_its_key():
+    """The worker cache goes by it; the last example has no term."""
+    model = toxicity_knn.build_model("fresh", {"a": 0}, np.ones(1), [(1, 1, [0], [2]), (2, 0, [], [])], {0: 1, 1: 1},
+                                     toxicity_knn.Settings())
+    assert model.key == "fresh"
+
+
 def licenses(texts, spark):
     return [(x.n_sentences, x.licenses, x.rules)
             for x in scan_licenses(docs_frame(spark, texts)).orderBy("doc_id").collect()]
