@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings (insults in inflected languages share
-stems) that are associated with the label in a bounded sample of labelled
-documents; document frequencies come from all documents. The examples'
-postings are cut into blocks of 64 examples, each with its largest weight:
+Terms are all words and word beginnings (insults in inflected languages share
+stems) of a bounded sample of labelled documents, the examples; document
+frequencies come from all documents. A word that no example has matches none
+and is left out of a text's length. The examples' postings are cut into blocks of 64 examples, each with its largest weight:
 for a query the sums of these maxima bound every block's best cosine, and
 blocks whose bound doesn't reach the k-th best cosine are skipped, so the
 neighbours are exact. Votes are weighted by distance and calibrated by
@@ -12,12 +12,14 @@ isotonic regression of leave-one-out votes.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,8 @@ BLOCK = 64
 class Settings:
     """Bounds of the fit and of memory, and parameters of the vote."""
 
-    examples_per_class: int = 1000
-    terms: int = 1000
-    least_chi2: float = 10.8
-    least_docs: int = 3
-    neighbours: int = 25
+    examples_per_class: int = 3000
+    neighbours: int = 40
     prior_weight: float = 0.5
     cached_words: int = 300_000
 
@@ -46,32 +45,49 @@ def word_terms(token: str) -> list[str]:
     return ["=" + w] + [w[:k] for k in range(4, min(8, len(w)) + 1)] if w else []
 
 
+def term_hashes(tokens: list[str]) -> tuple[list[int], np.ndarray]:
+    """(number of terms of each token, 64-bit hashes of all terms)."""
+    terms = [word_terms(t) for t in tokens]
+    sizes = [len(x) for x in terms]
+    return sizes, np.fromiter((xxhash.xxh3_64_intdigest(x) for ts in terms for x in ts), np.uint64, sum(sizes))
+
+
 class Terms:
-    """Numbers of a vocabulary's terms in tokens; a bounded cache."""
+    """Numbers of a vocabulary's terms (sorted 64-bit hashes) in tokens; a bounded cache."""
 
-    def __init__(self, vocabulary: dict[str, int], settings: Settings):
+    def __init__(self, vocabulary: np.ndarray, settings: Settings):
         self.vocabulary, self.most, self.known = vocabulary, settings.cached_words, {}
 
+    def _add(self, tokens: list[str]) -> None:
+        sizes, hashes = term_hashes(tokens)
+        at = np.searchsorted(self.vocabulary, hashes)
+        hit = at < len(self.vocabulary)
+        hit[hit] = self.vocabulary[at[hit]] == hashes[hit]
+        numbers, end = np.where(hit, at, -1).tolist(), 0
+        for t, n in zip(tokens, sizes):
+            self.known[t] = tuple(i for i in numbers[end: end + n] if i >= 0)
+            end += n
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct term numbers (ascending) and their counts."""
         tokens = (text or "").split()
         known = self.known
         if len(known) > self.most:
             known.clear()
+        new = [t for t in set(tokens) if t not in known]
+        if new:
+            self._add(new)
         out = []
         for t in tokens:
-            terms = known.get(t)
-            if terms is None:
-                terms = known[t] = tuple(self.vocabulary[x] for x in word_terms(t) if x in self.vocabulary)
-            if terms:
-                out += terms
+            out += known[t]
         return np.unique(np.array(out, np.int64), return_counts=True)
 
 
 _KEPT: dict[str, Terms] = {}
+_MODELS: dict[str, Model] = {}
 
 
-def _worker_terms(vocabulary: dict[str, int], settings: Settings, key: str) -> Terms:
+def _worker_terms(vocabulary: np.ndarray, settings: Settings, key: str) -> Terms:
     """One cache of a vocabulary per worker process, kept from task to task."""
     if key not in _KEPT:
         _KEPT.clear()
@@ -79,6 +95,14 @@ def _worker_terms(vocabulary: dict[str, int], settings: Settings, key: str) -> T
     return _KEPT[key]
 
 
+def _worker_model(packed: bytes, key: str) -> Model:
+    """One index per worker process, kept from task to task."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = pickle.loads(zlib.decompress(packed))
+    return _MODELS[key]
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF of unit length; zeros where all terms are everywhere."""
     w = (1 + np.log(counts)) * idf
@@ -96,18 +120,19 @@ class BlockMaxIndex:
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         order = np.lexsort((doc, term))
-        self.doc, term, self.weight = doc[order], term[order], weight[order]
+        self.doc, term, self.weight = doc[order].astype(np.int32), term[order], weight[order]
         cell = term * max(1, self.blocks) + self.doc // BLOCK
-        self.cell_start = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.empty(0, np.int64)
-        self.cell_end = np.append(self.cell_start[1:], len(cell))
-        self.cell_max = np.maximum.reduceat(self.weight, self.cell_start) if len(cell) else np.empty(0)
-        self.cell_block = self.doc[self.cell_start] // BLOCK
-        self.term_cells = np.searchsorted(term[self.cell_start], np.arange(n_terms + 1))
+        start = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.empty(0, np.int64)
+        self.cell_at = np.append(start, len(cell)).astype(np.int32)  # a cell ends where the next one starts
+        self.cell_max = np.maximum.reduceat(self.weight, start) if len(cell) else np.empty(0)
+        self.cell_block = self.doc[start] // BLOCK
+        self.term_cells = np.searchsorted(term[start], np.arange(n_terms + 1))
 
     def _exact(self, cells, q, chosen):
         cells, q = cells[chosen], q[chosen]
-        n = self.cell_end[cells] - self.cell_start[cells]
-        at = np.arange(n.sum()) + np.repeat(self.cell_start[cells] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        start = self.cell_at[cells]
+        n = self.cell_at[cells + 1] - start
+        at = np.arange(n.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         return np.bincount(self.doc[at], np.repeat(q, n) * self.weight[at], self.size)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1):
@@ -138,16 +163,40 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
+    """The index is made of the examples' terms and counts, and made again from them where the model is unpickled."""
+
     key: str
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     idf: np.ndarray
-    index: BlockMaxIndex
+    sizes: np.ndarray  # terms of each example
+    terms: np.ndarray
+    counts: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     base_rate: float
     no_evidence: float
     steps: tuple[np.ndarray, np.ndarray]  # calibration: lower ends of votes, probabilities
 
+    def __post_init__(self):
+        self.index = BlockMaxIndex(self.vectors(), len(self.vocabulary))
+
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example."""
+        if not len(self.sizes):
+            return []
+        at = np.cumsum(self.sizes)[:-1]
+        return [(t, weighted(c.astype(float), self.idf[t]))
+                for t, c in zip(np.split(self.terms, at), np.split(self.counts, at))]
+
+    def __getstate__(self):
+        state = {k: v for k, v in self.__dict__.items() if k != "index"}
+        return state | {"terms": np.diff(self.terms, prepend=np.int32(0))}  # small differences, for the compression
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.terms = np.cumsum(state["terms"], dtype=np.int32)
+        self.__post_init__()
+
     def vote(self, near: np.ndarray, cosine: np.ndarray, settings: Settings) -> float:
         w = cosine / (1.0 + 1e-6 - np.minimum(cosine, 1.0) + 0.25)
         return float(((w * self.toxic[near]).sum() + settings.prior_weight * self.base_rate)
@@ -184,32 +233,35 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
             np.maximum.accumulate([(p[2] + unit * mean) / (p[1] + unit) for p in pools]))
 
 
-def build_model(key: str, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
+def build_model(key: str, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
                 settings: Settings) -> Model | None:
     """``examples``: (id, toxic, terms, counts); ``rates``: learnable rows by label."""
+    examples = [(i, y, np.asarray(t, np.int32), np.asarray(c, np.int32)) for i, y, t, c in examples]
     total = sum(rates.values())
     if not examples or not total:
         return None
     base = rates.get(1, 0) / total
     held = {y: sum(1 for e in examples if e[1] == y) for y in (0, 1)}
     share = {y: rates.get(y, 0) / held[y] if held[y] else 0.0 for y in (0, 1)}  # rows that an example stands for
-    empty = [e[1] for e in examples if not e[2]]
+    empty = [e[1] for e in examples if not len(e[2])]
     w_empty = {y: share[y] * sum(1 for v in empty if v == y) for y in (0, 1)}
     no_evidence = (w_empty[1] + base) / (w_empty[0] + w_empty[1] + 1)
     kept, seen = [], set()
     for e in examples:  # copies of an example would vote as one text many times
-        same = (e[1], tuple(e[2]), tuple(e[3]))
-        if e[2] and same not in seen:
+        same = (e[1], e[2].tobytes(), e[3].tobytes())
+        if len(e[2]) and same not in seen:
             seen.add(same)
             kept.append(e)
-    vectors = [(np.array(e[2], np.int64), weighted(np.array(e[3], float), idf[np.array(e[2], np.int64)])) for e in kept]
-    lead = [int(t[w.argmax()]) for t, w in vectors]  # like examples share blocks
+    lead = [int(e[2][weighted(e[3].astype(float), idf[e[2]]).argmax()]) for e in kept]  # like examples share blocks
     order = sorted(range(len(kept)), key=lambda i: (lead[i], zlib.crc32(str(kept[i][0]).encode()), kept[i][0]))
-    vectors = [vectors[i] for i in order]
-    model = Model(key, vocabulary, idf, BlockMaxIndex(vectors, len(vocabulary)), np.array([kept[i][0] for i in order]),
-                  np.array([kept[i][1] for i in order], float), base, no_evidence, (np.zeros(1), np.array([base])))
+    kept = [kept[i] for i in order]
+    none = [np.empty(0, np.int32)]
+    model = Model(key, vocabulary, idf, np.array([len(e[2]) for e in kept], np.int64),
+                  np.concatenate([e[2] for e in kept] or none), np.concatenate([e[3] for e in kept] or none),
+                  np.array([e[0] for e in kept]), np.array([e[1] for e in kept], float), base, no_evidence,
+                  (np.zeros(1), np.array([base])))
     votes = []
-    for i, (t, w) in enumerate(vectors):
+    for i, (t, w) in enumerate(model.vectors()):
         near, cosine = model.index.nearest(t, w, settings.neighbours, without=i)
         if len(near):
             votes.append((model.vote(near, cosine, settings), model.toxic[i], share[int(model.toxic[i])]))
@@ -218,29 +270,25 @@ def build_model(key: str, vocabulary: dict[str, int], idf: np.ndarray, examples:
     return model
 
 
-def _term_counts(batches):
-    """(text, toxic) -> (term, docs, toxic docs), combined in the task."""
-    counts: dict[str, list[int]] = {}
+def _terms(batches):
+    """(text) -> hashes of its terms, each once per flush of a task."""
+    words: set[str] = set()
 
     def out():
-        rows = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()),
-                                           pa.array([c[1] for c in counts.values()], pa.int64())], ["term", "n", "n1"])
-        counts.clear()
+        rows = pa.RecordBatch.from_arrays([pa.array(np.unique(term_hashes(list(words))[1]).view(np.int64))], ["term"])
+        words.clear()
         return rows
 
     for b in batches:
-        for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            for term in {x for t in set((text or "").split()) for x in word_terms(t)}:
-                c = counts.setdefault(term, [0, 0])
-                c[0] += 1
-                c[1] += y
-            if len(counts) > 400_000:
+        for text in b.column(0).to_pylist():
+            words.update((text or "").split())
+            if len(words) > 100_000:
                 yield out()
-    if counts:
+    if words:
         yield out()
 
 
-def _doc_counts(vocabulary: dict[str, int], settings: Settings, key: str):
+def _doc_counts(vocabulary: np.ndarray, settings: Settings, key: str):
     """(text) -> (term, docs) of the vocabulary, combined in the task."""
     def run(batches):
         terms, total = _worker_terms(vocabulary, settings, key), np.zeros(len(vocabulary), np.int64)
@@ -252,20 +300,23 @@ def _doc_counts(vocabulary: dict[str, int], settings: Settings, key: str):
     return run
 
 
-def _example_rows(vocabulary: dict[str, int], settings: Settings):
+def _example_rows(vocabulary: np.ndarray, settings: Settings):
     def run(batches):
         terms = Terms(vocabulary, settings)
         for b in batches:
             rows = [terms.counts(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                b.column("id"), b.column("toxic"), pa.array([t for t, _ in rows], pa.list_(pa.int64())),
-                pa.array([c for _, c in rows], pa.list_(pa.int64()))], ["id", "toxic", "terms", "counts"])
+                b.column("id"), b.column("toxic"), pa.array([t for t, _ in rows], pa.list_(pa.int32())),
+                pa.array([c for _, c in rows], pa.list_(pa.int32()))], ["id", "toxic", "terms", "counts"])
     return run
 
 
 def _scored(model: Model | None, settings: Settings):
+    packed, key = (zlib.compress(pickle.dumps(model), 1), model.key) if model else (None, "")
+
     def run(batches):
-        terms = _worker_terms(model.vocabulary, settings, model.key) if model else None
+        model = _worker_model(packed, key) if packed else None
+        terms = _worker_terms(model.vocabulary, settings, key) if model else None
         for b in batches:
             if model:
                 rows = [model.score(*terms.counts(t), settings) for t in b.column(1).to_pylist()]
@@ -278,6 +329,11 @@ def _scored(model: Model | None, settings: Settings):
     return run
 
 
+def _arrays(lists: pa.ListArray) -> list[np.ndarray]:
+    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def _held_out():
     return F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1
 
@@ -309,24 +365,22 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     if picked:
         chosen = F.broadcast(spark.createDataFrame(picked, "id long, toxic int"))
         sample = stage(spark, docs.join(chosen, "id"), "examples")
-        n, n1 = len(picked), sum(y for _, y in picked)
-        expected = F.col("n") * (n1 / n)
-        chi2 = F.pow(F.col("n1") - expected, F.lit(2)) / (expected * max(1 - n1 / n, 1e-9) + 1e-9)
-        terms = [r["term"] for r in sample.mapInArrow(_term_counts, "term string, n long, n1 long")
-                 .groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-                 .where((F.col("n") >= settings.least_docs) & (chi2 >= settings.least_chi2))
-                 .orderBy(chi2.desc(), "term").limit(settings.terms).collect()]
-        vocabulary = {t: i for i, t in enumerate(terms)}
+        found = sample.select("text").mapInArrow(_terms, "term long").distinct().toArrow()
+        vocabulary = np.sort(found.column("term").to_numpy().astype(np.int64).view(np.uint64))
         key = uuid.uuid4().hex
         n_docs = docs.count()
-        freq = np.zeros(len(terms))
-        for r in docs.select("text").mapInArrow(_doc_counts(vocabulary, settings, key), "term long, n long") \
-                .groupBy("term").agg(F.sum("n").alias("n")).collect():
-            freq[r["term"]] = r["n"]
+        found = docs.select("text").mapInArrow(_doc_counts(vocabulary, settings, key), "term long, n long") \
+            .groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        freq = np.zeros(len(vocabulary))
+        freq[found.column("term").to_numpy()] = found.column("n").to_numpy()
         idf = np.log((1 + n_docs) / (1 + freq))
-        rows = [tuple(r) for r in sample.mapInArrow(
-            _example_rows(vocabulary, settings), "id long, toxic int, terms array<long>, counts array<long>").collect()]
-        model = build_model(key, vocabulary, idf, sorted(rows), rates, settings)
+        rows = [(i, y, t, c) for b in sample.mapInArrow(
+            _example_rows(vocabulary, settings), "id long, toxic int, terms array<int>, counts array<int>")
+            .toArrow().to_batches() for i, y, t, c in zip(
+                b.column(0).to_pylist(), b.column(1).to_pylist(), _arrays(b.column(2)), _arrays(b.column(3)))]
+        del found
+        rows.sort(key=lambda e: (e[0], e[1], e[2].tobytes(), e[3].tobytes()))
+        model = build_model(key, vocabulary, idf, rows, rates, settings)
     out = docs.mapInArrow(_scored(model, settings),
                           "id long, score double, neighbours array<long>, cosines array<double>")
     return out.select(F.col("id").alias(id_col), _held_out().alias("held_out"), "score",

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -219,6 +220,31 @@ def test_toxicity(spark):
     assert toxicity_knn.word_terms("Worthless!!") == ["=worthless", "wort", "worth", "worthl", "worthle", "worthles"]
 
 
+def test_toxicity_cosines_are_over_all_words(spark):
+    """Words of one example alone, and of both labels alike, count as well; brute force."""
+    r = random.Random(9)
+    texts = [" ".join([f"w{chr(97 + r.randrange(25))}" for _ in range(6)] + [f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"])
+             for i in range(60)] + ["onlyaa", None]
+    labels = [(i, 1, i % 2) for i in range(1, 61)]
+    got = {x.doc_id: x for x in score_toxicity(
+        spark, docs_frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    known = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    bags = [Counter(x for t in (t or "").split() for x in toxicity_knn.word_terms(t)) for t in texts]
+    df = Counter(x for b in bags for x in b)
+    vocabulary = {x for i in known for x in bags[i - 1]}
+
+    def vector(i):
+        v = {x: (1 + math.log(n)) * math.log((1 + len(texts)) / (1 + df[x])) for x, n in bags[i - 1].items() if x in vocabulary}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {x: w / norm for x, w in v.items()} if norm else v
+
+    vectors = {i: vector(i) for i in range(1, len(texts) + 1)}
+    for i, v in vectors.items():
+        want = sorted((sum(w * vectors[e].get(x, 0) for x, w in v.items()) for e in known), reverse=True)
+        want = [c for c in want if c > 0][:toxicity_knn.Settings().neighbours]
+        assert np.allclose(got[i].cosines, want), i
+
+
 def test_model_keeps_its_key():
     """The worker cache goes by it; the last example has no term."""
     model = toxicity_knn.build_model("fresh", {"a": 0}, np.ones(1), [(1, 1, [0], [2]), (2, 0, [], [])], {0: 1, 1: 1},
