@@ -39,7 +39,7 @@ def _entries(batches):
         digests = [hashlib.sha256(t).digest() for t in bodies]
         yield pa.RecordBatch.from_arrays([
             b.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array([d.hex() for d in digests], pa.string()),
-            pa.array([_key(d) for d in digests], pa.int64())], ["id", "n_chars", "sha", "key"])
+            pa.array([_key(d) for d in digests], pa.int64()), *b.columns[2:]], ["id", "n_chars", "sha", "key", "row"][:b.num_columns + 2])
 
 
 def _combined(batches):
@@ -121,9 +121,13 @@ def build_directory(spark: SparkSession, keys: DataFrame, capacity: int) -> tupl
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     capacity: int = 4096) -> DataFrame:
+                     capacity: int = 4096, row_col: str | None = None) -> DataFrame:
     """(id_col, keep_id, group_size, kept, text_sha256), one row per input row.
 
+    With ``row_col``, a long that tells rows of one id apart, it is a column
+    of the result, and of a group's best rows only those with its largest
+    value are kept.
+
     Texts are equal when identical without the characters [\\x20\\x09-\\x0D].
     Of equal texts the row with the most code points in the original, then
     the smallest id, stays.
@@ -134,8 +138,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     repeated all its repeats are kept; extra columns are ignored; an empty
     table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    entries = stage(spark, docs.mapInArrow(_entries, ENTRY), "entries")
+    row = ["row"] * (row_col is not None)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(row_col).alias(c) for c in row])
+    entries = stage(spark, docs.mapInArrow(_entries, ENTRY + ", row long" * len(row)), "entries")
     keys = stage(spark, entries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "keys")
     directory, depth = build_directory(spark, keys.select("key"), capacity)
     slot = _slot(F.col("key"), depth)
@@ -150,11 +156,13 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
                    .mapInArrow(_chained, "key long, sha string, chain int"), "chains")
 
     named = index.join(chains, ["key", "sha"], "left").select(
-        "id", "n_chars", "sha", "key", F.coalesce("chain", F.lit(1)).alias("chain"))
+        "id", "n_chars", "sha", "key", F.coalesce("chain", F.lit(1)).alias("chain"), *row)
     # a written table, so that the join below has plain exchanges, whose hot keys Spark can split
     groups = stage(spark, named.groupBy("key", "chain").agg(
-        F.max(F.struct("n_chars", (-F.col("id")).alias("neg"))).alias("best"), F.count(F.lit(1)).alias("size")), "kept")
+        F.max(F.struct("n_chars", (-F.col("id")).alias("neg"), *row)).alias("best"), F.count(F.lit(1)).alias("size")), "kept")
+    stays = F.col("id").eqNullSafe(-F.col("best.neg")) & (F.col("n_chars") == F.col("best.n_chars"))
+    for c in row:
+        stays = stays & (F.col(c) == F.col(f"best.{c}"))
     return named.join(groups, ["key", "chain"]).select(
         F.col("id").alias(id_col), (-F.col("best.neg")).alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("id").eqNullSafe(-F.col("best.neg")) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"),
-        F.col("sha").alias("text_sha256"))
+        stays.alias("kept"), F.col("sha").alias("text_sha256"), *[F.col(c).alias(row_col) for c in row])

@@ -298,8 +298,8 @@ def _predicted(model: Model | None, settings: Settings):
             size = b.num_rows
             if not model:
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([UNKNOWN] * size), pa.array([0.0] * size), pa.array([0] * size, pa.int64())],
-                    ["id", "lang_pred", "score", "n_words"])
+                    b.column(0), pa.array([UNKNOWN] * size), pa.array([0.0] * size), pa.array([0] * size, pa.int64()),
+                    *b.columns[2:]], ["id", "lang_pred", "score", "n_words", *b.schema.names[2:]])
                 continue
             lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy()
             order = np.argsort(lengths, kind="stable")
@@ -311,14 +311,15 @@ def _predicted(model: Model | None, settings: Settings):
                 langs, scores, n = score(texts)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pa.array(part)), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                    pa.array(n, pa.int64())], ["id", "lang_pred", "score", "n_words"])
+                    pa.array(n, pa.int64()), *[c.take(pa.array(part)) for c in b.columns[2:]]],
+                    ["id", "lang_pred", "score", "n_words", *b.schema.names[2:]])
                 at += len(part)
     return run
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:
-    """(id_col, held_out, lang_pred, score, n_words), one row per input row.
+                       lang_col: str = "lang", settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, held_out, lang_pred, score, n_words) and the long columns ``keep``, one row per input row.
 
     The fit uses text and non-null language of rows whose crc32 of the id
     as text, mod 5, is not 0 (the others are held out). lang_pred is the
@@ -333,11 +334,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     """
     rest = F.crc32(F.col("id").cast("string").cast("binary")) % 5
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       F.col(lang_col).cast("string").alias("lang"))
+                       F.col(lang_col).cast("string").alias("lang"), *keep)
     sample = labelled_sample(spark, docs.where(F.col("lang").isNotNull() & (rest != 0)), settings)
     # the sample is bounded, so one task fits it; the driver only gets the weights
     row = sample.repartition(1).mapInArrow(_fitted(settings), "model binary").first() if sample is not None else None
     model = pickle.loads(row["model"]) if row is not None else None
-    out = docs.select("id", "text").mapInArrow(
-        _predicted(model, settings), "id long, lang_pred string, score double, n_words long")
-    return out.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), "lang_pred", "score", "n_words")
+    out = docs.select("id", "text", *keep).mapInArrow(_predicted(model, settings), ", ".join(
+        ["id long, lang_pred string, score double, n_words long", *[f"{c} long" for c in keep]]))
+    return out.select(F.col("id").alias(id_col), (rest == 0).alias("held_out"), "lang_pred", "score", "n_words", *keep)

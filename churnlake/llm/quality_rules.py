@@ -148,8 +148,8 @@ def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def quality_verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(id_col, statistics, base_failed, kept, distance2, text_group), one row per input row.
+                     lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, statistics, base_failed, kept, distance2, text_group) and the columns ``keep``, one row per input row.
 
     base_failed: under 50 words, or more than half of the words in 3-word
     windows that the text repeats. kept: not base_failed, and squared robust
@@ -166,7 +166,7 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
         return F.coalesce(F.concat(F.lit(tag), F.col(c).cast("string")), F.lit("-"))
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-                      named("l:", lang_col).alias("lang"), named("s:", source_col).alias("src"))
+                      named("l:", lang_col).alias("lang"), named("s:", source_col).alias("src"), *keep)
     stats = text_statistics(src).drop("text").withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     stats = stats.select("*", *[F.when(~F.col("base_failed"), x).alias(FEATURES[i])
@@ -187,4 +187,4 @@ def quality_verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     return scored.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)).alias("kept"),
-        "distance2", F.col("grp").alias("text_group"))
+        "distance2", F.col("grp").alias("text_group"), *keep)
