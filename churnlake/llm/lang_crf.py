@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -30,7 +30,6 @@ class Settings:
 
     docs_per_label: int = 300
     words_per_doc: int = 240
-    max_labels: int = 64
     lexicon_per_label: int = 400
     buckets: int = 1 << 16
     iterations: int = 50
@@ -253,12 +252,10 @@ def _tokens(limit: int):
 
 def labelled_sample(spark: SparkSession, labelled: DataFrame, settings: Settings) -> DataFrame | None:
     """(id, lang, tokens): at most docs_per_label documents of each label (smallest id hash), words_per_doc words of each."""
-    labels = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-              .limit(settings.max_labels).collect()]
-    ids = []
-    for x in labels:
-        ids += [(r["id"],) for r in labelled.where(F.col("lang") == x).select("id").orderBy(
-            F.xxhash64("id"), "id").limit(settings.docs_per_label).collect()]
+    # Spark keeps the first rows of each label in every task before it exchanges them
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    ids = [(r["id"],) for r in labelled.select("lang", "id").withColumn("nth", F.row_number().over(first))
+           .where(F.col("nth") <= settings.docs_per_label).select("id").distinct().collect()]
     if not ids:
         return None
     wanted = F.broadcast(spark.createDataFrame(ids, "id long").distinct())

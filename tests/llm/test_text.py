@@ -154,6 +154,16 @@ def test_code_switched_words_and_edges(spark):
     assert identify_languages(spark, docs_frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(7)
+    langs = [f"l{i:02d}" for i in range(70)]
+    own = {x: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for x in langs}
+    rows = [(x, " ".join(r.choice(own[x]) for _ in range(20))) for x in langs for _ in range(8)]
+    settings = lang_crf.Settings(buckets=1 << 12, iterations=20)
+    got = identify_languages(spark, docs_frame(spark, [t for _, t in rows], [x for x, _ in rows]), settings=settings).collect()
+    assert {x.doc_id: x.lang_pred for x in got} == {i: x for i, (x, _) in enumerate(rows, 1)}
+
+
 def test_word_cache_limit_does_not_change_scores(spark):
     r = random.Random(6)
     texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(20)) for _ in range(40)]
