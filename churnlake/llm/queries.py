@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from churnlake.llm import license_rules
 from churnlake.llm.common import read
+from churnlake.llm.conversation_glr import damage, repair_conversations, repair_report
 from churnlake.llm.exact_dedup import exact_duplicates
 from churnlake.llm.html_mincut import extract_main_text
 from churnlake.llm.jaccard_join import near_duplicate_components
@@ -14,6 +15,8 @@ from churnlake.llm.lang_crf import identify_languages
 from churnlake.llm.packing import pack_documents
 from churnlake.llm.piece_suffix import decode_pieces, encode_pieces
 from churnlake.llm.quality_rules import quality_verdicts
+from churnlake.llm.simhash_anchors import simhash_components
+from churnlake.llm.spelling_gram import spelling_variants, vocabulary
 from churnlake.llm.toxicity_knn import score_toxicity
 from churnlake.llm.warc import archive_round_trip
 
@@ -138,3 +141,22 @@ def op9_piece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_main_text(spark, read(spark, sf_dir, "pages"))
+
+
+@register()
+def op11_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word SimHash fingerprints differ in at most 4 bits."""
+    found = simhash_components(spark, read(spark, sf_dir, "documents"), width=4, bits=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register()
+def op12_conversation_glr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a hash, and their cheapest repair."""
+    return repair_report(repair_conversations(damage(read(spark, sf_dir, "conversations"))))
+
+
+@register()
+def op13_spelling_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, damaged by a hash, with their near words, form and root."""
+    return spelling_variants(spark, vocabulary(read(spark, sf_dir, "documents"), typos=True))
