@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlake.llm.common import hash_sample
+
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style title template noscript iframe svg math canvas textarea select datalist object "
@@ -64,8 +66,10 @@ HEADER, ARTICLE = NAMES.index("header"), NAMES.index("article")
 NEXT_COST = 0.5  # smoothness between neighbours on the page
 TREE_COST = 0.6  # and between blocks of one parent; halves with every level between
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-                    r"|[^<]+|<", re.S)
+#: Open elements beyond this depth are not kept apart (their text is), as browsers do; so a step costs no more.
+DEPTH = 512
+
+_TAG = re.compile(r"</?[a-zA-Z]")
 _HINT_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?",
                         re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -93,10 +97,84 @@ def _hints(tag: str, attrs: str) -> int:
     return bits
 
 
+class _Tokens:
+    """Tokens of a page: text, or (closing, name, attributes); reads every character a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes. Whether there is one is the
+    same for all places that lead to the same next quote or ``>``, so such
+    places that lead nowhere are remembered, and the next one is looked for
+    once.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.dead, self.cached = html, set(), {}
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+
+    def _next(self, kind: re.Pattern, at: int) -> int:
+        """First place from ``at`` on that ``kind`` matches, -1 if none."""
+        lo, hi = self.cached.get(kind, (0, -2))
+        if hi == -1 and at >= lo or lo <= at <= hi:
+            return hi
+        m = kind.search(self.html, at)
+        self.cached[kind] = (at, m.start() if m else -1)
+        return self.cached[kind][1]
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes start at ``at``, -1 if none."""
+        path = []
+        while True:
+            e = self._next(_MARK, at) if at <= max(self.last.values()) else -1
+            if e >= 0 and self.html[e] == ">":
+                return e
+            if e < 0 or e in self.dead or e == self.last[self.html[e]]:
+                self.dead.update(path, (e,))
+                return -1
+            path.append(e)
+            at = self.html.find(self.html[e], e + 1) + 1
+
+    def __iter__(self):
+        html, at, size = self.html, 0, len(self.html)
+        while at < size:
+            if html[at] != "<":
+                end = html.find("<", at)
+                end = size if end < 0 else end
+                yield None, html[at: end], None
+                at = end
+                continue
+            end = -1
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+                continue
+            if html.startswith(("<!", "<?"), at):
+                if at < self.last[">"]:
+                    at = html.find(">", at) + 1
+                    continue
+            elif _TAG.match(html, at) and at < self.last[">"]:
+                closing = html[at + 1] == "/"
+                name = at + 1 + closing
+                stop = self._next(_NAME_END, name)
+                end = -1 if stop < 0 else self._end(stop)
+                if end >= 0:
+                    at = end + 1
+                    skip = yield closing, html[name: stop].lower(), html[stop: end]
+                    if skip:
+                        yield
+                        close = re.compile(rf"</{re.escape(skip)}", re.I).search(html, at)
+                        at = close.start() if close else size
+                    continue
+            yield None, "<", None
+            at += 1
+
+
+_MARK, _NAME_END = re.compile("[\"'>]"), re.compile(r"[\s/>]")
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks of a page in order; one pass, tolerant of unclosed elements."""
     out: list[Block] = []
-    stack = [("#", 0, 0, True)]  # name, number, hints with those of the ancestors, block level
+    # name, hints with those of the ancestors, block level, nearest block's name, numbers of the nearest three blocks
+    stack = [("#", 0, True, "#", (0,))]
     serial, skip_depth, links = 0, 0, 0
     parts: list[str] = []
     linked = 0
@@ -106,39 +184,29 @@ def blocks_of(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                at = len(stack) - 1
-                while not stack[at][3]:
-                    at -= 1
-                hints = stack[-1][2]
-                out.append(Block(text, stack[at][0], tuple(s[1] for s in stack[: at + 1] if s[3]), hints,
-                                 min(1.0, linked / len(text))))
+                _, hints, _, name, path = stack[-1]
+                out.append(Block(text, name, path, hints, min(1.0, linked / len(text))))
             parts.clear()
             linked = 0
 
     def pop_to(n):
         nonlocal links, skip_depth
         while len(stack) > n:
-            if stack[-1][3]:
+            if stack[-1][2]:
                 flush()
             name = stack.pop()[0]
             links -= name == "a"
             skip_depth -= name in SKIPPED
 
-    at, size = 0, len(html)
-    while at < size:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                if not skip_depth:
-                    parts.append(s)
-                    if links:
-                        linked += len(s)
+    tokens = iter(_Tokens(html))
+    for closing, tag, attrs in tokens:
+        if closing is None:
+            if not skip_depth:
+                parts.append(tag)
+                if links:
+                    linked += len(tag)
             continue
-        tag = tag.lower()
-        if m[1]:  # closing
+        if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     pop_to(i)
@@ -156,22 +224,21 @@ def blocks_of(html: str) -> list[Block]:
                 if name in SECTIONS or name in ("ul", "ol", "dl", "menu", "tbody", "thead"):
                     break
             flush()
-        if tag in VOID or m[3].rstrip().endswith("/") and tag in SKIPPED:
+        if tag in VOID or attrs.rstrip().endswith("/") and tag in SKIPPED:
             if tag == "br" or block:
                 parts.append(" ")
             continue
         serial += 1
-        own = _hints(tag, m[3])
-        if block is False and own >> HEADER & 1 and stack[-1][2] >> ARTICLE & 1:
-            own &= ~(1 << HEADER)
-        if own >> HEADER & 1 and stack[-1][2] >> ARTICLE & 1:
+        _, hints, _, name, path = stack[-1]
+        own = _hints(tag, attrs)
+        if own >> HEADER & 1 and hints >> ARTICLE & 1:
             own &= ~(1 << HEADER)  # the heading part of an article is content
-        stack.append((tag, serial, stack[-1][2] | own, block))
-        links += tag == "a"
-        skip_depth += tag in SKIPPED
+        if len(stack) < DEPTH or tag in SKIPPED:
+            stack.append((tag, hints | own, block, *((tag, (*path[-2:], serial)) if block else (name, path))))
+            links += tag == "a"
+            skip_depth += tag in SKIPPED
         if tag in RAW:
-            end = re.compile(rf"</{tag}", re.I).search(html, at)
-            at = end.start() if end else size
+            tokens.send(tag)
     pop_to(1)
     flush()
     return out
@@ -338,7 +405,9 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, id_col: str = "page
     rows = []
     if ids:
         wanted = F.broadcast(spark.createDataFrame(ids, "page_id long").distinct())
-        rows = [(r["x"], r["y"]) for r in pages.join(wanted, "page_id", "left_semi").select("html").mapInArrow(
+        sample = hash_sample(pages.join(wanted, "page_id", "left_semi").withColumn("all", F.lit(0)), "all",
+                             ["page_id", "html"], SAMPLE_PAGES)
+        rows = [(r["x"], r["y"]) for r in sample.select("html").mapInArrow(
             _weak_rows, "x array<double>, y int").collect()]
         rows.sort()
     return pages.mapInArrow(_extracted(adapt(rows)), "page_id long, url string, text string, n_chars long")
