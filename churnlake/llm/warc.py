@@ -119,21 +119,24 @@ def records_of(stream):
 
 
 def inflated(source):
-    """Reader of a gzip stream of any number of members: inflates every byte once."""
-    state = {"z": zlib.decompressobj(31), "rest": b""}
+    """Reader of a gzip stream of any number of members: inflates every byte once.
+
+    A stream that ends inside a member, its checksum included, is an error.
+    """
+    state = {"z": zlib.decompressobj(31), "rest": b"", "inside": False}
 
     def read(_):
         while True:
             data = state["rest"] or source.read(_CHUNK)
             state["rest"] = b""
             if not data:
-                if not state["z"].eof and state["z"].unconsumed_tail:
+                if state["inside"]:
                     raise ValueError("a gzip stream ends early")
                 return b""
             if state["z"].eof:
                 state["z"] = zlib.decompressobj(31)
             out = state["z"].decompress(data)
-            state["rest"] = state["z"].unused_data
+            state["rest"], state["inside"] = state["z"].unused_data, not state["z"].eof
             if out:
                 return out
     return read
