@@ -6,7 +6,7 @@ import os
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlake.session import new_table_path
@@ -52,6 +52,24 @@ def semi_join_ids(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
                      F.col(key).eqNullSafe(F.col("__id")), "left_semi")
 
 
+def hash_sample(rows: DataFrame, by: str, columns: list[str], k: int) -> DataFrame:
+    """At most ``k`` different rows (by, *columns) for each value of ``by``: about those with the smallest hash.
+
+    Rows are known by their content, so repeated rows and repeated ids count
+    once. A threshold on the hash, from the counted rows, leaves some 4 k rows
+    of a value before any are ranked, so neither the number of tasks nor a hot
+    id brings many rows together.
+    """
+    span = 1 << 30
+    h = F.xxhash64(*columns)
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(by, "__by")
+    some = rows.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).where(
+        F.pmod(h, F.lit(span)) * F.col("__n") <= 4.0 * k * span)
+    once = some.groupBy(by, h.alias("__h")).agg(F.first(F.struct(*columns)).alias("__row"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("__h"))
+    return once.withColumn("__nth", nth).where(F.col("__nth") <= k).select(by, "__row.*")
+
+
 def few_rows(df: DataFrame) -> bool:
     """Whether ``df`` has at most MAX_BROADCAST_IDS rows (it is counted)."""
     return df.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS

@@ -18,9 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlake.llm.common import hash_sample
+
 UNKNOWN = "und"
 
 
@@ -251,16 +253,11 @@ def _tokens(limit: int):
 
 
 def labelled_sample(spark: SparkSession, labelled: DataFrame, settings: Settings) -> DataFrame | None:
-    """(id, lang, tokens): at most docs_per_label documents of each label (smallest id hash), words_per_doc words of each."""
-    # Spark keeps the first rows of each label in every task before it exchanges them
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = [(r["id"],) for r in labelled.select("lang", "id").withColumn("nth", F.row_number().over(first))
-           .where(F.col("nth") <= settings.docs_per_label).select("id").distinct().collect()]
-    if not ids:
+    """(id, lang, tokens): at most docs_per_label different documents of each label, words_per_doc words of each."""
+    if labelled.isEmpty():
         return None
-    wanted = F.broadcast(spark.createDataFrame(ids, "id long").distinct())
-    return labelled.join(wanted, "id", "left_semi").select("id", "lang", "text") \
-        .mapInArrow(_tokens(settings.words_per_doc), "id long, lang string, tokens array<string>")
+    return hash_sample(labelled.select("id", "lang", "text"), "lang", ["id", "text"], settings.docs_per_label) \
+        .select("id", "lang", "text").mapInArrow(_tokens(settings.words_per_doc), "id long, lang string, tokens array<string>")
 
 
 def _fitted(settings: Settings):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm.common import stage
+from churnlake.llm.common import hash_sample, stage
 from churnlake.llm.lang_crf import letters
 
 BLOCK = 64
@@ -349,8 +349,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
 
     Defined results: an empty or null text, or one without any known term,
     scores the rate of such examples; null labels and ids are not learned
-    from; a null id has a null held_out; an id that is labelled twice gives
-    two examples; ties among neighbours go to the first example of the
+    from; a null id has a null held_out; an id that is labelled 0 and 1 gives
+    two examples, equal rows one; ties among neighbours go to the first example of the
     index; without labels every score is 0; repeated rows score alike; extra
     columns are ignored; empty tables give an empty result.
     """
@@ -364,7 +364,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
     model = None
     if picked:
         chosen = F.broadcast(spark.createDataFrame(picked, "id long, toxic int"))
-        sample = stage(spark, docs.join(chosen, "id"), "examples")
+        sample = stage(spark, hash_sample(docs.join(chosen, "id"), "toxic", ["id", "text"], settings.examples_per_class)
+                       .select("id", "text", "toxic"), "examples")
         found = sample.select("text").mapInArrow(_terms, "term long").distinct().toArrow()
         vocabulary = np.sort(found.column("term").to_numpy().astype(np.int64).view(np.uint64))
         key = uuid.uuid4().hex
