@@ -178,39 +178,51 @@ def _described(width: int, percent: int, with_set: bool, with_sigs: bool):
 
 
 def _sets(width: int, narrow: bool):
-    """Sets as sorted items: 64-bit, or ``narrow``: 32-bit heads, which only ever make sets look more alike."""
+    """Sets as sorted items with their true size n: 64-bit, or ``narrow``: the different 32-bit heads."""
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             for at in range(0, b.num_rows, 1000):
                 sets = [shingle_set(t, width) for t in texts.slice(at, 1000).to_pylist()]
+                sizes = pa.array([len(s) for s in sets], pa.int32())
                 if narrow:
                     sets = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, 1000), _lists(sets, np.int32 if narrow else np.int64)], ["id", "items"])
+                    [b.column(0).slice(at, 1000), sizes, _lists(sets, np.int32 if narrow else np.int64)],
+                    ["id", "n", "items"])
     return run
 
 
 def _sets_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, narrow: bool) -> DataFrame:
-    """(id, items): shingle sets of the documents in pairs (a, b), made again for these rows only."""
+    """(id, n, items): shingle sets of the documents in pairs (a, b), made again for these rows only."""
     ids = stage(spark, pairs.select(F.col("a").alias("id")).unionByName(
         pairs.select(F.col("b").alias("id"))).distinct(), "pair_ids")
     return stage(spark, semi_join_ids(docs, ids, "id").mapInArrow(
-        _sets(width, narrow), f"id long, items array<{'int' if narrow else 'long'}>"), "pair_sets")
+        _sets(width, narrow), f"id long, n int, items array<{'int' if narrow else 'long'}>"), "pair_sets")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` with the sets x of a and y of b."""
-    return pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a") \
-        .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    """``pairs`` with the sets x of a and y of b, and their true sizes xn and yn."""
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x"), F.col("n").alias("xn")), "a") \
+        .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y"), F.col("n").alias("yn")), "b")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` with nb, h and linked: size of b, symmetric difference, and whether the similarity reaches the threshold."""
+    """``pairs`` with nb, h and linked: true size of b, difference of the items, and whether the sets may be similar.
+
+    Elements with one 32-bit head count once, so heads in common may be fewer
+    than elements in common, by no more than either set lost; with that many
+    more the test never says no to similar sets (and is exact for 64 bits).
+    Different heads stand for different elements, so h is at most the true
+    difference.
+    """
+    lost = F.least(F.col("xn") - F.size("x"), F.col("yn") - F.size("y"))
     both = _with_sets(pairs, sets).select(
-        *pairs.columns, F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return both.select(*pairs.columns, "nb", (F.col("na") + F.col("nb") - 2 * F.col("i")).alias("h"),
-                       (100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).alias("linked"))
+        *pairs.columns, F.col("xn").alias("na"), F.col("yn").alias("nb"), lost.alias("lost"),
+        (F.size("x") + F.size("y")).alias("heads"), F.size(F.array_intersect("x", "y")).alias("i"))
+    most = F.col("i") + F.col("lost")
+    return both.select(*pairs.columns, "nb", (F.col("heads") - 2 * F.col("i")).alias("h"),
+                       (100 * most >= percent * (F.col("na") + F.col("nb") - most)).alias("linked"))
 
 
 def _linked(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
