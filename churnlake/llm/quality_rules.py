@@ -7,7 +7,9 @@ the 75 % of a group with the smallest Mahalanobis distances and re-estimate,
 which never raises the determinant; the start with the smallest determinant
 wins. Groups stay rows of a table; a row meets its group's estimate by
 (group, salt), and every step is a grouped aggregate with map-side
-combining, so one hot source is no single task.
+combining, so one hot source is no single task. What a step needs is written
+first, so a plan has one join of the rows and one aggregate, however many
+steps there are.
 """
 
 from __future__ import annotations
@@ -127,7 +129,8 @@ def _median_start(rows: DataFrame) -> DataFrame:
 
 def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(grp, m_i, w_ij, logdet): robust centre and whitening factor of each group of ``rows`` (grp, id, features)."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", *FEATURES), F.lit(SALTS)).cast("int"))
+    rows = stage(spark, rows.select("grp", "id", *FEATURES, F.pmod(F.xxhash64("id", *FEATURES), F.lit(SALTS))
+                                    .cast("int").alias("salt")), "mcd_rows")
     starts = _median_start(rows)
     for k in range(1, STARTS):  # a start from a tenth of the rows, picked by their hash
         some = rows.where(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10)) == 0)
@@ -135,9 +138,10 @@ def mcd(spark: SparkSession, rows: DataFrame) -> DataFrame:
     keys = ["grp", "start"]
     fit = stage(spark, _whitened(starts, keys), "mcd")
     for _ in range(STEPS):
-        far = rows.join(_salted(fit), ["grp", "salt"]).withColumn("d2", _distance())
-        edge = far.groupBy(*keys).agg(F.percentile_approx("d2", CORE, 10000).alias("edge"))
-        core = far.join(_salted(edge), [*keys, "salt"]).where("d2 <= edge").select(*keys, *FEATURES)
+        far = rows.join(_salted(fit), ["grp", "salt"])
+        edge = far.groupBy(*keys).agg(F.percentile_approx(_distance(), CORE, 10000).alias("edge"))
+        fit = stage(spark, fit.join(edge, keys), "mcd_edge")
+        core = rows.join(_salted(fit), ["grp", "salt"]).where(_distance() <= F.col("edge")).select(*keys, *FEATURES)
         fit = stage(spark, _whitened(_moments(core, keys), keys), "mcd")
     best = fit.groupBy("grp").agg(F.min(F.struct("logdet", "start")).alias("b")).select("grp", "b.start")
     fit = stage(spark, fit.join(best, keys), "mcd")
