@@ -4,9 +4,9 @@
 task. Instead:
 
 1. take ``k - 1`` approximate quantile boundaries of the ordering column
-   once (a bounded list of scalars), and freeze them as literals;
-2. bucket = number of boundaries on the far side of the value, so bucket 0
-   holds the first values in the requested order;
+   once (a bounded list of scalars), and freeze them as one array literal;
+2. bucket = number of boundaries on the far side of the value (a binary
+   search), so bucket 0 holds the first values in the requested order;
 3. per (group, bucket) totals -> a prefix over buckets on that small table
    (``groups x k`` rows) -> joined back as offsets (Spark sizes the join);
 4. the running total inside each (group, bucket) is an ordinary
@@ -56,23 +56,19 @@ def bucket_boundaries(df: DataFrame, order_col: str, buckets: int) -> list[float
 
 
 def bucket_expr(order_col: str, bounds: list[float], descending: bool):
-    """Bucket index as one SQL expression: a balanced CASE tree over the
-    sorted boundaries (log2(k) comparisons per row, fully code-generated,
-    one driver round-trip to build)."""
+    """Bucket index: the number of sorted boundaries strictly below the value (NULL: none).
+
+    A binary search in one array literal, so the plan has the same few nodes
+    for any number of boundaries and a row takes log2(k) steps.
+    """
     if not bounds:
         return F.lit(0)
     k = len(bounds)
-    lit = lambda b: f"CAST('{float(b)!r}' AS DOUBLE)"
-
-    def tree(lo: int, hi: int) -> str:
-        # number of boundaries b (index lo..hi-1) strictly below the value
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return (f"CASE WHEN `{order_col}` > {lit(bounds[mid])} THEN {tree(mid + 1, hi)} "
-                f"ELSE {tree(lo, mid)} END")
-
-    below = tree(0, k)
+    # a folded constant; an array of k literals would be k nodes of the plan
+    array = f"cast(split('{','.join(repr(float(b)) for b in bounds)}', ',') as array<double>)"
+    steps = [1 << i for i in reversed(range(k.bit_length()))]
+    below = (f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> "
+             f"if(at + step <= {k} and get({array}, at + step - 1) < `{order_col}`, at + step, at))")
     # ascending: bucket = boundaries below the value; descending: mirror it.
     return F.expr(below if not descending else f"{k} - ({below})")
 
