@@ -1,6 +1,7 @@
 """Classification trees grown level by level over binned rows: one tree, random forest, extra-trees.
 
-All trees of a forest grow together. A level is one job: tasks route their
+All trees of a forest, and of every fit (a set of training rows, a fold's say),
+grow together. A level is one job: tasks route their
 rows through the trees so far and emit counts by (tree, node, feature, bin),
 added up before and after one exchange; running counts over a feature's bins
 give every candidate cut its children, and the best one of a node is a
@@ -58,21 +59,29 @@ def draws(settings: TreeSettings, ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Trees as arrays by heap number (children of i: 2 i + 1, 2 i + 2); feature -1 is a leaf."""
+    """Trees as arrays by heap number (children of i: 2 i + 1, 2 i + 2), those of one fit after another's.
+
+    Feature -1 is a leaf.
+    """
 
     settings: TreeSettings
     n_features: int
+    fits: list[int]
 
     def __post_init__(self):
-        size = 2 ** (self.settings.max_depth + 1) - 1
-        self.feature = np.full((self.settings.trees, size), -1, np.int16)
-        self.cut = np.zeros((self.settings.trees, size), np.int16)
-        self.count = np.zeros((self.settings.trees, size), np.int64)
-        self.positive = np.zeros((self.settings.trees, size), np.int64)
-
-    def route(self, bins: np.ndarray) -> np.ndarray:
-        """(rows, trees): the node where each row ends."""
-        tree = np.arange(self.settings.trees)[None, :]
+        shape = (len(self.fits) * self.settings.trees, 2 ** (self.settings.max_depth + 1) - 1)
+        self.feature = np.full(shape, -1, np.int16)
+        self.cut = np.zeros(shape, np.int16)
+        self.count = np.zeros(shape, np.int64)
+        self.positive = np.zeros(shape, np.int64)
+
+    def trees_of(self, place: int) -> np.ndarray:
+        """Tree numbers of the fit at ``place``, as one row."""
+        return np.arange(place * self.settings.trees, (place + 1) * self.settings.trees)[None, :]
+
+    def route(self, bins: np.ndarray, place: int = 0) -> np.ndarray:
+        """(rows, trees): the node where each row ends in the trees of a fit."""
+        tree = self.trees_of(place)
         node = np.zeros((len(bins), self.settings.trees), np.int64)
         row = np.arange(len(bins))[:, None]
         while True:
@@ -94,7 +103,7 @@ class Forest:
         s, every = self.settings, np.arange(self.n_features, dtype=np.int64)
         if s.features is None or s.features >= self.n_features:
             return np.broadcast_to(every, (len(tree), self.n_features))
-        h = mix(mix(mix(s.seed + 1, 1 + tree), node)[:, None], every[None, :])
+        h = mix(mix(mix(s.seed + 1, 1 + tree % s.trees), node)[:, None], every[None, :])
         return np.sort(np.argsort(h, axis=1, kind="stable")[:, : s.features], axis=1)
 
 
@@ -104,17 +113,18 @@ def _matrix(batch) -> np.ndarray:
 
 
 def _level_counts(shared, n_open: int):
-    """Batches of (customer_id, label, bins) -> (key, n, p): counts by (open node, looked-at feature, bin)."""
+    """Batches of (fit, customer_id, label, bins) -> (key, n, p): counts by (open node, looked-at feature, bin)."""
     def run(batches):
         forest, slot, looked = shared.value
         s = forest.settings
         step = max(1, 400_000 // (s.trees * looked.shape[1]))
-        for b in batches:
-            ids, label, bins = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b)
+        for b, place in ((x, i) for x in batches for i in range(len(forest.fits))):
+            own = np.flatnonzero(b.column(0).to_numpy() == forest.fits[place])
+            ids, label, bins = b.column(1).to_numpy()[own], b.column(2).to_numpy()[own], _matrix(b)[own]
             for lo in range(0, len(ids), step):
                 part = slice(lo, lo + step)
                 times = draws(s, ids[part])
-                at = slot[np.arange(s.trees)[None, :], forest.route(bins[part])]
+                at = slot[forest.trees_of(place), forest.route(bins[part], place)]
                 row, tree = np.nonzero((at >= 0) & (times > 0))
                 where, w = at[row, tree], times[row, tree]
                 key = (where[:, None] * looked.shape[1] + np.arange(looked.shape[1])) * s.bins \
@@ -150,16 +160,20 @@ def _best_cuts(cells: DataFrame, settings: TreeSettings, n_looked: int, hashes:
         "slot", F.expr(f"(-b.first) % {n_looked}").alias("j"), (-F.col("b.low")).alias("bin"), "b.nl", "b.pl", "b.n", "b.p")
 
 
-def fit_forest(binned: DataFrame, n_features: int, settings: TreeSettings) -> Forest:
-    """``binned`` (customer_id, label, bins) should be a written table: each level reads it once."""
-    spark, forest, s = binned.sparkSession, Forest(settings, n_features), settings
-    rows = binned.select("customer_id", F.col("label").cast("long").alias("label"), "bins")
+def fit_forest(binned: DataFrame, n_features: int, settings: TreeSettings, fits: list[int] = [0]) -> Forest:
+    """Trees of every fit from the rows that train it: ``binned`` (fit, train, customer_id, label, bins).
+
+    ``binned`` should be a written table: each level reads it once, for all fits.
+    """
+    spark, forest, s = binned.sparkSession, Forest(settings, n_features, list(fits)), settings
+    rows = binned.where("train").select("fit", "customer_id", F.col("label").cast("long").alias("label"), "bins")
 
     def totals(batches):
-        for b in batches:
-            times = draws(s, b.column(0).to_numpy())
-            y = b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(s.trees)), pa.array(times.sum(axis=0)),
+        for b, place in ((x, i) for x in batches for i in range(len(forest.fits))):
+            own = np.flatnonzero(b.column(0).to_numpy() == forest.fits[place])
+            times = draws(s, b.column(1).to_numpy()[own])
+            y = b.column(2).to_numpy()[own]
+            yield pa.RecordBatch.from_arrays([pa.array(forest.trees_of(place)[0]), pa.array(times.sum(axis=0)),
                                               pa.array((times * y[:, None]).sum(axis=0))], ["tree", "n", "p"])
     for r in rows.mapInArrow(totals, "tree long, n long, p long").groupBy("tree").agg(
             F.sum("n").alias("n"), F.sum("p").alias("p")).collect():
@@ -179,7 +193,7 @@ def fit_forest(binned: DataFrame, n_features: int, settings: TreeSettings) -> Fo
             F.sum("n").alias("n"), F.sum("p").alias("p"))
         hashes = None
         if s.random_cut:
-            h = mix(mix(mix(s.seed + 2, 1 + tree), node)[:, None], looked.astype(np.int64)).ravel()
+            h = mix(mix(mix(s.seed + 2, 1 + tree % s.trees), node)[:, None], looked.astype(np.int64)).ravel()
             hashes = spark.createDataFrame(pa.table({"cell": np.arange(len(h)), "h": h}))
         best = _best_cuts(cells, s, looked.shape[1], hashes).toArrow()
         at, j, cut, nl, pl, n, p = (best.column(c).to_numpy() for c in ("slot", "j", "bin", "nl", "pl", "n", "p"))
@@ -194,19 +208,21 @@ def fit_forest(binned: DataFrame, n_features: int, settings: TreeSettings) -> Fo
 
 
 def predict_forest(forest: Forest, binned: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and score: the mean over the trees of the share of positives in a row's leaf."""
+    """(fit, *keep, score): the mean over the fit's trees of the share of positives in a row's leaf."""
     value = (forest.positive / np.maximum(forest.count, 1)).astype(np.float64)
     shared = binned.sparkSession.sparkContext.broadcast((forest, value))
 
     def run(batches):
         forest, value = shared.value
-        tree = np.arange(forest.settings.trees)[None, :]
         step = max(1, 1_000_000 // forest.settings.trees)
         for b in batches:
-            bins = _matrix(b)
-            parts = [value[tree, forest.route(bins[lo: lo + step])].mean(axis=1) for lo in range(0, len(bins), step)]
-            score = np.concatenate(parts) if parts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*keep, "score"])
-    rows = binned.select(*keep, "bins")
+            bins, fits, score = _matrix(b), b.column(0).to_numpy(), np.zeros(b.num_rows)
+            for place, fit in enumerate(forest.fits):
+                own = np.flatnonzero(fits == fit)
+                for lo in range(0, len(own), step):
+                    part = own[lo: lo + step]
+                    score[part] = value[forest.trees_of(place), forest.route(bins[part], place)].mean(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], ["fit", *keep, "score"])
+    rows = binned.select("fit", *keep, "bins")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(run, f"{schema}, score double")

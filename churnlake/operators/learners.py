@@ -1,29 +1,123 @@
-"""Learners: prior baseline, Spark ML classifiers, Gaussian naive Bayes.
-
-Preprocessing mirrors the reference's column transformer: numeric ->
-exact median imputation -> standard scaling with the population std;
-categorical -> most-frequent imputation -> one-hot (unknown -> all zeros).
-Fitting statistics are distributed aggregations; the fitted scalars are
-driver-side parameters like any Spark ML model's. Every fit is a
-distributed Spark ML job; the benchmark is a short driver loop over a
-fixed list of learners (one job graph per learner, never per row).
+"""The learners side by side: prepared once, fitted for one split or for all folds together, ranked, refitted.
+
+Rows come as (fit, train, customer_id, label, features), see
+``binning.single_fit`` and ``binning.fold_fits``. They are prepared once for
+all learners (medians, modes, scaling, bins: grouped passes over the training
+rows of every fit) and written as bins and as vectors. Each learner then fits
+all fits in its own passes and its scores are written, so a report never
+fits again. A learner that fails is recorded and the others go on.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       NaiveBayes, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlake.operators import binning as B
+from churnlake.operators import boosting as G
 from churnlake.operators import features as FT
+from churnlake.operators import forest as T
+from churnlake.operators import logistic as R
+from churnlake.operators.prefix import materialize
 from churnlake.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 
+#: The square root of 14 numeric features and some 20 categories is 5 or 6.
+FORESTS = {
+    "decision_tree": T.TreeSettings(trees=1, max_depth=8, min_leaf=20),
+    "random_forest": T.TreeSettings(trees=250, max_depth=12, min_leaf=3, features=6, bootstrap=True),
+    "extra_trees": T.TreeSettings(trees=250, max_depth=12, min_leaf=3, features=6, random_cut=True, seed=43),
+}
+LEARNERS = ["logistic_regression", "knn", "gaussian_nb", *FORESTS, *G.PRESETS]
+
+
+@dataclass
+class Prepared:
+    """Written bins and vectors of all fits."""
+
+    prep: B.Preparation
+    binned: DataFrame
+    vectors: DataFrame
+
+
+def prepare(rows: DataFrame) -> Prepared:
+    """``rows`` (fit, train, customer_id, label, features) with their labels known."""
+    rows = materialize(rows.where("label is not null"))
+    prep = B.fit_preparation(rows)
+    keep = [F.col("fit").cast("int").alias("fit"), "train", "customer_id", F.col("label").cast("int").alias("label")]
+    return Prepared(prep, materialize(prep.binned(rows, *keep)), materialize(prep.vectors(rows, *keep)))
+
+
+def _logistic(p: Prepared) -> DataFrame:
+    beta = R.fit_logistic(p.vectors, p.prep.fits, len(p.prep.names))
+    return R.predict_logistic(beta, p.vectors.where("not train"), "fit", "customer_id", "label")
+
+
+def _knn(p: Prepared) -> DataFrame:
+    from churnlake.operators.neighbours import predict_neighbours
+    return predict_neighbours(p.vectors)
+
+
+def _gaussian_nb(p: Prepared) -> DataFrame:
+    from churnlake.operators.naive_bayes import score_vectors
+    return score_vectors(p.vectors, len(p.prep.names))
+
+
+def _forest(name: str) -> Callable[[Prepared], DataFrame]:
+    def run(p: Prepared) -> DataFrame:
+        forest = T.fit_forest(p.binned, len(p.prep.names), FORESTS[name], p.prep.fits)
+        return T.predict_forest(forest, p.binned.where("not train"), "customer_id", "label")
+    return run
+
+
+SINGLE = {"logistic_regression": _logistic, "knn": _knn, "gaussian_nb": _gaussian_nb, **{n: _forest(n) for n in FORESTS}}
+
+
+def _boosted(p: Prepared, names: list[str]) -> DataFrame:
+    made = G.fit_boosters(p.binned, len(p.prep.names), {n: G.PRESETS[n] for n in names})
+    return G.predict_boosters(made, p.binned.where("not train"), "customer_id", "label")
+
+
+def score_learners(prepared: Prepared, names: list[str], at_once: int = 3) -> tuple[DataFrame, dict, dict]:
+    """(scores (model, fit, customer_id, label, score), seconds and errors by name) of the rows that don't train.
+
+    Boosted learners share their passes; the others run ``at_once`` at a time,
+    so that one learner's short jobs fill the gaps of another's.
+    """
+    columns = ["model", "fit", "customer_id", "label", "score"]
+    boosted = [n for n in names if n in G.PRESETS]
+    work = {n: [n] for n in names if n not in G.PRESETS} | ({"boosted": boosted} if boosted else {})
+
+    def run(key):
+        start = time.time()
+        try:
+            if key == "boosted":
+                scored = _boosted(prepared, boosted).withColumnRenamed("preset", "model")
+            else:
+                scored = SINGLE[key](prepared).withColumn("model", F.lit(key))
+            return materialize(scored.select(*columns)), time.time() - start, None
+        except Exception as exc:  # noqa: BLE001  (keep going, as the reference does)
+            return None, time.time() - start, f"{type(exc).__name__}: {exc}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        done = dict(zip(work, pool.map(run, work)))
+    seconds = {n: done[k][1] / len(work[k]) for k in work for n in work[k]}
+    errors = {n: done[k][2] for k in work for n in work[k] if done[k][2] is not None}
+    out = None
+    for scored, _, _ in done.values():
+        if scored is not None:
+            out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        raise RuntimeError(f"no learner could be fitted: {errors}")
+    return out, seconds, errors
+
 
 def prior_scores(train: DataFrame, target: DataFrame, label: str = "churn_flag") -> DataFrame:
     """Constant score = training churn rate (a scalar subquery, no join)."""
@@ -31,6 +125,48 @@ def prior_scores(train: DataFrame, target: DataFrame, label: str = "churn_flag")
     return target.select("customer_id", F.col(label).alias("label"), prior.alias("score"))
 
 
+def benchmark(split: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(report, scores): each learner fitted on train and scored on validation, with the prior's constant beside them.
+
+    ``split`` has customer_id, label, split and the features. The report has
+    one row per learner: its metrics, seconds and error (metrics are null
+    where it failed).
+    """
+    from churnlake.operators.metrics import evaluate_predictions
+    names = list(names or LEARNERS)
+    prepared = prepare(B.single_fit(split))
+    scores, seconds, errors = score_learners(prepared, names)
+    rows = prepared.binned
+    prior = prior_scores(rows.where("train"), rows.where("not train"), "label") \
+        .select(F.lit("prior").alias("model"), F.lit(0).alias("fit"), "customer_id", "label", "score")
+    scores = scores.unionByName(prior)
+    metrics = evaluate_predictions(scores, 0.5, group_cols=["model"])
+    runs = split.sparkSession.createDataFrame(
+        [(n, float(seconds.get(n, 0.0)), errors.get(n)) for n in ["prior", *names]],
+        "model string, fit_seconds double, error string")
+    return runs.join(metrics, "model", "left"), scores
+
+
+def cross_validate(dev: DataFrame, names: list[str], k: int = 5) -> DataFrame:
+    """(model, fold, customer_id, label, score): out-of-fold scores with refits, preparation included.
+
+    All folds of a learner are fitted in the same passes.
+    """
+    from churnlake.operators.splits import kfold_assign
+    folds = kfold_assign(dev, k, label="label")
+    scores, _, errors = score_learners(prepare(B.fold_fits(folds, k)), names)
+    if errors:
+        raise RuntimeError(f"learners that failed: {errors}")
+    return scores.withColumnRenamed("fit", "fold")
+
+
+def champion(report: DataFrame) -> str:
+    """The learner of the largest average precision (then ROC AUC, then name)."""
+    from churnlake.plans.evaluation import rank_models
+    ranked = rank_models(report.where("model <> 'prior' and average_precision is not null"))
+    return ranked.where("ranking = 1").first()["model"]
+
+
 def _dbl(v: float) -> str:
     return f"CAST('{float(v)!r}' AS DOUBLE)"
 
@@ -40,18 +176,16 @@ def _txt(v: str) -> str:
 
 
 class Preprocessor:
-    """Fit on the training frame; the fitted preparation is a Spark ML
-    ``PipelineModel`` (a ``SQLTransformer`` carrying the fitted medians,
-    modes, means and population stds as literals, then StringIndexer /
-    OneHotEncoder / VectorAssembler), so preprocessing + classifier save and
-    load as one model."""
+    """The preparation as a Spark ML ``PipelineModel`` (a ``SQLTransformer``
+    carrying the fitted medians, modes, means and population stds as
+    literals, then StringIndexer / OneHotEncoder / VectorAssembler), so that
+    preprocessing + classifier save and load as one model."""
 
     def __init__(self, numeric=NUMERIC_FEATURES, categorical=CATEGORICAL_FEATURES):
         self.numeric, self.categorical = list(numeric), list(categorical)
 
     def fit(self, train: DataFrame) -> "Preprocessor":
         from pyspark.ml.feature import SQLTransformer
-        from churnlake.operators.prefix import materialize
         # several statistics passes read the training rows: materialise once.
         rows = materialize(train.select(*self.numeric, *self.categorical))
         self.imputer = FT.fit_imputer(rows, self.numeric, self.categorical)
@@ -71,7 +205,6 @@ class Preprocessor:
             stages.append(StringIndexer(inputCols=[f"{c}__prep" for c in self.categorical],
                                         outputCols=[f"{c}__idx" for c in self.categorical],
                                         handleInvalid="keep", stringOrderType="alphabetAsc"))
-        if self.categorical:
             # the indexer keeps one more index for unseen values; as the last one it is dropped, so they are all zeros
             stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in self.categorical],
                                         outputCols=onehot_cols, dropLast=True, handleInvalid="error"))
@@ -92,111 +225,7 @@ class Preprocessor:
         return PipelineModel(stages=list(self.pipeline.stages) + [model])
 
 
-def learner_definitions(n_train: int) -> dict:
-    """The reference's learner set re-aimed at Spark ML (fixed parameters)."""
-    return {
-        "logistic_regression": lambda: LogisticRegression(
-            maxIter=2000, tol=1e-4, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-            standardization=False),
-        "gaussian_nb": lambda: NaiveBayes(modelType="gaussian"),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=20, seed=42),
-        "random_forest": lambda: RandomForestClassifier(
-            numTrees=250, minInstancesPerNode=3, featureSubsetStrategy="sqrt", maxDepth=30, seed=42),
-        # 15 leaves are a depth of 4; leaf minimum, row and column samples as the libraries' settings
-        "gbt_hist": lambda: GBTClassifier(maxIter=250, maxDepth=4, stepSize=0.05, minInstancesPerNode=30, seed=42),
-        "gbt_xgb": lambda: GBTClassifier(maxIter=400, maxDepth=4, stepSize=0.05, minInstancesPerNode=3,
-                                         subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42),
-        "gbt_lgbm": lambda: GBTClassifier(maxIter=400, maxDepth=4, stepSize=0.05, minInstancesPerNode=30,
-                                          subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42),
-        "gbt_catboost": lambda: GBTClassifier(maxIter=400, maxDepth=6, stepSize=0.05, seed=42),
-    }
-
-
-def _naive_bayes(train: DataFrame, target: DataFrame, label: str) -> DataFrame:
-    from churnlake.operators import naive_bayes as NB
-    return NB.predict(NB.fit(train, label), target, label)
-
-
-def _knn(train: DataFrame, target: DataFrame, label: str) -> DataFrame:
-    from churnlake.operators import knn
-    return knn.predict(knn.fit(train, label), target, label)
-
-
-#: Learners with a preparation of their own.
-FRAME_LEARNERS = {"gaussian_nb_df": _naive_bayes, "knn": _knn}
-
-
-def fit_and_score(estimator, train_f: DataFrame, target_f: DataFrame):
-    model = estimator.fit(train_f)
-    scored = model.transform(target_f).select(
-        "customer_id", F.col("label").cast("int").alias("label"),
-        vector_to_array("probability")[1].alias("score"),
-        F.col("prediction").cast("int").alias("prediction"))
-    return model, scored
-
-
-def benchmark(train: DataFrame, validation: DataFrame, names: list[str] | None = None,
-              label: str = "churn_flag"):
-    """Fit each learner on train, score validation; a failing learner is
-    recorded and skipped. Returns (scored frames by name, timings, errors)."""
-    from churnlake.operators.metrics import evaluate_predictions
-    prep = Preprocessor().fit(train)
-    tr = prep.transform(train, label)
-    va = prep.transform(validation, label)
-    n_train = train.count()
-    defs = learner_definitions(n_train)
-    reports, timings, errors = [], {}, {}
-    prior = prior_scores(train, validation, label)
-    reports.append(evaluate_predictions(prior, 0.5, model="prior"))
-    for name in names or list(defs):
-        t0 = time.time()
-        try:
-            scored = (FRAME_LEARNERS[name](train, validation, label) if name in FRAME_LEARNERS
-                      else fit_and_score(defs[name](), tr, va)[1])
-            reports.append(evaluate_predictions(scored, 0.5, model=name))
-        except Exception as exc:  # noqa: BLE001  (keep going, as the reference does)
-            errors[name] = f"{type(exc).__name__}: {exc}"
-        timings[name] = time.time() - t0
-    report = reports[0]
-    for r in reports[1:]:
-        report = report.unionByName(r)
-    # one row per learner (a fixed, small list) with its wall time and error
-    spark = train.sparkSession
-    runs = spark.createDataFrame(
-        [(n, float(timings.get(n, 0.0)), errors.get(n)) for n in ["prior", *(names or list(defs))]],
-        "model string, fit_seconds double, error string")
-    report = runs.join(report, "model", "left")
-    return report, timings, errors
-
-
-def cross_validate(dev: DataFrame, names: list[str], k: int = 5, label: str = "churn_flag") -> DataFrame:
-    """Stratified k-fold CV with a refit per fold (preprocessing included,
-    as in a fitted pipeline): every learner is fitted on k-1 folds and
-    scores the held-out fold; returns the out-of-fold scored rows
-    ``(model, fold, customer_id, label, score)`` for one grouped metric job.
-    The loop is over (learner, fold) pairs, a fixed small set; each fit is
-    a distributed job."""
-    from churnlake.operators.prefix import materialize
-    from churnlake.operators.splits import kfold_assign
-    folds = materialize(kfold_assign(dev, k, label=label))
-    n_dev = folds.count()
-    scored = []
-    for fold in range(k):
-        train = folds.filter(F.col("fold") != fold)
-        held = folds.filter(F.col("fold") == fold)
-        prep = None
-        for name in names:
-            if name in FRAME_LEARNERS:
-                s = FRAME_LEARNERS[name](train, held, label).select("customer_id", "label", "score")
-            else:
-                if prep is None:
-                    prep = Preprocessor().fit(train)
-                    tr, ho = prep.transform(train, label), prep.transform(held, label)
-                est = learner_definitions(int(n_dev * (k - 1) / k))[name]()
-                _, s = fit_and_score(est, tr, ho)
-                s = s.select("customer_id", "label", "score")
-            scored.append(s.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "*"))
-    out = scored[0]
-    for s in scored[1:]:
-        out = out.unionByName(s)
-    return out
+def saved_logistic(n_train: int) -> LogisticRegression:
+    """Spark ML's own logistic regression with the same penalty, for a pipeline that is saved and loaded."""
+    return LogisticRegression(maxIter=2000, tol=1e-10, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
+                              standardization=False)

@@ -109,3 +109,33 @@ def predict(model: dict, df: DataFrame, label: str = "churn_flag") -> DataFrame:
     return out.select("customer_id", "label",
                       (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_j0") - F.col("_j1")))).alias("score"),
                       (F.col("_j1") > F.col("_j0")).cast("int").alias("prediction"))
+
+
+def score_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """(fit, customer_id, label, score) of rows that don't train, for all fits: one grouped pass, one expression.
+
+    ``vectors`` (fit, train, customer_id, label, x) holds scaled numbers and
+    indicators; the same model as ``fit`` and ``predict``, whose indicators
+    are counted and not built.
+    """
+    sums = vectors.where("train").groupBy("fit", "label").agg(
+        F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(F.col("x")[i]), F.var_pop(F.col("x")[i])).alias(f"x{i}")
+                                        for i in range(width)]).collect()  # two rows a fit
+    model: dict[int, dict] = {}
+    for r in sums:
+        model.setdefault(r["fit"], {})[r["label"]] = (r["n"], [tuple(r[f"x{i}"]) for i in range(width)])
+    out = None
+    for fit, classes in sorted(model.items()):
+        total = sum(n for n, _ in classes.values())
+        mean = [sum(n * m[i][0] for n, m in classes.values()) / total for i in range(width)]
+        widest = max(sum(n * (m[i][1] + (m[i][0] - mean[i]) ** 2) for n, m in classes.values()) / total for i in range(width))
+        joint = {}
+        for label, (n, m) in classes.items():
+            var = [v + VAR_SMOOTHING * widest for _, v in m]
+            constant = math.log(n / total) - 0.5 * sum(math.log(2.0 * math.pi * v) for v in var)
+            parts = F.zip_with("x", F.array(*[F.struct(F.lit(mu), F.lit(v)) for (mu, _), v in zip(m, var)]),
+                               lambda a, p: (a - p["col1"]) * (a - p["col1"]) / (2 * p["col2"]))
+            joint[label] = F.aggregate(parts, F.lit(constant), lambda s, q: s - q)
+        score = 1 / (1 + F.exp(joint[0] - joint[1])) if len(joint) == 2 else F.lit(float(next(iter(joint))))
+        out = F.when(F.col("fit") == fit, score) if out is None else out.when(F.col("fit") == fit, score)
+    return vectors.where("not train").select("fit", "customer_id", "label", out.alias("score"))

@@ -24,15 +24,17 @@ def naive_bayes_learner(fit_rows: DataFrame, target: DataFrame) -> DataFrame:
     return NB.predict(NB.fit(fit_rows), target).select("customer_id", "label", "score")
 
 
-def ml_learner(name: str) -> Learner:
-    """A Spark ML learner of ``learners.learner_definitions`` with its preparation."""
+def learner_of(name: str) -> Learner:
+    """A learner of ``learners.LEARNERS`` with its preparation."""
     from churnlake.operators import learners as L
 
     def run(fit_rows: DataFrame, target: DataFrame) -> DataFrame:
-        prep = L.Preprocessor().fit(fit_rows)
-        _, scored = L.fit_and_score(L.learner_definitions(fit_rows.count())[name](), prep.transform(fit_rows),
-                                    prep.transform(target))
-        return scored.select("customer_id", "label", "score")
+        both = fit_rows.withColumn("train", F.lit(True)).unionByName(target.withColumn("train", F.lit(False)))
+        prepared = L.prepare(both.withColumn("fit", F.lit(0)).withColumnRenamed("churn_flag", "label"))
+        scores, _, errors = L.score_learners(prepared, [name])
+        if errors:
+            raise RuntimeError(f"{name} could not be fitted: {errors}")
+        return scores.select("customer_id", "label", "score")
     return run
 
 

@@ -309,32 +309,6 @@ def final_test_report_display(spark, sf):
         "model", "threshold_name", "threshold", *[report_round(m, 4).alias(m) for m in E.METRICS])
 
 
-def _knn_sql(max_fit_rows: int = 5000, k: int = 25):
-    from churnlake.operators.knn import MAX_FIT_ROWS, NEIGHBOURS
-    assert (max_fit_rows, k) == (MAX_FIT_ROWS, NEIGHBOURS)
-    num = " + ".join(f"pow((v.{c} - t.{c}) / coalesce(nullif(st.sd_{c}, 0), 1.0), 2)" for c in NUMERIC_FEATURES)
-    cat = " + ".join(f"CASE WHEN v.{c} = t.{c} THEN 0 ELSE 1 + CASE WHEN v.{c} IN (SELECT {c} FROM itr) THEN 1 ELSE 0 END END"
-                     for c in CATEGORICAL_FEATURES)
-    return sql(*CHAIN, SPLIT, _prep_ctes("", "'train'", "'validation'"), f"""
-fr AS (SELECT * FROM itr ORDER BY CAST(('0x' || substr(md5('knn:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT),
-  customer_id LIMIT {max_fit_rows}),
-dist AS (SELECT v.customer_id, v.label, t.label AS y, t.customer_id AS id, round({num} + {cat}, 9) AS d2 FROM iva v, fr t, st),
-near AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d2, id) <= {k}),
-sc AS (SELECT customer_id, label, CASE WHEN min(d2) = 0 THEN avg(y) FILTER (WHERE d2 = 0)
-    ELSE sum(y / sqrt(nullif(d2, 0))) / sum(1 / sqrt(nullif(d2, 0))) END AS score FROM near GROUP BY customer_id, label)""", body="""
-SELECT customer_id, label, round(score, 6) AS score, CAST(round(score, 9) > 0.5 AS INTEGER) AS prediction FROM sc""")
-
-
-@register("model_knn", _knn_sql())
-def model_knn(spark, sf):
-    """25 nearest training rows, weighted by distance, for every validation row."""
-    from churnlake.operators import knn
-    s = S.hash_split(mart_df(spark, sf))
-    model = knn.fit(s.filter(F.col("split") == "train"))
-    scored = knn.predict(model, s.filter(F.col("split") == "validation"))
-    return round_doubles(scored.withColumn("prediction", (F.round("score", 9) > 0.5).cast("int")))
-
-
 # --- one trained model from fit to final report --------------------------------
 
 _CHAIN_SCORES = """

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from churnlake.operators import binning as B
+from churnlake.operators import boosting as G
 from churnlake.operators import forest as T
 from churnlake.operators import logistic as R
+from churnlake.operators import neighbours as N
+from churnlake.operators.learners import FORESTS
 from churnlake.operators.prefix import materialize
 from churnlake.oracle import CHAIN, sql
 from churnlake.queries.learners import _SPLIT_ROWS, _exact
@@ -104,10 +107,7 @@ def forest_sql(s: T.TreeSettings, targets: str = "split = 'validation'") -> list
     return out
 
 
-CART = T.TreeSettings(trees=1, max_depth=8, min_leaf=20)
-#: The square root of 14 numeric features and some 20 categories, rounded down, is 5 or 6.
-FOREST = T.TreeSettings(trees=250, max_depth=12, min_leaf=3, features=6, bootstrap=True)
-EXTRA = T.TreeSettings(trees=250, max_depth=12, min_leaf=3, features=6, random_cut=True, seed=43)
+CART, FOREST, EXTRA = FORESTS["decision_tree"], FORESTS["random_forest"], FORESTS["extra_trees"]
 
 SCORED = ("SELECT customer_id, CAST(label AS INTEGER) AS label, round(score, 6) AS score, "
           "CAST(score >= 0.5 AS INTEGER) AS prediction FROM sc")
@@ -128,12 +128,12 @@ def prepared_split(spark, sf):
 def binned_split(spark, sf):
     """(preparation, written rows: customer_id, label, train, bins)."""
     prep, rows = prepared_split(spark, sf)
-    return prep, materialize(prep.binned(rows, "customer_id", "label", "train"))
+    return prep, materialize(prep.binned(rows, "fit", "train", "customer_id", "label"))
 
 
 def _forest(spark, sf, settings):
     prep, rows = binned_split(spark, sf)
-    forest = T.fit_forest(rows.where("train"), len(prep.names), settings)
+    forest = T.fit_forest(rows, len(prep.names), settings)
     return scored_rows(T.predict_forest(forest, rows.where("not train"), "customer_id", "label"))
 
 
@@ -149,7 +149,7 @@ SELECT node, CAST(coalesce(f, -1) AS BIGINT) AS feature, CAST(coalesce(cut, 0) A
 def model_tree_nodes(spark, sf):
     """Splits and leaves of the decision tree, by heap number; ``cut`` is the last bin that goes left."""
     prep, rows = binned_split(spark, sf)
-    forest = T.fit_forest(rows.where("train"), len(prep.names), CART)
+    forest = T.fit_forest(rows, len(prep.names), CART)
     return spark.createDataFrame([n[1:] for n in forest.nodes()],
                                  "node long, feature long, cut long, train_rows long, positives long")
 
@@ -169,17 +169,21 @@ def model_extra_trees(spark, sf):
 # --- logistic regression --------------------------------------------------------
 
 
-def logistic_sql(steps: int = 8) -> list[str]:
-    """CTEs that end in co (coefficients as a list, intercept last) and sc: Newton steps with a list-wise elimination."""
-    width = "(SELECT count(*) FROM ft)"
-    out = [f"ft AS MATERIALIZED (SELECT row_number() OVER (ORDER BY f) AS i, f FROM (SELECT DISTINCT f FROM bl))",
-           f"mm AS MATERIALIZED (SELECT f, avg(v) AS mu, coalesce(nullif(stddev_pop(v), 0), 1.0) AS sd FROM nl "
+def vectors_sql() -> list[str]:
+    """CTEs that end in xv (customer_id, y, split, x): scaled numbers, indicators, and 1 for the intercept."""
+    return [f"mm AS MATERIALIZED (SELECT f, avg(v) AS mu, coalesce(nullif(stddev_pop(v), 0), 1.0) AS sd FROM nl "
            f"WHERE split = 'train' GROUP BY f)",
            """xl AS MATERIALIZED (
   SELECT customer_id, label, split, f, (v - mu) / sd AS v FROM nl JOIN mm USING (f)
   UNION ALL SELECT customer_id, label, split, f, CAST(bin AS DOUBLE) FROM bl WHERE f >= %d)""" % _N,
            """xv AS MATERIALIZED (SELECT customer_id, any_value(label) AS y, any_value(split) AS split,
-  list_append(list(v ORDER BY f), 1.0::DOUBLE) AS x FROM xl GROUP BY customer_id)""",
+  list_append(list(v ORDER BY f), 1.0::DOUBLE) AS x FROM xl GROUP BY customer_id)"""]
+
+
+def logistic_sql(steps: int = 8) -> list[str]:
+    """CTEs that end in co (coefficients as a list, intercept last) and sc: Newton steps with a list-wise elimination."""
+    width = "(SELECT count(DISTINCT f) FROM bl)"
+    out = [*vectors_sql(),
            f"co0 AS MATERIALIZED (SELECT [0.0::DOUBLE FOR i IN range({width} + 1)] AS b)"]
     # an augmented matrix is solved by Gauss-Jordan elimination: one list_reduce step a pivot
     pivot = "CAST(k[1][1] AS BIGINT)"
@@ -223,3 +227,68 @@ def logistic_coefficients(spark, sf):
     prep, rows = _vectors(spark, sf)
     beta = R.fit_logistic(rows, prep.fits, len(prep.names))[0]
     return round_doubles(spark.createDataFrame(list(enumerate(beta.tolist())), "position long, coefficient double"))
+
+
+# --- neighbours -------------------------------------------------------------------
+
+
+@register("model_knn", sql(*CHAIN, *prepared_sql(), *vectors_sql(), """
+dist AS (SELECT v.customer_id, v.y AS label, t.y, t.customer_id AS id, round(pow(list_distance(v.x, t.x), 2), 9) AS d2
+  FROM xv v, xv t WHERE v.split = 'validation' AND t.split = 'train'),
+near AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d2, id) <= 25),
+sc AS (SELECT customer_id, label, CASE WHEN min(d2) = 0 THEN avg(y) FILTER (WHERE d2 = 0)
+    ELSE sum(y / sqrt(nullif(d2, 0))) / sum(1 / sqrt(nullif(d2, 0))) END AS score FROM near GROUP BY customer_id, label)""", body="""
+SELECT customer_id, CAST(label AS INTEGER) AS label, round(score, 6) AS score,
+  CAST(round(score, 9) > 0.5 AS INTEGER) AS prediction FROM sc"""))
+def model_knn(spark, sf):
+    """25 nearest of all training rows, weighted by distance, for every validation row."""
+    _, rows = _vectors(spark, sf)
+    scored = N.predict_neighbours(rows)
+    return round_doubles(scored.select("customer_id", F.col("label").cast("int").alias("label"), "score",
+                                       (F.round("score", 9) > 0.5).cast("int").alias("prediction")))
+
+
+# --- boosting by levels -----------------------------------------------------------
+
+
+def boost_sql(s: G.BoostSettings) -> list[str]:
+    """CTEs that end in sc: ``s.rounds`` trees of ``s.depth`` levels, gradients in whole units."""
+    u = repr(G.UNIT)
+    side = lambda g, h: f"({g} / {u}) * ({g} / {u}) / ({h} / {u} + {s.l2})"
+    gain = f"{side('gl', 'hl')} + {side('(g - gl)', '(h - hl)')} - {side('g', 'h')}"
+    out = ["m0 AS MATERIALIZED (SELECT customer_id, label, split, ln(r / (1 - r)) AS m FROM im, "
+           "(SELECT avg(label) AS r FROM im WHERE split = 'train') WHERE split IN ('train', 'validation'))"]
+    for t in range(s.rounds):
+        out.append(f"""a{t}_0 AS MATERIALIZED (SELECT customer_id, split = 'train' AS tr, CAST(0 AS BIGINT) AS node,
+  CASE WHEN split = 'train' THEN round_even((p - label) * {u}, 0) ELSE 0 END AS g,
+  CASE WHEN split = 'train' THEN round_even(p * (1 - p) * {u}, 0) ELSE 0 END AS h
+  FROM (SELECT *, 1 / (1 + exp(-m)) AS p FROM m{t}))""")
+        for d in range(s.depth):
+            out += [f"""h{t}_{d} AS MATERIALIZED (SELECT node, f, bin, sum(g) AS bg, sum(h) AS bh, count(*) AS bn
+  FROM a{t}_{d} a JOIN bl USING (customer_id) WHERE tr GROUP BY node, f, bin)""",
+                    f"""c{t}_{d} AS MATERIALIZED (SELECT node, f, bin, sum(bg) OVER upto AS gl, sum(bh) OVER upto AS hl, sum(bn) OVER upto AS nl,
+  sum(bg) OVER cell AS g, sum(bh) OVER cell AS h, sum(bn) OVER cell AS n FROM h{t}_{d}
+  WINDOW cell AS (PARTITION BY node, f), upto AS (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING))""",
+                    f"""b{t}_{d} AS MATERIALIZED (SELECT node, f, bin AS cut FROM (SELECT *, {gain} AS gain FROM c{t}_{d}
+  WHERE nl >= {max(1, s.min_rows)} AND n - nl >= {max(1, s.min_rows)} AND hl >= {s.min_hessian} * {u} AND h - hl >= {s.min_hessian} * {u})
+  WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1)""",
+                    f"""a{t}_{d + 1} AS MATERIALIZED (SELECT a.customer_id, a.tr, 2 * a.node + 1 + CAST(bl.bin > b.cut AS BIGINT) AS node, a.g, a.h
+  FROM a{t}_{d} a JOIN b{t}_{d} b ON b.node = a.node JOIN bl ON bl.customer_id = a.customer_id AND bl.f = b.f)"""]
+        ends = " UNION ALL ".join(
+            f"SELECT a.customer_id, v.v FROM a{t}_{d} a JOIN (SELECT node, (-{s.rate} * (sum(g) / {u})) / (sum(h) / {u} + {s.l2}) AS v "
+            f"FROM a{t}_{d} GROUP BY node) v ON v.node = a.node"
+            + (f" ANTI JOIN b{t}_{d} b ON b.node = a.node" if d < s.depth else "") for d in range(s.depth + 1))
+        out.append(f"m{t + 1} AS MATERIALIZED (SELECT m.customer_id, label, split, m + v AS m FROM m{t} m JOIN ({ends}) e USING (customer_id))")
+    out.append(f"sc AS MATERIALIZED (SELECT customer_id, label, 1 / (1 + exp(-m)) AS score FROM m{s.rounds} WHERE split = 'validation')")
+    return out
+
+
+LEVELS = G.BoostSettings(rounds=6, rate=0.3, leaves=None, depth=3, min_rows=10, l2=1.0)
+
+
+@register("model_gbt_levels", sql(*CHAIN, *prepared_sql(), *boost_sql(LEVELS), body=SCORED))
+def model_gbt_levels(spark, sf):
+    """Six boosting rounds of depth 3, one job a level: the way that boosting takes above a block of rows."""
+    prep, rows = binned_split(spark, sf)
+    made = G.fit_boosters(rows, len(prep.names), {"levels": LEVELS}, block_rows=0)
+    return scored_rows(G.predict_boosters(made, rows.where("not train"), "customer_id", "label"))
