@@ -52,6 +52,15 @@ class Preparation:
         self.fits = sorted(self.medians or self.modes)
         self.names = [*self.numeric, *(f"{c}={v}" for c, vs in self.categories.items() for v in vs)]
 
+    def groups(self) -> dict[str, list[int]]:
+        """The places of each column's features in ``names``."""
+        out = {c: [i] for i, c in enumerate(self.numeric)}
+        at = len(self.numeric)
+        for c, values in self.categories.items():
+            out[c] = list(range(at, at + len(values)))
+            at += len(values)
+        return out
+
     def _by_fit(self, expression) -> Column:
         if len(self.fits) == 1:
             return expression(self.fits[0])

@@ -117,6 +117,16 @@ class Booster:
         return Booster(self.settings, self.base, [replace(t, sums=[], level=[]) for t in self.trees])
 
 
+@dataclass
+class Scorer:
+    """A booster as a function of bins."""
+
+    booster: Booster
+
+    def __call__(self, bins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.booster.margins(bins)))
+
+
 def sampled(s: BoostSettings, round_no: int, ids: np.ndarray) -> np.ndarray:
     """Rows that a round learns from, by a hash of (seed, round, id)."""
     if s.row_share >= 1:

@@ -121,3 +121,25 @@ def dense_positions(df: DataFrame, order_cols: list[str], group_cols=(), bucket_
     j = join_on_groups(b, offsets, [*group_cols, "_bucket"])
     within = Window.partitionBy(*group_cols, "_bucket").orderBy(*[F.col(c).asc() for c in order_cols])
     return j.select(*df.columns, (F.row_number().over(within) + F.col("_o")).alias("position"))
+
+
+def sums_before(df: DataFrame, order_cols: list[str], sum_cols: list[str], group_cols, bucket_col: str,
+                buckets: int | None = None) -> DataFrame:
+    """Adds ``before_<c>``: the sum of ``c`` over the rows of the group that come earlier in ``order_cols``.
+
+    As ``dense_positions``, the caller supplies a numeric ``bucket_col`` that
+    is monotone in the order; rows of one group are spread over the buckets,
+    so a hot group is no single task.
+    """
+    rows = materialize(df)
+    group_cols = list(group_cols)
+    bounds = bucket_boundaries(rows, bucket_col, buckets or default_buckets(df))
+    b = rows.withColumn("_bucket", bucket_expr(bucket_col, bounds, descending=False))
+    totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    before = (Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*group_cols, "_bucket", *[
+        F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    within = (Window.partitionBy(*group_cols, "_bucket").orderBy(*[F.col(c).asc() for c in order_cols])
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return join_on_groups(b, offsets, [*group_cols, "_bucket"]).select(*df.columns, *[
+        (F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_o_{c}")).alias(f"before_{c}") for c in sum_cols])

@@ -9,6 +9,7 @@ from churnlake.operators import boosting as G
 from churnlake.operators import forest as T
 from churnlake.operators import logistic as R
 from churnlake.operators import neighbours as N
+from churnlake.operators import target_statistics as O
 from churnlake.operators.learners import FORESTS
 from churnlake.operators.prefix import materialize
 from churnlake.oracle import CHAIN, sql
@@ -292,3 +293,29 @@ def model_gbt_levels(spark, sf):
     prep, rows = binned_split(spark, sf)
     made = G.fit_boosters(rows, len(prep.names), {"levels": LEVELS}, block_rows=0)
     return scored_rows(G.predict_boosters(made, rows.where("not train"), "customer_id", "label"))
+
+
+# --- ordered target statistics ------------------------------------------------------
+
+_H = "CAST(('0x' || substr(md5('target-statistics:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT)"
+_CELLS = (f"tl AS (SELECT customer_id, churn_flag AS y, split, {_H} AS h, name AS column_name, category FROM tm "
+          f"UNPIVOT INCLUDE NULLS (category FOR name IN ({', '.join(CATEGORICAL_FEATURES)})))")
+
+
+@register("ordered_target_statistics", sql(*CHAIN, *prepared_sql()[:3], _CELLS, """
+pri AS (SELECT avg(churn_flag) AS p FROM tm WHERE split = 'train'),
+tr AS (SELECT customer_id, column_name, category, (coalesce(sum(y) OVER w, 0) + p) / (count(*) OVER w + 1) AS statistic
+  FROM tl, pri WHERE split = 'train'
+  WINDOW w AS (PARTITION BY column_name, category ORDER BY h, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+kn AS (SELECT column_name, category, sum(y) AS s, count(*) AS n FROM tl WHERE split = 'train' GROUP BY ALL)""", body="""
+SELECT 'train' AS split, customer_id, column_name, category, round(statistic, 6) AS statistic FROM tr
+UNION ALL
+SELECT 'validation', customer_id, t.column_name, t.category, round((coalesce(s, 0) + p) / (coalesce(n, 0) + 1), 6)
+FROM tl t LEFT JOIN kn ON kn.column_name = t.column_name AND kn.category IS NOT DISTINCT FROM t.category, pri WHERE t.split = 'validation'"""))
+def ordered_target_statistics(spark, sf):
+    """Categories of the training rows as ordered statistics, of the validation rows as statistics of all training rows."""
+    rows = materialize(_exact(spark, sf).withColumnRenamed("churn_flag", "label"))
+    train, target = rows.where("split = 'train'"), rows.where("split = 'validation'")
+    made = O.ordered_statistics(train, CATEGORICAL_FEATURES).withColumn("split", F.lit("train")).unionByName(
+        O.scoring_statistics(train, target, CATEGORICAL_FEATURES).withColumn("split", F.lit("validation")))
+    return round_doubles(made.select("split", "customer_id", "column_name", "category", "statistic"))
