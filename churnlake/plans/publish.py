@@ -4,8 +4,8 @@ Order matters and follows the source system: the batch is checked, then the
 create-only prediction table and the snapshot are written; the lineage
 columns are added to the table afterwards (so the snapshot does not carry
 them); the summary document and the ledger rows describe the batch. A
-batch's snapshot lies at the URI that its rows carry, with a checksum of its
-content beside it.
+batch's snapshot lies at the URI that its rows carry, with a manifest of its
+files' SHA-256 and a checksum of its content beside it.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def risk_distribution(pred: DataFrame) -> DataFrame:
 
 
 def scoring_summary(pred: DataFrame, keys: DataFrame, source_table: str, target_table: str,
-                    watchlist: float, classification: float) -> DataFrame:
-    """The batch's summary as one row (scalars + a nested JSON document)."""
+                    watchlist: float, classification: float, snapshot_sha256: str | None = None) -> DataFrame:
+    """The batch's summary as one row (scalars + a nested JSON document, with the snapshot's SHA-256 if given)."""
     stats = pred.agg(
         F.count(F.lit(1)).cast("bigint").alias("customers_scored"),
         F.count_distinct("customer_id").cast("bigint").alias("unique_customers"),
@@ -79,6 +79,7 @@ def scoring_summary(pred: DataFrame, keys: DataFrame, source_table: str, target_
         *[F.col(c) for c in ["source_table", "target_table", "snapshot_uri", "scored_at", "customers_scored",
                              "unique_customers", "model_name", "model_version", "model_alias",
                              "watchlist_threshold", "classification_threshold"]],
+        *([F.lit(snapshot_sha256).alias("snapshot_sha256")] if snapshot_sha256 else []),
         F.struct(*[F.col(f"risk_{b.lower()}").alias(b) for b in RISK_BANDS]).alias("risk_distribution")))
     return row.withColumn("document", doc)
 
@@ -115,12 +116,13 @@ def publish_batch(spark: SparkSession, pred: DataFrame, table_path: str, curated
     lineage_path = table_path.rstrip("/") + "_lineage"
     files.write_parquet(attach_lineage(stored, batch_keys(stored, curated_root)), lineage_path, mode="errorifexists")
     return {"table": table_path, "snapshot": f"{curated_root}/{SNAPSHOT_PREFIX}", "lineage": lineage_path,
-            "uri": uri, "checksum": checksum}
+            "uri": uri, "checksum": checksum, "sha256": files.snapshot_digest(spark, uri)}
 
 
 def recovered_snapshot(spark: SparkSession, lineage: DataFrame) -> DataFrame:
-    """The snapshot behind the one URI that the published rows carry."""
+    """The snapshot behind the one URI that the published rows carry, if its bytes are those that were written."""
     uris = [r["snapshot_uri"] for r in lineage.select("snapshot_uri").distinct().limit(2).collect()]
     if len(uris) != 1:
         raise ValueError(f"the table carries {len(uris)} snapshot URIs, expected one")
-    return files.read_parquet(spark, uris[0])
+    files.refuse_changed_files(spark, uris[0])
+    return files.read_batch(spark, uris[0])
