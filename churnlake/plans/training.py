@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from churnlake.operators import metrics as M
 from churnlake.operators.prefix import materialize
 from churnlake.plans.evaluation import METRICS, final_test_report
-from churnlake.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, WATCHLIST_MIN_PRECISION
+from churnlake.schemas import (CATEGORICAL_FEATURES, CLASSIFICATION_THRESHOLD, FEATURE_COLUMNS, NUMERIC_FEATURES, RISK_BANDS,
+                               WATCHLIST_MIN_PRECISION, WATCHLIST_THRESHOLD)
 
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -80,13 +81,18 @@ def training_documents(split: DataFrame, report: DataFrame) -> DataFrame:
         F.struct(key, value)))))
     sizes = split.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(
         entries(F.concat("split", F.lit("_rows")), F.col("n").cast("double")).alias("body"))
-    cuts = report.agg(entries(F.col("threshold_name"), F.col("threshold")).alias("body"))
+    # the cuts found, and the lower end of each band that scoring uses
+    ends = {"Low": 0.0, "Medium": WATCHLIST_THRESHOLD, "High": CLASSIFICATION_THRESHOLD}
+    bands = F.array(*[F.struct(F.lit(f"band.{b}").alias("k"), F.lit(ends[b]).alias("v")) for b in RISK_BANDS])
+    named = F.collect_list(F.struct(F.col("threshold_name").alias("k"), F.col("threshold").alias("v")))
+    cuts = report.agg(F.to_json(F.map_from_entries(F.sort_array(F.concat(named, bands)))).alias("body"))
     final = report.select("threshold_name", F.explode(F.array(*[
         F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in METRICS])).alias("e")).agg(
         entries(F.concat("threshold_name", F.lit("."), F.col("e.m")), F.col("e.v")).alias("body"))
     kinds = split.limit(1).agg(F.to_json(F.create_map(
         F.lit("numeric"), F.lit(float(len(NUMERIC_FEATURES))), F.lit("categorical"),
-        F.lit(float(len(CATEGORICAL_FEATURES))))).alias("body"))
+        F.lit(float(len(CATEGORICAL_FEATURES))),
+        *[x for i, c in enumerate(FEATURE_COLUMNS) for x in (F.lit(f"position.{c}"), F.lit(float(i + 1)))])).alias("body"))
     out = None
     for name, df in (("features", kinds), ("pipeline_validation", sizes), ("thresholds", cuts),
                      ("final_results", final)):

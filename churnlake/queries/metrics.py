@@ -158,19 +158,39 @@ def confusion_matrix(spark, sf):
 
 # --- splits ----------------------------------------------------------------
 
-@register("stratified_split", sql(*CHAIN, SPLIT, body="SELECT customer_id, churn_flag, split FROM split"))
+_EXACT = """
+ex AS (
+  SELECT customer_id, churn_flag,
+    row_number() OVER (PARTITION BY churn_flag ORDER BY
+      CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT), customer_id) AS position,
+    count(*) OVER (PARTITION BY churn_flag) AS label_rows
+  FROM mart)"""
+#: The exact stratified split as the table ``split`` (mart columns and split).
+EXACT_SPLIT = _EXACT + """,
+es AS (SELECT customer_id, CASE WHEN position <= ceil(label_rows * 0.2) THEN 'test'
+  WHEN position <= ceil(label_rows * 0.4) THEN 'validation' ELSE 'train' END AS split FROM ex),
+split AS (SELECT m.*, es.split FROM mart m JOIN es ON es.customer_id = m.customer_id)"""
+
+
+def exact_split(spark, sf):
+    """The mart with ``split`` by exact quotas within each label."""
+    return S.exact_stratified_split(mart_df(spark, sf)).drop("position")
+
+
+@register("stratified_split", sql(*CHAIN, EXACT_SPLIT, body="SELECT customer_id, churn_flag, split FROM split"))
 def stratified_split(spark, sf):
-    return S.hash_split(mart_df(spark, sf)).select("customer_id", "churn_flag", "split")
+    return exact_split(spark, sf).select("customer_id", "churn_flag", "split")
 
 
-@register("split_summary", sql(*CHAIN, SPLIT, body="""
+@register("split_summary", sql(*CHAIN, EXACT_SPLIT, body="""
 SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(churn_flag) AS BIGINT) AS churners,
   round(avg(churn_flag), 6) AS churn_rate FROM split GROUP BY split
 UNION ALL
 SELECT 'development', CAST(count(*) AS BIGINT), CAST(sum(churn_flag) AS BIGINT), round(avg(churn_flag), 6)
 FROM split WHERE split IN ('train', 'validation')"""))
 def split_summary(spark, sf):
-    s = S.hash_split(mart_df(spark, sf))
+    from churnlake.operators.prefix import materialize
+    s = materialize(exact_split(spark, sf).select("split", "churn_flag"))
     agg = [F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum("churn_flag").cast("bigint").alias("churners"),
            F.avg("churn_flag").alias("churn_rate")]
     per = s.groupBy("split").agg(*agg)
@@ -192,15 +212,6 @@ def kfold_assign(spark, sf):
     return S.kfold_assign(mart_df(spark, sf), 5).select("customer_id", "churn_flag", "fold")
 
 
-_EXACT = """
-ex AS (
-  SELECT customer_id, churn_flag,
-    row_number() OVER (PARTITION BY churn_flag ORDER BY
-      CAST(('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 8))::BIGINT AS BIGINT), customer_id) AS position,
-    count(*) OVER (PARTITION BY churn_flag) AS label_rows
-  FROM mart)"""
-
-
 @register("exact_stratified_split", sql(*CHAIN, _EXACT, body="""
 SELECT customer_id, churn_flag, CASE WHEN position <= ceil(label_rows * 0.2) THEN 'test'
   WHEN position <= ceil(label_rows * 0.4) THEN 'validation' ELSE 'train' END AS split FROM ex"""))

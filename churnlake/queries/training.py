@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from churnlake.operators import features as FT
 from churnlake.operators import metrics as M
 from churnlake.operators import splits as S
+from churnlake.operators.prefix import materialize
 from churnlake.oracle import CHAIN, LABELLED, SPLIT, sql
 from churnlake.plans import evaluation as E
 from churnlake.queries.common import mart_df
-from churnlake.queries.metrics import _BEST_F1, _WATCH, _conf_cte, _pr_cte, _rank_cte, labelled_split
+from churnlake.queries.metrics import (_BEST_F1, _WATCH, EXACT_SPLIT, _conf_cte, _pr_cte, _rank_cte, exact_split,
+                                       labelled_split)
 from churnlake.registry import register, round_doubles
-from churnlake.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, WATCHLIST_MIN_PRECISION
+from churnlake.schemas import (CATEGORICAL_FEATURES, CLASSIFICATION_THRESHOLD, FEATURE_COLUMNS, NUMERIC_FEATURES,
+                               WATCHLIST_MIN_PRECISION, WATCHLIST_THRESHOLD)
 
 _LS = """
 ls AS (SELECT l.*, s.split FROM labelled l JOIN split s USING (customer_id))"""
@@ -93,7 +96,7 @@ def metrics_long(spark, sf):
     return round_doubles(E.metrics_long(rk, ["split"], ["roc_auc", "average_precision"]))
 
 
-@register("model_prior", sql(*CHAIN, SPLIT, """
+@register("model_prior", sql(*CHAIN, EXACT_SPLIT, """
 pv AS (
   SELECT customer_id, churn_flag AS label,
     (SELECT avg(churn_flag) FROM split WHERE split = 'train') AS score
@@ -105,7 +108,7 @@ SELECT 'prior' AS model, 0.5::DOUBLE AS threshold, round(roc_auc, 6) AS roc_auc,
 FROM rk, cf_m"""))
 def model_prior(spark, sf):
     from churnlake.operators.learners import prior_scores
-    s = S.hash_split(mart_df(spark, sf))
+    s = materialize(exact_split(spark, sf).select("customer_id", "churn_flag", "split"))
     scored = prior_scores(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "validation"))
     return round_doubles(M.evaluate_predictions(scored, 0.5, model="prior"))
 
@@ -113,7 +116,6 @@ def model_prior(spark, sf):
 # --- feature preparation -----------------------------------------------------
 
 def _train(spark, sf):
-    from churnlake.operators.prefix import materialize
     return materialize(S.hash_split(mart_df(spark, sf)).filter(F.col("split") == "train"))
 
 
@@ -288,14 +290,14 @@ def _gnb_ctes(p: str, fit: str, target: str) -> str:
 
 
 def _gnb_sql():
-    return sql(*CHAIN, SPLIT, _gnb_ctes("", "'train'", "'validation'"), body="""
+    return sql(*CHAIN, EXACT_SPLIT, _gnb_ctes("", "'train'", "'validation'"), body="""
 SELECT customer_id, label, round(1.0 / (1.0 + exp(j0 - j1)), 6) AS score, CAST(j1 > j0 AS INTEGER) AS prediction FROM j""")
 
 
 @register("model_gaussian_nb", _gnb_sql())
 def model_gaussian_nb(spark, sf):
     from churnlake.operators import naive_bayes as NB
-    s = S.hash_split(mart_df(spark, sf))
+    s = materialize(exact_split(spark, sf))
     model = NB.fit(s.filter(F.col("split") == "train"))
     return round_doubles(NB.predict(model, s.filter(F.col("split") == "validation")))
 
@@ -330,22 +332,22 @@ def _trained_sql():
         f"SELECT 'gaussian_nb' AS model, '{n}' AS threshold_name, round(CAST({t} AS DOUBLE), 6) AS threshold, "
         + "round(rt.roc_auc, 6) AS roc_auc, round(rt.average_precision, 6) AS average_precision, "
         + ", ".join(f"round(c.{m}, 6) AS {m}" for m in E.METRICS[2:]) + f" FROM rt, cf_{n}_m c" for n, t in _CUTS)
-    return sql(*CHAIN, SPLIT, *_trained_ctes(), *[_conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body=body)
+    return sql(*CHAIN, EXACT_SPLIT, *_trained_ctes(), *[_conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body=body)
 
 
-def _trained_report(spark, sf):
+def _trained_report(split):
     from churnlake.plans.training import naive_bayes_learner, trained_report
-    return trained_report(S.hash_split(mart_df(spark, sf)), naive_bayes_learner, "gaussian_nb")
+    return trained_report(split, naive_bayes_learner, "gaussian_nb")
 
 
 @register("trained_test_report", _trained_sql())
 def trained_test_report(spark, sf):
     """Fit on train, cuts from the validation scores, refit on train and
     validation, one report on the test split at the three cuts."""
-    return round_doubles(_trained_report(spark, sf))
+    return round_doubles(_trained_report(exact_split(spark, sf)))
 
 
-@register("training_ledger", sql(*CHAIN, SPLIT, *_trained_ctes(), *[
+@register("training_ledger", sql(*CHAIN, EXACT_SPLIT, *_trained_ctes(), *[
     _conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body="\nUNION ALL\n".join(
     [f"SELECT 'gaussian_nb' AS run_name, 'metric' AS kind, 'test_{m}_{n}' AS key, NULL AS value_text, "
      f"round({'rt' if m in E.METRICS[:2] else 'c'}.{m}, 6) AS value_double FROM rt, cf_{n}_m c"
@@ -360,18 +362,21 @@ def training_ledger(spark, sf):
     from churnlake.plans.training import training_ledger_rows
     from churnlake.session import new_table_path
     from churnlake.sources import ledger as LG
-    split = S.hash_split(mart_df(spark, sf))
-    rows = training_ledger_rows(split, _trained_report(spark, sf), "gaussian_nb")
+    split = materialize(exact_split(spark, sf))
+    rows = training_ledger_rows(split, _trained_report(split), "gaussian_nb")
     path = LG.append_ledger(rows, new_table_path(spark, "ledger"))
     return round_doubles(LG.read_ledger(spark, path))
 
 
-@register("training_documents", sql(*CHAIN, SPLIT, *_trained_ctes(), *[
+@register("training_documents", sql(*CHAIN, EXACT_SPLIT, *_trained_ctes(), *[
     _conf_cte("lt", t, None, f"cf_{n}") for n, t in _CUTS], body="\nUNION ALL\n".join(
     [f"SELECT 'final_results' AS document, '{n}.{m}' AS field, "
      f"CAST(round({'rt' if m in E.METRICS[:2] else 'c'}.{m} * 1e6) AS BIGINT) AS micros FROM rt, cf_{n}_m c"
      for n, _ in _CUTS for m in E.METRICS]
     + [f"SELECT 'thresholds', '{n}', CAST(round({t} * 1e6) AS BIGINT)" for n, t in _CUTS]
+    + [f"SELECT 'thresholds', 'band.{b}', CAST(round({t} * 1e6) AS BIGINT)" for b, t in (
+        ("Low", 0), ("Medium", WATCHLIST_THRESHOLD), ("High", CLASSIFICATION_THRESHOLD))]
+    + [f"SELECT 'features', 'position.{c}', CAST({i + 1} * 1000000 AS BIGINT)" for i, c in enumerate(FEATURE_COLUMNS)]
     + ["SELECT 'pipeline_validation', split || '_rows', CAST(count(*) * 1000000 AS BIGINT) FROM split GROUP BY split",
        f"SELECT 'features', 'numeric', CAST({len(NUMERIC_FEATURES)} * 1000000 AS BIGINT)",
        f"SELECT 'features', 'categorical', CAST({len(CATEGORICAL_FEATURES)} * 1000000 AS BIGINT)"])))
@@ -379,7 +384,8 @@ def training_documents(spark, sf):
     """The run's four JSON documents, written as text, read back and parsed; numbers in millionths."""
     from churnlake.plans.training import document_fields, training_documents as documents
     from churnlake.session import new_table_path
-    docs = documents(S.hash_split(mart_df(spark, sf)), _trained_report(spark, sf))
+    split = materialize(exact_split(spark, sf))
+    docs = documents(split, _trained_report(split))
     path = new_table_path(spark, "documents")
     docs.write.mode("errorifexists").parquet(path)
     return document_fields(spark.read.parquet(path))
