@@ -302,6 +302,22 @@ def model_gaussian_nb(spark, sf):
     return round_doubles(NB.predict(model, s.filter(F.col("split") == "validation")))
 
 
+@register("model_spark_naive_bayes", _gnb_sql())
+def model_spark_naive_bayes(spark, sf):
+    """Spark ML's Gaussian naive Bayes on the same preparation; the same model as ``model_gaussian_nb``."""
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.functions import vector_to_array
+    from churnlake.operators.learners import Preprocessor
+    s = materialize(exact_split(spark, sf))
+    train = s.filter(F.col("split") == "train")
+    prep = Preprocessor().fit(train)
+    model = NaiveBayes(modelType="gaussian").fit(prep.transform(train))
+    scored = model.transform(prep.transform(s.filter(F.col("split") == "validation")))
+    return round_doubles(scored.select(
+        "customer_id", F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("score"),
+        F.col("prediction").cast("int").alias("prediction")))
+
+
 @register("final_test_report_display", _final_sql("round_even", 4))
 def final_test_report_display(spark, sf):
     """The final report as displayed: metrics rounded half-to-even to 4

@@ -13,10 +13,11 @@ from churnlake.operators import target_statistics as O
 from churnlake.operators.learners import FORESTS
 from churnlake.operators.prefix import materialize
 from churnlake.oracle import CHAIN, sql
+from churnlake.queries.common import mart_df
 from churnlake.queries.learners import _SPLIT_ROWS, _exact
 from churnlake.queries.metrics import _EXACT
 from churnlake.registry import register, round_doubles
-from churnlake.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from churnlake.schemas import CATEGORICAL_FEATURES, CLASSIFICATION_THRESHOLD, NUMERIC_FEATURES, WATCHLIST_THRESHOLD
 
 _N, _C, _K = len(NUMERIC_FEATURES), len(CATEGORICAL_FEATURES), B.BINS
 
@@ -319,3 +320,25 @@ def ordered_target_statistics(spark, sf):
     made = O.ordered_statistics(train, CATEGORICAL_FEATURES).withColumn("split", F.lit("train")).unionByName(
         O.scoring_statistics(train, target, CATEGORICAL_FEATURES).withColumn("split", F.lit("validation")))
     return round_doubles(made.select("split", "customer_id", "column_name", "category", "statistic"))
+
+
+# --- the portfolio by a trained model -----------------------------------------------
+
+
+@register("batch_scoring_model", sql(*CHAIN, *prepared_sql(), *logistic_sql(), body=f"""
+SELECT customer_id, round(p, 6) AS churn_probability, CASE WHEN p < {WATCHLIST_THRESHOLD} THEN 'Low'
+  WHEN p < {CLASSIFICATION_THRESHOLD} THEN 'Medium' ELSE 'High' END AS risk_band,
+  CAST(p >= {CLASSIFICATION_THRESHOLD} AS INTEGER) AS churn_prediction
+FROM (SELECT customer_id, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xv, co)"""))
+def batch_scoring_model(spark, sf):
+    """Whole-portfolio scoring with a trained model: logistic regression fitted on the training split."""
+    from churnlake.oracle import SCORED_AT
+    from churnlake.plans.scoring import score_portfolio
+    prep, rows = _vectors(spark, sf)
+    beta = R.fit_logistic(rows, prep.fits, len(prep.names))
+
+    def scorer(mart):
+        vectors = prep.vectors(mart.withColumn("fit", F.lit(0)), "fit", "customer_id")
+        return R.predict_logistic(beta, vectors, "customer_id").withColumnRenamed("score", "churn_probability")
+    out = score_portfolio(mart_df(spark, sf), scorer, scored_at=SCORED_AT)
+    return round_doubles(out.select("customer_id", "churn_probability", "risk_band", "churn_prediction"))
