@@ -17,6 +17,7 @@ from churnlake.schemas import (DEFAULT_PREDICT_THRESHOLD, FEATURE_COLUMNS, MODEL
                                MODEL_NAME, MODEL_VERSION, RISK_BANDS)
 
 MAX_PAGE = 100
+DEFAULT_PAGE = 10
 
 
 def portfolio_summary(predictions: DataFrame) -> DataFrame:
@@ -48,6 +49,28 @@ def _check_page(risk_band, limit, offset):
         raise ValueError(f"offset must be a non-negative integer, got {offset!r}")
 
 
+def check_page_requests(requests: DataFrame) -> DataFrame:
+    """(request_id, risk_band, limit, offset, is_valid, reasons) of a table of page requests, all as text.
+
+    The same contract as a single call: an absent band means all, an absent
+    limit 10, an absent offset 0; the band is one of the three, the limit an
+    integer from 1 to MAX_PAGE, the offset an integer of at least 0. Reasons
+    name the fields at fault, ';'-joined; a field at fault is NULL.
+    """
+    whole = lambda c: F.when(F.col(c).rlike("^[+-]?[0-9]+$"), F.col(c).try_cast("bigint"))
+    rows = requests.select(
+        "request_id", "risk_band", F.coalesce("limit", F.lit(str(DEFAULT_PAGE))).alias("limit"),
+        F.coalesce("offset", F.lit("0")).alias("offset"))
+    limit, offset = whole("limit"), whole("offset")
+    checks = {"limit": limit.between(1, MAX_PAGE), "offset": offset >= 0,
+              "risk_band": F.col("risk_band").isNull() | F.col("risk_band").isin(RISK_BANDS)}
+    ok = {k: F.coalesce(v, F.lit(False)) for k, v in checks.items()}
+    reasons = F.array_compact(F.array(*[F.when(~v, F.lit(k)) for k, v in ok.items()]))
+    return rows.select("request_id", F.when(ok["risk_band"], F.col("risk_band")).alias("risk_band"),
+                       F.when(ok["limit"], limit).alias("limit"), F.when(ok["offset"], offset).alias("offset"),
+                       (F.size(reasons) == 0).alias("is_valid"), F.array_join(reasons, ";").alias("reasons"))
+
+
 def _band_filter(predictions: DataFrame, risk_band):
     # The predicate is only built when a band is given, so it stays a plain
     # equality that reaches the scan instead of an OR on a parameter.

@@ -151,6 +151,33 @@ def customer_list_header(spark, sf):
     return V.customer_list_header(predictions_df(spark, sf), mart_df(spark, sf), "Medium", 25, 100)
 
 
+@register("page_requests", """
+WITH r AS (
+  SELECT event_id AS request_id,
+    CASE event_id % 7 WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' WHEN 4 THEN 'high' WHEN 5 THEN '' END AS risk_band,
+    CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 11 = 1 THEN '7.5' ELSE CAST(event_id * 13 % 130 AS VARCHAR) END AS lim,
+    CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN 'x' ELSE CAST(event_id % 97 - 20 AS VARCHAR) END AS off
+  FROM events),
+t AS (SELECT request_id, risk_band, TRY_CAST(CASE WHEN regexp_full_match(coalesce(lim, '10'), '[+-]?[0-9]+') THEN coalesce(lim, '10') END AS BIGINT) AS l,
+  TRY_CAST(CASE WHEN regexp_full_match(coalesce(off, '0'), '[+-]?[0-9]+') THEN coalesce(off, '0') END AS BIGINT) AS o FROM r),
+c AS (SELECT *, coalesce(l BETWEEN 1 AND 100, false) AS lok, coalesce(o >= 0, false) AS ook,
+  risk_band IS NULL OR risk_band IN ('Low', 'Medium', 'High') AS bok FROM t)
+SELECT request_id, CASE WHEN bok THEN risk_band END AS risk_band, CASE WHEN lok THEN l END AS "limit",
+  CASE WHEN ook THEN o END AS "offset", lok AND ook AND bok AS is_valid,
+  array_to_string(list_filter([CASE WHEN NOT lok THEN 'limit' END, CASE WHEN NOT ook THEN 'offset' END,
+    CASE WHEN NOT bok THEN 'risk_band' END], lambda x: x IS NOT NULL), ';') AS reasons FROM c""")
+def page_requests(spark, sf):
+    """Page requests made of all events, with bands, limits and offsets that are absent, right and wrong."""
+    from churnlake.sources.fixture import read_table
+    e = F.col("event_id")
+    band = F.when(e % 7 == 1, "Low").when(e % 7 == 2, "Medium").when(e % 7 == 3, "High").when(e % 7 == 4, "high") \
+        .when(e % 7 == 5, "")
+    limit = F.when(e % 11 == 1, "7.5").when(e % 11 != 0, (e * 13 % 130).cast("string"))
+    offset = F.when(e % 5 == 1, "x").when(e % 5 != 0, (e % 97 - 20).cast("string"))
+    return V.check_page_requests(read_table(spark, sf, "events").select(
+        e.alias("request_id"), band.alias("risk_band"), limit.alias("limit"), offset.alias("offset")))
+
+
 @register("customer_details", sql(*CHAIN, SCORED, body=f"""
 SELECT c.customer_id, (m.customer_id IS NOT NULL) AS found,
   {", ".join("m." + f for f in _FEATS.split(", "))},
