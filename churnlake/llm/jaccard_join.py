@@ -232,9 +232,12 @@ def _linked(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int,
                  .where("linked").select("a", "b"), "links")
 
 
-def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: DataFrame,
-                  percent: int) -> DataFrame:
-    """Pairs (a, b) that may still link two components, among documents compared with one leader.
+def _differences(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(key, b, nb, h, comp_b, is_near, is_far): what distinguishes documents from the leader that they were compared with.
+
+    Two documents of one leader that may still link two components share a
+    key (leader and element), on the near side of one and the far side of the
+    other.
 
     With D = set Δ leader, |x Δ y| = |Dx| + |Dy| - 2 |Dx ∩ Dy|. A link allows
     |x Δ y| <= k, so Dx and Dy share at least o = (|Dx| + |Dy| - k) / 2
@@ -263,7 +266,35 @@ def _second_pairs(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: D
             F.greatest("near", "far").cast("int"))).alias("at", "element"))
     rows = rows.select(F.xxhash64("a", "element").alias("key"), "b", "nb", "h", "comp_b",
                        (F.col("at") < F.col("near")).alias("is_near"), (F.col("at") < F.col("far")).alias("is_far"))
-    rows = stage(spark, rows, "differences")
+    return stage(spark, rows, "differences")
+
+
+def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` with comp_b by the components found since."""
+    label = comp.select(F.col("node").alias("b"), "component")
+    return rows.join(label, "b", "left").withColumn("comp_b", F.coalesce("component", "comp_b")).drop("component")
+
+
+def _star_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each document with a second leader, the least different one of its key.
+
+    At most one pair for each row of ``rows``. Documents that share a
+    difference from their leader are mostly alike (copies of one variant), so
+    this joins them and leaves few components to pair.
+    """
+    least = F.min(F.struct("h", "b", "nb", "comp_b")).alias("s")
+    second = rows.groupBy("key").agg(least, F.max("comp_b").alias("hi"), F.min("comp_b").alias("lo")) \
+        .where("hi != lo").select("key", "s")
+    pairs = rows.join(second, "key").where((F.col("comp_b") != F.col("s.comp_b"))
+                                           & (F.least("nb", "s.nb") * 100 >= F.greatest("nb", "s.nb") * percent))
+    return stage(spark, pairs.select(F.least("b", "s.b").alias("a"), F.greatest("b", "s.b").alias("b")).distinct(),
+                 "star_pairs")
+
+
+def _second_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key of ``_differences``."""
+    open_ = rows.groupBy("key").agg(F.max("comp_b").alias("hi"), F.min("comp_b").alias("lo")).where("hi != lo").select("key")
+    rows = stage(spark, rows.join(open_, "key", "left_semi"), "open_differences")
     near, far = rows.where("is_near").alias("n"), rows.where("is_far").alias("f")
     pairs = near.join(far, (F.col("n.key") == F.col("f.key")) & (F.col("n.comp_b") != F.col("f.comp_b"))
                       & (F.col("n.h") <= F.col("f.h"))
@@ -342,10 +373,14 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
     # two members of a group besides its leader may be similar where the leader is not
     seen = seen.where("m > 2").drop("m", "linked").join(links.withColumn("link", F.lit(True)), ["a", "b"], "left") \
         .withColumn("linked", F.coalesce("link", F.lit(False))).drop("link")
-    more = _second_pairs(spark, seen, sets, comp, percent)
-    if not more.isEmpty():
-        likely = _compared(more, sets, percent).where("linked")
-        comp = connected_components(spark, links.unionByName(_linked(spark, docs, likely, width, percent)))
+    apart = _differences(spark, seen, sets, comp, percent)
+    for pairs_of in (_star_pairs, _second_pairs):
+        more = pairs_of(spark, apart, percent)
+        if not more.isEmpty():
+            likely = _compared(more, sets, percent).where("linked")
+            links = links.unionByName(_linked(spark, docs, likely, width, percent))
+            comp = stage(spark, connected_components(spark, links), "components")
+            apart = _relabelled(apart, comp)
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select(
         "cls", "size", F.coalesce("component", "rep").alias("component"))
     return base.select("id", "n", "cls").join(named, "cls", "left").select(
