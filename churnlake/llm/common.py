@@ -59,6 +59,8 @@ def hash_sample(rows: DataFrame, by: str, columns: list[str], k: int) -> DataFra
     span = 1 << 30
     h = F.xxhash64(*columns)
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed(by, "__by")
+    # counted first, so that the wide rows stay where they are while the values of ``by`` are few
+    sizes = F.broadcast(sizes) if few_rows(sizes) else sizes
     some = rows.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).where(
         F.pmod(h, F.lit(span)) * F.col("__n") <= 4.0 * k * span)
     once = some.groupBy(by, h.alias("__h")).agg(F.first(F.struct(*columns)).alias("__row"))
