@@ -275,14 +275,19 @@ def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(label, "b", "left").withColumn("comp_b", F.coalesce("component", "comp_b")).drop("component")
 
 
-def _star_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each document with a second leader, the least different one of its key.
+#: Rounds with a further leader before documents are paired.
+STARS = 3
+
+
+def _star_pairs(spark: SparkSession, rows: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs (a, b) of each document with a further leader of its key: the least different one, then others by hash.
 
     At most one pair for each row of ``rows``. Documents that share a
     difference from their leader are mostly alike (copies of one variant), so
     this joins them and leaves few components to pair.
     """
-    least = F.min(F.struct("h", "b", "nb", "comp_b")).alias("s")
+    order = F.xxhash64(F.lit(number), "b") if number else F.col("h").cast("long")
+    least = F.min(F.struct(order.alias("order"), "b", "nb", "comp_b")).alias("s")
     second = rows.groupBy("key").agg(least, F.max("comp_b").alias("hi"), F.min("comp_b").alias("lo")) \
         .where("hi != lo").select("key", "s")
     pairs = rows.join(second, "key").where((F.col("comp_b") != F.col("s.comp_b"))
@@ -374,8 +379,8 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, id_col: str
     seen = seen.where("m > 2").drop("m", "linked").join(links.withColumn("link", F.lit(True)), ["a", "b"], "left") \
         .withColumn("linked", F.coalesce("link", F.lit(False))).drop("link")
     apart = _differences(spark, seen, sets, comp, percent)
-    for pairs_of in (_star_pairs, _second_pairs):
-        more = pairs_of(spark, apart, percent)
+    for number in range(STARS + 1):
+        more = _star_pairs(spark, apart, percent, number) if number < STARS else _second_pairs(spark, apart, percent)
         if not more.isEmpty():
             likely = _compared(more, sets, percent).where("linked")
             links = links.unionByName(_linked(spark, docs, likely, width, percent))
