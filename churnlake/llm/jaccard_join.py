@@ -233,7 +233,7 @@ def _linked(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int,
 
 
 def _differences(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(key, b, nb, h, comp_b, is_near, is_far): what distinguishes documents from the leader that they were compared with.
+    """(key, b, nb, h, c, comp_b, is_near, is_far): what distinguishes documents from the leader that they were compared with.
 
     Two documents of one leader that may still link two components share a
     key (leader and element), on the near side of one and the far side of the
@@ -241,10 +241,13 @@ def _differences(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: Da
 
     With D = set Δ leader, |x Δ y| = |Dx| + |Dy| - 2 |Dx ∩ Dy|. A link allows
     |x Δ y| <= k, so Dx and Dy share at least o = (|Dx| + |Dy| - k) / 2
-    elements, and o >= 1 unless both link to the leader. In one order of the
-    elements (those outside the leader first, they are rare), the first
-    |D| - o + 1 elements of both then share one. So pairs are found by such
-    elements, not by being together in a group.
+    elements, and o >= 1 unless both link to the leader. An element that only
+    documents of one component have is in no such intersection, so D keeps its
+    c elements that cross components, and a document with c < o leaves. In one
+    order of the elements (the rarest of the leader's first), the first
+    c - o + 1 elements of both then share one. So pairs are found by such
+    elements, not by being together in a group, and documents that differ from
+    the leader each in their own way are never paired.
     """
     label = comp.select(F.col("node").alias("b"), "component")
     rows = seen.join(label, "b", "left").withColumn("comp_b", F.coalesce("component", "b")).drop("component")
@@ -257,16 +260,32 @@ def _differences(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: Da
     rows = rows.join(leaders, "a")
     k = F.floor((100 - percent) * (F.col("nb") + F.floor(F.col("nb") * 100 / percent)) / (100 + percent))
     partner = F.when(F.col("linked"), F.greatest("h", "h_out")).otherwise(F.col("h"))
-    o = F.greatest(F.ceil((F.col("h") + partner - F.col("k")) / 2), F.lit(1))
-    rows = rows.withColumn("k", k).withColumn("near", F.col("h") - o + 1).withColumn(
-        "far", F.when(F.col("h") >= F.col("h_out"), F.least(F.col("h"), F.col("k") + 1)).otherwise(0))
-    rows = _with_sets(rows.where("near > 0 or far > 0"), sets).select(
-        "a", "b", "nb", "h", "comp_b", "near", "far", F.posexplode(F.slice(
-            F.concat(F.array_except("y", "x"), F.array_except("x", "y")), F.lit(1),
-            F.greatest("near", "far").cast("int"))).alias("at", "element"))
-    rows = rows.select(F.xxhash64("a", "element").alias("key"), "b", "nb", "h", "comp_b",
-                       (F.col("at") < F.col("near")).alias("is_near"), (F.col("at") < F.col("far")).alias("is_far"))
-    return stage(spark, rows, "differences")
+    # shared elements that a partner at least as far from the leader, and one at most as far, must have
+    rows = rows.withColumn("k", k).withColumn("o_near", F.greatest(F.ceil((F.col("h") + partner - F.col("k")) / 2), F.lit(1))) \
+        .withColumn("o_far", F.when(F.col("h") >= F.col("h_out"), F.greatest(F.col("h") - F.col("k"), F.lit(1))))
+    rows = _with_sets(rows.where("h >= o_near or h >= o_far"), sets).select(
+        "a", "b", "nb", "h", "comp_b", "o_near", "o_far",
+        F.explode(F.concat(F.array_except("y", "x"), F.array_except("x", "y"))).alias("element"))
+    rows = stage(spark, rows.withColumn("key", F.xxhash64("a", "element")).drop("element"), "elements")
+    crossing = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("comp_b").alias("hi"),
+                                       F.min("comp_b").alias("lo")).where("hi != lo").select("key", "m")
+    of = ["a", "b", "nb", "h", "comp_b", "o_near", "o_far"]
+    sides = rows.join(crossing, "key").groupBy(*of).agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("keys")) \
+        .withColumn("c", F.size("keys"))
+    near, far = F.col("c") - F.col("o_near") + 1, F.coalesce(F.col("c") - F.col("o_far") + 1, F.lit(0))
+    sides = sides.withColumn("near", near).withColumn("far", far).where("near > 0 or far > 0")
+    rows = sides.select("b", "nb", "h", "c", "comp_b", "near", "far", F.posexplode(F.slice(
+        "keys", F.lit(1), F.greatest("near", "far").cast("int"))).alias("at", "e"))
+    return stage(spark, rows.select(F.col("e.key").alias("key"), "b", "nb", "h", "c", "comp_b",
+                                    (F.col("at") < F.col("near")).alias("is_near"),
+                                    (F.col("at") < F.col("far")).alias("is_far")), "differences")
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether documents x and y of one leader can be similar by their sizes, differences and crossing elements."""
+    nx, ny, hx, hy, cx, cy = (F.col(f"{side}.{c}") for c in ("nb", "h", "c") for side in (x, y))
+    k = F.floor((100 - percent) * (nx + ny) / (100 + percent))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (hx + hy - 2 * F.least(cx, cy) <= k)
 
 
 def _relabelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -287,12 +306,11 @@ def _star_pairs(spark: SparkSession, rows: DataFrame, percent: int, number: int)
     this joins them and leaves few components to pair.
     """
     order = F.xxhash64(F.lit(number), "b") if number else F.col("h").cast("long")
-    least = F.min(F.struct(order.alias("order"), "b", "nb", "comp_b")).alias("s")
+    least = F.min(F.struct(order.alias("order"), "b", "nb", "h", "c", "comp_b")).alias("s")
     second = rows.groupBy("key").agg(least, F.max("comp_b").alias("hi"), F.min("comp_b").alias("lo")) \
         .where("hi != lo").select("key", "s")
-    pairs = rows.join(second, "key").where((F.col("comp_b") != F.col("s.comp_b"))
-                                           & (F.least("nb", "s.nb") * 100 >= F.greatest("nb", "s.nb") * percent))
-    return stage(spark, pairs.select(F.least("b", "s.b").alias("a"), F.greatest("b", "s.b").alias("b")).distinct(),
+    pairs = rows.alias("r").join(second, "key").where((F.col("r.comp_b") != F.col("s.comp_b")) & _may_link("r", "s", percent))
+    return stage(spark, pairs.select(F.least("r.b", "s.b").alias("a"), F.greatest("r.b", "s.b").alias("b")).distinct(),
                  "star_pairs")
 
 
@@ -302,8 +320,7 @@ def _second_pairs(spark: SparkSession, rows: DataFrame, percent: int) -> DataFra
     rows = stage(spark, rows.join(open_, "key", "left_semi"), "open_differences")
     near, far = rows.where("is_near").alias("n"), rows.where("is_far").alias("f")
     pairs = near.join(far, (F.col("n.key") == F.col("f.key")) & (F.col("n.comp_b") != F.col("f.comp_b"))
-                      & (F.col("n.h") <= F.col("f.h"))
-                      & (F.least("n.nb", "f.nb") * 100 >= F.greatest("n.nb", "f.nb") * percent))
+                      & (F.col("n.h") <= F.col("f.h")) & _may_link("n", "f", percent))
     return stage(spark, pairs.select(F.least("n.b", "f.b").alias("a"), F.greatest("n.b", "f.b").alias("b")).distinct(),
                  "second_pairs")
 
