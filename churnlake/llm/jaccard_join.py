@@ -247,7 +247,7 @@ def _differences(spark: SparkSession, seen: DataFrame, sets: DataFrame, comp: Da
     order of the elements (the rarest of the leader's first), the first
     c - o + 1 elements of both then share one. So pairs are found by such
     elements, not by being together in a group, and documents that differ from
-    the leader each in their own way are never paired.
+    the leader each in their own way make few pairs.
     """
     label = comp.select(F.col("node").alias("b"), "component")
     rows = seen.join(label, "b", "left").withColumn("comp_b", F.coalesce("component", "b")).drop("component")

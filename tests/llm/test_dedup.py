@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from churnlake.llm import jaccard_join
 from churnlake.llm.exact_dedup import build_directory, exact_duplicates
 from churnlake.llm.jaccard_join import PartEnum, near_duplicate_components, shingle_set
 from helpers import DOC_SCHEMA, awkward, docs_frame
@@ -109,6 +110,33 @@ def test_components_match_brute_force(spark, width, percent):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components(rows, width, percent)
 
 
+def test_documents_that_differ_each_in_their_own_way_make_few_pairs(spark, monkeypatch):
+    """No link is lost, and a round pairs a document about once (all pairs of the larger group: 44,850)."""
+    paired = {}
+    keep = jaccard_join.stage
+
+    def counted(session, df, name):
+        out = keep(session, df, name)
+        if name in ("star_pairs", "second_pairs"):
+            paired[size] = paired.get(size, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    for size in (30, 300):
+        r = random.Random(size)
+        base = [f"b{i}" for i in range(80)]
+        texts = []
+        for i in range(size):
+            words = list(base)
+            for p in r.sample(range(80), r.randrange(1, 7)):
+                words[p] = f"own{i}x{p}"
+            texts.append(" ".join(words))
+        rows = [(i + 1, t) for i, t in enumerate(texts)]
+        got = near_duplicate_components(spark, docs_frame(spark, texts), width=3, percent=80).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components(rows, 3, 80)
+    assert all(n <= (jaccard_join.STARS + 1) * size for size, n in paired.items()), paired
+
+
 def test_components_of_null_ids_and_empty_table(spark):
     df = docs_frame(spark, ["a b c d e f g h"] * 3)
     extra = spark.createDataFrame([(None, "a b c d e f g h", None, None, None, None, None, None)], DOC_SCHEMA)
