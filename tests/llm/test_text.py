@@ -282,7 +282,39 @@ def test_license_rules(spark):
     assert scan_licenses(docs_frame(spark, ["a"]).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sentence", sorted(license_rules.SENTENCES.values()))
+def test_license_headers_as_they_are_written(spark):
+    bsd = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+           "following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n"
+           "   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above "
+           "copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other "
+           "materials provided with the distribution.\n\n")
+    third = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote "
+             "products derived from\n   this software without specific prior written permission.\n")
+    header = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General "
+              "Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"
+              "# (at your option) any later version.\n")
+    old = ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General "
+           "Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) "
+           "any later version.\n")
+    got = [x for _, x, _ in licenses([
+        "Notes.\nThis project is licensed under the MIT License.\n", "// SPDX-License-Identifier: BSD-3-Clause\nint x;",
+        "/* SPDX-License-Identifier: GPL-2.0-only */\n", "mit\nSPDX-License-Identifier: unknown\n", bsd, bsd + third,
+        bsd + "\n\n" + bsd + third, header.format(""), header.format("Lesser "), header.format("Affero "), old,
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL"], spark)]
+    assert got == ["MIT", "BSD-3-Clause", "GPL-2.0-only", "", "BSD-2-Clause", "BSD-3-Clause", "BSD-2-Clause,BSD-3-Clause",
+                   "GPL-3.0-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "LGPL-2.1-or-later", "MPL-2.0"]
+
+
+def test_license_rules_are_parameters(spark):
+    book = license_rules.Rulebook((("house license", 1), ("house program", 2)),
+                                  (("one", "House", (1,)), ("both", "House-2", (1, 2))))
+    got = [(x.licenses, x.rules) for x in scan_licenses(docs_frame(spark, [
+        "House License.", "House license. House program.", "House license. House program. House license.",
+        "Released under the MIT license."]), book=book).orderBy("doc_id").collect()]
+    assert got == [("House", "one"), ("House-2", "both"), ("House,House-2", "one,both"), ("", "")]
+
+
+@pytest.mark.parametrize("sentence", sorted(x for x, _ in license_rules.default_rulebook().sentences))
 def test_known_sentences_have_a_cue(sentence):
     assert re.search(license_rules.CUE, sentence) and not re.search(r"[^a-z0-9.+ -]", sentence)
 
