@@ -84,7 +84,6 @@ SENTENCES = {
         "2.0 which is available at https www.eclipse.org legal epl-2.0",
     62: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
         "granted provided that the above copyright notice and this permission notice appear in all copies",
-    90: "spdx-license-identifier",
 }
 # Rule name, licence, ordered sentences.
 RULES = [
@@ -141,10 +140,11 @@ NOTICES = ["licensed under the", "released under the", "distributed under the",
 SPDX = ["MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "EPL-2.0", "GPL-2.0-only",
         "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
         "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"]
+#: Its colon ends no sentence.
+SPDX_TAG = "SPDX-License-Identifier"
 #: Every known sentence has one of these; other sentences are not normalised.
 CUE = "[Ll][Ii][Cc][Ee][Nn][Ss][Ee]|[Cc][Cc]0|[Cc][Cc] [Bb][Yy]|[Ss][Oo][Ff][Tt][Ww][Aa][Rr][Ee]|[Pp][Rr][Oo][Gg]" \
-      "[Rr][Aa][Mm]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt]|[Ww][Aa][Rr][Rr][Aa][Nn][Tt]|^[^A-Za-z0-9]*" \
-      "([Ee][Ii][Tt][Hh][Ee][Rr] |[A-Za-z0-9.+-]+[^A-Za-z0-9]*$)"
+      "[Rr][Aa][Mm]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt]|[Ww][Aa][Rr][Rr][Aa][Nn][Tt]"
 #: Sentence ends; a line end too (notices on one line), or only a blank line (texts wrapped over lines).
 LINE_SPLIT = r"[.!?;:]+[\x20\x09-\x0D]+|[\x0A-\x0D]+"
 WRAP_SPLIT = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09\x0D]*\n[\x20\x09-\x0D]*"
@@ -187,8 +187,8 @@ def default_rulebook() -> Rulebook:
                 known.setdefault(f"{words} {name}", 100 + n)
         rules.append((f"notice-{licence}", licence, (100 + n,)))
     for n, licence in enumerate(SPDX):
-        known[licence.lower()] = 200 + n
-        rules.append((f"spdx-{licence}", licence, (90, 200 + n)))
+        known[f"{SPDX_TAG.lower()} {licence.lower()}"] = 200 + n
+        rules.append((f"spdx-{licence}", licence, (200 + n,)))
     return Rulebook(tuple(known.items()), tuple(rules))
 
 
@@ -224,7 +224,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike; sentences that repeat count each time; extra columns are ignored;
     an empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SPDX_TAG + ":"), F.lit(SPDX_TAG))
     book = book or default_rulebook()
     matched = F.array_compact(F.array(*[
         F.when(_stands(F.col("_sa"), ids, longer) | _stands(F.col("_sb"), ids, longer),
@@ -262,7 +262,7 @@ def oracle_sql() -> str:
                 f"FOR s IN string_split_regex(t, '{split}') IF regexp_matches(s, '{CUE}')] IF i IS NOT NULL]")
 
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), '{SPDX_TAG}:', '{SPDX_TAG}') AS t FROM documents),
 s AS (SELECT doc_id, {ids(LINE_SPLIT)} AS a, {ids(WRAP_SPLIT)} AS b FROM d),
 q AS (SELECT doc_id, len(a) AS n, '|' || array_to_string(a, '|') || '|' AS sa,
         '|' || array_to_string(b, '|') || '|' AS sb FROM s),
