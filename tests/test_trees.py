@@ -200,6 +200,28 @@ def test_one_job_a_step_gives_the_same_boosters(spark, monkeypatch):
     assert len(scored) == 3 * 120
 
 
+def test_a_step_measures_the_smaller_child(spark, monkeypatch):
+    rows = binned_rows()
+    ids, y, x = arrays(rows)
+    seen, measure = [], G.cell_sums
+
+    def counting(bins, node, nodes, *rest):
+        out = measure(bins, node, nodes, *rest)
+        seen.append((nodes, out[..., 2].sum()))
+        return out
+    monkeypatch.setattr(G, "cell_sums", counting)
+    want = G.boost_block(LEAFWISE, ids, y, x).slim()
+    # of two children one is measured, with at most half of the rows
+    assert all(n == [0] or k <= len(y) * x.shape[1] / 2 for n, k in seen)
+    monkeypatch.setattr(G, "cell_sums", measure)
+    monkeypatch.setattr(G, "STEP_ROWS", 50)
+    monkeypatch.setattr(G, "WRITE_EVERY", 2)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert G.fit_boosters(frame, 5, {"a": LEAFWISE}, block_rows=0)["a", 0] == want
+    monkeypatch.setattr(G, "FEW_BLOCKS", 2)  # sums of many blocks are added up in tasks
+    assert G.fit_boosters(frame, 5, {"a": LEAFWISE}, block_rows=0)["a", 0] == want
+
+
 def test_boosting_of_no_rows_and_one_label(spark):
     empty = spark.createDataFrame([], SCHEMA)
     with pytest.raises(ValueError):
