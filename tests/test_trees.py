@@ -358,3 +358,57 @@ def test_bucket_bounds_are_one_literal(spark):
     q._jdf.queryExecution().executedPlan()
     assert time.time() - t < 5
     assert all(r.b == sum(v < r.x for v in bounds) and r.d == len(bounds) - r.b for r in q.collect())
+
+
+# --- work that a task holds -------------------------------------------------------
+
+
+def test_a_level_sends_each_cell_once_however_its_rows_are_batched(monkeypatch):
+    rows = binned_rows(240)
+    ids, y, x = arrays(rows)
+    s = T.TreeSettings(trees=3, max_depth=3, min_leaf=2, features=2, bootstrap=True, bins=8)
+    forest = T.Forest(s, 5, [0])
+    tree, node = np.arange(3), np.zeros(3, np.int64)
+    slot = np.full(forest.feature.shape, -1, np.int32)
+    slot[tree, node] = tree
+    looked = forest.looked_at(tree, node)
+
+    class Shared:
+        value = (forest, slot, looked)
+    batches = [T.pa.RecordBatch.from_arrays(
+        [T.pa.array(np.zeros(k, np.int32)), T.pa.array(ids[lo: lo + k]), T.pa.array(y[lo: lo + k].astype(np.int64)),
+         T.pa.array(x[lo: lo + k].tolist(), T.pa.list_(T.pa.int8()))], ["fit", "customer_id", "label", "bins"])
+        for lo in range(0, len(ids), 12) if (k := min(12, len(ids) - lo))]
+    keys = [k for b in T._level_counts(Shared, 3)(batches) for k in b.column(0).to_pylist()]
+    assert len(keys) == len(set(keys)) <= 3 * 2 * 8
+
+
+def test_visits_go_on_in_batches_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(N, "ROWS_OUT", 16)
+    monkeypatch.setattr(N, "ROWS_AT_ONCE", 8)
+    rng = np.random.default_rng(5)
+    x, pivots = rng.normal(size=(40, 3)), rng.normal(size=(9, 3))
+    batch = N.pa.RecordBatch.from_arrays(
+        [N.pa.array(np.zeros(40, np.int32)), N.pa.array(np.arange(40)), N.pa.array(np.zeros(40)),
+         N.pa.array(x.tolist()), N.pa.array(np.full(40, np.inf))], ["fit", "customer_id", "label", "x", "bound"])
+    held = {(0, c): (5, 9.0) for c in range(9)}
+    out = list(N._visits({0: pivots}, held, 5, True)([batch]))
+    assert max(b.num_rows for b in out) <= 16 and sum(b.num_rows for b in out) == 40 * 8  # all but the first cell of each
+
+
+def test_cells_beyond_the_bound_are_left_out_and_no_neighbour_is_lost():
+    rng = np.random.default_rng(6)
+    x, pivots, hosts = rng.normal(size=(60, 4)), rng.normal(size=(12, 4)), rng.normal(size=(900, 4))
+    cell = N.squared_distances(hosts, pivots).argmin(axis=1)
+    away = np.sqrt(N.squared_distances(hosts, pivots).min(axis=1))
+    held = {(0, c): (int((cell == c).sum()), float(away[cell == c].max(initial=0))) for c in range(12)}
+    d = np.sqrt(N.squared_distances(x, hosts))
+    bound = np.sort(d, axis=1)[:, 4]
+    batch = N.pa.RecordBatch.from_arrays(
+        [N.pa.array(np.zeros(60, np.int32)), N.pa.array(np.arange(60)), N.pa.array(np.zeros(60)),
+         N.pa.array(x.tolist()), N.pa.array(bound)], ["fit", "customer_id", "label", "x", "bound"])
+    seen = {(r["customer_id"], r["cell"]) for second in (False, True)
+            for b in N._visits({0: pivots}, held, 5, second)([batch]) for r in b.to_pylist()}
+    assert all((i, cell[h]) in seen for i, h in zip(*np.nonzero(d <= bound[:, None])))
+    balls = np.sqrt(N.squared_distances(x, pivots)) - [held[0, c][1] for c in range(12)] <= bound[:, None]
+    assert len(seen) < balls.sum()
