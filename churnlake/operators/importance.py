@@ -63,7 +63,8 @@ def model_importance(binned: DataFrame, groups: dict[str, list[int]], score: Cal
 
     ``binned`` (customer_id, label, bins); ``groups`` names the places in
     ``bins`` that belong to a feature (a category has several); ``score`` maps
-    a matrix of bins to scores, and travels to the tasks once. Each row meets
+    a matrix of bins to scores, and travels to the tasks once (one with a method
+    ``replaced``, as ``boosting.Scorer``, scores all replacements of a batch itself). Each row meets
     its donor once per repeat, the task scores it with one feature after
     another replaced, and counts by (feature, repeat, score, label) leave the
     task added up: one pass for all features and repeats.
@@ -82,17 +83,21 @@ def model_importance(binned: DataFrame, groups: dict[str, list[int]], score: Cal
             s = shared.value[1](matrix(b.column(1), b.num_rows)) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["label", "score"])
 
+    def one_by_one(own, donor, groups):
+        for name, places in groups.items():
+            mixed = own.copy()
+            mixed[:, places] = donor[:, places]
+            yield name, shared.value[1](mixed)
+
     def replaced(batches):
         groups, score = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             own, donor = matrix(b.column(2), b.num_rows), matrix(b.column(3), b.num_rows)
-            for name, places in groups.items():
-                mixed = own.copy()
-                mixed[:, places] = donor[:, places]
+            for name, scores in (score.replaced if hasattr(score, "replaced") else one_by_one)(own, donor, groups):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows), b.column(0), b.column(1),
-                                                  pa.array(score(mixed))], ["feature", "repeat", "label", "score"])
+                                                  pa.array(scores)], ["feature", "repeat", "label", "score"])
 
     base_scores = materialize(v.select("label", "bins").mapInArrow(plain, "label long, score double"))
     base_ap = ranking_metrics(pr_table(base_scores)).select("average_precision").scalar()
