@@ -15,7 +15,9 @@ from __future__ import annotations
 import pickle
 import uuid
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from churnlake.llm.common import hash_sample, stage
 from churnlake.llm.lang_crf import letters
 
 BLOCK = 64
+#: Examples whose votes one task works out.
+EXAMPLES_A_TASK = 250
 
 
 @dataclass(frozen=True)
@@ -163,7 +167,7 @@ class BlockMaxIndex:
 
 @dataclass
 class Model:
-    """The index is made of the examples' terms and counts, and made again from them where the model is unpickled."""
+    """The index is made of the examples' terms and counts where it is first asked for: in the tasks, not in the driver."""
 
     key: str
     vocabulary: np.ndarray
@@ -177,8 +181,9 @@ class Model:
     no_evidence: float
     steps: tuple[np.ndarray, np.ndarray]  # calibration: lower ends of votes, probabilities
 
-    def __post_init__(self):
-        self.index = BlockMaxIndex(self.vectors(), len(self.vocabulary))
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        return BlockMaxIndex(self.vectors(), len(self.vocabulary))
 
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights) of each example."""
@@ -195,13 +200,20 @@ class Model:
     def __setstate__(self, state):
         self.__dict__.update(state)
         self.terms = np.cumsum(state["terms"], dtype=np.int32)
-        self.__post_init__()
 
     def vote(self, near: np.ndarray, cosine: np.ndarray, settings: Settings) -> float:
         w = cosine / (1.0 + 1e-6 - np.minimum(cosine, 1.0) + 0.25)
         return float(((w * self.toxic[near]).sum() + settings.prior_weight * self.base_rate)
                      / (w.sum() + settings.prior_weight))
 
+    def own_vote(self, i: int, settings: Settings) -> float | None:
+        """The vote on example ``i`` by the others; None where it has no neighbour."""
+        at = int(self.sizes[:i].sum())
+        t = self.terms[at: at + self.sizes[i]]
+        w = weighted(self.counts[at: at + self.sizes[i]].astype(float), self.idf[t])
+        near, cosine = self.index.nearest(t, w, settings.neighbours, without=i)
+        return self.vote(near, cosine, settings) if len(near) else None
+
     def score(self, terms, counts, settings: Settings):
         """(probability, neighbour ids, cosines) of one document."""
         weights = weighted(counts, self.idf[terms]) if len(terms) else counts
@@ -234,8 +246,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 def build_model(key: str, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
-                settings: Settings) -> Model | None:
-    """``examples``: (id, toxic, terms, counts); ``rates``: learnable rows by label."""
+                settings: Settings, voted: Callable[[Model], list[float | None]] | None = None) -> Model | None:
+    """``examples``: (id, toxic, terms, counts); ``rates``: learnable rows by label; ``voted``: own_vote of each example."""
     examples = [(i, y, np.asarray(t, np.int32), np.asarray(c, np.int32)) for i, y, t, c in examples]
     total = sum(rates.values())
     if not examples or not total:
@@ -260,11 +272,8 @@ def build_model(key: str, vocabulary: np.ndarray, idf: np.ndarray, examples: lis
                   np.concatenate([e[2] for e in kept] or none), np.concatenate([e[3] for e in kept] or none),
                   np.array([e[0] for e in kept]), np.array([e[1] for e in kept], float), base, no_evidence,
                   (np.zeros(1), np.array([base])))
-    votes = []
-    for i, (t, w) in enumerate(model.vectors()):
-        near, cosine = model.index.nearest(t, w, settings.neighbours, without=i)
-        if len(near):
-            votes.append((model.vote(near, cosine, settings), model.toxic[i], share[int(model.toxic[i])]))
+    votes = voted(model) if voted else [model.own_vote(i, settings) for i in range(len(kept))]
+    votes = [(v, y, share[int(y)]) for v, y in zip(votes, model.toxic) if v is not None]
     if votes:
         model.steps = isotonic(*(np.array(v) for v in zip(*votes)))
     return model
@@ -311,11 +320,27 @@ def _example_rows(vocabulary: np.ndarray, settings: Settings):
     return run
 
 
+def _voted(spark: SparkSession, settings: Settings):
+    """Votes on the examples, worked out in tasks of ``EXAMPLES_A_TASK``."""
+    def voted(model: Model) -> list[float | None]:
+        n, packed, key = len(model.sizes), zlib.compress(pickle.dumps(model), 1), model.key
+
+        def run(batches):
+            model = _worker_model(packed, key)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
+                    [model.own_vote(i, settings) for i in b.column(0).to_pylist()], pa.float64())], ["i", "vote"])
+        rows = spark.range(0, n, 1, max(1, -(-n // EXAMPLES_A_TASK))).mapInArrow(run, "i long, vote double")
+        return [r["vote"] for r in sorted(rows.collect(), key=lambda r: r["i"])]
+    return voted
+
+
 def _scored(model: Model | None, settings: Settings):
+    # votes and scores are of two models: the same index, other steps
     packed, key = (zlib.compress(pickle.dumps(model), 1), model.key) if model else (None, "")
 
     def run(batches):
-        model = _worker_model(packed, key) if packed else None
+        model = _worker_model(packed, f"{key} calibrated") if packed else None
         terms = _worker_terms(model.vocabulary, settings, key) if model else None
         for b in batches:
             if model:
@@ -381,7 +406,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
                 b.column(0).to_pylist(), b.column(1).to_pylist(), _arrays(b.column(2)), _arrays(b.column(3)))]
         del found
         rows.sort(key=lambda e: (e[0], e[1], e[2].tobytes(), e[3].tobytes()))
-        model = build_model(key, vocabulary, idf, rows, rates, settings)
+        model = build_model(key, vocabulary, idf, rows, rates, settings, _voted(spark, settings))
     out = docs.mapInArrow(_scored(model, settings),
                           "id long, score double, neighbours array<long>, cosines array<double>")
     return out.select(F.col("id").alias(id_col), _held_out().alias("held_out"), "score",
