@@ -1,13 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an index bounded in single precision.
 
 Terms are all words and word beginnings (insults in inflected languages share
 stems) of a bounded sample of labelled documents, the examples; document
 frequencies come from all documents. A word that no example has matches none
-and is left out of a text's length. The examples' postings are cut into blocks of 64 examples, each with its largest weight:
-for a query the sums of these maxima bound every block's best cosine, and
-blocks whose bound doesn't reach the k-th best cosine are skipped, so the
-neighbours are exact. Votes are weighted by distance and calibrated by
-isotonic regression of leave-one-out votes.
+and is left out of a text's length. Terms that many examples have are columns
+of a matrix, the others have postings. For a batch of texts their sums give
+every cosine in single precision, whose error is bounded; examples whose bound
+doesn't reach the k-th best cosine are skipped and the others compared in
+double precision, so the neighbours are exact. Votes are weighted by distance
+and calibrated by isotonic regression of leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,14 @@ from pyspark.sql import functions as F
 from churnlake.llm.common import hash_sample, stage
 from churnlake.llm.lang_crf import letters
 
-BLOCK = 64
+#: Terms that at least this share of the examples has are columns of a matrix, of so many bytes at most.
+MATRIX_SHARE, MATRIX_BYTES = 0.05, 96 << 20
+#: Examples whose row of the matrix is in single precision at once, and products of an exact comparison at once.
+EXAMPLES_AT_ONCE, EXACT_AT_ONCE = 512, 1 << 20
+#: Texts that are compared at once, and their characters unless one alone has more.
+TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
+#: Letters of the beginnings of a word.
+BEGINNINGS = range(4, 9)
 #: Examples whose votes one task works out.
 EXAMPLES_A_TASK = 250
 
@@ -43,48 +52,134 @@ class Settings:
     cached_words: int = 300_000
 
 
+def word_of(token: str) -> str:
+    """``letters`` of a token; most have marks at their ends only."""
+    w = token.strip(".,;:!?\"'()")
+    return w.lower() if w.isalpha() else letters(w)
+
+
 def word_terms(token: str) -> list[str]:
     """The word and its beginnings of 4 to 8 letters."""
-    w = letters(token)
-    return ["=" + w] + [w[:k] for k in range(4, min(8, len(w)) + 1)] if w else []
+    w = word_of(token)
+    return ["=" + w] + [w[:k] for k in BEGINNINGS if k <= len(w)] if w else []
+
+
+def term_hashes(tokens: list[str]) -> np.ndarray:
+    """64-bit hashes of all terms of the tokens."""
+    return np.array([xxhash.xxh3_64_intdigest(x) for t in tokens for x in word_terms(t)], np.uint64)
+
+
+def beginning_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Other 64-bit hashes, of the words' beginnings (a column each) in one go, and which of them exist."""
+    last = BEGINNINGS[-1]
+    chars = np.array(words, f"U{last}").view(np.uint32).reshape(len(words), last).astype(np.uint64)
+    h, out = np.full(len(words), 0x243F6A8885A308D3, np.uint64), []
+    for k in range(last):
+        h = (h ^ chars[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out.append(h)
+    first = BEGINNINGS[0] - 1
+    return np.stack(out[first:], 1), chars[:, first:] > 0
+
+
+def whole_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest("=" + w) for w in words], np.uint64)
+
+
+def quick_hashes(tokens: list[str]) -> np.ndarray:
+    """The hashes by which ``Terms`` finds terms, in the order of ``term_hashes``."""
+    words = [w for w in map(word_of, tokens) if w]
+    starts, there = beginning_hashes(words)
+    return np.column_stack([whole_hashes(words), starts])[np.insert(there, 0, True, axis=1)]
+
 
+class _Places(dict):
+    """Tokens to places; a new token gets the next place."""
 
-def term_hashes(tokens: list[str]) -> tuple[list[int], np.ndarray]:
-    """(number of terms of each token, 64-bit hashes of all terms)."""
-    terms = [word_terms(t) for t in tokens]
-    sizes = [len(x) for x in terms]
-    return sizes, np.fromiter((xxhash.xxh3_64_intdigest(x) for ts in terms for x in ts), np.uint64, sum(sizes))
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = place = len(self)
+        self.new.append(token)
+        return place
 
 
 class Terms:
-    """Numbers of a vocabulary's terms (sorted 64-bit hashes) in tokens; a bounded cache."""
+    """Numbers of a vocabulary's terms in tokens; a bounded cache.
+
+    ``vocabulary`` has the quick hash of each term number; with a term it has
+    every beginning of it.
+    """
 
     def __init__(self, vocabulary: np.ndarray, settings: Settings):
-        self.vocabulary, self.most, self.known = vocabulary, settings.cached_words, {}
+        self.order = np.argsort(vocabulary).astype(np.int32)
+        self.sorted, self.most = vocabulary[self.order], settings.cached_words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.numbers = _Places(), np.empty((1024, 1 + len(BEGINNINGS)), np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The terms' numbers, -1 for others; sorted first, so that the search stays in cached memory."""
+        by = np.argsort(hashes)
+        hashes = hashes[by]
+        at = np.searchsorted(self.sorted, hashes)
+        at[at == len(self.sorted)] = 0
+        out = np.empty(len(by), np.int32)
+        out[by] = np.where(self.sorted[at] == hashes, self.order[at], -1) if len(self.sorted) else -1
+        return out
 
     def _add(self, tokens: list[str]) -> None:
-        sizes, hashes = term_hashes(tokens)
-        at = np.searchsorted(self.vocabulary, hashes)
-        hit = at < len(self.vocabulary)
-        hit[hit] = self.vocabulary[at[hit]] == hashes[hit]
-        numbers, end = np.where(hit, at, -1).tolist(), 0
-        for t, n in zip(tokens, sizes):
-            self.known[t] = tuple(i for i in numbers[end: end + n] if i >= 0)
-            end += n
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct term numbers (ascending) and their counts."""
-        tokens = (text or "").split()
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        new = [t for t in set(tokens) if t not in known]
-        if new:
-            self._add(new)
-        out = []
-        for t in tokens:
-            out += known[t]
-        return np.unique(np.array(out, np.int64), return_counts=True)
+        words = [word_of(t) for t in tokens]
+        found = np.full((len(words), self.numbers.shape[1]), -1, np.int32)
+        starts, there = beginning_hashes(words)
+        live = np.arange(len(words))
+        for k in range(starts.shape[1]):  # no longer beginning, and not the word, is known without the shorter one
+            has = there[live, k]
+            some = live[has]
+            found[some, k + 1] = self._find(starts[some, k])
+            live = np.concatenate([live[~has], some[found[some, k + 1] >= 0]])
+        live = [i for i in live.tolist() if words[i]]
+        found[live, 0] = self._find(whole_hashes([words[i] for i in live]))
+        end = len(self.known)
+        if end > len(self.numbers):
+            more = np.empty((max(end, 2 * len(self.numbers)), found.shape[1]), np.int32)
+            more[: len(self.numbers)] = self.numbers
+            self.numbers = more
+        self.numbers[end - len(words): end] = found
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the distinct term numbers (ascending) and their counts."""
+        if len(self.known) > self.most:
+            self._forget()
+        split = [(t or "").split() for t in texts]
+        sizes = [len(x) for x in split]
+        places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        if self.known.new:
+            self._add(self.known.new)
+            self.known.new = []
+        terms = self.numbers[places]
+        key = (np.repeat(np.arange(len(texts)), sizes)[:, None] << 32) + terms
+        key = np.sort(key[terms >= 0])
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        counts, key = np.diff(first, append=len(key)), key[first]
+        cut = np.searchsorted(key, np.arange(1, len(texts)) << 32)
+        return list(zip(np.split(key & 0xFFFFFFFF, cut), np.split(counts, cut))) if texts else []
+
+
+def _groups(texts: pa.Array):
+    """(place, texts) of some texts at once."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        start, size, group = at, 0, []
+        for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist():
+            if group and size + len(t or "") > CHARS_AT_ONCE:
+                yield start, group
+                start, size, group = start + len(group), 0, []
+            group.append(t)
+            size += len(t or "")
+        yield start, group
 
 
 _KEPT: dict[str, Terms] = {}
@@ -115,54 +210,86 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings by term and block of examples, with the largest weight of each block."""
+    """Examples by term: a matrix of frequent terms and postings of the others.
+
+    Weights are not negative, so a cosine in single precision is off by a share of itself that is bounded by the
+    number of its terms; the examples that this bound leaves are compared exactly.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        doc = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((doc, term))
-        self.doc, term, self.weight = doc[order].astype(np.int32), term[order], weight[order]
-        cell = term * max(1, self.blocks) + self.doc // BLOCK
-        start = np.flatnonzero(np.diff(cell, prepend=-1)) if len(cell) else np.empty(0, np.int64)
-        self.cell_at = np.append(start, len(cell)).astype(np.int32)  # a cell ends where the next one starts
-        self.cell_max = np.maximum.reduceat(self.weight, start) if len(cell) else np.empty(0)
-        self.cell_block = self.doc[start] // BLOCK
-        self.term_cells = np.searchsorted(term[start], np.arange(n_terms + 1))
-
-    def _exact(self, cells, q, chosen):
-        cells, q = cells[chosen], q[chosen]
-        start = self.cell_at[cells]
-        n = self.cell_at[cells + 1] - start
-        at = np.arange(n.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        return np.bincount(self.doc[at], np.repeat(q, n) * self.weight[at], self.size)
+        self.size = n = len(vectors)
+        held = np.zeros(n_terms, np.int64)
+        for t, _ in vectors:
+            held[t] += 1
+        often = np.flatnonzero(held >= max(2, MATRIX_SHARE * n))
+        often = often[np.argsort(-held[often], kind="stable")[: MATRIX_BYTES // (8 * max(1, n))]]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((n, len(often)))
+        rare = int(held.sum() - held[often].sum())
+        key, weight, end = np.empty(rare, np.int64), np.empty(rare), 0
+        for i, (t, w) in enumerate(vectors):
+            column = self.column[t]
+            inside = column >= 0
+            self.matrix[i, column[inside]] = w[inside]
+            t, w = t[~inside].astype(np.int64), w[~inside]
+            key[end: end + len(t)], weight[end: end + len(t)] = (t << 32) + i, w
+            end += len(t)
+        order = np.argsort(key)
+        self.doc, self.weight = (key[order] & 0xFFFFFFFF).astype(np.int32), weight[order]
+        self.rare_at = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))]).astype(np.int32)
+        self.place = np.full(n, -1, np.int32)  # of the examples that are compared exactly
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1):
         """(examples, cosines) of the k largest positive cosines, ties to the first example."""
-        lo, hi = self.term_cells[terms], self.term_cells[terms + 1]
-        n = hi - lo
-        if not n.sum():
-            return np.empty(0, np.int64), np.empty(0)
-        cells = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        q = np.repeat(weights, n)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, q * self.cell_max[cells], self.blocks)
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[: 1 + (k + BLOCK) // BLOCK]] = True
-        score = self._exact(cells, q, first[block])
+        return self.nearest_all([(terms, weights)], k, [without])[0]
+
+    def nearest_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None):
+        """``nearest`` of each query."""
+        out = []
+        for at in range(0, len(queries), TEXTS_AT_ONCE):
+            some = queries[at: at + TEXTS_AT_ONCE]
+            columns = [self.column[t] for t, _ in some]
+            q = np.zeros((len(some), self.matrix.shape[1]), np.float32)
+            for row, c, (_, w) in zip(q, columns, some):
+                row[c[c >= 0]] = w[c >= 0]
+            about = np.empty((len(some), self.size), np.float32)
+            for lo in range(0, self.size, EXAMPLES_AT_ONCE):
+                part = self.matrix[lo: lo + EXAMPLES_AT_ONCE].astype(np.float32)
+                about[:, lo: lo + len(part)] = q @ part.T
+            for i, (row, c, (t, w)) in enumerate(zip(about, columns, some), at):
+                out.append(self._nearest(row, t, w, c, k, without[i] if without else -1))
+        return out
+
+    def _nearest(self, about: np.ndarray, terms: np.ndarray, weights: np.ndarray, columns: np.ndarray, k: int, without: int):
+        """``about`` has the sums over the matrix; the postings add theirs."""
+        rare = np.flatnonzero(columns < 0)
+        lo = self.rare_at[terms[rare]]
+        n = self.rare_at[terms[rare] + 1] - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        doc, part = self.doc[at], self.weight[at]
+        part *= np.repeat(weights[rare], n)
+        about += np.bincount(doc, part, self.size)
         if without >= 0:
-            score[without] = 0
-        least = np.partition(score, self.size - k)[self.size - k] if self.size > k else 0.0
-        more = ~first & (bound >= least - 1e-12) & (bound > 0)
-        if more.any():
-            score += self._exact(cells, q, more[block])
-            if without >= 0:
-                score[without] = 0
-        top = np.flatnonzero(score > 0)
-        top = top[np.argsort(-score[top], kind="stable")[:k]]
-        return top, score[top]
+            about[without] = 0
+        least = np.partition(about, self.size - k)[self.size - k] if self.size > k else 0.0
+        off = (len(terms) + 10) * 2.0 ** -23  # more than the relative error: a rounding of 2 ** -24 a term and a few more
+        top = np.flatnonzero((about > 0) & (about >= least * max(0.0, 1 - 2 * off)))
+        score, frequent, row = [np.empty(0)], np.flatnonzero(columns >= 0), np.repeat(rare, n)
+        step = max(1, EXACT_AT_ONCE // max(1, len(terms)))
+        for first in range(0, len(top), step):
+            some = top[first: first + step]
+            self.place[some] = np.arange(len(some))
+            place = self.place[doc]
+            hit = np.flatnonzero(place >= 0)
+            products = np.zeros((len(terms), len(some)))
+            products[row[hit], place[hit]] = part[hit]
+            products[frequent] = self.matrix[some][:, columns[frequent]].T * weights[frequent, None]
+            score.append(np.add.reduce(products, axis=0))  # term by term, in one order for all examples
+            self.place[some] = -1
+        score = np.concatenate(score)
+        by = np.argsort(-score, kind="stable")[:k]
+        return top[by], score[by]
 
 
 @dataclass
@@ -170,7 +297,7 @@ class Model:
     """The index is made of the examples' terms and counts where it is first asked for: in the tasks, not in the driver."""
 
     key: str
-    vocabulary: np.ndarray
+    vocabulary: np.ndarray  # quick hashes by term number
     idf: np.ndarray
     sizes: np.ndarray  # terms of each example
     terms: np.ndarray
@@ -206,23 +333,25 @@ class Model:
         return float(((w * self.toxic[near]).sum() + settings.prior_weight * self.base_rate)
                      / (w.sum() + settings.prior_weight))
 
-    def own_vote(self, i: int, settings: Settings) -> float | None:
-        """The vote on example ``i`` by the others; None where it has no neighbour."""
-        at = int(self.sizes[:i].sum())
-        t = self.terms[at: at + self.sizes[i]]
-        w = weighted(self.counts[at: at + self.sizes[i]].astype(float), self.idf[t])
-        near, cosine = self.index.nearest(t, w, settings.neighbours, without=i)
-        return self.vote(near, cosine, settings) if len(near) else None
-
-    def score(self, terms, counts, settings: Settings):
-        """(probability, neighbour ids, cosines) of one document."""
-        weights = weighted(counts, self.idf[terms]) if len(terms) else counts
-        near, cosine = self.index.nearest(terms, weights, settings.neighbours) if len(terms) else (terms, counts)
-        if not len(near):
-            return self.no_evidence, [], []
+    def own_votes(self, examples: list[int], settings: Settings) -> list[float | None]:
+        """The vote on each of some examples by the others; None where it has no neighbour."""
+        at = np.concatenate([[0], np.cumsum(self.sizes)])
+        terms = [self.terms[at[i]: at[i + 1]] for i in examples]
+        queries = [(t, weighted(self.counts[at[i]: at[i + 1]].astype(float), self.idf[t])) for i, t in zip(examples, terms)]
+        return [self.vote(near, cosine, settings) if len(near) else None
+                for near, cosine in self.index.nearest_all(queries, settings.neighbours, examples)]
+
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]], settings: Settings) -> list[tuple]:
+        """(probability, neighbour ids, cosines) of each document's terms and counts."""
         lows, values = self.steps
-        i = np.searchsorted(lows, self.vote(near, cosine, settings) + 1e-12, side="right") - 1
-        return float(values[max(i, 0)]), self.ids[near].tolist(), cosine.tolist()
+        out = []
+        for near, cosine in self.index.nearest_all([(t, weighted(c, self.idf[t])) for t, c in counted], settings.neighbours):
+            if not len(near):
+                out.append((self.no_evidence, [], []))
+                continue
+            i = np.searchsorted(lows, self.vote(near, cosine, settings) + 1e-12, side="right") - 1
+            out.append((float(values[max(i, 0)]), self.ids[near].tolist(), cosine.tolist()))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +376,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 def build_model(key: str, vocabulary: np.ndarray, idf: np.ndarray, examples: list[tuple], rates: dict[int, int],
                 settings: Settings, voted: Callable[[Model], list[float | None]] | None = None) -> Model | None:
-    """``examples``: (id, toxic, terms, counts); ``rates``: learnable rows by label; ``voted``: own_vote of each example."""
+    """``examples``: (id, toxic, terms, counts); ``rates``: learnable rows by label; ``voted``: own_votes of all examples."""
     examples = [(i, y, np.asarray(t, np.int32), np.asarray(c, np.int32)) for i, y, t, c in examples]
     total = sum(rates.values())
     if not examples or not total:
@@ -272,7 +401,7 @@ def build_model(key: str, vocabulary: np.ndarray, idf: np.ndarray, examples: lis
                   np.concatenate([e[2] for e in kept] or none), np.concatenate([e[3] for e in kept] or none),
                   np.array([e[0] for e in kept]), np.array([e[1] for e in kept], float), base, no_evidence,
                   (np.zeros(1), np.array([base])))
-    votes = voted(model) if voted else [model.own_vote(i, settings) for i in range(len(kept))]
+    votes = voted(model) if voted else model.own_votes(list(range(len(kept))), settings)
     votes = [(v, y, share[int(y)]) for v, y in zip(votes, model.toxic) if v is not None]
     if votes:
         model.steps = isotonic(*(np.array(v) for v in zip(*votes)))
@@ -284,9 +413,11 @@ def _terms(batches):
     words: set[str] = set()
 
     def out():
-        rows = pa.RecordBatch.from_arrays([pa.array(np.unique(term_hashes(list(words))[1]).view(np.int64))], ["term"])
+        tokens = list(words)
+        term, at = np.unique(term_hashes(tokens), return_index=True)
         words.clear()
-        return rows
+        return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(quick_hashes(tokens)[at].view(np.int64))],
+                                          ["term", "quick"])
 
     for b in batches:
         for text in b.column(0).to_pylist():
@@ -302,8 +433,8 @@ def _doc_counts(vocabulary: np.ndarray, settings: Settings, key: str):
     def run(batches):
         terms, total = _worker_terms(vocabulary, settings, key), np.zeros(len(vocabulary), np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                total[terms.counts(text)[0]] += 1
+            for _, texts in _groups(b.column(0)):
+                total += np.bincount(np.concatenate([t for t, _ in terms.counts(texts)]), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
     return run
@@ -313,10 +444,11 @@ def _example_rows(vocabulary: np.ndarray, settings: Settings):
     def run(batches):
         terms = Terms(vocabulary, settings)
         for b in batches:
-            rows = [terms.counts(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                b.column("id"), b.column("toxic"), pa.array([t for t, _ in rows], pa.list_(pa.int32())),
-                pa.array([c for _, c in rows], pa.list_(pa.int32()))], ["id", "toxic", "terms", "counts"])
+            for at, texts in _groups(b.column("text")):
+                rows, part = terms.counts(texts), b.slice(at, len(texts))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("id"), part.column("toxic"), pa.array([t for t, _ in rows], pa.list_(pa.int32())),
+                    pa.array([c for _, c in rows], pa.list_(pa.int32()))], ["id", "toxic", "terms", "counts"])
     return run
 
 
@@ -329,28 +461,28 @@ def _voted(spark: SparkSession, settings: Settings):
             model = _worker_model(packed, key)
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
-                    [model.own_vote(i, settings) for i in b.column(0).to_pylist()], pa.float64())], ["i", "vote"])
+                    model.own_votes(b.column(0).to_pylist(), settings), pa.float64())], ["i", "vote"])
         rows = spark.range(0, n, 1, max(1, -(-n // EXAMPLES_A_TASK))).mapInArrow(run, "i long, vote double")
         return [r["vote"] for r in sorted(rows.collect(), key=lambda r: r["i"])]
     return voted
 
 
 def _scored(model: Model | None, settings: Settings):
-    # votes and scores are of two models: the same index, other steps
-    packed, key = (zlib.compress(pickle.dumps(model), 1), model.key) if model else (None, "")
+    # the workers that voted keep their index: only the steps are new
+    packed, key, steps = (zlib.compress(pickle.dumps(model), 1), model.key, model.steps) if model else (None, "", None)
 
     def run(batches):
-        model = _worker_model(packed, f"{key} calibrated") if packed else None
-        terms = _worker_terms(model.vocabulary, settings, key) if model else None
+        model = _worker_model(packed, key) if packed else None
+        if model:
+            model.steps = steps
+            terms = _worker_terms(model.vocabulary, settings, key)
         for b in batches:
-            if model:
-                rows = [model.score(*terms.counts(t), settings) for t in b.column(1).to_pylist()]
-            else:
-                rows = [(0.0, [], [])] * b.num_rows
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([r[0] for r in rows], pa.float64()),
-                pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["id", "score", "neighbours", "cosines"])
+            for at, texts in _groups(b.column(1)):
+                rows = model.scores(terms.counts(texts), settings) if model else [(0.0, [], [])] * len(texts)
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(at, len(texts)), pa.array([r[0] for r in rows], pa.float64()),
+                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                    pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["id", "score", "neighbours", "cosines"])
     return run
 
 
@@ -391,8 +523,9 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_c
         chosen = F.broadcast(spark.createDataFrame(picked, "id long, toxic int"))
         sample = stage(spark, hash_sample(docs.join(chosen, "id"), "toxic", ["id", "text"], settings.examples_per_class)
                        .select("id", "text", "toxic"), "examples")
-        found = sample.select("text").mapInArrow(_terms, "term long").distinct().toArrow()
-        vocabulary = np.sort(found.column("term").to_numpy().astype(np.int64).view(np.uint64))
+        found = sample.select("text").mapInArrow(_terms, "term long, quick long").distinct().toArrow()
+        hashes, quick = (found.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("term", "quick"))
+        vocabulary = quick[np.argsort(hashes)]
         key = uuid.uuid4().hex
         n_docs = docs.count()
         found = docs.select("text").mapInArrow(_doc_counts(vocabulary, settings, key), "term long, n long") \
