@@ -2,8 +2,8 @@
 
 New words of a batch are concatenated and indexed by a suffix array; every
 vocabulary piece is binary-searched for its range of occurrences. These
-edges are sorted by position and relaxed from left to right: the best path
-to a position ends with the one piece that byte-pair merging would put
+edges are relaxed from left to right, those of all words at one distance from
+their word's start together: the best path to a position ends with the one piece that byte-pair merging would put
 there, which is the piece that the last piece of the path before it keeps
 as its neighbour (merging the two pieces' characters gives these two pieces
 again). So the path is the encoding of the merge rules, not an
@@ -16,6 +16,7 @@ import heapq
 import re
 import zlib
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ SPACE = "▁"
 _CACHED_WORDS = 120_000
 _CACHED_PARTS = 300_000
 _LONGEST_CACHED = 64
-_CHARS_AT_ONCE = 1 << 16
+_CHARS_AT_ONCE = 1 << 18
+_LEVELS = 64  # characters of a word that are relaxed with those of the other words; the rest one by one
+_PAIRS = 1 << 21  # places for pairs of pieces that are known to be kept apart or not
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")  # letters, or anything else
 
 
@@ -48,7 +51,11 @@ class PieceModel:
             self.bytes[i] = bytes([b])
         self.longest = max(map(len, self.ids))
         self.merged = lru_cache(50_000)(self._merged)
-        self.fits: dict[int, bool] = {}  # by a << 21 | b
+        self.merges = lru_cache(20_000)(self._merges)
+        self.fits: dict[int, bool] = {}  # by a << 21 | b, in long words
+        self.pairs = np.full(_PAIRS, -1, np.int64)  # key and answer of the last pair of a place
+        self.length = np.array([len(p) for p in self.text])
+        self.alone = np.full(n, -1, np.int8)  # whether a piece's characters are merged to it; -1: not yet known
         self.names = {i: p for p, i in self.ids.items()}  # also numbers of unknown characters
         # pairs of a letter and another character inside a piece; a word with such a pair is not cut
         self.crossing = frozenset(a[-1] + b[0] for p in self.ids for runs in (_RUNS.findall(p.lstrip(SPACE)),)
@@ -58,11 +65,15 @@ class PieceModel:
         for row, p in zip(self.points, self.ids):
             row[: len(p)] = [ord(c) for c in p]
 
-    def _merged(self, text: str) -> tuple[str, ...]:
-        """Byte-pair merging of a short text by its definition: best score first, then leftmost."""
+    def _merged(self, text: str, steps: list | None = None) -> tuple[str, ...]:
+        """Byte-pair merging of a short text by its definition: best score first, then leftmost.
+
+        ``steps`` gets the score of each merge, and the first and last part after it.
+        """
         part = list(text)
         nxt, prv = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap: list[tuple[float, int, int, str]] = []
+        end = len(part) - 1
 
         def offer(i):
             j = nxt[i] if i >= 0 else len(part)
@@ -78,18 +89,71 @@ class PieceModel:
                 nxt[i] = nxt[j]
                 if nxt[i] < len(part):
                     prv[nxt[i]] = i
+                else:
+                    end = i
+                if steps is not None:
+                    steps.append((self.score[both], part[0], part[end]))
                 offer(i)
                 offer(prv[i])
         return tuple(p for p in part if p)
 
+    def _merges(self, piece: str) -> tuple[list[float], list[str], list[str], bool]:
+        """Merging a piece's characters: score of the next merge, first part and last part before it; whether it gives the piece."""
+        steps: list[tuple[float, str, str]] = []
+        whole = self._merged(piece, steps) == (piece,)
+        scores, firsts, lasts = zip(*steps) if steps else ((), (), ())
+        return [*scores, -inf], [piece[0], *firsts], [piece[-1], *lasts], whole
+
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging keeps pieces a and b apart as they are."""
-        x, y = self.names[a], self.names[b]
-        ok = self.fits[a << 21 | b] = x + y not in self.score and self.merged(x + y) == (x, y)
-        if len(self.fits) > 250_000:
-            self.fits.clear()
+        scores, _, ends, whole = self.merges(self.names[a])
+        others, heads, _, both = self.merges(self.names[b])
+        if not (whole and both):
+            return False
+        i = j = 0
+        while True:  # the merges of both in their common order, until one across would come first
+            s, left, right = self.score.get(ends[i] + heads[j]), scores[i], others[j]
+            if s is not None and s > left and s >= right:
+                return False
+            if left >= right:
+                if left == -inf:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def known_neighbours(self, a: int, b: int) -> bool:
+        key = a << 21 | b
+        ok = self.fits.get(key)
+        if ok is None:
+            if len(self.fits) > 250_000:
+                self.fits.clear()
+            ok = self.fits[key] = self.neighbours(a, b)
         return ok
 
+    def all_neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``neighbours`` of many pairs; a place of the table keeps its last pair."""
+        key = a << 21 | b
+        place = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % _PAIRS
+        held = self.pairs[place]
+        ok = (held & 1).astype(bool)
+        new = np.flatnonzero(held >> 1 != key)
+        if len(new):
+            keys, first, at = np.unique(key[new], return_index=True, return_inverse=True)
+            answers = np.array([self.neighbours(k >> 21, k & 0x1FFFFF) for k in keys.tolist()])
+            self.pairs[place[new[first]]] = keys << 1 | answers
+            ok[new] = answers[at]
+        return ok
+
+    def starts_word(self, pieces: np.ndarray) -> np.ndarray:
+        """Whether merging the characters of each piece gives the piece."""
+        out = pieces >= len(self.text)
+        listed = pieces[~out]
+        for t in np.unique(listed[self.alone[listed] < 0]).tolist():
+            self.alone[t] = len(self.text[t]) == 1 or self._merged(self.text[t]) == (self.text[t],)
+        out[~out] = self.alone[listed] == 1
+        return out
+
     def number(self, char: str) -> int:
         """The piece of a character; characters without one get numbers past the vocabulary."""
         i = self.ids.get(char)
@@ -109,8 +173,10 @@ def occurrences(model: PieceModel, text: np.ndarray) -> tuple[np.ndarray, np.nda
     The suffix array sorts by as many characters as the longest piece has.
     """
     depth = model.longest
-    chars = np.unique(text)
-    chars = chars[chars > 0]
+    seen = np.zeros(0x110000, bool)
+    seen[text] = True
+    seen[0] = False
+    chars = np.flatnonzero(seen)
     width = 1 if len(chars) < 254 else 2 if len(chars) < 65_534 else 4
     kind = {1: np.uint8, 2: np.dtype(">u2"), 4: np.dtype(">u4")}[width]
     code = np.zeros(len(text) + depth, kind)
@@ -139,44 +205,63 @@ def occurrences(model: PieceModel, text: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[by], piece[by]
 
 
-def encode_words(model: PieceModel, words: list[str]) -> list[list[int]]:
-    """Piece numbers of words, each encoded by itself."""
+def encode_words(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece numbers of words, each encoded by itself; where those of each word start, and the end)."""
     joined = "\0".join(words)
     text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    starts = np.cumsum([0] + [len(w) + 1 for w in words])
-    inside = np.zeros(len(text) + 1, bool)  # a NUL inside a word is a character without a piece
-    for s, w in zip(starts.tolist(), words):
-        inside[s: s + len(w)] = True
+    size = np.array([len(w) for w in words])
+    starts = np.cumsum(size + 1) - size - 1
+    inside = np.ones(len(text) + 1, bool)  # a NUL inside a word is a character without a piece
+    inside[starts + size] = False
     position, piece = occurrences(model, np.where(inside[:-1], text, 0))
-    length = np.array([len(p) for p in model.text])
-    last: list[int] = [-2] * (len(text) + 1)  # the last piece of the path to a position; -1: start of a word
-    for s in starts[:-1].tolist():
-        last[s] = -1
-    fits, neighbours = model.fits, model.neighbours
-    lone = np.setdiff1d(np.flatnonzero(inside[:-1]), position[length[piece] == 1])
+    length = model.length
+    single = np.zeros(len(text), bool)
+    single[position[length[piece] == 1]] = True
+    lone = np.flatnonzero(inside[:-1] & ~single)
     if len(lone):  # characters without a piece are edges too
         position = np.concatenate([position, lone])
         piece = np.concatenate([piece, [model.number(joined[i]) for i in lone.tolist()]])
         by = np.argsort(position, kind="stable")
         position, piece = position[by], piece[by]
     ends = position + np.where(piece < len(length), length[np.minimum(piece, len(length) - 1)], 1)
-    for i, j, t in zip(position.tolist(), ends.tolist(), piece.tolist()):
-        a = last[i]
-        if a >= 0:
-            ok = fits.get(a << 21 | t)
-            if neighbours(a, t) if ok is None else ok:
-                last[j] = t
-        elif a == -1 and inside[i]:
-            last[j] = t if i == j - 1 or model.merged(model.names[t]) == (model.names[t],) else last[j]
-    out = []
-    for s, w in zip(starts.tolist(), words):
-        j, path = s + len(w), []
-        while j > s:
-            t = last[j]
-            path.append(t)
-            j -= len(model.names[t])
-        out.append(path[::-1])
-    return out
+    last = np.full(len(text) + 1, -2)  # the last piece of the path to a position; -1: start of a word
+    last[starts] = -1
+    level = position - np.repeat(starts, size + 1)[position]
+    short = np.flatnonzero(level < _LEVELS)
+    short = short[np.argsort(level[short].astype(np.int8), kind="stable")]
+    cuts = np.searchsorted(level[short], np.arange(_LEVELS + 1))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+        some = short[lo:hi]
+        if k:
+            some = some[last[position[some]] >= 0]
+            ok = model.all_neighbours(last[position[some]], piece[some])
+        else:
+            ok = model.starts_word(piece[some])
+        last[ends[some[ok]]] = piece[some[ok]]
+    if len(short) < len(level):
+        tail = np.flatnonzero(level >= _LEVELS)
+        path, ok = last.tolist(), model.known_neighbours
+        for i, j, t in zip(position[tail].tolist(), ends[tail].tolist(), piece[tail].tolist()):
+            if path[i] >= 0 and ok(path[i], t):
+                path[j] = t
+        last = np.array(path)
+    at = np.full(len(text) + 1, -1)  # pieces of the paths by position
+    j = starts + size
+    live = np.flatnonzero((size > 0) & (size <= _LEVELS))
+    while len(live):
+        t = last[j[live]]
+        j[live] -= np.where(t < len(length), length[np.minimum(t, len(length) - 1)], 1)
+        at[j[live]] = t
+        live = live[j[live] > starts[live]]
+    for i in np.flatnonzero(size > _LEVELS).tolist():
+        s, back = int(starts[i]), last[starts[i]: starts[i] + size[i] + 1].tolist()
+        e = int(size[i])
+        while e > 0:
+            t = back[e]
+            e -= len(model.names[t])
+            at[s + e] = t
+    found = np.flatnonzero(at >= 0)
+    return at[found], np.append(np.searchsorted(found, starts), len(found))
 
 
 class Encoder:
@@ -208,20 +293,25 @@ class Encoder:
         """Ids of all ``words``; those that are too long for the cache are returned only."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > _CACHED_WORDS:
-            self.known, new = {}, list(words)
+            self.known = {w: self.known[w] for w in words if w in self.known}
         cuts = [self._cut(w) for w in new]
         need = {p for c in cuts for p in c}
         todo = sorted(p for p in need if p not in self.parts)
         if len(self.parts) + len(todo) > _CACHED_PARTS:
-            self.parts, todo = {}, sorted(need)
+            self.parts = {p: self.parts[p] for p in need if p in self.parts}
         at = 0
         while at < len(todo):
             size, end = 0, at
             while end < len(todo) and (end == at or size < _CHARS_AT_ONCE):
                 size += len(todo[end]) + 1
                 end += 1
-            for w, pieces in zip(todo[at:end], encode_words(self.model, todo[at:end])):
-                self.parts[w] = np.array(self._ids(pieces), "<u4").tobytes()
+            pieces, bounds = encode_words(self.model, todo[at:end])
+            ids, ends = pieces.astype("<u4").tobytes(), (4 * bounds).tolist()
+            for w, a, b in zip(todo[at:end], ends, ends[1:]):
+                self.parts[w] = ids[a:b]
+            unknown = np.flatnonzero(pieces >= len(self.model.text))
+            for i in np.unique(np.searchsorted(bounds, unknown, side="right") - 1).tolist():
+                self.parts[todo[at + i]] = np.array(self._ids(pieces[bounds[i]: bounds[i + 1]].tolist()), "<u4").tobytes()
             at = end
         rare = {}
         for w, cut in zip(new, cuts):
