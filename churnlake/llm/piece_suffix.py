@@ -373,8 +373,8 @@ def _encoded(path: str):
     def run(batches):
         encoder = _encoder(path)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 ids = encoder.encode(pc.fill_null(part.column(1), "").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
