@@ -38,6 +38,7 @@ EXAMPLES_AT_ONCE, EXACT_AT_ONCE = 512, 1 << 20
 TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 1 << 20
 #: Letters of the beginnings of a word.
 BEGINNINGS = range(4, 9)
+BLOCK = 16
 #: Examples whose votes one task works out.
 EXAMPLES_A_TASK = 250
 
@@ -209,6 +210,16 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / norm if norm > 0 else w
 
 
+def kth_largest(x: np.ndarray, k: int) -> float:
+    """The k-th largest of numbers, 0 if they are fewer. No block but those whose maximum reaches the k-th largest maximum has it."""
+    if len(x) <= k:
+        return 0.0
+    whole = x[: len(x) // BLOCK * BLOCK].reshape(-1, BLOCK).max(axis=1)
+    if len(whole) > k:
+        x = x[x >= np.partition(whole, len(whole) - k)[len(whole) - k]]
+    return float(np.partition(x, len(x) - k)[len(x) - k])
+
+
 class BlockMaxIndex:
     """Examples by term: a matrix of frequent terms and postings of the others.
 
@@ -216,7 +227,7 @@ class BlockMaxIndex:
     number of its terms; the examples that this bound leaves are compared exactly.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]] | Vectors, n_terms: int):
         self.size = n = len(vectors)
         held = np.zeros(n_terms, np.int64)
         for t, _ in vectors:
@@ -226,18 +237,16 @@ class BlockMaxIndex:
         self.column = np.full(n_terms, -1, np.int32)
         self.column[often] = np.arange(len(often))
         self.matrix = np.zeros((n, len(often)))
-        rare = int(held.sum() - held[often].sum())
-        key, weight, end = np.empty(rare, np.int64), np.empty(rare), 0
+        self.rare_at = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))]).astype(np.int32)
+        self.doc, self.weight = np.empty(self.rare_at[-1], np.int32), np.empty(self.rare_at[-1])
+        free = self.rare_at[:-1].copy()
         for i, (t, w) in enumerate(vectors):
             column = self.column[t]
             inside = column >= 0
             self.matrix[i, column[inside]] = w[inside]
-            t, w = t[~inside].astype(np.int64), w[~inside]
-            key[end: end + len(t)], weight[end: end + len(t)] = (t << 32) + i, w
-            end += len(t)
-        order = np.argsort(key)
-        self.doc, self.weight = (key[order] & 0xFFFFFFFF).astype(np.int32), weight[order]
-        self.rare_at = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))]).astype(np.int32)
+            t, w = t[~inside], w[~inside]
+            self.doc[free[t]], self.weight[free[t]] = i, w
+            free[t] += 1
         self.place = np.full(n, -1, np.int32)  # of the examples that are compared exactly
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1):
@@ -272,7 +281,7 @@ class BlockMaxIndex:
         about += np.bincount(doc, part, self.size)
         if without >= 0:
             about[without] = 0
-        least = np.partition(about, self.size - k)[self.size - k] if self.size > k else 0.0
+        least = kth_largest(about, k)
         off = (len(terms) + 10) * 2.0 ** -23  # more than the relative error: a rounding of 2 ** -24 a term and a few more
         top = np.flatnonzero((about > 0) & (about >= least * max(0.0, 1 - 2 * off)))
         score, frequent, row = [np.empty(0)], np.flatnonzero(columns >= 0), np.repeat(rare, n)
@@ -292,6 +301,23 @@ class BlockMaxIndex:
         return top[by], score[by]
 
 
+class Vectors:
+    """Terms and weights of a model's examples, worked out one by one whenever they are passed."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __len__(self) -> int:
+        return len(self.model.sizes)
+
+    def __iter__(self):
+        m, end = self.model, 0
+        for n in m.sizes.tolist():
+            t, c = m.terms[end: end + n], m.counts[end: end + n]
+            yield t, weighted(c.astype(float), m.idf[t])
+            end += n
+
+
 @dataclass
 class Model:
     """The index is made of the examples' terms and counts where it is first asked for: in the tasks, not in the driver."""
@@ -312,13 +338,9 @@ class Model:
     def index(self) -> BlockMaxIndex:
         return BlockMaxIndex(self.vectors(), len(self.vocabulary))
 
-    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+    def vectors(self) -> Vectors:
         """(terms, weights) of each example."""
-        if not len(self.sizes):
-            return []
-        at = np.cumsum(self.sizes)[:-1]
-        return [(t, weighted(c.astype(float), self.idf[t]))
-                for t, c in zip(np.split(self.terms, at), np.split(self.counts, at))]
+        return Vectors(self)
 
     def __getstate__(self):
         state = {k: v for k, v in self.__dict__.items() if k != "index"}
