@@ -412,3 +412,31 @@ def test_cells_beyond_the_bound_are_left_out_and_no_neighbour_is_lost():
     assert all((i, cell[h]) in seen for i, h in zip(*np.nonzero(d <= bound[:, None])))
     balls = np.sqrt(N.squared_distances(x, pivots)) - [held[0, c][1] for c in range(12)] <= bound[:, None]
     assert len(seen) < balls.sum()
+
+
+# --- forests at size --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("settings", [
+    T.TreeSettings(trees=5, max_depth=6, min_leaf=2, features=2, bootstrap=True, bins=8),
+    T.TreeSettings(trees=5, max_depth=6, min_leaf=2, features=3, random_cut=True, bins=8)])
+def test_a_block_and_levels_grow_the_same_forest(spark, monkeypatch, settings):
+    frame = spark.createDataFrame(binned_rows(fits=(0, 1)), SCHEMA).repartition(3)
+    blocks, levels = (T.fit_forest(frame, 5, settings, [0, 1], **o) for o in ({}, {"block_rows": 0}))
+    assert blocks.nodes() == levels.nodes() and len(blocks.nodes()) > 50
+    ids, y, x = arrays(binned_rows(fits=(0, 1)), 1)
+    for alone, rows in ((1, 7), (40, 100_000)):  # nodes counted by themselves, in parts, or together
+        monkeypatch.setattr(T, "ROWS_ALONE", alone)
+        monkeypatch.setattr(T, "ROWS_COUNTED", rows)
+        made = T.grow_tree(settings, 3, ids, y.astype(np.int8), np.ascontiguousarray(x.T.astype(np.int8)))
+        got = T.Forest(settings, 5, [0])
+        got.put(0, *made)
+        assert [n[1:] for n in got.nodes()] == [n[1:] for n in blocks.nodes() if n[0] == 5 + 3]
+
+
+@pytest.mark.parametrize("rows", [4_000_000, 0])
+def test_a_forest_holds_the_nodes_that_there_are(spark, rows):
+    settings = T.TreeSettings(trees=20, max_depth=12, min_leaf=5, features=3, bootstrap=True, bins=8)
+    forest = T.fit_forest(spark.createDataFrame(binned_rows(), SCHEMA), 5, settings, [0], rows)
+    assert forest.feature.shape[1] <= 2 * 240 // 5  # 8191 by heap number
+    assert len(T.pickle.dumps(forest.routes())) < 50_000
