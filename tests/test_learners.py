@@ -55,3 +55,26 @@ def test_constant_scores_turn_the_checks_false(spark, split):
     rows = split.select("customer_id", (F.col("split") == "train").alias("train"), "label", F.lit(0.3).alias("score"))
     row = _checked(rows).first()
     assert not row.scores_differ and not row.beats_prior_on_train
+
+
+def test_boosted_scores_of_batches_that_hold_one_fit_only(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows = [(f, True, i, int(i % 3 == 0), rng.integers(0, 4, 3).tolist()) for f in (0, 1) for i in range(200)]
+    frame = spark.createDataFrame(rows, "fit int, train boolean, customer_id long, label int, bins array<tinyint>") \
+        .repartition(2, "fit").sortWithinPartitions("fit")
+    settings = learners.G.BoostSettings(rounds=2, leaves=3, min_rows=8, bins=4)
+    made = learners.G.fit_boosters(frame, 3, {"a": settings, "b": settings})
+    got = learners.G.predict_boosters(made, frame, "customer_id").groupBy("preset", "fit").count().collect()
+    assert sorted(map(tuple, got)) == [(n, f, 200) for n in "ab" for f in (0, 1)]
+
+
+def test_folds_are_fitted_one_after_another_by_a_forest(spark, monkeypatch):
+    seen, fit = [], learners.T.fit_forest
+    monkeypatch.setattr(learners.T, "fit_forest", lambda rows, n, s, fits: seen.append(fits) or fit(rows, n, s, fits))
+    monkeypatch.setitem(learners.FORESTS, "random_forest", learners.T.TreeSettings(trees=2, max_depth=2, min_leaf=3, bins=4))
+    rows = [(f, i % 2 == f, i, int(i % 3 == 0), [i % 4, i // 50]) for f in (0, 1) for i in range(200)]
+    binned = spark.createDataFrame(rows, "fit int, train boolean, customer_id long, label int, bins array<tinyint>")
+    prep = learners.B.Preparation({0: {}, 1: {}}, {}, {}, {}, {}, ["a", "b"])
+    scored = learners._forest("random_forest")(learners.Prepared(prep, binned, binned)).collect()
+    assert seen == [[0], [1]] and len(scored) == 200
