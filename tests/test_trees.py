@@ -440,3 +440,19 @@ def test_a_forest_holds_the_nodes_that_there_are(spark, rows):
     forest = T.fit_forest(spark.createDataFrame(binned_rows(), SCHEMA), 5, settings, [0], rows)
     assert forest.feature.shape[1] <= 2 * 240 // 5  # 8191 by heap number
     assert len(T.pickle.dumps(forest.routes())) < 50_000
+
+
+# --- comparing rows ---------------------------------------------------------------
+
+
+def test_nearest_rows_of_a_block_are_those_of_a_full_sort_with_ties_and_bounds():
+    rng = np.random.default_rng(8)
+    for k, hosts in ((5, 300), (25, 10)):
+        a, b = rng.integers(0, 3, (40, 4)).astype(float), rng.integers(0, 3, (hosts, 4)).astype(float)
+        a[0], b[7] = a[0] + 1e-11, b[3]  # the same to 9 decimals
+        bound = np.where(np.arange(40) % 2, np.inf, 1.0)
+        row, col, near = N.nearest_in(a, b, k, bound)
+        d2 = N.squared_distances(a, b)
+        want = [(i, j, d2[i, j]) for i in range(40) for j in np.argsort(d2[i], kind="stable")[:k]
+                if d2[i, j] <= (bound[i] + N.SLACK) ** 2]
+        assert list(zip(row.tolist(), col.tolist(), near.tolist())) == [tuple(w) for w in want]
