@@ -1,6 +1,8 @@
 """Work of a boosting step and of scoring: columns added up together, trees that a replaced column doesn't touch."""
 
 import random
+import tracemalloc
+from dataclasses import replace
 
 import numpy as np
 
@@ -60,3 +62,16 @@ def test_a_replaced_column_is_scored_by_the_trees_that_cut_it(monkeypatch):
         mixed = x.copy()
         mixed[:, places] = donor[:, places]
         assert (got[name] == scorer(mixed)).all()  # to the last bit
+
+
+def test_a_block_takes_few_bytes_a_row():
+    n, rng = 200_000, np.random.default_rng(2)
+    bins = np.vstack([rng.integers(0, 32, (14, n)), rng.integers(0, 2, (17, n))]).astype(np.int8)
+    label = (bins[0] > 20).astype(np.int8)
+    for settings in (G.PRESETS["gbt_xgb"], G.PRESETS["gbt_catboost"]):
+        tracemalloc.start()
+        G.boost_block(replace(settings, rounds=2), np.arange(n), label, bins.T)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 86 * n  # besides bins, labels and ids, which are 40 bytes a row
+    assert 3_240_000 <= G.BLOCK_ROWS <= 600e6 / 140  # two tasks of an executor beside its heap
